@@ -1,0 +1 @@
+"""Empty on purpose: the operators are batch only, so there is no stream to serve."""
