@@ -146,6 +146,20 @@ def ops(spark, sf_dir) -> DataFrame:
     )
 
 
+def kernels(spark, sf_dir) -> DataFrame:
+    """Operator rows with a kernel name put together from their columns."""
+    half, mat = F.col("dtype") == "fp16", F.col("op_type") == "MatMul"
+    tile = [64 * (1 + F.col("bs") % 3), 32 * (1 + F.col("bs") % 4), 16 * (1 + F.col("bs") % 2)]
+    return ops(spark, sf_dir).withColumn("kernel", F.concat(
+        F.lit("cutlass_"), F.when(half, "tensorop").otherwise("simt"),
+        F.lit("_h"), F.when(half, "1688").otherwise(""),
+        F.when(mat, "gemm").otherwise(F.col("conv_kind")),
+        F.when(mat, "").otherwise("_optimized"),
+        F.lit("_"), tile[0].cast("string"), F.lit("x"), tile[1].cast("string"),
+        F.lit("_"), tile[2].cast("string"), F.lit("x2_nn"), F.when(half, "_align8").otherwise(""),
+    ))
+
+
 def trees(spark, sf_dir) -> DataFrame:
     """One pre-order tree per conversation: a root with one leaf per turn;
     ``-1`` goes back to the parent."""
@@ -160,6 +174,25 @@ def trees(spark, sf_dir) -> DataFrame:
     )
 
 
+def devices(spark, sf_dir) -> DataFrame:
+    """Device catalog with one row per supplier class, used as g0..g4 / d0..d4."""
+    k = F.col("s_suppkey") % 5
+    n = F.col("k").cast("double")
+    return (
+        table(spark, sf_dir, "supplier").groupBy(k.alias("k")).agg(F.max("s_nationkey").alias("top"))
+        .select(
+            F.concat(F.lit("d"), F.col("k").cast("string")).alias("device_name"),
+            (1000 + 20.0 * F.col("top") + n).alias("clock_MHz"),
+            (40 + 10 * F.col("k")).alias("SM_count"),
+            (64 + 0 * F.col("k")).alias("fp32_au_per_sm"),
+            (8 + F.col("k")).alias("tensor_core_au_per_sm"),
+            (8 * (n + 1)).alias("memory_gb"), (64 * (n + 1)).alias("shm_L3_kb"),
+            (4 * (n + 2)).alias("L2cache_mb"), (32 * (n + 1)).alias("L1cache_kb"),
+            (300 * (n + 1)).alias("BW_gbps"), (8 + 2 * n).alias("fp32_tflops"),
+        )
+    )
+
+
 _ID = "concat_ws('-',l_orderkey,l_linenumber,l_partkey,l_suppkey)"
 
 SQL_VIEWS = {
@@ -224,4 +257,19 @@ SQL_VIEWS = {
                CASE WHEN NOT conv THEN 128 END AS C_out, CASE WHEN NOT conv THEN 1 END AS bs_mult
         FROM (SELECT *, {_ID} AS op_id, (l_quantity % 7)::BIGINT + 1 AS size,
                      l_linestatus = 'O' AS conv FROM lineitem)""",
+    "devices": """
+        SELECT 'd' || k AS device_name, (1000 + 20*top + k)::DOUBLE AS clock_MHz,
+               40 + 10*k AS SM_count, 64 AS fp32_au_per_sm, 8 + k AS tensor_core_au_per_sm,
+               (8*(k+1))::DOUBLE AS memory_gb, (64*(k+1))::DOUBLE AS shm_L3_kb,
+               (4*(k+2))::DOUBLE AS L2cache_mb, (32*(k+1))::DOUBLE AS L1cache_kb,
+               (300*(k+1))::DOUBLE AS BW_gbps, (8 + 2*k)::DOUBLE AS fp32_tflops
+        FROM (SELECT s_suppkey % 5 AS k, max(s_nationkey) AS top FROM supplier GROUP BY 1)""",
+    "kernels": f"""
+        SELECT *, 'cutlass_' || CASE WHEN dtype = 'fp16' THEN 'tensorop' ELSE 'simt' END
+               || '_h' || CASE WHEN dtype = 'fp16' THEN '1688' ELSE '' END
+               || CASE WHEN op_type = 'MatMul' THEN 'gemm' ELSE conv_kind END
+               || CASE WHEN op_type = 'MatMul' THEN '' ELSE '_optimized' END
+               || '_' || tm || 'x' || tn || '_' || tk || 'x2_nn'
+               || CASE WHEN dtype = 'fp16' THEN '_align8' ELSE '' END AS kernel
+        FROM (SELECT *, 64*(1 + bs % 3) AS tm, 32*(1 + bs % 4) AS tn, 16*(1 + bs % 2) AS tk FROM ops)""",
 }
