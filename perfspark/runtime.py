@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -63,3 +64,11 @@ def release(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else
+    unmarked, so that the join falls back to a shuffle.  The check reads no
+    more than ``max_rows + 1`` rows."""
+    few = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df
