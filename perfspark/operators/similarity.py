@@ -79,7 +79,7 @@ def label_gap_sums(df: DataFrame, keys: Sequence[str], y: str, block: int = 1024
     right = ranked.withColumn("__j", own).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), own)))
     by = [*keys, "__i", "__j"]
 
-    def total(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         p, q = a["__y"].to_numpy(), b["__y"].to_numpy()
         with np.errstate(invalid="ignore", divide="ignore"):
             gap = np.nan_to_num(2 * np.abs(p[:, None] - q[None, :]) / (p[:, None] + q[None, :]))
