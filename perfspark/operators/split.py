@@ -226,14 +226,14 @@ def downsample(df: DataFrame, cls: str, id_col: str, seed: str = "0") -> DataFra
 
 def grid_configs(spark, space: dict[str, Sequence], valid: Column | None = None, workers: int = 1) -> DataFrame:
     """Every combination of the listed values, numbered in mixed radix with the
-    first dimension fastest; invalid ones go, the rest are dealt round robin.
+    last dimension fastest; invalid ones go, the rest are dealt round robin.
 
     Rows come from a range of indexes, so nothing is joined.
     """
     total = math.prod(len(v) for v in space.values())
     out = spark.range(total).withColumnRenamed("id", "config_id")
     step = 1
-    for name, values in space.items():
+    for name, values in reversed(space.items()):
         digit = F.pmod(F.floor(F.col("config_id") / step), F.lit(len(values))).cast("int")
         out = out.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]), digit + 1))
         step *= len(values)

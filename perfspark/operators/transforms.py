@@ -106,7 +106,9 @@ def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8,
 
 # ---------------------------------------------------------------------- fit
 
-def fit(df: DataFrame, column: str, method: str | int, target: str = "y", eps: float = EPS) -> DataFrame:
+def fit(
+    df: DataFrame, column: str, method: str | int, target: str = "y", eps: float = EPS, rounds: int = 8
+) -> DataFrame:
     """Parameter rows of one method for a scalar or an array column."""
     method = method_name(method)
     is_array = isinstance(df.schema[column].dataType, T.ArrayType)
@@ -114,7 +116,7 @@ def fit(df: DataFrame, column: str, method: str | int, target: str = "y", eps: f
     none = F.lit(None).cast("array<double>")
     empty = F.create_map().cast("map<string,double>")
     if method in ("Box-Cox", "Yeo-Johnson"):
-        rows = fit_power(values, method).select(
+        rows = fit_power(values, method, rounds=rounds).select(
             "pos", F.create_map(F.lit("lambda"), "lambda", F.lit("avg"), "avg", F.lit("std"), "std").alias("params"),
             none.alias("quantiles"))
     elif method in ("Quantile", "Quantile-Uniform"):
@@ -257,7 +259,9 @@ def quantile_forward(x: np.ndarray, grid: np.ndarray, normal: bool) -> np.ndarra
     Runs of equal grid values take the mean of both interpolation directions."""
     ref = np.linspace(0, 1, len(grid))
     u = 0.5 * (np.interp(x, grid, ref) - np.interp(-x, -grid[::-1], -ref[::-1]))
-    u = np.where(x <= grid[0], 0.0, np.where(x >= grid[-1], 1.0, u))
+    edge = _CLIP if normal else 0.0
+    u = np.where(x - edge < grid[0], 0.0, np.where(x + edge > grid[-1], 1.0, u))
+    u = np.where(x == grid[0], 0.0, np.where(x == grid[-1], 1.0, u))
     return probit(np.clip(u, _CLIP, 1 - _CLIP)) if normal else u
 
 
