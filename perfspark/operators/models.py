@@ -208,37 +208,49 @@ def _solve(gram: np.ndarray, xy: np.ndarray, positive: list[bool]) -> np.ndarray
     return best / scale
 
 
-def least_squares(df: DataFrame, keys: Sequence[str], features: dict[str, Column], y: str, positive: Sequence[str] = ()) -> DataFrame:
-    """Coefficients (map feature -> value) of one linear model per key.
-
-    The rows are reduced to sums of products by partial aggregation, so a hot
-    key costs no more than a rare one; the solve sees one small row per key.
+def least_squares_many(
+    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[dict[str, Column], Sequence[str]]], y: str
+) -> DataFrame:
+    """Several linear models per key from one scan: ``model, n, coef`` rows.
+
+    ``specs`` maps a model name to its features and to those that must not be
+    negative.  Rows are reduced to sums of products by partial aggregation, so
+    a hot key costs no more than a rare one; a solve sees one small row per key.
     """
-    keys, names = list(keys), list(features)
-    rows = df.select(*keys, F.col(y).cast("double").alias("__y"), *[c.cast("double").alias("__f_" + n) for n, c in features.items()])
-    sums = [F.sum(F.col("__f_" + a) * F.col("__f_" + b)).alias(f"__g_{i}_{i + j}")
-            for i, a in enumerate(names) for j, b in enumerate(names[i:])]
-    sums += [F.sum(F.col("__f_" + a) * F.col("__y")).alias(f"__b_{i}") for i, a in enumerate(names)]
-    gram = rows.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))
+    keys = list(keys)
+    target = F.col(y).cast("double")
+    sums, layout = [], []
+    for m, (model, (features, positive)) in enumerate(specs.items()):
+        cols = [c.cast("double") for c in features.values()]
+        layout.append((model, list(features), [n in positive for n in features], m))
+        for i, a in enumerate(cols):
+            sums.append(F.sum(a * target).alias(f"__b{m}_{i}"))
+            sums += [F.sum(a * cols[j]).alias(f"__g{m}_{i}_{j}") for j in range(i, len(cols))]
+    gram = df.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))
     kinds = dict(gram.dtypes)
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "n bigint, coef map<string,double>"
-    signs = [n in positive for n in names]
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "model string, n bigint, coef map<string,double>"
 
     def solve(batches):
         for batch in batches:
             out = []
             for r in batch.to_dict("records"):
-                g = np.zeros((len(names), len(names)))
-                for i in range(len(names)):
-                    for j in range(i, len(names)):
-                        g[i, j] = g[j, i] = r[f"__g_{i}_{j}"]
-                w = _solve(g, np.array([r[f"__b_{i}"] for i in range(len(names))]), signs)
-                out.append([r[k] for k in keys] + [r["n"], dict(zip(names, map(float, w)))])
-            yield pd.DataFrame(out, columns=[*keys, "n", "coef"])
+                for model, names, signs, m in layout:
+                    g = np.zeros((len(names), len(names)))
+                    for i in range(len(names)):
+                        for j in range(i, len(names)):
+                            g[i, j] = g[j, i] = r[f"__g{m}_{i}_{j}"]
+                    w = _solve(g, np.array([r[f"__b{m}_{i}"] for i in range(len(names))]), signs)
+                    out.append([r[k] for k in keys] + [model, r["n"], dict(zip(names, map(float, w)))])
+            yield pd.DataFrame(out, columns=[*keys, "model", "n", "coef"])
 
     return gram.mapInPandas(solve, schema)
 
 
+def least_squares(df: DataFrame, keys: Sequence[str], features: dict[str, Column], y: str, positive: Sequence[str] = ()) -> DataFrame:
+    """Coefficients (map feature -> value) of one linear model per key."""
+    return least_squares_many(df, keys, {"": (features, positive)}, y).drop("model")
+
+
 def _tile_features(steps_on: str) -> dict[str, Column]:
     c = F.col
     read = c("tile_size_in") / c("target_bw")
@@ -281,32 +293,35 @@ def cost_methods() -> dict[int, list[tuple[dict[str, Column], list[str]]]]:
     return out
 
 
-def _predict(features: dict[str, Column], coef: str = "coef") -> Column:
+def _predict(features: dict[str, Column], coef: str | Column = "coef") -> Column:
     parts = [F.coalesce(F.element_at(coef, n), F.lit(0.0)) * f for n, f in features.items()]
     return reduce(lambda a, b: a + b, parts)
 
 
 def cost_fit(train: DataFrame, test: DataFrame, key: str, y: str, methods: Sequence[int] = tuple(range(1, 9))) -> tuple[DataFrame, DataFrame]:
     """Fitted parameters (key, method, variant, coef) and the error table
-    (key, method, mape) on the test rows; the best variant of a method counts."""
-    params, errors = [], []
+    (key, method, variant, mape) on the test rows; the best variant of a method
+    counts.  All models are fitted in one scan and scored in another."""
     spec = cost_methods()
-    for m in methods:
-        for v, (features, positive) in enumerate(spec[m]):
-            fitted = least_squares(train, [key], features, y, positive).select(
-                key, F.lit(m).alias("method"), F.lit(v).alias("variant"), "coef")
-            params.append(fitted)
-    table = materialize(reduce(DataFrame.unionByName, params))
-    for m in methods:
-        for v, (features, _) in enumerate(spec[m]):
-            mine = table.where((F.col("method") == m) & (F.col("variant") == v)).select(key, "coef")
-            scored = test.join(mine, key).withColumn("__p", _predict(features))
-            errors.append(scored.groupBy(key).agg(F.avg(ape(y, "__p")).alias("mape")).select(
-                key, F.lit(m).alias("method"), F.lit(v).alias("variant"), "mape"))
-    best = reduce(DataFrame.unionByName, errors).groupBy(key, "method").agg(
+    specs = {f"{m}/{v}": fp for m in methods for v, fp in enumerate(spec[m])}
+    fitted = materialize(least_squares_many(train, [key], specs, y))
+    part = lambda i: F.split_part("model", F.lit("/"), F.lit(i)).cast("int")
+    params = fitted.select(key, part(1).alias("method"), part(2).alias("variant"), "coef")
+    # One row per key with all its models.
+    models = fitted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model", "coef"))).alias("__m"))
+    scored = test.join(models, key)
+    errors = scored.groupBy(key).agg(*[
+        F.avg(F.abs((_predict(f, F.element_at("__m", name)) - F.col(y)) / F.col(y))).alias(name)
+        for name, (f, _) in specs.items()
+    ])
+    rows = F.array(*[
+        F.struct(F.lit(int(n.split("/")[0])).alias("method"), F.lit(int(n.split("/")[1])).alias("variant"), F.col(n).alias("mape"))
+        for n in specs
+    ])
+    best = errors.select(key, F.inline(rows)).groupBy(key, "method").agg(
         F.min(F.struct("mape", "variant")).alias("b")
     ).select(key, "method", "b.variant", "b.mape")
-    return table, best
+    return params, best
 
 
 def fit_table(errors: DataFrame, key: str) -> DataFrame:
