@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.functions import arrays
-from perfspark.runtime import small_side
+from perfspark.runtime import lookup, materialize
 
 # Moments used, kernel widths, rows sampled per side.
 MOMENTS = 5
@@ -29,12 +29,12 @@ def central_moments(df: DataFrame, group: Sequence[str], x: str, k: int = MOMENT
     Two passes keep it stable: means first, then powers of the centred values.
     """
     group = list(group)
-    means = entry_means(df, group, x)
+    means = materialize(entry_means(df, group, x))
     vec = means.groupBy(*group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m1"))), lambda s: s["m1"]).alias("__mu")
     )
     if group:
-        centred = df.select(*group, x).join(small_side(vec, 10_000), group)
+        centred = df.select(*group, x).join(lookup(vec, 20_000), group)
     else:
         centred = df.select(x, arrays.literal(vec.first()["__mu"]).alias("__mu"))
     centred = centred.withColumn("__c", F.zip_with(x, "__mu", lambda v, m: v - m))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perfspark.functions import arrays
 from perfspark.operators.ranking import percentiles
+from perfspark.runtime import lookup
 
 # Bounds the results depend on.
 STD_TO_AVG_BOUND = 0.01
@@ -94,11 +95,12 @@ def cost_range(df: DataFrame, low: float, high: float) -> DataFrame:
     return df.where(F.col("avg").between(low, high) & is_stable())
 
 
-def min_group_size(df: DataFrame, key: str, least: int = MIN_TASK_SAMPLES) -> DataFrame:
+def min_group_size(df: DataFrame, keys: str | Sequence[str], least: int = MIN_TASK_SAMPLES) -> DataFrame:
     """Drop groups with fewer than ``least`` rows.  Groups are counted with
     partial sums and semi-joined, so a hot group is not gathered."""
-    big = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return df.join(big.select(key), key, "left_semi")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return df.join(lookup(big.select(*keys)), keys, "left_semi")
 
 
 def dims(df: DataFrame, keep: dict[str, Sequence]) -> DataFrame:

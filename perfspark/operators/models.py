@@ -96,7 +96,8 @@ def select_random(df: DataFrame, n: int, task: str = "task_id", seed: str = "0")
 
 def cluster_task_distance(df: DataFrame, centers: Sequence[Sequence[float]], x: str, task: str) -> DataFrame:
     """Mean distance of every task's rows to every cluster centre."""
-    gaps = F.array(*[arrays.distance(F.col(x), arrays.literal(c)) for c in centers])
+    table = F.array(*[arrays.literal(c) for c in centers])
+    gaps = F.transform(table, lambda c: arrays.distance(F.col(x), c))
     return df.select(task, F.posexplode(gaps).alias("cluster", "d")).groupBy("cluster", task).agg(
         F.avg("d").alias("distance")
     )

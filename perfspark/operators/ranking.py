@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfspark.runtime import materialize
+from perfspark.runtime import lookup, materialize
 
 POS, CHUNK = "__pos", "__chunk"
 
@@ -84,9 +84,7 @@ def add_rank(
     """
     keys = list(keys)
     chunks = chunked(df, keys, order)
-    runs = _runs(chunks, keys)
-    if not keys:
-        runs = F.broadcast(runs)  # one row per range, whatever the table size
+    runs = lookup(_runs(chunks, keys))
     joined = _attach(chunks, runs, [CHUNK, *keys])
     out = joined.withColumn(name, F.col("__before") + F.col(POS) - F.col("__start") + 1)
     if size:
@@ -186,7 +184,7 @@ def running(
     scanned = chunks
     for n, (fn, c) in aggs.items():
         scanned = scanned.withColumn("__l_" + n, _COMBINE[fn][0](c).over(local))
-    out = _attach(scanned, carry, [CHUNK, *keys])
+    out = _attach(scanned, lookup(carry), [CHUNK, *keys])
     for n, (fn, _) in aggs.items():
         out = out.withColumn(n, _COMBINE[fn][1](F.col("__c_" + n), F.col("__l_" + n)))
     helper = ["__c_" + n for n in aggs] + ["__l_" + n for n in aggs]

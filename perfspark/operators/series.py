@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from perfspark.operators import domain
 from perfspark.operators.metrics import ape
 from perfspark.operators.ranking import add_rank, drop_halo, in_blocks, running
-from perfspark.runtime import materialize
+from perfspark.runtime import lookup, materialize
 
 
 def running_best(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -85,19 +85,19 @@ def trim_after_spike(df: DataFrame, keys: Sequence[str], order: str, value: str,
 
     The last spike is one row per key, so no window is needed.
     """
-    ends = df.groupBy(*keys).agg(F.min(order).alias("__first"))
-    marked = df.join(ends, list(keys))
-    spikes = marked.where((F.col(value) > bound) & (F.col(order) > F.col("__first"))).groupBy(*keys).agg(
-        F.max(order).alias("__spike")
+    facts = df.groupBy(*keys).agg(
+        F.min(order).alias("__first"), F.max(F.when(F.col(value) > bound, F.col(order))).alias("__last")
     )
-    return df.join(spikes, list(keys), "left").where(
+    # A last spike at the first point means there is none after it.
+    spikes = facts.where(F.col("__last") > F.col("__first")).select(*keys, F.col("__last").alias("__spike"))
+    return df.join(lookup(spikes), list(keys), "left").where(
         F.col("__spike").isNull() | (F.col(order) > F.col("__spike"))
     ).drop("__spike")
 
 
 def align_to_min(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     low = df.groupBy(*keys).agg(F.min(value).alias("__low"))
-    return df.join(low, list(keys)).withColumn("aligned", F.col(value) - F.col("__low")).drop("__low")
+    return df.join(lookup(low), list(keys)).withColumn("aligned", F.col(value) - F.col("__low")).drop("__low")
 
 
 def pair_begin_end(df: DataFrame, keys: Sequence[str], order: Sequence[str], phase: str = "ph", name: str = "name", ts: str = "ts") -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.functions import arrays
-from perfspark.operators.ranking import add_rank
+from perfspark.operators.ranking import add_rank, drop_halo, in_blocks
 from perfspark.runtime import materialize
 
 # Fixed value: relative label gap from which copies count as conflicting.
@@ -145,8 +145,8 @@ def neighbour_slopes(df: DataFrame, entry: int, x: str = "x", y: str = "y") -> D
     means = df.groupBy(
         arrays.without(F.col(x), F.lit(entry)).alias("rest"), v.alias("v")
     ).agg(F.avg(y).alias("y"))
-    step = Window.partitionBy("rest").orderBy("v")
-    out = means.withColumns({"v2": F.lead("v").over(step), "y2": F.lead("y").over(step)})
+    blocks, step = in_blocks(add_rank(means, ["v"], ["rest"], "__r"), ["rest"], "__r", after=1)
+    out = drop_halo(blocks.withColumns({"v2": F.lead("v").over(step), "y2": F.lead("y").over(step)})).drop("__r")
     return out.where(F.col("v2").isNotNull()).withColumn("slope", (F.col("y2") - F.col("y")) / (F.col("v2") - F.col("v")))
 
 

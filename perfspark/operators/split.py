@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.operators.ranking import add_rank
+from perfspark.runtime import lookup
 
 # Split codes are bit sets.
 FILTERED, TRAIN, TEST, ALL = 0, 1, 2, 7
@@ -64,7 +65,7 @@ def is_test(code: str = "split_code") -> Column:
 def combine_codes(rows: DataFrame, tasks: DataFrame, keys: Sequence[str], kept: str = "kept") -> DataFrame:
     """Row code = OR of the codes its task was selected with, AND the filter."""
     per_task = tasks.groupBy(*keys).agg(F.bit_or("split_code").alias("__code"))
-    joined = rows.join(per_task, list(keys))
+    joined = rows.join(lookup(per_task), list(keys))
     return joined.withColumn(
         "split_code", F.col("__code").bitwiseAND(F.when(F.col(kept), ALL).otherwise(FILTERED))
     ).drop("__code")

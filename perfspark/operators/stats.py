@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perfspark.functions import arrays
 from perfspark.operators.ranking import add_rank, percentiles
+from perfspark.runtime import lookup
 
 # Percentiles kept for the label.
 LABEL_PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -29,11 +30,11 @@ def feature_stats(df: DataFrame, x: str = "features", eps: float = 0.0) -> DataF
 
 def label_stats(df: DataFrame, label: str = "avg") -> DataFrame:
     """One row: mean, population std, count and the kept percentiles."""
+    ranks = percentiles(df, label, {f"p{p}": p / 100 for p in LABEL_PERCENTILES}).first()
     facts = df.agg(
         F.avg(label).alias("mean"), F.stddev_pop(label).alias("std"), F.count(label).alias("n")
     )
-    ranks = percentiles(df, label, {f"p{p}": p / 100 for p in LABEL_PERCENTILES})
-    return facts.withColumn("one", F.lit(1)).join(ranks.withColumn("one", F.lit(1)), "one").drop("one")
+    return facts.select("*", *[F.lit(ranks[f"p{p}"]).alias(f"p{p}") for p in LABEL_PERCENTILES])
 
 
 def label_range(df: DataFrame, label: str, first_tasks: int | None = None, task: str = "task_id") -> DataFrame:
@@ -109,7 +110,7 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, extremes and the 1.5 IQR whiskers per group."""
     q = percentiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    rows = df.select(*keys, F.col(value).alias("__v")).join(q, list(keys))
+    rows = df.select(*keys, F.col(value).alias("__v")).join(lookup(q), list(keys))
     return rows.groupBy(*keys, "q1", "median", "q3").agg(
         F.min("__v").alias("min"),
         F.max("__v").alias("max"),

@@ -316,12 +316,11 @@ def renormalize(df: DataFrame, column: str, old: Transform, new: Transform, into
 
 def roundtrip_error(df: DataFrame, column: str, transforms: Sequence[Transform]) -> DataFrame:
     """Largest gap between a value and its restored value, per method."""
-    rows = []
-    for t in transforms:
-        there = df.withColumn("__t", t.forward(column)).withColumn("__b", t.inverse("__t"))
-        rows.append(there.agg(F.max(F.abs(F.col("__b") - F.col(column))).alias("max_gap")).select(
-            F.lit(t.method).alias("method"), "max_gap"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    there = df.select(column, *[t.forward(column).alias(f"__t{i}") for i, t in enumerate(transforms)])
+    back = there.select(column, *[t.inverse(f"__t{i}").alias(f"__b{i}") for i, t in enumerate(transforms)])
+    one = back.agg(*[
+        F.max(F.abs(F.col(f"__b{i}") - F.col(column))).alias(f"g{i}") for i in range(len(transforms))
+    ])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(t.method).alias("method"), F.col(f"g{i}").alias("max_gap")) for i, t in enumerate(transforms)
+    ])))

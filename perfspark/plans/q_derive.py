@@ -60,37 +60,34 @@ def _(spark, d):
     return derive.constant_features(views.coarse_samples(spark, d), "x").withColumn("mean", F.round("mean", 6))
 
 
+def leaf_rows(spark, d):
+    """Samples as matrices: leaf i holds i times the feature vector."""
+    leaf = lambda i: F.transform("features", lambda v: v * i)
+    ast = F.transform(F.sequence(F.lit(1), F.col("leaves")), leaf)
+    return views.samples(spark, d).select("sample_id", "leaves", ast.alias("ast"))
+
+
 @query(
-    "leaf_collapse", "",
-    """SELECT o, round(sum(l_quantity), 6) AS s0, round(sum(l_extendedprice/1e5), 9) AS s1,
-              round(avg(l_quantity), 6) AS m0
-       FROM (SELECT l_orderkey AS o, * FROM lineitem) GROUP BY o""",
+    "leaf_collapse", "samples",
+    """SELECT sample_id, round(features[1]*leaves*(leaves+1)/2, 6) AS s0, round(features[4]*leaves*(leaves+1)/2, 8) AS s3,
+              round(features[1]*(leaves+1)/2, 6) AS m0 FROM samples""",
 )
 def _(spark, d):
-    rows = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(
-        F.collect_list(F.array("l_quantity", F.col("l_extendedprice") / 1e5)).alias("ast")
-    )
+    rows = leaf_rows(spark, d).withColumns({
+        "s": derive.leaf_collapse(F.col("ast")), "m": derive.leaf_collapse(F.col("ast"), "mean")})
     return rows.select(
-        "o", F.round(derive.leaf_collapse(F.col("ast"))[0], 6).alias("s0"),
-        F.round(derive.leaf_collapse(F.col("ast"))[1], 9).alias("s1"),
-        F.round(derive.leaf_collapse(F.col("ast"), "mean")[0], 6).alias("m0"),
-    )
+        "sample_id", F.round(F.col("s")[0], 6).alias("s0"), F.round(F.col("s")[3], 8).alias("s3"), F.round(F.col("m")[0], 6).alias("m0"))
 
 
 @query(
-    "pad_sequence", "",
-    """SELECT conv_id, 64 AS rows, count(*) AS leaves, sum(turn) + 2 AS total
-       FROM conversations GROUP BY conv_id""",
+    "pad_sequence", "samples",
+    """SELECT sample_id, 16 AS rows, leaves, 1.0::DOUBLE AS end_token, round(list_sum(features)*leaves*(leaves+1)/2 + 4, 8) AS total FROM samples""",
 )
 def _(spark, d):
-    rows = views.table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.array(F.col("turn").cast("double"), F.lit(0.0)))).alias("ast")
-    )
-    padded = rows.withColumn("p", derive.pad_sequence(F.col("ast"), 2, 64))
+    padded = leaf_rows(spark, d).withColumn("p", derive.pad_sequence(F.col("ast"), 4))
     return padded.select(
-        "conv_id", F.size("p").alias("rows"), F.size("ast").alias("leaves"),
-        arrays.total(F.flatten("p")).alias("total"),
-    )
+        "sample_id", F.size("p").alias("rows"), "leaves", F.element_at("p", F.col("leaves") + 1)[0].alias("end_token"),
+        F.round(arrays.total(F.flatten("p")), 8).alias("total"))
 
 
 @query(

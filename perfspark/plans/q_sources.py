@@ -138,7 +138,7 @@ def _(spark, d):
 
 
 def trace_file(spark, d, phases=False):
-    """One trace document per user group, names first, then the events."""
+    """One trace document per process and 512 events, names first."""
     e = views.trace(spark, d)
     us = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     nothing = F.lit(None).cast("string")
@@ -159,14 +159,15 @@ def trace_file(spark, d, phases=False):
 
     core = F.when(F.col("pid") == 0, "*MME").when(F.col("pid") == 1, "*TPC").otherwise("host") if phases else (
         F.when(F.col("pid") < 2, "/device:GPU:0").otherwise("/host:CPU"))
-    names = e.select("pid", "tid").distinct().select("pid", F.explode(F.array(
+    part = F.floor(F.col("id") / 512).alias("part")
+    names = e.select("pid", "tid", part).distinct().select("pid", "part", F.explode(F.array(
         meta("process_name", core, F.lit(0).cast("bigint")),
         meta("thread_name", F.when(F.col("tid") % 3 == 0, "TensorFlow Ops").otherwise("Steps"), F.col("tid")))).alias("e"))
-    both = names.select("pid", F.lit(-1).cast("bigint").alias("o"), "e").unionByName(
-        e.select("pid", us.cast("bigint").alias("o"), event.alias("e")))
-    doc = both.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "e"))), lambda s: s["e"]).alias("traceEvents"))
+    both = names.select("pid", "part", F.lit(-1).cast("bigint").alias("o"), "e").unionByName(
+        e.select("pid", part, us.cast("bigint").alias("o"), event.alias("e")))
+    doc = both.groupBy("pid", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "e"))), lambda s: s["e"]).alias("traceEvents"))
     path = scratch(spark)
-    doc.select("traceEvents").repartition(4, "traceEvents").write.option("compression", "gzip").json(path)
+    doc.select("traceEvents", "pid", "part").write.partitionBy("pid", "part").option("compression", "gzip").json(path)
     return path
 
 
@@ -186,7 +187,7 @@ def _(spark, d):
     """SELECT name, round(sum(dur)/1e3, 3) AS dur, min(pid) AS core_type FROM
        (SELECT pid, tid, name, ph, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dur, lag(name) OVER w AS pn, lag(ph) OVER w AS pp
         FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'B' ELSE 'E' END AS ph FROM trace WHERE pid < 2)
-        WINDOW w AS (PARTITION BY pid, tid ORDER BY ts)) WHERE ph = 'E' AND pp = 'B' AND pn = name GROUP BY name""",
+        WINDOW w AS (PARTITION BY pid, tid, id // 512 ORDER BY ts)) WHERE ph = 'E' AND pp = 'B' AND pn = name GROUP BY name""",
 )
 def _(spark, d):
     per_file = traces.begin_end_stats(traces.read_trace(spark, trace_file(spark, d, True)))
@@ -337,14 +338,14 @@ def _(spark, d):
 
 @query(
     "scan_selection_log", "trace",
-    """SELECT 2 AS task_num, id AS a, tid AS b, 'random' AS method, round(dur/1000, 9) AS diff FROM trace""",
+    """SELECT 2 AS task_num, id AS a, tid AS b, 'random' AS method, dur AS diff FROM trace""",
 )
 def _(spark, d):
     line = F.format_string("Selected 2 tasks: %d,%d (%d,%d) using the 'random' method, with the diff2origin of %s",
-                           "id", "tid", "tid", "id", F.round(F.col("dur") / 1000, 9).cast("string"))
+                           "id", "tid", "tid", "id", F.col("dur").cast("string"))
     path = text_file(views.trace(spark, d).select(line.alias("value")), spark)
     log = logs.selection_log(files.read_lines(spark, path))
-    return log.select("task_num", F.col("ids")[0].alias("a"), F.col("names")[0].alias("b"), "method", F.round("diff", 9).alias("diff"))
+    return log.select("task_num", F.col("ids")[0].alias("a"), F.col("names")[0].alias("b"), "method", "diff")
 
 
 @query(
@@ -403,34 +404,36 @@ def _(spark, d):
 
 @query(
     "sink_sharded_dataset", "samples network_tasks",
-    """SELECT split, count(*) AS n, count(DISTINCT task_id) AS tasks, round(avg((avg - m)/s), 4) AS mean_y, 4 AS width FROM
-       (SELECT *, CASE WHEN device = 'd2' THEN 'test' ELSE 'train' END AS split FROM samples JOIN p USING (device, task_id)
-        WHERE avg >= 0.02::DOUBLE AND std/avg <= 0.01::DOUBLE),
-       (SELECT avg(avg) AS m, stddev_pop(avg) AS s FROM samples JOIN p USING (device, task_id)
-        WHERE avg >= 0.02::DOUBLE AND std/avg <= 0.01::DOUBLE AND device <> 'd2') GROUP BY split""",
+    """SELECT split, count(*) AS n, count(DISTINCT task_id) AS tasks, round(avg((avg - m)/s), 4) AS mean_y, 4 AS width, 8 AS device_width FROM
+       (SELECT *, CASE WHEN device = 'd2' THEN 'test' ELSE 'train' END AS split, count(*) OVER (PARTITION BY device, task_id) AS size
+        FROM samples JOIN p USING (device, task_id)),
+       (SELECT avg(avg) AS m, stddev_pop(avg) AS s FROM samples JOIN p USING (device, task_id))
+       WHERE avg >= 0.02::DOUBLE AND std/avg <= 0.01::DOUBLE AND size >= 48 GROUP BY split""",
     t=_TASKS, ready=_READY, p=_PICKED,
 )
 def _(spark, d):
     tasks = _select(spark, d, _MODE + ".by_device:test-d2")
-    rows = dataset.prepare(views.samples(spark, d), tasks, "by_device", 0.02)
-    path = scratch(spark)
     dev = views.devices(spark, d).select(F.col("device_name").alias("device"), derive.device_feature_vector().alias("device_vector"))
-    dataset.make_dataset(rows, path, dev, "min-max", "std", 16, _MODE)
+    path = scratch(spark)
+    dataset.make_dataset(
+        views.samples(spark, d), tasks, path, "by_device", 0.02, devices=dev, output_method="std", per_shard=16)
     _, out = sinks.load_shards(spark, path, "min-max", "std")
     return out.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("task_id").alias("tasks"), F.round(F.avg("y"), 4).alias("mean_y"),
-        F.max(F.size("x")).alias("width"))
+        F.max(F.size("x")).alias("width"), F.max(F.size("device_vector")).alias("device_width"))
 
 
 @query(
     "load_shards", "samples",
-    """SELECT (count(*)//5)*4 AS train, count(*)//5 AS test, 'None' AS output_method FROM samples WHERE avg >= 0.02::DOUBLE AND std/avg <= 0.01::DOUBLE""",
+    """SELECT count(*) FILTER (WHERE r % 5 <> 0) AS train, count(*) FILTER (WHERE r % 5 = 0) AS test, 'None' AS output_method FROM
+       (SELECT *, row_number() OVER (ORDER BY avg, sample_id) AS r, count(*) OVER () AS n FROM
+         (SELECT *, count(*) OVER (PARTITION BY device, task_id) AS size FROM samples)
+        WHERE avg >= 0.02::DOUBLE AND std/avg <= 0.01::DOUBLE) WHERE r <= 5*(n//5) AND size >= 48 AND leaves IN (3, 5)""",
 )
 def _(spark, d):
     s = views.samples(spark, d)
-    rows = dataset.prepare(s, s.select("device", "task_id").distinct(), "default", 0.02)
     path = scratch(spark)
-    dataset.make_dataset(rows, path, None, "min-max", "None")
+    dataset.make_dataset(s, s.select("device", "task_id").distinct(), path, "default", 0.02, leaves=[3, 5], output_method="None")
     manifest, out = sinks.load_shards(spark, path)
     return out.agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"),
                    F.lit(manifest["output_method"]).alias("output_method"))

@@ -66,6 +66,13 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lookup(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """A derived join side (one row per key): written once, then broadcast if
+    its row count allows it.  Without this the large side would be shuffled
+    before the small one is known to be small."""
+    return small_side(materialize(df), max_rows)
+
+
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` rows, else
     unmarked, so that the join falls back to a shuffle.  The check reads no

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from perfspark.functions import arrays
 from perfspark.operators.filters import MIN_TASK_SAMPLES, STD_TO_AVG_BOUND
+from perfspark.runtime import lookup
 from perfspark.sources.files import task_id_from_path
 
 # Task eligibility and warm-up runs.
@@ -39,7 +40,7 @@ def scan_samples(spark: SparkSession, path: str, width: int | None = None, tasks
     """
     rows = spark.read.schema(SAMPLE).parquet(path)
     if tasks is not None:
-        rows = rows.join(F.broadcast(tasks.select("device", "task_id").distinct()), ["device", "task_id"], "left_semi")
+        rows = rows.join(lookup(tasks.select("device", "task_id").distinct()), ["device", "task_id"], "left_semi")
     if width is not None:
         rows = rows.where(F.size("features") == width)
     return rows

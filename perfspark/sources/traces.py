@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfspark.operators.series import pair_begin_end
+from perfspark.runtime import lookup, materialize
 from perfspark.sources.files import path_part
 
 EVENT = (
@@ -28,7 +29,8 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """
     docs = spark.read.schema(f"traceEvents array<{EVENT}>").option("multiLine", True).json(path)
     rows = docs.select(F.col("_metadata.file_path").alias("path"), F.posexplode("traceEvents").alias("seq", "e"))
-    return rows.select("path", "seq", "e.*")
+    # Later steps read the events several times; parse the text only once.
+    return materialize(rows.select("path", "seq", "e.*"))
 
 
 def process_names(events: DataFrame) -> DataFrame:
@@ -49,9 +51,9 @@ def complete_events(events: DataFrame, op_types: Sequence[str] = ()) -> DataFram
     """
     named = (
         events.where(F.col("ph") == "X")
-        .join(process_names(events), ["path", "pid"])
+        .join(lookup(process_names(events)), ["path", "pid"])
         .where(F.col("process").contains(GPU_PROCESS))
-        .join(thread_names(events), ["path", "pid", "tid"])
+        .join(lookup(thread_names(events)), ["path", "pid", "tid"])
         .where(F.col("thread").contains(OP_THREAD))
     )
     long = F.split("args.long_name", ":")[0]
@@ -72,7 +74,7 @@ def begin_end_stats(events: DataFrame) -> DataFrame:
     cores = process_names(events).where(F.col("process").isin(CORE_PROCESSES)).select(
         "path", "pid", order.cast("int").alias("core_type"))
     rows = events.where(F.col("ph").isin("B", "E") & ~F.col("name").startswith("MME") & ~F.col("name").startswith("TPC"))
-    paired = pair_begin_end(rows.join(cores, ["path", "pid"]), ["path", "pid", "tid"], ["seq"])
+    paired = pair_begin_end(rows.join(lookup(cores), ["path", "pid"]), ["path", "pid", "tid"], ["seq"])
     return paired.groupBy("path", "name").agg(
         (F.sum("dur") * 1e-3).alias("dur"), F.min_by("core_type", "seq").alias("core_type"))
 
