@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfspark.functions import arrays
+from perfspark.functions.text import regex_groups, with_groups
+from perfspark.runtime import lookup
 
 # Bytes per element by type.
 DTYPE_BYTES = {"fp16": 2, "fp32": 4}
@@ -260,13 +262,15 @@ KERNEL_CODES = {
 KERNEL_BLOCK = ["provider", "tensor_core_or_not", "dtype_out", "dtype_accum", "kernel_kind", "iter_algo", "dtype_in"]
 
 
-def kernel_parts(df: DataFrame, kernel: str = "kernel") -> DataFrame:
-    """Text parts of a kernel name; missing optional parts are null."""
-    pattern = "^" + "".join(p for _, p, _ in KERNEL_PARTS)
-    return df.withColumns({
-        name: F.nullif(F.regexp_extract(kernel, pattern, i + 1), F.lit(""))
-        for i, (name, _, _) in enumerate(KERNEL_PARTS)
-    })
+def kernel_parts(df: DataFrame, kernel: str = "kernel", codes: bool = False) -> DataFrame:
+    """Text parts of a kernel name, optionally with their codes; missing
+    optional parts are null.
+
+    Names repeat, so each distinct name is parsed once and joined back.
+    """
+    pattern = "".join(p for _, p, _ in KERNEL_PARTS)
+    names = with_groups(df.select(kernel).distinct(), kernel, pattern, [name for name, _, _ in KERNEL_PARTS])
+    return df.join(lookup(kernel_codes(names) if codes else names), kernel, "left")
 
 
 def kernel_codes(df: DataFrame) -> DataFrame:
@@ -387,8 +391,8 @@ def device_feature_vector(top: dict[str, float] = DEVICE_MAX) -> Column:
 
 # One tensor attribute text; four reserved shape sizes.
 TENSOR_PATTERN = (
-    r"^([\w:/\-]+)  \|  (\[[\d,]+\])  \|  ((?:float|int)(?:8|16|32))  \|  "
-    r"zp = (-?\d+), scale = ([\d.\-e]+)  \|  ModelParam = (0|1)  \|  $"
+    r"([\w:/\-]+)  \|  (\[[\d,]+\])  \|  ((?:float|int)(?:8|16|32))  \|  "
+    r"zp = (-?\d+), scale = ([\d.\-e]+)  \|  ModelParam = (0|1)  \|  "
 )
 TENSOR_DIMS = 6
 MAX_INPUTS = 3
@@ -397,16 +401,20 @@ MAX_INPUTS = 3
 def tensor_numbers(text: Column) -> Column:
     """12 numbers of one tensor: count, zero point, scale, parameter flag, float
     flag, bytes, then the shape padded with zeros."""
-    part = lambda i: F.regexp_extract(text, TENSOR_PATTERN, i)
-    shape = F.from_json(part(2), "array<double>")
-    dtype = part(3)
-    count = F.aggregate(shape, F.lit(1.0), lambda a, v: a * v)
-    head = F.array(
-        count, part(4).cast("double"), part(5).cast("double"), part(6).cast("double"),
-        F.when(dtype.startswith("float"), 1.0).otherwise(0.0),
-        F.regexp_extract(dtype, r"(\d+)$", 1).cast("double") / 8,
-    )
-    return F.concat(head, shape, F.array_repeat(F.lit(0.0), F.lit(TENSOR_DIMS) - F.size(shape)))
+
+    def numbers(parts: Column) -> Column:
+        shape = F.split(F.regexp_replace(parts[1], r"[\[\]]", ""), ",").cast("array<double>")
+        dtype = parts[2]
+        count = F.aggregate(shape, F.lit(1.0), lambda a, v: a * v)
+        head = F.array(
+            count, parts[3].cast("double"), parts[4].cast("double"), parts[5].cast("double"),
+            F.when(dtype.startswith("float"), 1.0).otherwise(0.0),
+            F.regexp_replace(dtype, "float|int", "").cast("double") / 8,
+        )
+        return F.concat(head, shape, F.array_repeat(F.lit(0.0), F.lit(TENSOR_DIMS) - F.size(shape)))
+
+    # The lambda binds the groups once, so the pattern is not run per number.
+    return F.transform(F.array(regex_groups(text, TENSOR_PATTERN, 6)), numbers)[0]
 
 
 def tensor_attr_features(
@@ -415,9 +423,12 @@ def tensor_attr_features(
     """Numbers of up to three inputs and one output, then ``extra``, zero padded."""
     per_tensor = 6 + TENSOR_DIMS
     got = F.flatten(F.transform(F.slice(inputs, 1, MAX_INPUTS), tensor_numbers))
-    pad = F.array_repeat(F.lit(0.0), F.lit(per_tensor * MAX_INPUTS) - F.size(got))
-    row = F.concat(got, pad, tensor_numbers(output), F.array(*[e.cast("double") for e in extra]))
-    return F.slice(F.concat(row, F.array_repeat(F.lit(0.0), length)), 1, length)
+    missing = F.greatest(F.lit(MAX_INPUTS) - F.size(inputs), F.lit(0)) * per_tensor
+    row = F.concat(
+        got, F.array_repeat(F.lit(0.0), missing), tensor_numbers(output), F.array(*[e.cast("double") for e in extra]),
+        F.array_repeat(F.lit(0.0), length),
+    )
+    return F.slice(row, 1, length)
 
 
 # ------------------------------------------------------------ nested scopes

@@ -24,6 +24,7 @@ from perfspark.operators.split import hash_order, upsample
 from perfspark.runtime import materialize
 
 MAX_LOOPED_GROUPS = 64
+MAX_OPEN_KEYS = 2048
 
 
 # ---------------------------------------------------------------- clusters
@@ -215,36 +216,66 @@ def least_squares_many(
     """Several linear models per key from one scan: ``model, n, coef`` rows.
 
     ``specs`` maps a model name to its features and to those that must not be
-    negative.  Rows are reduced to sums of products by partial aggregation, so
-    a hot key costs no more than a rare one; a solve sees one small row per key.
+    negative.  Every task reduces its rows to matrices of products per key and
+    the matrices are summed by Spark, so a hot key costs no more than a rare
+    one; a solve sees one small matrix per key.
     """
     keys = list(keys)
-    target = F.col(y).cast("double")
-    sums, layout = [], []
-    for m, (model, (features, positive)) in enumerate(specs.items()):
-        cols = [c.cast("double") for c in features.values()]
-        layout.append((model, list(features), [n in positive for n in features], m))
-        for i, a in enumerate(cols):
-            sums.append(F.sum(a * target).alias(f"__b{m}_{i}"))
-            sums += [F.sum(a * cols[j]).alias(f"__g{m}_{i}_{j}") for j in range(i, len(cols))]
-    gram = df.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))
-    kinds = dict(gram.dtypes)
-    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "model string, n bigint, coef map<string,double>"
+    columns: list[Column] = []
+    layout = []
+    for model, (features, positive) in specs.items():
+        at = list(range(len(columns), len(columns) + len(features)))
+        columns += features.values()
+        layout.append((model, list(features), at, [n in positive for n in features]))
+    width = len(columns) + 1
+    upper = np.triu_indices(width)
+    flat = F.array(*[c.cast("double") for c in columns], F.col(y).cast("double"))
+    kinds = dict(df.dtypes)
+    key_schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+
+    def rows_of(sums: dict) -> pd.DataFrame:
+        frames = []
+        for key, (n, gram) in sums.items():
+            part = pd.DataFrame({"i": np.arange(len(gram) + 1), "v": np.append(gram, n)})
+            for name, value in zip(keys, key):
+                part[name] = value
+            frames.append(part[[*keys, "i", "v"]])
+        return pd.concat(frames, ignore_index=True)
+
+    def products(batches):
+        sums: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            for key, part in batch.groupby(keys, sort=False):
+                m = np.stack(part["__f"].to_numpy())
+                n, gram = sums.get(key, (0, 0.0))
+                sums[key] = (n + len(m), gram + (m.T @ m)[upper])
+            if len(sums) > MAX_OPEN_KEYS:
+                yield rows_of(sums)
+                sums = {}
+        if sums:
+            yield rows_of(sums)
+
+    rows = df.select(*keys, flat.alias("__f")).where(~F.exists("__f", lambda v: v.isNull() | F.isnan(v)))
+    parts = rows.mapInPandas(products, key_schema + "i int, v double")
+    gram = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v")).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("g"))
 
     def solve(batches):
         for batch in batches:
             out = []
             for r in batch.to_dict("records"):
-                for model, names, signs, m in layout:
-                    g = np.zeros((len(names), len(names)))
-                    for i in range(len(names)):
-                        for j in range(i, len(names)):
-                            g[i, j] = g[j, i] = r[f"__g{m}_{i}_{j}"]
-                    w = _solve(g, np.array([r[f"__b{m}_{i}"] for i in range(len(names))]), signs)
-                    out.append([r[k] for k in keys] + [model, r["n"], dict(zip(names, map(float, w)))])
+                values = np.asarray(r["g"], dtype=float)
+                g = np.zeros((width, width))
+                g[upper] = values[:-1]
+                g = g + np.triu(g, 1).T
+                for model, names, at, signs in layout:
+                    w = _solve(g[np.ix_(at, at)], g[at, width - 1], signs)
+                    out.append([r[k] for k in keys] + [model, int(values[-1]), dict(zip(names, map(float, w)))])
             yield pd.DataFrame(out, columns=[*keys, "model", "n", "coef"])
 
-    return gram.mapInPandas(solve, schema)
+    return gram.mapInPandas(solve, key_schema + "model string, n bigint, coef map<string,double>")
 
 
 def least_squares(df: DataFrame, keys: Sequence[str], features: dict[str, Column], y: str, positive: Sequence[str] = ()) -> DataFrame:
@@ -350,30 +381,42 @@ NOISE_FORMS = ["+", "-", "*", "/"]
 NOISE_SCALES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 
-def _disturb(v: Column, form: str, scale: float) -> Column:
-    return {"+": v + scale, "-": v - scale, "*": v * (1 + scale), "/": v * (1 - scale)}[form]
+def _disturbed(column: np.ndarray, form: str, scale: float) -> np.ndarray:
+    if form in "+-":
+        return column + (scale if form == "+" else -scale)
+    return column * (1 + (scale if form == "*" else -scale))
 
 
-def entry_sensitivity(df: DataFrame, x: str, width: int, predict: Callable[[Column], Column], score: Callable[[Column], Column]) -> DataFrame:
+def entry_sensitivity(
+    df: DataFrame, x: str, label: str, width: int,
+    predict: Callable[[np.ndarray], np.ndarray], score: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
     """Change of the mean score per entry, form and scale of the disturbance.
 
-    ``predict`` maps an array column to a prediction, ``score`` a prediction to
-    a number (error or value).  The disturbed rows are made inside each row and
-    averaged at once; nothing is joined.
+    ``predict`` maps a matrix of rows to predictions, ``score`` predictions and
+    labels to numbers (errors, or the values themselves).  Every batch is
+    disturbed in place and leaves only its sums.
     """
     cases = [(f, s) for f in NOISE_FORMS for s in NOISE_SCALES]
-    entry = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
-    rows = df.withColumn("entry", entry)
-
-    def moved(form, scale):
-        return F.transform(
-            F.col(x), lambda v, i: F.when(i == F.col("entry"), _disturb(v, form, scale)).otherwise(v))
-
-    base = F.avg(score(predict(F.col(x))))
-    sums = rows.groupBy("entry").agg(
-        *[(F.avg(score(predict(moved(f, s)))) - base).alias(f"c{i}") for i, (f, s) in enumerate(cases)])
-    out = [F.struct(F.lit(f).alias("form"), F.lit(s).alias("scale"), F.col(f"c{i}").alias("change")) for i, (f, s) in enumerate(cases)]
-    return sums.select("entry", F.inline(F.array(*out)))
+
+    def sums(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            m, y = np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy(dtype=float)
+            base = float(score(predict(m), y).sum())
+            rows = []
+            for e in range(width):
+                kept = m[:, e].copy()
+                for form, scale in cases:
+                    m[:, e] = _disturbed(kept, form, scale)
+                    rows.append((e, form, scale, float(score(predict(m), y).sum()) - base, len(y)))
+                m[:, e] = kept
+            yield pd.DataFrame(rows, columns=["entry", "form", "scale", "change", "n"])
+
+    parts = df.select(F.col(x).alias("x"), F.col(label).alias("y")).mapInPandas(
+        sums, "entry int, form string, scale double, change double, n bigint")
+    return parts.groupBy("entry", "form", "scale").agg((F.sum("change") / F.sum("n")).alias("change"))
 
 
 def entry_importance(changes: DataFrame) -> DataFrame:

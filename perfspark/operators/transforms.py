@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from perfspark.functions import arrays
 from perfspark.operators.ranking import quantile_grid
+from perfspark.runtime import materialize
 
 # Method ids are places in this list; the last two need no fit.
 METHODS = ["Box-Cox", "Yeo-Johnson", "Quantile", "Quantile-Uniform", "min-max", "std", "log", "None"]
@@ -65,43 +66,78 @@ def _power_inverse(method: str, z: Column, lam: Column) -> Column:
     return F.when(z >= 0, box(z, lam) - 1).otherwise(1 - box(-z, 2 - lam))
 
 
-def _log_term(method: str, v: Column) -> Column:
-    return F.ln(v) if method == "Box-Cox" else F.signum(v) * F.log1p(F.abs(v))
+def _power_of_log(method: str, t: Column, lam: Column) -> Column:
+    """As ``_power`` from the prepared logarithm: ``ln v`` for Box-Cox, the
+    signed ``ln(1 + |v|)`` for Yeo-Johnson."""
+    def box(u: Column, l: Column) -> Column:  # noqa: E741
+        return F.when(F.abs(l) < 1e-12, u).otherwise(F.expm1(l * u) / l)
+
+    if method == "Box-Cox":
+        return box(t, lam)
+    return F.when(t >= 0, box(t, lam)).otherwise(-box(-t, 2 - lam))
+
+
+def _power_np(method: str, t: np.ndarray, lam: float) -> np.ndarray:
+    def box(u, l):  # noqa: E741
+        return u if abs(l) < 1e-12 else np.expm1(l * u) / l
+
+    if method == "Box-Cox":
+        return box(t, lam)
+    return np.where(t >= 0, box(np.maximum(t, 0), lam), -box(np.maximum(-t, 0), 2 - lam))
+
+
+def _grid_moments(logs: DataFrame, method: str, grid: dict[int, list[float]], middle: dict[int, float]) -> DataFrame:
+    """Per entry and grid lambda the first two sums of the transformed values
+    about a fixed centre.  A batch leaves one row per entry and lambda."""
+
+    def sums(batches):
+        for batch in batches:
+            rows = []
+            for pos, part in batch.groupby("pos"):
+                t = part["t"].to_numpy()
+                for j, lam in enumerate(grid[pos]):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        d = _power_np(method, t, lam) - _power_np(method, np.array([middle[pos]]), lam)[0]
+                        rows.append((pos, j, d.sum(), (d * d).sum()))
+            yield pd.DataFrame(rows, columns=["pos", "j", "d", "d2"])
+
+    parts = logs.select("pos", "t").mapInPandas(sums, "pos int, j int, d double, d2 double")
+    return parts.groupBy("pos", "j").agg(F.sum("d").alias("d"), F.sum("d2").alias("d2"))
 
 
 def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8, low: float = -5.0, high: float = 5.0) -> DataFrame:
     """Maximum-likelihood lambda per ``pos`` from rows (pos, v).
 
-    Each round scores a grid of lambdas in one aggregation and narrows the
-    range around the best; the last round also gives mean and std.
+    The logarithms are taken and stored once.  Each round scores a grid of
+    lambdas in one pass and narrows the range around the best; the last step
+    gives mean and std.
     """
-    if method == "Box-Cox" and values.where(F.col("v") <= 0).limit(1).count():
+    v = F.col("v")
+    log = F.ln(v) if method == "Box-Cox" else F.signum(v) * F.log1p(F.abs(v))
+    logs = materialize(values.select("pos", log.alias("t"), (v <= 0).alias("bad")))
+    facts = logs.groupBy("pos").agg(F.bool_or("bad").alias("bad"), F.sum("t").alias("s"), F.count("t").alias("n")).collect()
+    if method == "Box-Cox" and any(r["bad"] for r in facts):
         raise ValueError("Box-Cox needs positive values")
-    bounds = {r["pos"]: (low, high) for r in values.select("pos").distinct().collect()}
     spark = values.sparkSession
+    bounds = {r["pos"]: (low, high) for r in facts}
+    sums = {r["pos"]: (r["s"], r["n"]) for r in facts}
     for _ in range(rounds):
-        table = spark.createDataFrame(
-            [(p, float(lo), float(hi)) for p, (lo, hi) in bounds.items()], "pos int, lo double, hi double"
-        )
-        grid = values.join(F.broadcast(table), "pos")  # one row per entry
-        step = (F.col("hi") - F.col("lo")) / (points - 1)
-        aggs = [F.count("v").alias("n"), F.sum(_log_term(method, F.col("v"))).alias("s")]
-        aggs += [
-            F.var_pop(_power(method, F.col("v"), F.col("lo") + j * step)).alias(f"v{j}") for j in range(points)
-        ]
-        for r in grid.groupBy("pos").agg(*aggs).collect():
-            lo, hi = bounds[r["pos"]]
-            width = (hi - lo) / (points - 1)
-            scores = [
-                -r["n"] / 2 * math.log(r[f"v{j}"]) + (lo + j * width - 1) * r["s"]
-                if r[f"v{j}"] and r[f"v{j}"] > 0 and math.isfinite(r[f"v{j}"]) else -math.inf
-                for j in range(points)
-            ]
-            best = lo + scores.index(max(scores)) * width
-            bounds[r["pos"]] = (best - width, best + width)
+        width = {p: (hi - lo) / (points - 1) for p, (lo, hi) in bounds.items()}
+        grid = {p: [lo + j * width[p] for j in range(points)] for p, (lo, _) in bounds.items()}
+        middle = {p: s / n for p, (s, n) in sums.items()}
+        moments = {(r["pos"], r["j"]): (r["d"], r["d2"]) for r in _grid_moments(logs, method, grid, middle).collect()}
+        for p, lams in grid.items():
+            s, n = sums[p]
+            scores = []
+            for j, lam in enumerate(lams):
+                d, d2 = moments[p, j]
+                var = d2 / n - (d / n) ** 2
+                scores.append(-n / 2 * math.log(var) + (lam - 1) * s if math.isfinite(var) and var > 0 else -math.inf)
+            best = lams[scores.index(max(scores))]
+            bounds[p] = (best - width[p], best + width[p])
     lams = spark.createDataFrame([(p, (lo + hi) / 2) for p, (lo, hi) in bounds.items()], "pos int, lambda double")
-    moved = values.join(F.broadcast(lams), "pos").withColumn("t", _power(method, F.col("v"), F.col("lambda")))
-    return moved.groupBy("pos", "lambda").agg(F.avg("t").alias("avg"), F.stddev_pop("t").alias("std"))
+    moved = logs.join(F.broadcast(lams), "pos").withColumn("z", _power_of_log(method, F.col("t"), F.col("lambda")))
+    return moved.groupBy("pos", "lambda").agg(F.avg("z").alias("avg"), F.stddev_pop("z").alias("std"))
 
 
 # ---------------------------------------------------------------------- fit

@@ -203,7 +203,7 @@ _KERNEL_SQL = r"""SELECT op_id, kernel,
        FROM kernels""",
 )
 def _(spark, d):
-    k = derive.kernel_codes(derive.kernel_parts(views.kernels(spark, d)))
+    k = derive.kernel_parts(views.kernels(spark, d), codes=True)
     names = [
         "threadblock_m", "threadblock_n", "threadblock_k", "pipeline_stage", "align", "tensor_core_size",
         "tensor_core_or_not", "kernel_kind", "iter_algo", "dtype_accum", "layout",

@@ -244,7 +244,7 @@ def _(spark, d):
          SELECT o.series, o.id, o.n, 0.9::DOUBLE*r.s + (1-0.9::DOUBLE)*o.loss FROM r JOIN o ON o.series = r.series AND o.n = r.n + 1""",
 )
 def _(spark, d):
-    out = series.ema(views.training_log(spark, d), ["series"], ["ts", "id"], "loss", 0.9, block=16)
+    out = series.ema(views.training_log(spark, d), ["series"], ["ts", "id"], "loss", 0.9)
     return out.select("id", F.round("ema", 6).alias("ema"))
 
 

@@ -1,8 +1,8 @@
 """Queries: clusters, task selection and fitted models."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from perfspark.functions import arrays
 from perfspark.operators import derive, domain, metrics, models, router, stats
 from perfspark.operators.ranking import add_rank
 from perfspark.plans import views
@@ -207,11 +207,9 @@ _SENS = dict(
 
 
 def _sensitivity(spark, d):
-    def predict(x):
-        return arrays.total(F.zip_with(x, arrays.literal(_W), lambda v, w: v * w))
-
+    weights = np.array(_W)
     return models.entry_sensitivity(
-        views.samples(spark, d), "features", 4, predict, lambda p: F.abs((F.col("avg") - p) / F.col("avg")))
+        views.samples(spark, d), "features", "avg", 4, lambda m: m @ weights, lambda p, y: np.abs((y - p) / y))
 
 
 @query("entry_sensitivity", "samples", "SELECT entry, form, scale, round(change, 6) AS change FROM c", **_SENS)

@@ -138,7 +138,7 @@ def _(spark, d):
 
 
 def trace_file(spark, d, phases=False):
-    """One trace document per process and 512 events, names first."""
+    """One trace document per process and 8192 events, names first."""
     e = views.trace(spark, d)
     us = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     nothing = F.lit(None).cast("string")
@@ -159,7 +159,7 @@ def trace_file(spark, d, phases=False):
 
     core = F.when(F.col("pid") == 0, "*MME").when(F.col("pid") == 1, "*TPC").otherwise("host") if phases else (
         F.when(F.col("pid") < 2, "/device:GPU:0").otherwise("/host:CPU"))
-    part = F.floor(F.col("id") / 512).alias("part")
+    part = F.floor(F.col("id") / 8192).alias("part")
     names = e.select("pid", "tid", part).distinct().select("pid", "part", F.explode(F.array(
         meta("process_name", core, F.lit(0).cast("bigint")),
         meta("thread_name", F.when(F.col("tid") % 3 == 0, "TensorFlow Ops").otherwise("Steps"), F.col("tid")))).alias("e"))
@@ -187,7 +187,7 @@ def _(spark, d):
     """SELECT name, round(sum(dur)/1e3, 3) AS dur, min(pid) AS core_type FROM
        (SELECT pid, tid, name, ph, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dur, lag(name) OVER w AS pn, lag(ph) OVER w AS pp
         FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'B' ELSE 'E' END AS ph FROM trace WHERE pid < 2)
-        WINDOW w AS (PARTITION BY pid, tid, id // 512 ORDER BY ts)) WHERE ph = 'E' AND pp = 'B' AND pn = name GROUP BY name""",
+        WINDOW w AS (PARTITION BY pid, tid, id // 8192 ORDER BY ts)) WHERE ph = 'E' AND pp = 'B' AND pn = name GROUP BY name""",
 )
 def _(spark, d):
     per_file = traces.begin_end_stats(traces.read_trace(spark, trace_file(spark, d, True)))
@@ -202,10 +202,10 @@ def _(spark, d):
     path = scratch(spark)
     o = views.ops(spark, d).select("model", "gpu_model", "dtype", "bs", "ave")
     folder = o.withColumns({"network": F.col("model"), "device": F.col("gpu_model"), "type": F.col("dtype"), "size": F.col("bs")})
-    folder.select("network", "device", "type", "size", "ave").write.partitionBy("network", "device", "type", "size").parquet(path)
+    folder.select("network", "device", "type", "size", "ave").repartition("network", "device", "type", "size").write.partitionBy("network", "device", "type", "size").parquet(path)
     rows = spark.read.schema("ave double").parquet(path).select("ave", F.col("_metadata.file_path").alias("path"))
-    as_tree = rows.withColumn("path", F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        "path", "network=|device=", ""), "type=", "dtype_"), "size=", "BS_"))
+    as_tree = rows.withColumn("path", F.replace(F.replace(F.replace(F.replace(
+        "path", F.lit("network="), F.lit("")), F.lit("device="), F.lit("")), F.lit("type="), F.lit("dtype_")), F.lit("size="), F.lit("BS_")))
     return traces.profile_tree(as_tree).groupBy("network", "device", "dtype", "bs").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("ave"), 4).alias("total"))
 

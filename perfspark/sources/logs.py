@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfspark.functions.text import regex_groups, with_groups
+
 # One pattern per kind of line, with (column, type) per group.
 PATTERNS = {
     "training": (
@@ -39,10 +41,8 @@ METRIC = "map<string,double>"
 def parse_lines(lines: DataFrame, kind: str, text: str = "value") -> DataFrame:
     """Rows of the lines that fit the pattern of a kind; the others go."""
     pattern, groups = PATTERNS[kind]
-    fit = lines.where(F.col(text).rlike(pattern))
-    cols = [
-        F.nullif(F.regexp_extract(text, pattern, i + 1), F.lit("")).try_cast(t).alias(n) for i, (n, t) in enumerate(groups)
-    ]
+    fit = lines.withColumn("__g", regex_groups(F.col(text), pattern, len(groups))).where(F.size("__g") > 0)
+    cols = [F.get("__g", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(groups)]
     return fit.select(*[c for c in lines.columns if c != text], *cols)
 
 
@@ -65,9 +65,9 @@ def replay_log(lines: DataFrame) -> DataFrame:
 def search_log(lines: DataFrame) -> DataFrame:
     """Search trajectories with model, batch size, device, method from the file
     name; points without a latency go."""
-    part = lambda i: F.regexp_extract("path", SEARCH_NAME, i)
     rows = parse_lines(lines, "search").where(F.col("latency").isNotNull())
-    return rows.withColumns({"model": part(1), "bs": part(2).cast("int"), "device": part(3), "method": part(4)})
+    named = with_groups(rows, "path", SEARCH_NAME, ["model", "bs", "device", "method"])
+    return named.withColumn("bs", F.col("bs").cast("int"))
 
 
 def selection_log(lines: DataFrame) -> DataFrame:

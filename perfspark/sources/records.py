@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from perfspark.functions import arrays
+from perfspark.functions.text import with_groups
 from perfspark.operators.filters import MIN_TASK_SAMPLES, STD_TO_AVG_BOUND
 from perfspark.runtime import lookup
 from perfspark.sources.files import task_id_from_path
@@ -120,14 +121,14 @@ def task_stat(records: DataFrame, width: int, done: DataFrame | None = None, lea
 
 
 # Fixed value: how a network is written in a task table.
-NETWORK_PATTERN = r"^\((\w+),\[\((\d+),.+\)\]\),(\w+)$"
+NETWORK_PATTERN = r"\((\w+),\[\((\d+),.+\)\]\),(\w+)"
 
 
 def parse_networks(stat: DataFrame) -> DataFrame:
     """``network, bs, device, task_id`` rows from the network texts."""
-    part = lambda i: F.regexp_extract("text", NETWORK_PATTERN, i)
-    rows = stat.select("task_id", F.explode("networks").alias("text")).where(F.col("text").rlike(NETWORK_PATTERN))
-    return rows.select(part(1).alias("network"), part(2).cast("int").alias("bs"), part(3).alias("device"), "task_id").distinct()
+    rows = stat.select("task_id", F.explode("networks").alias("text"))
+    named = with_groups(rows, "text", NETWORK_PATTERN, ["network", "bs", "device"]).where(F.col("network").isNotNull())
+    return named.select("network", F.col("bs").cast("int").alias("bs"), "device", "task_id").distinct()
 
 
 def network_map(network_tasks: DataFrame) -> DataFrame:

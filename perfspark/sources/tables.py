@@ -29,10 +29,9 @@ DEVICE_SCHEMA = (
 
 
 def split_rows(text: Column) -> Column:
-    """``[[a, b], [c, d]]`` text as arrays of stripped cells."""
-    inner = F.regexp_replace(F.trim(text), r"^\[\[?|\]?\]$", "")
-    cells = F.transform(F.split(inner, r"\], \["), lambda r: F.split(r, ", "))
-    return F.transform(cells, lambda r: F.transform(r, lambda c: F.regexp_replace(c, r"^'|'$|^\"|\"$", "")))
+    """``[['a', b], [c, d]]`` text as an array of rows; quotes are dropped."""
+    inner = F.regexp_replace(F.trim(text), r"^\[\[?|\]?\]$|['\"]", "")
+    return F.split(inner, r"\], \[")
 
 
 def op_database(lines: DataFrame, dtypes: Sequence[str] = (), op_types: Sequence[str] = ()) -> DataFrame:
@@ -41,25 +40,23 @@ def op_database(lines: DataFrame, dtypes: Sequence[str] = (), op_types: Sequence
     A cell row is time, type, operator, batch size, parameters.  Slow rows go;
     convolutions are forward ones.
     """
-    rows = lines.select(
-        short_device_name(path_part(F.col("path"), r"([^/]+)/[^/]+$")).alias("gpu_model"),
-        F.explode(split_rows(F.col("value"))).alias("c"),
-    )
+    rows = lines.select("path", F.explode(split_rows(F.col("value"))).alias("r")).select(
+        "path", F.split("r", ", ").alias("c"))
     out = rows.select(
-        F.col("c")[0].try_cast("double").alias("ave"), "gpu_model", F.col("c")[1].alias("dtype"),
+        "path", F.col("c")[0].try_cast("double").alias("ave"), F.col("c")[1].alias("dtype"),
         F.lit("None").alias("model"), F.col("c")[2].alias("op_type"), F.col("c")[3].try_cast("bigint").alias("bs"), "c",
     ).where(F.col("ave") <= MAX_OP_MS)
     if dtypes:
         out = out.where(F.col("dtype").isin(list(dtypes)))
     if op_types:
         out = out.where(F.col("op_type").isin(list(op_types)))
-    cols = {}
+    cols = {"gpu_model": short_device_name(F.element_at(F.split("path", "/"), -2))}
     for op, names in OP_PARAMS.items():
         for i, n in enumerate(names):
             value = F.when(F.col("op_type") == op, F.get("c", F.lit(4 + i)).try_cast("bigint"))
             cols[n] = F.coalesce(cols[n], value) if n in cols else value
     cols["conv_kind"] = F.when(F.col("op_type") == "Conv2D", "fprop")
-    return out.withColumns(cols).drop("c")
+    return out.withColumns(cols).drop("c", "path")
 
 
 def remap_header(df: DataFrame, foreign: Sequence[str], header: Sequence[str]) -> DataFrame:

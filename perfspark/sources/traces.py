@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfspark.functions.text import with_groups
 from perfspark.operators.series import pair_begin_end
 from perfspark.runtime import lookup, materialize
-from perfspark.sources.files import path_part
 
 EVENT = (
     "struct<ph:string, cat:string, name:string, pid:bigint, tid:bigint, ts:double, dur:double, "
@@ -80,14 +80,11 @@ def begin_end_stats(events: DataFrame) -> DataFrame:
 
 
 def profile_tree(rows: DataFrame) -> DataFrame:
-    """Network, device, type and batch size from the folders of a file path."""
-    p = F.col("path")
-    return rows.withColumns({
-        "network": path_part(p, r"([^/]+)/[^/]+/[^/]+/BS_\d+/"),
-        "device": path_part(p, r"([^/]+)/[^/]+/BS_\d+/"),
-        "dtype": path_part(p, r"dtype_([^/]+)/BS_\d+/"),
-        "bs": path_part(p, r"/BS_(\d+)/").cast("int"),
-    })
+    """Network, device, type and batch size from the folders of a file path;
+    each path is parsed once."""
+    paths = with_groups(
+        rows.select("path").distinct(), "path", r"/([^/]+)/([^/]+)/dtype_([^/]+)/BS_(\d+)/", ["network", "device", "dtype", "bs"])
+    return rows.join(lookup(paths.withColumn("bs", F.col("bs").cast("int"))), "path")
 
 
 def model_and_version(folder: str):
