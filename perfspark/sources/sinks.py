@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from perfspark.operators.split import TEST, TRAIN, hash_order
 
 MANIFEST = (
-    "mode string, shard_size int, shards int, input_method string, output_method string, cross_device boolean"
+    "mode string, shard_size int, shards int, input_method string, output_method string, cross_device boolean, "
+    "schema string"
 )
 
 
@@ -28,6 +32,7 @@ def write_shards(rows: DataFrame, path: str, manifest: dict, id_col: str = "samp
         .write.mode("errorifexists").partitionBy("split", "shard_id").parquet(f"{path}/data")
     )
     spark = rows.sparkSession
+    manifest = {**manifest, "schema": both.schema.json()}
     spark.createDataFrame([manifest], MANIFEST).write.mode("errorifexists").json(f"{path}/manifest")
 
 
@@ -43,7 +48,8 @@ def load_shards(
     for name, wanted in (("input_method", input_method), ("output_method", output_method)):
         if wanted is not None and manifest[name] != wanted:
             raise ValueError(f"{name} is {manifest[name]}, not {wanted}")
-    return manifest, spark.read.parquet(f"{path}/data")
+    schema = StructType.fromJson(json.loads(manifest["schema"]))
+    return manifest, spark.read.schema(schema).parquet(f"{path}/data")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -75,9 +75,11 @@ def main():
     names = [n for n in queries if not args or any(a == n or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     failed = 0
     for n in names:
-        start = time.time()
+        start, flags = time.time(), []
         try:
             df = queries[n](spark, sf_dir)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            flags = [f for f in ("CartesianProduct", "NestedLoop") if f in plan]
             if n in oracles:
                 mid = time.time()
                 msg = compare(df, con, oracles[n]) or "ok"
@@ -86,7 +88,7 @@ def main():
         except Exception as e:  # noqa: BLE001 - a report line per query
             msg = f"ERROR {type(e).__name__}: {str(e)[:1500]}"
         failed += not (msg == "ok" or msg.startswith("rows") and "no SQL" in msg)
-        print(f"{n:32s} {time.time()-start:6.2f}s {msg}", flush=True)
+        print(f"{n:32s} {time.time()-start:6.2f}s {msg}", *flags, flush=True)
     print("failed", failed, "of", len(names))
 
 
