@@ -138,19 +138,24 @@ def tree_signature(tree: str) -> Column:
 
 # --------------------------------------------------------- operator geometry
 
-def gemm_size(kind: str = "conv_kind") -> Column:
-    """Equivalent matrix product of a convolution as struct (m, n, k)."""
-    c = F.col
-    filt = c("R") * c("S")
+def gemm_dims(kind: str = "conv_kind") -> dict[str, Column]:
+    """Sides m, n, k of the matrix product a convolution equals."""
+    c, f = F.col, F.col("R") * F.col("S")
+    image, grad = c("bs") * c("P") * c("Q"), c("bs") * c("H") * c("W")
+    sides = {
+        "m": {"fprop": image, "dgrad": grad, "wgrad": c("K")},
+        "n": {"fprop": c("K"), "dgrad": c("C"), "wgrad": f * c("C")},
+        "k": {"fprop": f * c("C"), "dgrad": f * c("K"), "wgrad": image},
+    }
+    return {
+        side: F.when(c(kind) == "fprop", by["fprop"]).when(c(kind) == "dgrad", by["dgrad"]).when(c(kind) == "wgrad", by["wgrad"])
+        for side, by in sides.items()
+    }
 
-    def shape(m, n, k):
-        return F.struct(m.alias("m"), n.alias("n"), k.alias("k"))
 
-    return (
-        F.when(c(kind) == "fprop", shape(c("bs") * c("P") * c("Q"), c("K"), filt * c("C")))
-        .when(c(kind) == "dgrad", shape(c("bs") * c("H") * c("W"), c("C"), filt * c("K")))
-        .when(c(kind) == "wgrad", shape(c("K"), filt * c("C"), c("bs") * c("P") * c("Q")))
-    )
+def gemm_size(kind: str = "conv_kind") -> Column:
+    """The same as a struct (m, n, k)."""
+    return F.struct(*[v.alias(n) for n, v in gemm_dims(kind).items()])
 
 
 def op_features(df: DataFrame) -> DataFrame:
@@ -159,8 +164,8 @@ def op_features(df: DataFrame) -> DataFrame:
     bytes_per = F.lit(None).cast("int")
     for name, n in DTYPE_BYTES.items():
         bytes_per = F.when(c("dtype") == name, n).otherwise(bytes_per)
-    g = df.withColumn("__g", gemm_size())
-    m, n, k = c("__g.m"), c("__g.n"), c("__g.k")
+    g = df.withColumns({f"__{n}": v for n, v in gemm_dims().items()})
+    m, n, k = c("__m"), c("__n"), c("__k")
     rows_in = c("bs_mult") * c("bs")
     conv, mat, unary = (c("op_type") == "Conv2D"), (c("op_type") == "MatMul"), c("op_type").isin("Relu", "Tanh")
     unary_n = c("bs") * c("R")
@@ -181,7 +186,7 @@ def op_features(df: DataFrame) -> DataFrame:
         .withColumn("transform", transform)
         .withColumn("ai", c("op_flops") / c("size"))
         .withColumn("perf", F.when(c("ave") != 0, c("op_flops") / (c("ave") * 1e-3)).otherwise(F.lit(-1.0)))
-        .drop("__g")
+        .drop("__m", "__n", "__k")
     )
 
 
@@ -331,7 +336,7 @@ def enrich_device_pair(
             f"{p}_core_num",
             F.when(tensor, c(f"{p}_tensor_core_au_per_sm")).otherwise(c(f"{p}_fp32_au_per_sm")),
         ).drop(f"{p}_tensor_core_au_per_sm", f"{p}_fp32_au_per_sm")
-    g = gemm_size()
+    g = gemm_dims()
     conv = c("op_type") == "Conv2D"
     tile_n = c("threadblock_n").cast("bigint")
     tile_m = tile_n if compat else c("threadblock_m").cast("bigint")

@@ -20,7 +20,7 @@ from perfspark.runtime import materialize, small_side
 
 PIVOTS = 2048
 BLOCK = 2048
-POINTS_PER_PIVOT = 256
+POINTS_PER_PIVOT = 1024
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -46,6 +46,20 @@ def _with_pivot_distances(df: DataFrame, pivots: np.ndarray, x: str) -> DataFram
     return df.mapInPandas(add, schema)
 
 
+def _placed(df: DataFrame, pivots: np.ndarray, x: str) -> DataFrame:
+    """Rows with their cell (1-based nearest pivot) and the distance to it."""
+    schema = T.StructType([
+        *df.schema.fields, T.StructField("r", T.DoubleType()), T.StructField("cell", T.IntegerType())])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = _distances(_matrix(b[x]), pivots)
+                yield b.assign(r=d.min(axis=1), cell=(d.argmin(axis=1) + 1).astype("int32"))
+
+    return df.mapInPandas(add, schema)
+
+
 def _nearest(block: int, k: int):
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "pid", "dist"]
@@ -102,13 +116,7 @@ def nearest(
                          F.lit(0.0).alias("dist"), F.lit(1).alias("nth")).limit(0)
     centre = np.array([r["px"] for r in chosen], dtype=float)
 
-    placed = (
-        _with_pivot_distances(pts, centre, "px")
-        .withColumn("r", F.array_min("__d"))
-        .withColumn("cell", F.array_position("__d", F.col("r")).cast("int"))
-        .drop("__d")
-    )
-    placed = materialize(placed)
+    placed = materialize(_placed(pts, centre, "px"))
 
     inner = Window.partitionBy("g", "cell").orderBy("r")
     near = placed.select("g", "cell", "r").withColumn("n", F.row_number().over(inner)).where(F.col("n") <= k)

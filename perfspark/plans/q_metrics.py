@@ -66,7 +66,7 @@ def _(spark, d):
 def _(spark, d):
     p = views.predictions(spark, d).select(
         F.col("task_id").alias("g"), F.col("sample_id").alias("pos"), F.round("label", 2).alias("label"), F.round("pred", 2).alias("pred"))
-    return rounded(metrics.pairwise_order_accuracy(p, ["g"], "pos", least_block=256), 9, "accuracy")
+    return rounded(metrics.pairwise_order_accuracy(p, ["g"], "pos"), 9, "accuracy")
 
 
 _TOP = """SELECT task_id, sample_id, label, pred, row_number() OVER (PARTITION BY task_id ORDER BY label DESC, sample_id) AS rl,
