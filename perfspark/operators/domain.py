@@ -155,7 +155,9 @@ def cluster_mix_distance(assigned: DataFrame, base: DataFrame, group: str, clust
     |g - b|^2 = |g|^2 + |b|^2 - 2 g.b with both norms 1.
     """
     mix = cluster_mix(assigned, group, cluster)
-    ref = cluster_mix(base.withColumn("__g", F.lit(0)), "__g", cluster).select(cluster, F.col("share").alias("ref"))
+    counts = materialize(base.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")))
+    norm = counts.agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")).first()["norm"]
+    ref = counts.select(cluster, (F.col("n") / F.lit(norm)).alias("ref"))
     dot = mix.join(F.broadcast(ref), cluster, "left").groupBy(group).agg(
         F.sum(F.col("share") * F.coalesce("ref", F.lit(0.0))).alias("dot")
     )

@@ -157,7 +157,10 @@ def cost_rows(spark, d):
     e = derive.op_features(derive.enrich_device_pair(k, views.devices(spark, d), "source", "target"))
     noise = 1 + (F.pmod(F.xxhash64("op_id"), F.lit(100)) - 50) / 500
     time = (F.col("tile_size_in") / F.col("target_bw") * F.col("pipeline_num") + F.col("transform") * 1e-6 + 0.1) * noise
-    return e.withColumn("source_time", F.col("ave")).withColumn("time", time).withColumn("perf", F.col("perf") / 1e9)
+    return e.select(
+        "op_id", "kernel", F.col("ave").alias("source_time"), time.alias("time"), "op_flops", "size", "transform", "ai",
+        (F.col("perf") / 1e9).alias("perf"), "tile_size_in", "tile_size_out", "tile_flop", "pipeline_num",
+        "target_bw", "target_clock", "target_core_num")
 
 
 def _cost_fit(spark, d):
