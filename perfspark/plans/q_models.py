@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from perfspark.operators import derive, domain, metrics, models, router, stats
+from perfspark.operators import derive, domain, metrics, models, router
 from perfspark.operators.ranking import add_rank
 from perfspark.plans import views
 from perfspark.plans.q_filters import RULES

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from perfspark.functions import arrays
 from perfspark.operators import derive, joins, neighbors, similarity
 from perfspark.operators.stats import scale_columns
 from perfspark.plans import views

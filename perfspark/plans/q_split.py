@@ -89,9 +89,6 @@ def _(spark, d):
     return split.assign_shards(device_tasks(spark, d), ["device", "task_id"])
 
 
-_CLASSES = "SELECT l_returnflag = 'A' AS cls, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A','N') AND l_linenumber < 4 GROUP BY 1"
-
-
 def _classes(spark, d):
     return views.table(spark, d, "documents").where("lang IN ('en', 'de')").select("doc_id", "lang")
 

@@ -75,8 +75,6 @@ def _(spark, d):
     return _apply(spark, d, 1, 4)
 
 
-_GRID = """SELECT i, quantile_cont(avg, i/499.0::DOUBLE) AS q FROM
-    (SELECT unnest(list_distinct(range(500))) AS i), samples GROUP BY i"""
 _GRID = """SELECT unnest(range(500)) AS i, unnest(quantile_cont(avg, [""" + ", ".join(
     f"{i / 499!r}" for i in range(500)) + """])) AS q FROM samples"""
 _INTERP = """SELECT sample_id, avg, CASE WHEN b.q IS NULL THEN 1.0::DOUBLE WHEN avg <= a.q THEN a.i/499.0::DOUBLE

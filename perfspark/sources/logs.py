@@ -75,10 +75,6 @@ def selection_log(lines: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.split(c, ",").cast("array<bigint>") for c in ("ids", "names")})
 
 
-def file_variant(path: Column, pattern: str, index: int) -> Column:
-    return F.nullif(F.regexp_extract(path, pattern, index), F.lit(""))
-
-
 def bracketed_dict(text: str) -> Column:
     """Map from ``{'k': 'v', ...}`` text."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"('[^',]+': '[^']*')"), F.lit(1))
