@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOTS: dict[str, str] = {}
+#: Paths written inside the open ``scope`` blocks, innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def session(app: str = "perfspark", **conf: str) -> SparkSession:
@@ -29,21 +28,11 @@ def session(app: str = "perfspark", **conf: str) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    without that setting falls back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``.  Without that setting it
+    is a folder of the warehouse, which all executors reach as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = context.applicationId
-    if app not in _LOCAL_ROOTS:
-        path = tempfile.mkdtemp(prefix="perfspark-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _LOCAL_ROOTS[app] = path
-    return _LOCAL_ROOTS[app]
+    return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def _app_folder(spark: SparkSession) -> str:
@@ -56,14 +45,33 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _app_folder(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Intermediate tables made inside the block are deleted at its end; write
+    or collect what is wanted from them before."""
+    opened: list[str] = []
+    _SCOPES.append(opened)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(opened)
+        for path in opened:
+            _delete(spark, path)
 
 
 def lookup(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
