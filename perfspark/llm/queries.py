@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfspark.llm import decontaminate, exact_dedup, near_dup, tokens
+from perfspark.llm import decontaminate, exact_dedup, licences, near_dup, secrets, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,123 @@ FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""")
 def op7_exact_dedup(spark, sf_dir):
     rows = exact_dedup.groups(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def _secret_sql() -> str:
+    quoted = [p.replace("'", "''") for p in secrets.PATTERNS]
+    matched = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS kind, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gs FROM t"
+        for i, p in enumerate(quoted))
+    tests = secrets.ENCODINGS[:-1]
+    encoding = "CASE " + " ".join(f"WHEN regexp_matches(body, '{e[1]}') THEN {i}" for i, e in enumerate(tests)) + " ELSE 4 END"
+    facts = ", ".join(f"({i}, '{e[2]}', {len(e[2])}, {secrets.growth(e[2], e[3])!r})" for i, e in enumerate(secrets.ENCODINGS))
+    z = f"(-score / {secrets.STEPS}.0)"
+    rest = z
+    for i in range(5, 0, -1):
+        rest = f"({z} + {i} / {rest})"
+    names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS)) + " END"
+    text = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({matched}),
+listed AS (SELECT doc_id, kind, i, ms[i] AS match, length(gs[i]) AS gap
+           FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM matched)),
+ended AS (SELECT doc_id, kind, match, length(match) AS n,
+                 CAST(sum(gap + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM listed),
+spans AS (SELECT *, e - n AS s FROM ended
+          WHERE kind <> 0 OR length(regexp_extract(match, '{quoted[0]}', 2)) >= {secrets.VALUE}),
+flagged AS (
+  SELECT *, coalesce(max(CASE WHEN kind < 3 THEN e END) OVER (
+              PARTITION BY doc_id ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) <= s
+            AND coalesce(min(CASE WHEN kind < 3 THEN s END) OVER (
+              PARTITION BY doc_id ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), e) >= e AS apart
+  FROM spans),
+facts(encoding, alphabet, k, growth) AS (VALUES {facts}),
+bodies AS (SELECT doc_id, s, e, body, {encoding} AS encoding
+           FROM (SELECT *, regexp_replace(match, '=+$', '') AS body FROM flagged WHERE kind = 3 AND apart)),
+known AS (SELECT doc_id, s, e, alphabet, k, growth, encoding, greatest(length(body), 2) AS n,
+                 CASE WHEN encoding IN (0, 2) THEN lower(body) ELSE translate(body, '-_=', '+//') END AS body
+          FROM bodies JOIN facts USING (encoding)),
+codes AS (SELECT doc_id, s, k, i, strpos(alphabet, substr(body, i, 1)) - 1 AS x
+          FROM (SELECT *, unnest(range(1, length(body) + 1)) AS i FROM known)),
+steps AS (SELECT *, lag(x) OVER (PARTITION BY doc_id, s ORDER BY i) AS y FROM codes),
+sums AS (SELECT doc_id, s, count(*) FILTER (k > 2 * x) AS low,
+                1 + count(*) FILTER (y IS NOT NULL AND (k > 2 * x) <> (k > 2 * y)) AS runs,
+                coalesce(sum((2 * x - k + 1) * (2 * y - k + 1)), 0) AS serial FROM steps GROUP BY ALL),
+same AS (SELECT doc_id, s, sum(c * (c - 1)) AS agree
+         FROM (SELECT doc_id, s, x, count(*) AS c FROM codes GROUP BY ALL) GROUP BY ALL),
+measured AS (
+  SELECT doc_id, s, e, encoding, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, growth, CAST(agree AS DOUBLE) AS agree,
+         CAST(low AS DOUBLE) AS n1, n - CAST(low AS DOUBLE) AS n2, CAST(runs AS DOUBLE) AS runs,
+         CAST(serial AS DOUBLE) AS serial
+  FROM known JOIN sums USING (doc_id, s) JOIN same USING (doc_id, s)),
+spread AS (SELECT *, n * (n - 1) / 2 AS pairs, 2 * n1 * n2 / n + 1 AS mean FROM measured),
+departed AS (
+  SELECT doc_id, s, e, encoding, n, growth, (agree / 2.0 - pairs / k) / sqrt(pairs * (1 / k) * (1 - 1 / k)) AS z1,
+         CASE WHEN (mean - 1) * (mean - 2) / (n - 1) > 0
+              THEN abs(runs - mean) / sqrt(greatest((mean - 1) * (mean - 2) / (n - 1), 1e-300)) ELSE 99.0 END AS z2,
+         abs(serial / 4.0) / ((k * k - 1) / 12 * sqrt(n - 1)) AS z3 FROM spread),
+scored AS (
+  SELECT doc_id, s, e, encoding * 64 + CAST(floor(log2(n) + 1e-9) AS INTEGER) AS stratum,
+         CAST(least(greatest(ceil((greatest(z1, z2, z3) - growth * n) * {secrets.STEPS}), -{secrets.ENDS}), {secrets.ENDS})
+              AS INTEGER) AS score FROM departed),
+counts AS (SELECT stratum, score, sum(count(*)) OVER (PARTITION BY stratum ORDER BY score) AS upto,
+                  sum(count(*)) OVER (PARTITION BY stratum) AS total FROM scored GROUP BY stratum, score),
+limits AS (SELECT stratum, max(score) AS lim FROM counts
+           WHERE score < 0 AND exp(-{z} * {z} / 2) / ({rest} * sqrt(2 * pi())) * total <= {secrets.FALSE_SHARE} * upto
+           GROUP BY stratum),
+kept AS (SELECT doc_id, s, kind, e FROM flagged WHERE kind < 3
+         UNION ALL SELECT doc_id, s, 3, e FROM scored JOIN limits USING (stratum) WHERE score <= lim),
+told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+                count(*) FILTER (kind = 2) AS n_hex, {text} FILTER (kind < 3) AS base, {text} AS spans
+         FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN told USING (doc_id)"""
+
+
+@query(sql=_secret_sql())
+def op9_secrets(spark, sf_dir):
+    rows = secrets.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.described(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secrets.described(F.col("spans")).alias("spans"))
+
+
+def _licence_sql() -> str:
+    def canonical(column: str) -> str:
+        form = f"replace({LOWERED.replace('text', column)}, '\u00a9', 'copyright ')"
+        form = f"regexp_replace({form}, '{licences.PUNCTUATION}', ' ', 'g')"
+        for old, new in licences.SPELLINGS:
+            form = f"replace({form}, '{old}', '{new}')"
+        old, new = licences.Z_SPELLING
+        return f"regexp_replace({form}, '{old}', '\\1{new}\\2', 'g')"
+
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licences.KNOWN)
+    lines = f"line <> '' AND NOT regexp_matches(line, '{licences.CLAIM}')"
+    return f"""
+WITH known(licence, body) AS (VALUES {known}),
+known_lines AS (SELECT k, licence, i, trim(line) AS line FROM (
+  SELECT k, licence, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (
+    SELECT row_number() OVER () AS k, licence, string_split({canonical('body')}, chr(10)) AS ls FROM known))),
+table_ AS (SELECT digest, min(licence) AS licence FROM (
+  SELECT k, licence, sha256(string_agg(line, ' ' ORDER BY i)) AS digest FROM known_lines WHERE {lines} GROUP BY k, licence) GROUP BY digest),
+listed AS (SELECT doc_id, i, trim(line) AS line FROM (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (
+    SELECT doc_id, string_split({canonical('text')}, chr(10)) AS ls FROM documents))),
+kept AS (SELECT * FROM listed WHERE {lines}),
+whole AS (SELECT doc_id, sha256(string_agg(line, ' ' ORDER BY i)) AS digest FROM kept GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+          FROM kept JOIN table_ ON sha256(line) = digest GROUP BY doc_id)
+SELECT d.doc_id, coalesce(whole.digest, sha256('')) AS digest, licence, coalesce(notices, '') AS notices,
+       coalesce(n_notices, 0) AS n_notices
+FROM documents d LEFT JOIN whole USING (doc_id) LEFT JOIN table_ ON whole.digest = table_.digest
+LEFT JOIN found USING (doc_id)"""
+
+
+@query(sql=_licence_sql())
+def op6_licences(spark, sf_dir):
+    rows = licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return rows.select(F.col("id").alias("doc_id"), "digest", "licence", F.array_join("notices", ",").alias("notices"), "n_notices")
