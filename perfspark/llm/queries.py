@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfspark.llm import decontaminate, exact_dedup, licences, near_dup, secrets, tokens
+from perfspark.llm import decontaminate, exact_dedup, licences, near_dup, quality, secrets, token_files, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +205,35 @@ LEFT JOIN found USING (doc_id)"""
 def op6_licences(spark, sf_dir):
     rows = licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
     return rows.select(F.col("id").alias("doc_id"), "digest", "licence", F.array_join("notices", ",").alias("notices"), "n_notices")
+
+
+#: Appended to every document in token files.
+END_OF_TEXT = 2
+
+
+@query
+def op5_token_files(spark, sf_dir):
+    folder = token_files.default_folder(spark)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), folder, vocabulary_path(), END_OF_TEXT)
+    rows = token_files.placed(token_files.read(spark, folder), manifest)
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def fold(doc_id: str, folds: int):
+    return F.crc32(F.col(doc_id).cast("string")) % folds
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.trained(docs, labels.where(fold("doc_id", 5) != 0))
+    rows = toxicity.scored(docs, model).withColumn("held_out", fold("id", 5) == 0)
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.trained(docs, labels.where(fold("doc_id", 3) != 1))
+    rows = quality.scored(docs, model).withColumn("held_out", fold("id", 3) == 1)
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -134,7 +134,7 @@ class Encoder:
         self.pattern, self.mixed = regex.compile(SPLIT), re.compile(r"\s ")
         self.special = re.compile("|".join(map(re.escape, self.vocabulary.added))) if self.vocabulary.added else None
         self.words = Memory(self.word_ids, self.remembered)
-        self.units = Memory(self.unit_ids, self.remembered)
+        self.units = Memory(lambda piece: self.unit_ids(" " + piece), self.remembered)
         self.numerals = [str(i) for i in range(len(self.vocabulary.strings))]
         self.ready = True
 
@@ -151,8 +151,7 @@ class Encoder:
         if self.mixed.search(text) or text.endswith(" "):
             return self.unit_ids(text)
         first, *rest = text.split(" ")
-        units = self.units
-        return units[first] + b"".join([units[" " + p] for p in rest])
+        return self.unit_ids(first) + b"".join(map(self.units.__getitem__, rest))
 
     def encode(self, text: str) -> array:
         """Ids of a text; strings of added tokens become their ids."""
