@@ -39,14 +39,20 @@ def _app_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/perfspark/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own, deleted with the intermediate tables."""
+    path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: later passes see fixed rows and
     read only the columns they need, and a lost executor costs no re-run."""
     spark = df.sparkSession
-    path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
