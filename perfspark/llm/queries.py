@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfspark.llm import decontaminate, exact_dedup, licences, near_dup, quality, secrets, token_files, tokens, toxicity
+from perfspark.llm import decontaminate, exact_dedup, html_text, licences, near_dup, quality, secrets, token_files, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,12 @@ def op3_bpe(spark, sf_dir):
     return rows.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op2_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.texts(pages, html_text.trained(pages))
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 CONTAMINATION_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

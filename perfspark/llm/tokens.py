@@ -15,6 +15,7 @@ import json
 import re
 from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,23 +206,25 @@ def decoded(rows: DataFrame, path: str, doc_id: str = "id", ids: str = "ids") ->
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
-               remembered: int = REMEMBERED) -> DataFrame:
+               remembered: int = REMEMBERED, with_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text in one pass: (id, n_tokens,
-    ids_sha256, decoded_sha256), one row per row of ``docs``.  The ids
-    themselves never leave the task."""
+    ids_sha256, decoded_sha256), one row per row of ``docs``, on request with
+    the ids, which else never leave the task."""
     encoder = shared_encoder(docs.sparkSession, path, remembered)
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(RESULT + (", ids array<int>" if with_ids else ""))
     def digests(texts: pd.Series) -> pd.DataFrame:
         tool, rows = encoder.value, []
         for value in texts:
             ids = tool.encode(value or "")
             back = tool.decode(ids)
-            rows.append((len(ids), hashlib.sha256(tool.listed(ids)).hexdigest(), hashlib.sha256(back).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows.append((len(ids), hashlib.sha256(tool.listed(ids)).hexdigest(), hashlib.sha256(back).hexdigest(),
+                         np.frombuffer(ids, np.int32) if with_ids else None))
+        made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        return made if with_ids else made.drop(columns="ids")
 
     made = docs.select(F.col(doc_id).alias("id"), digests(whole(text)).alias("r"))
-    return made.select("id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+    return made.select("id", "r.*")
 
 
 def whole(text: str) -> Column:
