@@ -100,7 +100,7 @@ def _secret_sql() -> str:
         for i, p in enumerate(quoted))
     tests = secrets.ENCODINGS[:-1]
     encoding = "CASE " + " ".join(f"WHEN regexp_matches(body, '{e[1]}') THEN {i}" for i, e in enumerate(tests)) + " ELSE 4 END"
-    facts = ", ".join(f"({i}, '{e[2]}', {len(e[2])}, {secrets.growth(e[2], e[3])!r})" for i, e in enumerate(secrets.ENCODINGS))
+    facts = ", ".join(f"({i}, '{e[2]}', {len(e[2])}, {e[3]!r}, {str(e[4]).lower()})" for i, e in enumerate(secrets.ENCODINGS))
     z = f"(-score / {secrets.STEPS}.0)"
     rest = z
     for i in range(5, 0, -1):
@@ -122,10 +122,10 @@ flagged AS (
             AND coalesce(min(CASE WHEN kind < 3 THEN s END) OVER (
               PARTITION BY doc_id ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), e) >= e AS apart
   FROM spans),
-facts(encoding, alphabet, k, growth) AS (VALUES {facts}),
+facts(encoding, alphabet, k, often, cased) AS (VALUES {facts}),
 bodies AS (SELECT doc_id, s, e, body, {encoding} AS encoding
            FROM (SELECT *, regexp_replace(match, '=+$', '') AS body FROM flagged WHERE kind = 3 AND apart)),
-known AS (SELECT doc_id, s, e, alphabet, k, growth, encoding, greatest(length(body), 2) AS n,
+known AS (SELECT doc_id, s, e, alphabet, k, often, cased, encoding, greatest(length(body), 2) AS n,
                  CASE WHEN encoding IN (0, 2) THEN lower(body) ELSE translate(body, '-_=', '+//') END AS body
           FROM bodies JOIN facts USING (encoding)),
 codes AS (SELECT doc_id, s, k, i, strpos(alphabet, substr(body, i, 1)) - 1 AS x
@@ -137,20 +137,23 @@ sums AS (SELECT doc_id, s, count(*) FILTER (k > 2 * x) AS low,
 same AS (SELECT doc_id, s, sum(c * (c - 1)) AS agree
          FROM (SELECT doc_id, s, x, count(*) AS c FROM codes GROUP BY ALL) GROUP BY ALL),
 measured AS (
-  SELECT doc_id, s, e, encoding, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, growth, CAST(agree AS DOUBLE) AS agree,
+  SELECT doc_id, s, e, encoding, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, CAST(often AS DOUBLE) AS often, cased, CAST(agree AS DOUBLE) AS agree,
          CAST(low AS DOUBLE) AS n1, n - CAST(low AS DOUBLE) AS n2, CAST(runs AS DOUBLE) AS runs,
          CAST(serial AS DOUBLE) AS serial
   FROM known JOIN sums USING (doc_id, s) JOIN same USING (doc_id, s)),
 spread AS (SELECT *, n * (n - 1) / 2 AS pairs, 2 * n1 * n2 / n + 1 AS mean FROM measured),
 departed AS (
-  SELECT doc_id, s, e, encoding, n, growth, (agree / 2.0 - pairs / k) / sqrt(pairs * (1 / k) * (1 - 1 / k)) AS z1,
+  SELECT doc_id, s, e, encoding, n, cased, (agree / 2.0 - often * pairs) / sqrt(
+           pairs * often * (1 - often) + n * (n - 1) * greatest(n - 2, 0.0) * {secrets.THREE}) AS z1,
+         abs(2 * n1 - n) / sqrt(n) - {secrets.ONE_CASE} * sqrt(n) AS z4,
          CASE WHEN (mean - 1) * (mean - 2) / (n - 1) > 0
               THEN abs(runs - mean) / sqrt(greatest((mean - 1) * (mean - 2) / (n - 1), 1e-300)) ELSE 99.0 END AS z2,
          abs(serial / 4.0) / ((k * k - 1) / 12 * sqrt(n - 1)) AS z3 FROM spread),
 scored AS (
   SELECT doc_id, s, e, encoding * 64 + CAST(floor(log2(n) + 1e-9) AS INTEGER) AS stratum,
-         CAST(least(greatest(ceil((greatest(z1, z2, z3) - growth * n) * {secrets.STEPS}), -{secrets.ENDS}), {secrets.ENDS})
-              AS INTEGER) AS score FROM departed),
+         CAST(CASE WHEN greatest(z2, z3) > {secrets.REJECTED} THEN {secrets.ENDS} ELSE
+              least(greatest(ceil(CASE WHEN cased THEN greatest(z1, z4) ELSE z1 END * {secrets.STEPS}), -{secrets.ENDS}), {secrets.ENDS})
+              END AS INTEGER) AS score FROM departed),
 counts AS (SELECT stratum, score, sum(count(*)) OVER (PARTITION BY stratum ORDER BY score) AS upto,
                   sum(count(*)) OVER (PARTITION BY stratum) AS total FROM scored GROUP BY stratum, score),
 limits AS (SELECT stratum, max(score) AS lim FROM counts

@@ -2,18 +2,18 @@
 
 Three patterns give the base spans.  Beside them every other long run of key
 characters is tested: its encoding is inferred from its characters, and three
-statistics measure how far it departs from a uniform random string over that
-alphabet: equal pairs of characters (the chi-squared statistic with its exact
-mean and variance), the number of runs below and above the middle of the
-alphabet, and the serial correlation of neighbours.
-
-The null hypothesis is an ordinary string.  In such a string the first
-statistic grows with the length, by a rate that follows from how often two of
-its characters agree, so the largest departure minus that growth is a normal
-score whose power rises with length.  Strings are kept by the false-discovery
-rule of Benjamini and Hochberg within each encoding and doubling of length;
-scores are rounded up to a fixed grid, so that counts on the grid replace a
-global order.
+statistics compare it with a uniform random string over that alphabet: equal
+pairs of characters (the chi-squared statistic, up to a linear map), the number
+of runs below and above the middle of the alphabet, and the serial correlation
+of neighbours.
+
+A string whose runs or neighbours reject randomness is no secret.  For the
+others the null hypothesis is an ordinary string: one whose characters agree in
+pairs as often as in written words and, over alphabets of both cases, one that
+keeps mostly to one case.  The score is the worse of both normal scores; their
+power rises with length.  Strings are kept by the false-discovery rule of
+Benjamini and Hochberg within each encoding and doubling of length; scores are
+rounded up to a fixed grid, so that counts on the grid replace a global order.
 """
 
 from __future__ import annotations
@@ -41,25 +41,25 @@ PATTERNS = (ASSIGN, ACCESS, HEX, RUN)
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
-#: Encodings from the narrowest: name, pattern, alphabet, and the chance that
-#: two characters of an ordinary string over it agree.
+#: Encodings from the narrowest: name, pattern, alphabet, the chance that two
+#: characters of an ordinary string over it agree, and whether it has two cases.
 ENCODINGS = (
-    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.1),
-    ("base32", "^[A-Z2-7]+$", LOWER.upper() + "234567", 0.065),
-    ("base36", "^([0-9a-z]+|[0-9A-Z]+)$", DIGITS + LOWER, 0.065),
-    ("base62", "^[0-9A-Za-z]+$", DIGITS + LOWER.upper() + LOWER, 0.065),
-    ("base64", "", LOWER.upper() + LOWER + DIGITS + "+/", 0.065),
+    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.1, False),
+    ("base32", "^[A-Z2-7]+$", LOWER.upper() + "234567", 0.065, False),
+    ("base36", "^([0-9a-z]+|[0-9A-Z]+)$", DIGITS + LOWER, 0.065, False),
+    ("base62", "^[0-9A-Za-z]+$", DIGITS + LOWER.upper() + LOWER, 0.065, True),
+    ("base64", "", DIGITS + LOWER.upper() + LOWER + "+/", 0.065, True),
 )
+#: Of an ordinary string: the chance that three characters agree beyond its
+#: square for two, which widens the spread of agreeing pairs; and the share by
+#: which one half of an alphabet of two cases outweighs the other.
+THREE, ONE_CASE = 0.0012, 0.7
+#: Departure at which the runs and neighbours of a string reject randomness.
+REJECTED = 3.3
 #: Accepted share of false discoveries; steps of the score's grid and its ends.
 FALSE_SHARE, STEPS, ENDS = 0.01, 16, 160
 
 
-def growth(alphabet: str, agree: float) -> float:
-    """Standard deviations by which an ordinary string departs per character."""
-    k = len(alphabet)
-    return (agree - 1 / k) / math.sqrt(2 * (1 / k) * (1 - 1 / k))
-
-
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: row, id, key, and per kind the matches with the
     code points before each of them since the last one."""
@@ -113,7 +113,8 @@ def tested(runs: DataFrame) -> DataFrame:
     folded = F.when(F.col("encoding") == 0, F.lower("body")).when(F.col("encoding") == 2, F.lower("body")).otherwise(
         F.translate("body", "-_=", "+//"))
     rows = rows.withColumn("body", folded).withColumn("alphabet", pick(lambda e: e[2])).withColumn(
-        "k", pick(lambda e: len(e[2]))).withColumn("growth", pick(lambda e: growth(e[2], e[3])))
+        "k", pick(lambda e: len(e[2]))).withColumn(
+        "often", pick(lambda e: e[3])).withColumn("cased", pick(lambda e: e[4]))
     codes = F.transform(F.split("body", ""), lambda c: F.call_function("locate", c, F.col("alphabet")) - 1)
     rows = rows.withColumn("x", codes).withColumn("n", F.size("x"))
 
@@ -130,16 +131,20 @@ def tested(runs: DataFrame) -> DataFrame:
     n, k, n1 = F.greatest("n", F.lit(2)).cast("double"), F.col("k").cast("double"), F.col("low").cast("double")
     n2 = n - n1
     pairs = n * (n - 1) / 2
-    z_equal = (F.col("agree") / 2.0 - pairs / k) / F.sqrt(pairs * (1 / k) * (1 - 1 / k))
+    often = F.col("often")
+    z_equal = (F.col("agree") / 2.0 - often * pairs) / F.sqrt(
+        pairs * often * (1 - often) + n * (n - 1) * F.greatest(n - 2, F.lit(0.0)) * THREE)
+    z_case = F.when(F.col("cased"), F.abs(2 * n1 - n) / F.sqrt(n) - ONE_CASE * F.sqrt(n)).otherwise(z_equal)
     mean = 2 * n1 * n2 / n + 1
     spread = (mean - 1) * (mean - 2) / (n - 1)
     z_runs = F.when(spread > 0, F.abs(F.col("runs") - mean) / F.sqrt(F.when(spread > 0, spread).otherwise(1.0))).otherwise(99.0)
     z_serial = F.abs(F.col("serial") / 4.0) / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    score = F.ceil((F.greatest(z_equal, z_runs, z_serial) - F.col("growth") * n) * STEPS)
+    rejected = F.greatest(z_runs, z_serial) > REJECTED
+    score = F.when(rejected, F.lit(ENDS)).otherwise(F.ceil(F.greatest(z_equal, z_case) * STEPS))
     band = F.floor(F.log2(n) + 1e-9)
     return rows.withColumn("stratum", (F.col("encoding") * 64 + band).cast("int")).withColumn(
         "score", F.least(F.greatest(score, F.lit(-ENDS)), F.lit(ENDS)).cast("int")).drop(
-        "body", "encoding", "alphabet", "k", "growth", "x", "n", "agree", "low", "runs", "serial")
+        "body", "encoding", "alphabet", "k", "often", "cased", "x", "n", "agree", "low", "runs", "serial")
 
 
 def _squares(value: Column) -> Column:
