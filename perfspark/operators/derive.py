@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
 from perfspark.functions.text import regex_groups, with_groups
 from perfspark.runtime import lookup
@@ -184,7 +185,7 @@ def op_features(df: DataFrame) -> DataFrame:
         g.withColumn("op_flops", flops)
         .withColumn("size", floats * bytes_per)
         .withColumn("transform", transform)
-        .withColumn("ai", c("op_flops") / c("size"))
+        .withColumn("ai", ratio(c("op_flops"), c("size")))
         .withColumn("perf", F.when(c("ave") != 0, c("op_flops") / (c("ave") * 1e-3)).otherwise(F.lit(-1.0)))
         .drop("__m", "__n", "__k")
     )
@@ -209,7 +210,7 @@ def shapes_to_params(meta: DataFrame) -> DataFrame:
         F.when(conv, b[0]).alias("R"), F.when(conv, b[1]).alias("S"),
         F.when(conv, o[2]).alias("P"), F.when(conv, o[2]).alias("Q"),
         F.when(conv, F.when(nhwc, o[3]).otherwise(o[1])).alias("K"),
-        F.when(conv, F.bround(side / o[2]).cast("bigint")).alias("stride"),
+        F.when(conv, F.bround(ratio(side, o[2])).cast("bigint")).alias("stride"),
         F.when(mat, F.when(first, a[1]).when(second, b[1]).otherwise(o[0])).alias("C_in"),
         F.when(mat, o[1]).alias("C_out"),
         F.when(mat, F.when(first | second, o[0]).otherwise(a[0])).alias("bs_prime"),
@@ -219,7 +220,7 @@ def shapes_to_params(meta: DataFrame) -> DataFrame:
 def conv_config(df: DataFrame) -> DataFrame:
     """Stride and padding mode of convolutions; ``error`` when neither fits."""
     c = F.col
-    stride = F.bround(c("H") / c("P")).cast("bigint")
+    stride = F.bround(ratio(c("H"), c("P"))).cast("bigint")
     pad = F.bround(((c("P") - 1) * c("cfg_stride") + c("R") - c("H")) / 2).cast("bigint")
     return (
         df.where(c("op_type") == "Conv2D")
@@ -346,7 +347,7 @@ def enrich_device_pair(
         .withColumn("gemm_n", F.when(conv, g["n"]).otherwise(c("C_out")))
         .withColumn("gemm_k", F.when(conv, g["k"]).otherwise(c("C_in")))
         .withColumn("tb_num", F.ceil(c("gemm_m") / tile_m) * F.ceil(c("gemm_n") / tile_n))
-        .withColumn("wave_num", F.ceil(c("tb_num") / c(f"{target}_sm_num")))
+        .withColumn("wave_num", F.ceil(ratio(c("tb_num"), c(f"{target}_sm_num"))))
         .withColumn("pipeline_num", c("wave_num") * F.ceil(c("gemm_k") / tile_k))
         .withColumn("tile_size_in", tile_m * tile_k + tile_k * tile_n)
         .withColumn("tile_size_out", tile_m * tile_n)

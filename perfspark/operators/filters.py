@@ -125,10 +125,10 @@ def entry_bounds(df: DataFrame, x: str, low: float, high: float) -> tuple[list,
     return [r["lo"] for r in rows], [r["hi"] for r in rows]
 
 
-def train_envelope(test: DataFrame, train: DataFrame, x: str = "features") -> DataFrame:
-    """Keep test rows whose every entry lies in the train range p5..p95;
-    entries with p5 = p95 are ignored."""
-    lo, hi = entry_bounds(train, x, *ENVELOPE_RANGE)
+def train_envelope(test: DataFrame, train: DataFrame, x: str = "features", between: tuple[float, float] = ENVELOPE_RANGE) -> DataFrame:
+    """Keep test rows whose every entry lies between two percentiles of the
+    train rows; entries where these are equal are ignored."""
+    lo, hi = entry_bounds(train, x, *between)
     box = F.arrays_zip(F.col(x).alias("v"), arrays.literal(lo).alias("lo"), arrays.literal(hi).alias("hi"))
     return test.where(
         F.forall(box, lambda e: (e["lo"] == e["hi"]) | ((e["v"] >= e["lo"]) & (e["v"] <= e["hi"])))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio
 from perfspark.runtime import small_side
 
 # Fixed value: cost in seconds that marks a record without a measurement.
@@ -65,7 +66,7 @@ def in_model_vs_standalone(in_model: DataFrame, alone: DataFrame, key: str, orde
     a = in_model.groupBy(key).agg(F.max_by(time, order).alias("x"))
     b = alone.groupBy(key).agg(F.max_by(time, order).alias("y"))
     return a.join(b, key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("y") - F.col("x")) / F.col("x")).alias("mpe")
+        F.count(F.lit(1)).alias("n"), F.avg(ratio(F.col("y") - F.col("x"), F.col("x"))).alias("mpe")
     )
 
 
@@ -166,21 +167,24 @@ def pick_record(tasks: DataFrame, records: DataFrame, key: str, record_id: str,
 def replay_vs_profile(replay: DataFrame, profile: DataFrame, leaves: int = 5) -> DataFrame:
     """Compare two reports by task: error of comparable rows and of the total.
 
-    ``mismatches`` counts tasks whose key, weight or source differ.
+    ``mismatches`` counts tasks whose key, weight or source differ,
+    ``unmatched`` tasks that only one report has; those count in its total.
     """
     cols = ["workload_key", "cost", "weight", "n_leaf", "src"]
-    a = replay.select("task_id", *[F.col(c).alias("a_" + c) for c in cols])
-    b = profile.select("task_id", *[F.col(c).alias("b_" + c) for c in cols])
+    a = replay.select("task_id", F.lit(True).alias("a_in"), *[F.col(c).alias("a_" + c) for c in cols])
+    b = profile.select("task_id", F.lit(True).alias("b_in"), *[F.col(c).alias("b_" + c) for c in cols])
     valid = (F.col("a_n_leaf") == leaves) & (F.col("a_src") != "random")
-    ape = F.abs(F.col("a_cost") - F.col("b_cost")) / F.col("b_cost")
+    ape = F.abs(ratio(F.col("a_cost") - F.col("b_cost"), F.col("b_cost")))
+    both = F.col("a_in") & F.col("b_in")
     same = F.lit(True)
     for c in ("workload_key", "weight", "src"):
         same = same & F.col("a_" + c).eqNullSafe(F.col("b_" + c))
     total_a, total_b = (F.sum(F.col(p + "_cost") * F.col(p + "_weight")) for p in "ab")
-    return a.join(b, "task_id").agg(
+    return a.join(b, "task_id", "full").agg(
         (F.avg(F.when(valid, ape)) * 100).alias("mape"),
-        (F.abs(total_b - total_a) / total_b * 100).alias("end2end_error"),
-        F.count_if(~same).alias("mismatches"),
+        (ratio(F.abs(total_b - total_a), total_b) * 100).alias("end2end_error"),
+        F.count_if(both & ~same).alias("mismatches"),
+        F.count_if(F.col("a_in").isNull() | F.col("b_in").isNull()).alias("unmatched"),
     )
 
 

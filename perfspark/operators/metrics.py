@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio
 from perfspark.operators.ranking import add_rank
 from perfspark.runtime import materialize
 
@@ -17,11 +18,13 @@ ACCURACY_BOUNDS = {"acc20": 0.20, "acc10": 0.10, "acc5": 0.05}
 
 
 def ape(label: str = "label", pred: str = "pred") -> Column:
-    return F.abs((F.col(label) - F.col(pred)) / F.col(label))
+    """Relative error; null (undefined) where the label is 0."""
+    return F.abs(ratio(F.col(label) - F.col(pred), F.col(label)))
 
 
 def regression(df: DataFrame, keys: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
-    """MAPE, RMSE, R2 and the shares of rows within each error bound."""
+    """MAPE, RMSE, R2 and the shares of rows within each error bound; rows
+    whose label is 0 have no relative error and are counted as ``undefined``."""
     err = (F.col(label) - F.col(pred)) * (F.col(label) - F.col(pred))
     s_tot = F.var_pop(label) * F.count(label)
     n = F.count(F.lit(1))
@@ -30,6 +33,7 @@ def regression(df: DataFrame, keys: Sequence[str] = (), label: str = "label", pr
         F.sqrt(F.avg(err)).alias("rmse"),
         F.when(s_tot < 1e-6, 1.0).otherwise(1 - F.sum(err) / s_tot).alias("r2"),
         *[(F.count_if(ape(label, pred) <= b) / n).alias(a) for a, b in ACCURACY_BOUNDS.items()],
+        F.count_if(F.col(label) == 0).alias("undefined"),
     )
 
 
@@ -37,7 +41,7 @@ def error_columns(df: DataFrame, label: str = "label", pred: str = "pred") -> Da
     """Absolute difference, root of the squared difference, error in percent."""
     gap = F.col(label) - F.col(pred)
     return df.withColumns({
-        "abs_diff": F.abs(gap), "rmse": F.sqrt(gap * gap), "mape": F.abs(gap) / F.col(label) * 100,
+        "abs_diff": F.abs(gap), "rmse": F.sqrt(gap * gap), "mape": ratio(F.abs(gap), F.col(label)) * 100,
     })
 
 
@@ -62,7 +66,7 @@ def loss_report(
     the sigmoid of the label."""
     gap = F.col(pred) - F.col(label)
     w = 1 / (1 + F.exp(-F.col(label))) if weighted else F.lit(1.0)
-    rel = F.abs(gap / F.col(label))
+    rel = F.abs(ratio(gap, F.col(label)))
     mse, mape = F.avg(w * gap * gap), F.avg(w * rel)
     mspe = F.avg(w * rel * rel)
     return df.groupBy(*keys).agg(
@@ -71,6 +75,7 @@ def loss_report(
         (mix * mse + (1 - mix) * mape).alias("mixed"),
         (F.avg(w * gap) * F.avg(w * gap)).alias("mean_error_sq"),
         F.avg(w * F.pow(F.abs(gap), F.lit(power))).alias("k_power"),
+        F.count_if(F.col(label) == 0).alias("undefined"),
     )
 
 
@@ -176,26 +181,24 @@ def peak_score(df: DataFrame, keys: Sequence[str], k: int, id_col: str, label: s
     best = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
     curve = first.withColumn("__m", F.max(label).over(best)).groupBy(*keys).agg(F.avg("__m").alias("__c"))
     top = df.groupBy(*keys).agg(F.max(label).alias("__t"))
-    return curve.join(top, keys).select(*keys, (F.col("__c") / F.col("__t")).alias("score"))
+    return curve.join(top, keys).select(*keys, ratio(F.col("__c"), F.col("__t")).alias("score"))
 
 
 # ------------------------------------------------------------- best / worst
 
-def split_size(rows: int) -> int:
-    return 100 if rows > 200 else rows // 2
-
-
 def best_worst(df: DataFrame, id_col: str, label: str = "label", pred: str = "pred", thirds: bool = False) -> DataFrame:
-    """Rows with ``ape`` and ``part``: best, worst or middle by error.
+    """Rows with ``ape`` and ``part``: best, worst or middle by error; rows
+    without an error are ``undefined`` and have no place.
 
     Takes 100 rows per side (half of a small set), or a third of all rows.
     """
     scored = df.withColumn("ape", ape(label, pred))
-    ranked = add_rank(scored, ["ape", id_col], (), "place", "__n")
+    none = scored.where("ape IS NULL").withColumns({"place": F.lit(None).cast("bigint"), "part": F.lit("undefined")})
+    ranked = add_rank(scored.where("ape IS NOT NULL"), ["ape", id_col], (), "place", "__n")
     n = F.col("__n")
     size = F.floor(n / 3) if thirds else F.when(n > 200, 100).otherwise(F.floor(n / 2))
     part = F.when(F.col("place") <= size, "best").when(F.col("place") > n - size, "worst").otherwise("middle")
-    return ranked.withColumn("part", part).drop("__n")
+    return ranked.withColumn("part", part).drop("__n").unionByName(none)
 
 
 def best_worst_report(parts: DataFrame) -> DataFrame:

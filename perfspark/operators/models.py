@@ -16,14 +16,14 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
 from perfspark.operators import domain
 from perfspark.operators.metrics import ape
 from perfspark.operators.ranking import add_rank
 from perfspark.operators.split import hash_order, upsample
-from perfspark.runtime import materialize
+from perfspark.runtime import lookup, materialize
 
-MAX_LOOPED_GROUPS = 64
 MAX_OPEN_KEYS = 2048
 
 
@@ -141,7 +141,7 @@ def gbt(train: DataFrame, test: DataFrame, x: str, label: str, loss: str = "MSE"
     squared error with weight ``1/y^2``: same gradient and curvature."""
     if loss not in ("MSE", "MSPE"):
         raise ValueError(f"unknown loss {loss!r}")
-    weight = F.lit(1.0) if loss == "MSE" else 1 / (F.col(label) * F.col(label))
+    weight = F.lit(1.0) if loss == "MSE" else F.coalesce(ratio(F.lit(1.0), F.col(label) * F.col(label)), F.lit(0.0))
     fitted = GBTRegressor(
         featuresCol="vec", labelCol=label, weightCol="__w", predictionCol="pred", maxDepth=3, maxIter=rounds,
         stepSize=0.3, seed=seed,
@@ -167,21 +167,6 @@ def good_bad_forest(parts: DataFrame, x: str, id_col: str, train_share: float =
     )
 
 
-def per_group_models(train: DataFrame, test: DataFrame, group: str, x: str, label: str, rounds: int = 20) -> DataFrame:
-    """One boosted model per group, error per group.  Meant for a few clusters;
-    many small groups are served by ``least_squares``."""
-    groups = [r[0] for r in train.select(group).distinct().limit(MAX_LOOPED_GROUPS + 1).collect()]
-    if len(groups) > MAX_LOOPED_GROUPS:
-        raise ValueError(f"more than {MAX_LOOPED_GROUPS} groups: use least_squares")
-    scored = [
-        gbt(train.where(F.col(group) == F.lit(g)), test.where(F.col(group) == F.lit(g)), x, label, rounds=rounds)
-        for g in sorted(groups)
-    ]
-    return reduce(DataFrame.unionByName, scored).groupBy(group).agg(
-        F.avg(ape(label, "pred")).alias("mape"), F.count(F.lit(1)).alias("n")
-    )
-
-
 # ------------------------------------------------------------- linear costs
 
 def _solve(gram: np.ndarray, xy: np.ndarray, positive: list[bool]) -> np.ndarray:
@@ -283,6 +268,16 @@ def least_squares(df: DataFrame, keys: Sequence[str], features: dict[str, Column
     return least_squares_many(df, keys, {"": (features, positive)}, y).drop("model")
 
 
+def per_group_models(train: DataFrame, test: DataFrame, group: str, features: dict[str, Column], label: str) -> DataFrame:
+    """One linear model per group and its error on the group's test rows, for
+    any number of groups: all models come from one scan, all errors from
+    another.  Test rows of a group without training rows are counted only."""
+    models = least_squares(train, [group], {**features, "one": F.lit(1.0)}, label).select(group, "coef")
+    scored = test.join(lookup(models), group, "left").withColumn("pred", _predict({**features, "one": F.lit(1.0)}))
+    return scored.groupBy(group).agg(
+        F.avg(F.when(F.col("coef").isNotNull(), ape(label, "pred"))).alias("mape"), F.count(F.lit(1)).alias("n"))
+
+
 def _tile_features(steps_on: str) -> dict[str, Column]:
     c = F.col
     read = c("tile_size_in") / c("target_bw")
@@ -343,7 +338,7 @@ def cost_fit(train: DataFrame, test: DataFrame, key: str, y: str, methods: Seque
     models = fitted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model", "coef"))).alias("__m"))
     scored = test.join(models, key)
     errors = scored.groupBy(key).agg(*[
-        F.avg(F.abs((_predict(f, F.element_at("__m", name)) - F.col(y)) / F.col(y))).alias(name)
+        F.avg(F.abs(ratio(_predict(f, F.element_at("__m", name)) - F.col(y), F.col(y)))).alias(name)
         for name, (f, _) in specs.items()
     ])
     rows = F.array(*[
@@ -423,7 +418,7 @@ def entry_importance(changes: DataFrame) -> DataFrame:
     """Share of an entry in all absolute changes, averaged over the cases."""
     total = changes.groupBy("form", "scale").agg(F.sum(F.abs("change")).alias("total"))
     return changes.join(F.broadcast(total), ["form", "scale"]).groupBy("entry").agg(  # one row per case
-        F.avg(F.abs("change") / F.col("total")).alias("importance"))
+        F.avg(ratio(F.abs("change"), F.col("total"))).alias("importance"))
 
 
 def routed_score(df: DataFrame, target: Column, models: dict[str, Column], fallback: Column, valid: Column, flops: str = "flops") -> DataFrame:
@@ -437,7 +432,7 @@ def routed_score(df: DataFrame, target: Column, models: dict[str, Column], fallb
         time = F.when(F.col("target") == name, predicted).otherwise(time)
     routed = df.withColumn("target", target)
     unknown = (F.col(flops) < 0) | F.col("target").isNull()
-    return routed.withColumn("score", F.when(~valid, float("-inf")).when(unknown, fallback).otherwise(1 / time))
+    return routed.withColumn("score", F.when(~valid, float("-inf")).when(unknown, fallback).otherwise(ratio(F.lit(1.0), time)))
 
 
 def routed_transform(df: DataFrame, target: Column, models: dict[str, Callable[[DataFrame], DataFrame]], fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:

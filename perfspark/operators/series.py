@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio as divided
 from perfspark.operators import domain
 from perfspark.operators.metrics import ape
 from perfspark.operators.ranking import add_rank, drop_halo, in_blocks, running
@@ -31,7 +32,7 @@ def convergence(
     blocks, w = in_blocks(ranked, keys, "__r", before=window - 1)
     last = w.rowsBetween(-(window - 1), 0)
     mean, std = F.avg(value).over(last), F.stddev_pop(value).over(last)
-    flag = (F.count(value).over(last) == window) & (mean < mean_bound) & (std / mean < ratio)
+    flag = (F.count(value).over(last) == window) & (mean < mean_bound) & (divided(std, mean) < ratio)
     return drop_halo(blocks.withColumn("converged", F.coalesce(flag, F.lit(False)))).drop("__r")
 
 
@@ -113,10 +114,11 @@ def pair_begin_end(df: DataFrame, keys: Sequence[str], order: Sequence[str], pha
 
 
 def ape_buckets(df: DataFrame, id_col: str, buckets: int = 100, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Rows by error in equal chunks of ``n // buckets`` rows; the rest goes."""
-    scored = df.withColumn("ape", ape(label, pred))
+    """Rows by error in equal chunks of ``n // buckets`` rows (at least one);
+    the rest goes, and so do rows without an error."""
+    scored = df.withColumn("ape", ape(label, pred)).where("ape IS NOT NULL")
     ranked = add_rank(scored, ["ape", id_col], (), "__r", "__n")
-    bucket = F.floor((F.col("__r") - 1) / F.floor(F.col("__n") / buckets))
+    bucket = F.floor((F.col("__r") - 1) / F.greatest(F.floor(F.col("__n") / buckets), F.lit(1)))
     return ranked.withColumn("bucket", bucket).where(F.col("bucket") < buckets).drop("__r", "__n")
 
 

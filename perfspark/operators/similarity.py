@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
 from perfspark.operators.ranking import add_rank, drop_halo, in_blocks
 from perfspark.runtime import materialize
@@ -30,15 +31,15 @@ def conflicting(df: DataFrame, x: str = "x", y: str = "y", bound: float = CONFLI
     of the copies decides for all of them.
     """
     top = df.groupBy(x).agg(F.max(y).alias("__top"))
-    ratio = 2 * (F.col("__top") - F.col(y)) / (F.col("__top") + F.col(y))
-    return df.join(top, x).where(~F.coalesce(ratio >= bound, F.lit(False))).drop("__top")
+    gap = ratio(2 * (F.col("__top") - F.col(y)), F.col("__top") + F.col(y))
+    return df.join(top, x).where(~F.coalesce(gap >= bound, F.lit(False))).drop("__top")
 
 
 def conflicting_between(kept: DataFrame, later: DataFrame, x: str = "x", y: str = "y", bound: float = CONFLICT_RATIO) -> DataFrame:
     """Rows of ``later`` without a conflicting larger copy in ``kept``."""
     top = kept.groupBy(x).agg(F.max(y).alias("__top"))
-    ratio = 2 * (F.col("__top") - F.col(y)) / (F.col("__top") + F.col(y))
-    return later.join(top, x, "left").where(~F.coalesce(ratio >= bound, F.lit(False))).drop("__top")
+    gap = ratio(2 * (F.col("__top") - F.col(y)), F.col("__top") + F.col(y))
+    return later.join(top, x, "left").where(~F.coalesce(gap >= bound, F.lit(False))).drop("__top")
 
 
 def duplicate_groups(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -207,22 +207,19 @@ def assign_shards(tasks: DataFrame, keys: Sequence[str], per_shard: int = FILES_
 
 
 def upsample(df: DataFrame, cls: str, id_col: str) -> DataFrame:
-    """Repeat the rows of the smaller class up to the size of the larger one."""
-    sizes = sorted(((r["count"], r[cls]) for r in df.groupBy(cls).count().collect()), key=lambda s: s[0])
-    (small, small_cls), (large, _) = sizes[0], sizes[-1]
-    few = add_rank(df.where(F.col(cls) == F.lit(small_cls)), [id_col], (), "__r")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(large / small) - 1)))
-    more = few.withColumn("__c", copies).where(F.col("__c") * small + F.col("__r") <= large)
-    return df.where(F.col(cls) != F.lit(small_cls)).unionByName(more.drop("__r", "__c"))
+    """Repeat the rows of every class up to the size of the largest one."""
+    ranked = add_rank(df, [id_col], [cls], "__r", "__n")
+    top = ranked.agg(F.max("__n").alias("n")).first()["n"] or 0
+    last = F.ceil(F.lit(top) / F.col("__n")) - 1
+    copies = ranked.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return copies.where(F.col("__c") * F.col("__n") + F.col("__r") <= top).drop("__r", "__n", "__c")
 
 
 def downsample(df: DataFrame, cls: str, id_col: str, seed: str = "0") -> DataFrame:
-    """Keep as many rows of the larger class, by hash order, as the smaller has."""
-    sizes = sorted(((r["count"], r[cls]) for r in df.groupBy(cls).count().collect()), key=lambda s: s[0])
-    (small, _), (_, large_cls) = sizes[0], sizes[-1]
-    many = add_rank(df.where(F.col(cls) == F.lit(large_cls)), [hash_order(id_col, seed), id_col], (), "__r")
-    kept = many.where(F.col("__r") <= small).drop("__r")
-    return df.where(F.col(cls) != F.lit(large_cls)).unionByName(kept)
+    """Keep as many rows of every class, by hash order, as the smallest has."""
+    ranked = add_rank(df, [hash_order(id_col, seed), id_col], [cls], "__r", "__n")
+    least = ranked.agg(F.min("__n").alias("n")).first()["n"] or 0
+    return ranked.where(F.col("__r") <= least).drop("__r", "__n")
 
 
 def grid_configs(spark, space: dict[str, Sequence], valid: Column | None = None, workers: int = 1) -> DataFrame:
@@ -260,13 +257,17 @@ def new_tasks(found: DataFrame, selected: DataFrame, key: str = "task_id") -> Da
 
 
 def common_tasks(a: DataFrame, b: DataFrame, key: str = "workload_key") -> DataFrame:
-    """Keys in both networks, with the sizes of all three sets in one pass."""
+    """Per key whether it is in the first, in the second, in both sets."""
     marked = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))
     ).groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return marked.agg(
-        F.sum("a").alias("in_a"), F.sum("b").alias("in_b"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("common")
-    )
+    return marked.select(key, (F.col("a") == 1).alias("in_a"), (F.col("b") == 1).alias("in_b"),
+                         ((F.col("a") == 1) & (F.col("b") == 1)).alias("common"))
+
+
+def common_sizes(marked: DataFrame) -> DataFrame:
+    """One row: sizes of both sets and of what they share."""
+    return marked.agg(*[F.count_if(c).alias(c) for c in ("in_a", "in_b", "common")])
 
 
 def complement(df: DataFrame, group: str, value) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
 from perfspark.operators.ranking import add_rank, percentiles
 from perfspark.runtime import lookup
@@ -58,7 +59,7 @@ def entry_profile(df: DataFrame, group: str, x: str) -> DataFrame:
 
 def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     """0-based bin; the upper edge belongs to the last bin; outside is null."""
-    width = (high - low) / bins
+    width = (high - low) / bins or 1.0  # one value: one bin
     raw = F.least(F.floor((value - low) / width), F.lit(bins - 1))
     return F.when((value >= low) & (value <= high), raw.cast("int"))
 
@@ -95,7 +96,7 @@ def hist_equalize(df: DataFrame, label: str, id_col: str, bins: int = 10, least_
     by hash order.  The largest label falls into an extra bin of its own.
     """
     lo, hi = df.agg(F.min(label), F.max(label)).first()
-    binned = df.withColumn("bin", F.floor((F.col(label) - lo) / ((hi - lo) / bins)))
+    binned = df.withColumn("bin", F.floor((F.col(label) - lo) / ((hi - lo) / bins or 1.0)))
     counts = sorted((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect())
     target = min([counts[0][1]] + [n for _, n in counts[1:] if n > least_bound])
     large = [b for b, n in counts if n >= target]
@@ -164,8 +165,8 @@ def network_task_errors(
     return tasks.join(per_task, "task_id", "left").select(
         "task_id",
         "error",
-        F.when(F.coalesce("in_range", F.lit(0)) == 0, "no state in the required cost range")
-        .when(F.col("fits") == 0, "no data for required leaf count").alias("reason"),
+        F.when(F.coalesce("in_range", F.lit(0)) == 0, "cost_range")
+        .when(F.col("fits") == 0, "leaf_count").alias("reason"),
     )
 
 
@@ -211,7 +212,7 @@ def op_time_stats(events: DataFrame, name: str, time: str, order: Sequence[str])
     rest_avg = (n * a - f) / (n - 1)
     # Variance without one value from mean and variance of all.
     rest_var = F.greatest(n / (n - 1) * s * s - n / ((n - 1) * (n - 1)) * (f - a) * (f - a), F.lit(0.0))
-    noisy = (s / a > 0.1) & (n > 1)
+    noisy = F.coalesce(ratio(s, a) > 0.1, F.lit(False)) & (n > 1)
     return base.join(median, name).select(
         name, "cnt", "median",
         F.when(noisy, rest_avg).otherwise(a).alias("avg"),
@@ -249,8 +250,8 @@ def cost_cdf(stats: DataFrame, time: str = "avg", bounds: Sequence[float] = COST
         pt = F.col(f"t{i - 1}") if i else F.lit(0.0)
         rows.append(F.struct(
             F.lit(float(b)).alias("bound"),
-            ((F.col(f"n{i}") - pn) / F.col("n")).alias("share_n"), ((F.col(f"t{i}") - pt) / F.col("t")).alias("share_t"),
-            (F.col(f"n{i}") / F.col("n")).alias("cum_n"), (F.col(f"t{i}") / F.col("t")).alias("cum_t"),
+            ratio(F.col(f"n{i}") - pn, F.col("n")).alias("share_n"), ratio(F.col(f"t{i}") - pt, F.col("t")).alias("share_t"),
+            ratio(F.col(f"n{i}"), F.col("n")).alias("cum_n"), ratio(F.col(f"t{i}"), F.col("t")).alias("cum_t"),
         ))
     return one.select(F.inline(F.array(*rows)))
 
@@ -264,7 +265,7 @@ def kernel_summary(rows: DataFrame, categories: dict[str, str], name: str = "nam
         F.round(F.sum("percent"), 1).alias("percent"),
         us(F.sum("total")).alias("total_us"),
         F.sum("calls").alias("calls"),
-        us(F.sum("total") / F.sum("calls")).alias("avg_us"),
+        us(ratio(F.sum("total"), F.sum("calls"))).alias("avg_us"),
         us(F.min("low")).alias("min_us"),
         us(F.max("high")).alias("max_us"),
         F.count(F.lit(1)).alias("kernels"),
@@ -366,7 +367,7 @@ def network_latency(tasks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def end2end_error(totals: DataFrame, truth: str, others: Sequence[str]) -> DataFrame:
     """Relative error of each estimate of a total against the measured one."""
-    return totals.withColumns({f"{o}_error": F.abs(F.col(o) - F.col(truth)) / F.col(truth) for o in others})
+    return totals.withColumns({f"{o}_error": ratio(F.abs(F.col(o) - F.col(truth)), F.col(truth)) for o in others})
 
 
 def flip_table(df: DataFrame, before: str, after: str, bounds: Sequence[tuple[float, float]] = FLIP_BOUNDS) -> DataFrame:
@@ -385,7 +386,7 @@ def flip_table(df: DataFrame, before: str, after: str, bounds: Sequence[tuple[fl
         F.struct(
             F.lit(good).alias("good_below"), F.lit(bad).alias("bad_from"),
             *[F.col(f"{p}{i}_{k}").alias(f"{n}_{k}") for p, n in (("b", "before"), ("a", "after")) for k in ("good", "mid", "bad")],
-            F.col(f"flip{i}").alias("flips"), (F.col(f"flip{i}") / F.col("rows")).alias("flip_ratio"),
+            F.col(f"flip{i}").alias("flips"), ratio(F.col(f"flip{i}"), F.col("rows")).alias("flip_ratio"),
         )
         for i, (bad, good) in enumerate(bounds)
     ]
@@ -399,13 +400,13 @@ def cluster_error_summary(errors: DataFrame, clustering: str, error: str = "erro
 
 
 def invalid_flops_by_network(tasks: DataFrame) -> DataFrame:
-    """Networks by their number of tasks with unknown work.  ``tasks``:
-    ``task_id``, ``flops``, ``networks`` (array of text)."""
+    """Networks and their tasks with unknown work; ``place`` 1 has the most.
+    ``tasks``: ``task_id``, ``flops``, ``networks`` (array of text)."""
     bad = tasks.where(F.col("flops") == -1)
-    return bad.select(F.explode("networks").alias("network"), "task_id").groupBy("network").agg(
-        F.count_distinct("task_id").alias("invalid_tasks"),
-        F.min("task_id").alias("first_task"),
-    )
+    found = bad.select(F.explode("networks").alias("network"), "task_id").groupBy("network").agg(
+        F.sort_array(F.collect_set("task_id")).alias("tasks"))
+    counted = found.withColumn("invalid_tasks", F.size("tasks").cast("bigint"))
+    return add_rank(counted.withColumn("__least", -F.col("invalid_tasks")), ["__least", "network"], (), "place").drop("__least")
 
 
 def log_flops(flops: str = "flops") -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perfspark.functions.numbers import scale_of
 from perfspark.functions import arrays
 from perfspark.operators.ranking import quantile_grid
 from perfspark.runtime import materialize
@@ -109,8 +110,10 @@ def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8,
     """Maximum-likelihood lambda per ``pos`` from rows (pos, v).
 
     The logarithms are taken and stored once.  Each round scores a grid of
-    lambdas in one pass and narrows the range around the best; the last step
-    gives mean and std.
+    lambdas in one pass.  While the best lies on the border of its range, the
+    range moves there and doubles; then it narrows around the best ``rounds``
+    times.  The last step gives mean and std.  Where nothing varies every
+    lambda is as good, and the first range's middle is taken.
     """
     v = F.col("v")
     log = F.ln(v) if method == "Box-Cox" else F.signum(v) * F.log1p(F.abs(v))
@@ -121,11 +124,13 @@ def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8,
     spark = values.sparkSession
     bounds = {r["pos"]: (low, high) for r in facts}
     sums = {r["pos"]: (r["s"], r["n"]) for r in facts}
-    for _ in range(rounds):
-        width = {p: (hi - lo) / (points - 1) for p, (lo, hi) in bounds.items()}
-        grid = {p: [lo + j * width[p] for j in range(points)] for p, (lo, _) in bounds.items()}
+    narrowed = dict.fromkeys(bounds, 0)
+    while open_ := [p for p, n in narrowed.items() if n < rounds]:
+        width = {p: (bounds[p][1] - bounds[p][0]) / (points - 1) for p in open_}
+        grid = {p: [bounds[p][0] + j * width[p] for j in range(points)] for p in open_}
         middle = {p: s / n for p, (s, n) in sums.items()}
-        moments = {(r["pos"], r["j"]): (r["d"], r["d2"]) for r in _grid_moments(logs, method, grid, middle).collect()}
+        part = logs.where(F.col("pos").isin(open_)) if len(open_) < len(bounds) else logs
+        moments = {(r["pos"], r["j"]): (r["d"], r["d2"]) for r in _grid_moments(part, method, grid, middle).collect()}
         for p, lams in grid.items():
             s, n = sums[p]
             scores = []
@@ -133,8 +138,16 @@ def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8,
                 d, d2 = moments[p, j]
                 var = d2 / n - (d / n) ** 2
                 scores.append(-n / 2 * math.log(var) + (lam - 1) * s if math.isfinite(var) and var > 0 else -math.inf)
-            best = lams[scores.index(max(scores))]
-            bounds[p] = (best - width[p], best + width[p])
+            if max(scores) == -math.inf:
+                narrowed[p] = rounds
+                continue
+            at = scores.index(max(scores))
+            best, span = lams[at], bounds[p][1] - bounds[p][0]
+            if at in (0, points - 1) and narrowed[p] == 0:
+                bounds[p] = (best - span, best + span)
+            else:
+                bounds[p] = (best - width[p], best + width[p])
+                narrowed[p] += 1
     lams = spark.createDataFrame([(p, (lo + hi) / 2) for p, (lo, hi) in bounds.items()], "pos int, lambda double")
     moved = logs.join(F.broadcast(lams), "pos").withColumn("z", _power_of_log(method, F.col("t"), F.col("lambda")))
     return moved.groupBy("pos", "lambda").agg(F.avg("z").alias("avg"), F.stddev_pop("z").alias("std"))
@@ -213,25 +226,23 @@ class Transform:
         if self.method == "min-max":
             return (v - p["min"]) / (p["max"] - p["min"] + EPS)
         if self.method == "std":
-            return (v - p["avg"]) / p["std"]
+            return (v - p["avg"]) / scale_of(p["std"])
         if self.method == "log":
             return F.ln(v)
         if self.method == "None":
             return v
-        scale = F.when(p["std"] == 0, 1.0).otherwise(p["std"])
-        return (_power(self.method, v, p["lambda"]) - p["avg"]) / scale
+        return (_power(self.method, v, p["lambda"]) - p["avg"]) / scale_of(p["std"])
 
     def _inverse(self, v: Column, p: dict[str, Column]) -> Column:
         if self.method == "min-max":
             return v * (p["max"] - p["min"] + EPS) + p["min"]
         if self.method == "std":
-            return v * p["std"] + p["avg"]
+            return v * scale_of(p["std"]) + p["avg"]
         if self.method == "log":
             return F.exp(v)
         if self.method == "None":
             return v
-        scale = F.when(p["std"] == 0, 1.0).otherwise(p["std"])
-        raw = _power_inverse(self.method, v * scale + p["avg"], p["lambda"])
+        raw = _power_inverse(self.method, v * scale_of(p["std"]) + p["avg"], p["lambda"])
         # Undefined and unbounded results get fixed stand-ins.
         return F.when(raw.isNull() | F.isnan(raw), NAN_TO).when(raw == float("inf"), INF_TO).otherwise(raw)
 
@@ -287,7 +298,34 @@ def probit(p: np.ndarray) -> np.ndarray:
     return np.where(np.abs(q) <= 0.425, centre, np.sign(q) * outer)
 
 
-_normal_cdf = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)), otypes=[float])
+# Coefficients of Cody's rational approximations of the error
+# function below 0.46875, of its complement below 4 and beyond.
+_NEAR = ([1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3],
+         [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3])
+_MIDDLE = ([2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+            8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3],
+           [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+            3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3])
+_FAR = ([1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
+         1.60837851487422766e-2, 6.58749161529837803e-4],
+        [1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3])
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of an array."""
+    y = np.abs(np.asarray(x, dtype=float))
+    small = y * y
+    near = 1 - np.sign(x) * y * np.polyval(_NEAR[0], np.minimum(small, 1)) / np.polyval(_NEAR[1], np.minimum(small, 1))
+    capped = np.clip(y, 0.46875, 26.0)
+    mid = np.minimum(capped, 4.0)
+    inverse = 1 / (np.maximum(capped, 4.0) ** 2)
+    far = (1 / math.sqrt(math.pi) - inverse * np.polyval(_FAR[0], inverse) / np.polyval(_FAR[1], inverse)) / np.maximum(capped, 4.0)
+    tail = np.exp(-capped * capped) * np.where(capped <= 4, np.polyval(_MIDDLE[0], mid) / np.polyval(_MIDDLE[1], mid), far)
+    return np.where(y <= 0.46875, near, np.where(np.asarray(x) < 0, 2 - tail, tail))
+
+
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    return 0.5 * erfc(-np.asarray(z, dtype=float) / math.sqrt(2))
 
 
 def quantile_forward(x: np.ndarray, grid: np.ndarray, normal: bool) -> np.ndarray:
@@ -302,7 +340,7 @@ def quantile_forward(x: np.ndarray, grid: np.ndarray, normal: bool) -> np.ndarra
 
 
 def quantile_inverse(u: np.ndarray, grid: np.ndarray, normal: bool) -> np.ndarray:
-    p = _normal_cdf(u) if normal else u
+    p = normal_cdf(u) if normal else u
     out = np.interp(p, np.linspace(0, 1, len(grid)), grid)
     out = np.where(p <= _CLIP if normal else p <= 0, grid[0], np.where(p >= (1 - _CLIP if normal else 1), grid[-1], out))
     return np.nan_to_num(out, nan=NAN_TO, posinf=INF_TO)

@@ -100,12 +100,13 @@ def _(spark, d):
     "filter_train_envelope", "vectors vector_entries",
     """SELECT t.id FROM vector_entries t JOIN b USING (pos) WHERE t.split = 4 GROUP BY t.id
        HAVING bool_and(lo = hi OR (v >= lo AND v <= hi))""",
-    b="""SELECT pos, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi
-         FROM vector_entries WHERE split <> 4 AND pos < 16 GROUP BY pos""",
+    b="""SELECT pos, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi
+         FROM vector_entries WHERE split <> 4 GROUP BY pos""",
 )
 def _(spark, d):
-    v = views.vectors(spark, d).select("id", "split", F.slice("x", 1, 16).alias("x"))
-    return filters.train_envelope(v.where("split = 4"), v.where("split <> 4"), "x").select("id")
+    # Over 64 entries the usual range leaves no row, so a wider one is asked.
+    v = views.vectors(spark, d).select("id", "split", "x")
+    return filters.train_envelope(v.where("split = 4"), v.where("split <> 4"), "x", (0.005, 0.995)).select("id")
 
 
 _Z = """SELECT id, max(abs(v-m)/(s+1e-6)) AS zmax, avg(abs(v-m)/(s+1e-6)) AS zavg

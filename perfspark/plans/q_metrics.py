@@ -15,7 +15,7 @@ _E = "abs((label-pred)/label)"
     f"""SELECT task_id, round(avg({_E}), 9) AS mape, round(sqrt(avg((label-pred)*(label-pred))), 9) AS rmse,
         round(1 - sum((label-pred)*(label-pred))/(var_pop(label)*count(*)), 9) AS r2,
         count(*) FILTER (WHERE {_E} <= 0.2::DOUBLE)/count(*) AS acc20, count(*) FILTER (WHERE {_E} <= 0.1::DOUBLE)/count(*) AS acc10,
-        count(*) FILTER (WHERE {_E} <= 0.05::DOUBLE)/count(*) AS acc5
+        count(*) FILTER (WHERE {_E} <= 0.05::DOUBLE)/count(*) AS acc5, count(*) FILTER (WHERE label = 0) AS undefined
         FROM (SELECT task_id, label, pred + label*1e-9::DOUBLE AS pred FROM predictions) GROUP BY task_id""",
 )
 def _(spark, d):
@@ -49,8 +49,8 @@ def _(spark, d):
     "loss_report", "predictions",
     """SELECT device, round(avg(w*g*g), 9) AS mse, round(avg(w*r*r), 9) AS mspe, round(avg(w*r), 9) AS mape,
        round(1000*avg(w*g*g) + avg(w*r), 6) AS mse_mape, round(0.5*avg(w*g*g) + 0.5*avg(w*r), 9) AS mixed,
-       round(avg(w*g)*avg(w*g), 9) AS mean_error_sq, round(avg(w*g**4), 9) AS k_power
-       FROM (SELECT device, pred-label AS g, abs((pred-label)/label) AS r, 1/(1+exp(-label)) AS w FROM predictions) GROUP BY device""",
+       round(avg(w*g)*avg(w*g), 9) AS mean_error_sq, round(avg(w*g**4), 9) AS k_power, count(*) FILTER (WHERE label = 0) AS undefined
+       FROM (SELECT device, label, pred-label AS g, abs((pred-label)/label) AS r, 1/(1+exp(-label)) AS w FROM predictions) GROUP BY device""",
 )
 def _(spark, d):
     out = metrics.loss_report(views.predictions(spark, d), keys=["device"], weighted=True)
@@ -186,18 +186,21 @@ def _(spark, d):
     return rounded(domain.domain_vs_rest(views.vectors(spark, d), "domain"), 6, "cmd", "centroid")
 
 
-_D2 = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1]-z[2])*(z[1]-z[2])))"
-_KERN = f"(SELECT avg(exp(-d2) + exp(-0.1::DOUBLE*d2) + exp(-0.001::DOUBLE*d2)) FROM (SELECT {_D2} AS d2 FROM {{}} a, {{}} b))"
+_DIGIT = "('0x' || substr(md5(f || '/' || pos), {}, 8))::BIGINT"
+_WAVE = """(SELECT g, f, avg(cos(a)) AS c, avg(sin(a)) AS s FROM
+    (SELECT id, g, f, sum(v*w) AS a FROM vector_entries JOIN basis USING (pos) WHERE {} GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query("mmd", "vectors",
-       f"SELECT round({_KERN.format('p', 'p')} - 2*{_KERN.format('p', 'q')} + {_KERN.format('q', 'q')}, 9) AS mmd",
-       p="SELECT x FROM vectors WHERE domain < 5 ORDER BY md5('0' || id), id LIMIT 2048",
-       q="SELECT x FROM vectors WHERE domain >= 5 ORDER BY md5('0' || id), id LIMIT 2048")
+@query("mmd", "vectors vector_entries",
+       f"""SELECT round(sum(part), 6) AS mmd FROM (SELECT g, avg((p.c-q.c)**2 + (p.s-q.s)**2) AS part
+           FROM {_WAVE.format("domain < 5")} p JOIN {_WAVE.format("domain >= 5")} q USING (g, f) GROUP BY g)""",
+       basis=f"""SELECT g, f, pos, sqrt(2*g)*sqrt(-2*ln(({_DIGIT.format(1)} + 1)/4294967296.0::DOUBLE))*cos(2*pi()*({_DIGIT.format(9)}/4294967296.0::DOUBLE)) AS w
+           FROM (SELECT unnest({list(domain.RBF_SCALES)}::DOUBLE[]) AS g), (SELECT unnest(range({domain.MMD_FREQUENCIES})) AS f),
+                (SELECT DISTINCT pos FROM vector_entries)""")
 def _(spark, d):
     v = views.vectors(spark, d)
     value = domain.mmd(v.where("domain < 5"), v.where("domain >= 5"))
-    return v.agg(F.round(F.lit(value), 9).alias("mmd"))
+    return v.agg(F.round(F.lit(value), 6).alias("mmd"))
 
 
 @query(

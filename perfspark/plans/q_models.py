@@ -131,10 +131,18 @@ def _(spark, d):
     return models.good_bad_forest(metrics.best_worst(p, "sample_id", thirds=True), "x", "sample_id")
 
 
-@query("per_group_models", "")
+@query(
+    "per_group_models", "samples",
+    """SELECT task_id, round(avg(abs((avg - (a*features[1] + b))/avg)), 6) AS mape, count(*) AS n FROM
+       (SELECT * FROM samples WHERE NOT substr(md5(sample_id), 1, 1) < 'd') LEFT JOIN
+       (SELECT task_id, regr_slope(avg, features[1]) AS a, regr_intercept(avg, features[1]) AS b FROM samples
+        WHERE substr(md5(sample_id), 1, 1) < 'd' GROUP BY task_id) USING (task_id) GROUP BY task_id""",
+)
 def _(spark, d):
-    train, test = _train_test(spark, d)
-    return models.per_group_models(train, test, "device", "x", "label", rounds=5)
+    s = views.samples(spark, d).select("sample_id", "task_id", F.col("avg").alias("label"), F.col("features")[0].alias("quantity"))
+    train = F.substring(F.md5("sample_id"), 1, 1) < "d"
+    out = models.per_group_models(s.where(train), s.where(~train), "task_id", {"quantity": F.col("quantity")}, "label")
+    return rounded(out, 6, "mape")
 
 
 @query(

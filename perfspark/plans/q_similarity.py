@@ -64,21 +64,21 @@ def _(spark, d):
 
 _PAIRED = """SELECT {j} AS entry, count(*) AS pairs, count(*) FILTER (WHERE a.y = b.y) AS same_label_pairs,
     round(sum((a.y-b.y)*(a.x{j}-b.x{j}))/sum((a.x{j}-b.x{j})*(a.x{j}-b.x{j})), 6) AS slope
-    FROM s a JOIN s b ON {on} AND a.task_id = b.task_id AND a.sample_id < b.sample_id AND a.x{j} <> b.x{j}
+    FROM s a JOIN s b ON {on} AND a.sample_id < b.sample_id AND a.x{j} <> b.x{j}
     """
 
 
 @query(
     "one_entry_differs", "coarse_samples",
     " UNION ALL ".join(
-        _PAIRED.format(j=j, on=" AND ".join(f"a.x{i}=b.x{i}" for i in range(3) if i != j)) for j in range(3)
+        _PAIRED.format(j=j, on=" AND ".join(f"a.x{i}=b.x{i}" for i in range(4) if i != j)) for j in range(4)
     ),
-    s="SELECT * FROM coarse_samples",
+    s="SELECT sample_id, y, x0, x1, x2, task_id::DOUBLE AS x3 FROM coarse_samples",
 )
 def _(spark, d):
     s = views.coarse_samples(spark, d).select(
         "sample_id", "y", F.concat(F.slice("x", 1, 3), F.array(F.col("task_id").cast("double"))).alias("x"))
-    out = similarity.one_entry_differs(s).where("entry < 3")
+    out = similarity.one_entry_differs(s)
     return out.withColumn("slope", F.round("slope", 6))
 
 

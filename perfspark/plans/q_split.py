@@ -90,18 +90,16 @@ def _(spark, d):
 
 
 def _classes(spark, d):
-    return views.table(spark, d, "documents").where("lang IN ('en', 'de')").select("doc_id", "lang")
+    return views.table(spark, d, "documents").select("doc_id", "lang")
 
 
 @query(
     "upsample_minority", "",
-    """SELECT doc_id, lang, count(*) AS copies FROM (
-         SELECT doc_id, lang FROM c WHERE lang <> small UNION ALL
-         SELECT doc_id, lang FROM (SELECT *, unnest(generate_series(0, (large + low - 1)//low - 1)) AS k FROM c WHERE lang = small)
-         WHERE k*low + r <= large) GROUP BY ALL""",
-    c="""SELECT *, min(n) OVER () AS low, max(n) OVER () AS large, first_value(lang) OVER (ORDER BY n, lang) AS small FROM
+    """SELECT doc_id, lang, count(*) AS copies FROM
+         (SELECT *, unnest(generate_series(0, (large + n - 1)//n - 1)) AS k FROM c) WHERE k*n + r <= large GROUP BY ALL""",
+    c="""SELECT *, max(n) OVER () AS large FROM
          (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n
-          FROM documents WHERE lang IN ('en','de'))""",
+          FROM documents)""",
 )
 def _(spark, d):
     return split.upsample(_classes(spark, d), "lang", "doc_id").groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("copies"))
@@ -110,8 +108,8 @@ def _(spark, d):
 @query(
     "downsample_majority", "",
     """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('0' || doc_id), doc_id) AS r
-         FROM documents WHERE lang IN ('en','de'))
-       WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents WHERE lang IN ('en','de') GROUP BY lang))""",
+         FROM documents)
+       WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))""",
 )
 def _(spark, d):
     return split.downsample(_classes(spark, d), "lang", "doc_id")
@@ -152,8 +150,9 @@ def _(spark, d):
 
 
 @query("common_tasks", "network_tasks",
-       """SELECT (SELECT count(DISTINCT k) FROM x WHERE network = 'Brand_3') AS in_a, (SELECT count(DISTINCT k) FROM x WHERE network = 'Brand_4') AS in_b,
-          (SELECT count(*) FROM (SELECT k FROM x WHERE network = 'Brand_3' INTERSECT SELECT k FROM x WHERE network = 'Brand_4')) AS common""",
+       """SELECT k AS workload_key, bool_or(network = 'Brand_3') AS in_a, bool_or(network = 'Brand_4') AS in_b,
+                 bool_or(network = 'Brand_3') AND bool_or(network = 'Brand_4') AS common
+          FROM x WHERE network IN ('Brand_3', 'Brand_4') GROUP BY k""",
        x="SELECT network, bs || '/' || task_id % 5 AS k FROM network_tasks")
 def _(spark, d):
     n = views.network_tasks(spark, d).withColumn(

@@ -32,10 +32,9 @@ def _(spark, d):
 
 
 @query("label_range", "samples",
-       """SELECT round(avg(avg), 9) AS mean, min(avg) AS min, max(avg) AS max FROM samples
-          WHERE task_id IN (SELECT DISTINCT task_id FROM samples ORDER BY 1 LIMIT 20)""")
+       "SELECT round(avg(avg), 9) AS mean, min(avg) AS min, max(avg) AS max FROM samples")
 def _(spark, d):
-    return rounded(stats.label_range(views.samples(spark, d), "avg", 20), 9, "mean")
+    return rounded(stats.label_range(views.samples(spark, d), "avg"), 9, "mean")
 
 
 @query("entry_profile", "vector_entries",
@@ -146,8 +145,8 @@ def _(spark, d):
 
 @query(
     "network_task_errors", "samples predictions network_tasks",
-    """SELECT t.task_id, error, CASE WHEN coalesce(in_range, 0) = 0 THEN 'no state in the required cost range'
-              WHEN fits = 0 THEN 'no data for required leaf count' END AS reason
+    """SELECT t.task_id, error, CASE WHEN coalesce(in_range, 0) = 0 THEN 'cost_range'
+              WHEN fits = 0 THEN 'leaf_count' END AS reason
        FROM (SELECT DISTINCT task_id FROM network_tasks WHERE network = 'Brand_1') t LEFT JOIN
          (SELECT task_id, count(*) FILTER (WHERE avg BETWEEN 1.0475::DOUBLE AND 1.06::DOUBLE) AS in_range,
                  count(*) FILTER (WHERE avg BETWEEN 1.0475::DOUBLE AND 1.06::DOUBLE AND leaves = 5) AS fits,
@@ -305,7 +304,7 @@ _LEARN = """SELECT device, (r - 1)//2 AS pair, count(*) AS n,
     max(avg) FILTER (WHERE r % 2 = 1) AS ya, max(avg) FILTER (WHERE r % 2 = 0) AS yb
     FROM (SELECT device, features[1] AS f0, features[3] AS f2, avg,
                  row_number() OVER (PARTITION BY device ORDER BY md5('0' || sample_id), sample_id) AS r FROM samples)
-    WHERE r <= 20000 GROUP BY ALL HAVING count(*) = 2"""
+    GROUP BY ALL HAVING count(*) = 2"""
 
 
 @query(
@@ -314,7 +313,7 @@ _LEARN = """SELECT device, (r - 1)//2 AS pair, count(*) AS n,
     p=_LEARN,
 )
 def _(spark, d):
-    out = stats.learnability(views.samples(spark, d), "device", "sample_id", "features", "avg", 10000, [1, 3])
+    out = stats.learnability(views.samples(spark, d), "device", "sample_id", "features", "avg", skip=[1, 3])
     return out.withColumn("norm", F.round(F.col("norm") / 1e3, 6))
 
 
@@ -405,11 +404,13 @@ def _(spark, d):
 
 
 @query("invalid_flops_by_network", "task_stat",
-       """SELECT network, count(DISTINCT task_id) AS invalid_tasks, min(task_id) AS first_task FROM
-          (SELECT unnest(networks) AS network, task_id FROM task_stat WHERE error IS NOT NULL) GROUP BY 1""")
+       """SELECT network, count(DISTINCT task_id) AS invalid_tasks, string_agg(DISTINCT task_id::VARCHAR, ',' ORDER BY task_id::VARCHAR) AS tasks,
+                 rank() OVER (ORDER BY count(DISTINCT task_id) DESC, network) AS place FROM
+          (SELECT unnest(networks) AS network, task_id FROM task_stat WHERE error IS NOT NULL) GROUP BY network""")
 def _(spark, d):
     t = views.task_stat(spark, d).withColumn("flops", F.when(F.col("error").isNotNull(), -1).otherwise(F.col("n_rows")))
-    return stats.invalid_flops_by_network(t)
+    out = stats.invalid_flops_by_network(t)
+    return out.withColumn("tasks", F.array_join(F.array_sort(F.col("tasks").cast("array<string>")), ","))
 
 
 @query("log_flops", "samples", "SELECT sample_id, round(log10(greatest(flops, 1)), 9) AS log_flops FROM samples")
