@@ -245,13 +245,13 @@ def least_squares_many(
     rows = df.select(*keys, flat.alias("__f")).where(~F.exists("__f", lambda v: v.isNull() | F.isnan(v)))
     parts = rows.mapInPandas(products, key_schema + "i int, v double")
     gram = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v")).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("g"))
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("__g"))
 
     def solve(batches):
         for batch in batches:
             out = []
             for r in batch.to_dict("records"):
-                values = np.asarray(r["g"], dtype=float)
+                values = np.asarray(r["__g"], dtype=float)
                 g = np.zeros((width, width))
                 g[upper] = values[:-1]
                 g = g + np.triu(g, 1).T

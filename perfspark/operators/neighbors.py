@@ -1,9 +1,12 @@
 """Exact nearest neighbours without comparing every row with every row.
 
-A bounded set of pivot points cuts space into cells.  Cell radii give, by the
-triangle inequality, a distance no true neighbour can exceed and so the few
-cells a query has to visit.  Cells are cut further so that one task holds a
-bounded number of points and queries, whatever the size of a cell.
+Pivot points cut space into cells, about one for every ``POINTS_PER_PIVOT``
+points.  A query first looks into one part of its own cell: the k-th distance
+found there is one that no true neighbour can exceed.  It then visits only the
+cells that can hold something as close, by the triangle inequality on the
+cells' radii and by the half distance to the border between two cells.  Cells
+are cut further so that one task holds a bounded number of points and queries,
+whatever the size of a cell.
 """
 
 from __future__ import annotations
@@ -18,9 +21,13 @@ from pyspark.sql import types as T
 
 from perfspark.runtime import materialize, small_side
 
-PIVOTS = 2048
 BLOCK = 2048
 POINTS_PER_PIVOT = 1024
+#: Most pivots, as every point and query is compared with all of them.  With
+#: more points the cells grow, and their parts spread over more tasks.
+PIVOTS = 2048
+#: Bytes of the cells' description that are broadcast at most.
+SUMMARY_BYTES = 64 << 20
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -35,6 +42,23 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _closest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``a`` the places and distances of its ``k`` nearest rows of
+    ``b``, ties by place.  A matrix product ranks roughly; what it cannot tell
+    apart is measured exactly."""
+    k = min(k, len(b))
+    rough = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    slack = 1e-9 * (1 + (a * a).sum(axis=1) + (b * b).sum(axis=1).max())
+    bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
+    places, found = np.empty((len(a), k), np.int64), np.empty((len(a), k))
+    for i in range(len(a)):
+        near = np.flatnonzero(rough[i] <= bound[i])
+        d = np.sqrt(((a[i] - b[near]) ** 2).sum(axis=1))
+        best = np.argsort(d, kind="stable")[:k]
+        places[i], found[i] = near[best], d[best]
+    return places, found
+
+
 def _with_pivot_distances(df: DataFrame, pivots: np.ndarray, x: str) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("__d", T.ArrayType(T.DoubleType()))])
 
@@ -70,18 +94,91 @@ def _nearest(block: int, k: int):
         out = []
         for i in range(0, len(left), block):
             part = left.iloc[i : i + block]
-            d = _distances(_matrix(part["qx"]), points)
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best, dist = _closest(_matrix(part["qx"]), points, k)
             out.append(pd.DataFrame({
-                "qid": np.repeat(part["qid"].to_numpy(), best.shape[1]),
-                "pid": ids[best.ravel()],
-                "dist": np.take_along_axis(d, best, axis=1).ravel(),
+                "qid": np.repeat(part["qid"].to_numpy(), best.shape[1]), "pid": ids[best.ravel()], "dist": dist.ravel(),
             }))
         return pd.concat(out, ignore_index=True)
 
     return find
 
 
+def _limit(k: int):
+    """Largest distance among the ``k`` nearest, per query; none if there are
+    fewer points."""
+    find = _nearest(BLOCK, k)
+
+    def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or len(right) < k:
+            return pd.DataFrame({"qid": [], "limit": []})
+        found = find(left, right).groupby("qid", sort=False)["dist"].max()
+        return pd.DataFrame({"qid": list(found.index), "limit": found.to_numpy()})
+
+    return bound
+
+
+def visits_of(
+    queries: DataFrame, points: DataFrame, k: int, x: str = "x", id_col: str = "id", same: Sequence[str] = (),
+    pivots: int | None = None, block: int = BLOCK,
+) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Placed points, cells, and the visits (g, qid, qx, cell) that suffice for
+    the ``k`` nearest of every query; None without points."""
+    group: Column = F.to_json(F.struct(*same)) if same else F.lit("")
+    # Copies of one point: only the k smallest ids can matter.
+    copies = Window.partitionBy("g", "px").orderBy("pid")
+    pts = materialize(
+        points.select(group.alias("g"), F.col(id_col).alias("pid"), F.col(x).cast("array<double>").alias("px"))
+        .withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k).drop("__n")
+    )
+    wanted = min(PIVOTS, pts.count() // POINTS_PER_PIVOT) if pivots is None else pivots
+    qs = queries.select(group.alias("g"), F.col(id_col).alias("qid"), F.col(x).cast("array<double>").alias("qx"))
+    chosen = pts.orderBy(F.md5(F.col("pid").cast("string"))).select("px").limit(max(1, wanted)).collect()
+    if not chosen:
+        return None
+    centre = np.array([r["px"] for r in chosen], dtype=float)
+    placed = materialize(_placed(pts, centre, "px").withColumn("part", F.xxhash64("pid")))
+    cells = materialize(placed.groupBy("g", "cell").agg(
+        F.count(F.lit(1)).alias("points"), F.min("r").alias("lo"), F.max("r").alias("hi")))
+
+    # First look: one part of the query's own cell bounds the k-th distance.
+    own = materialize(_placed(qs, centre, "qx"))
+    parts = F.ceil(F.col("points") / block)
+    asks = own.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("asks"))
+    # a part with very many queries is shown to several tasks
+    sized = small_side(materialize(cells.join(asks, ["g", "cell"]).select(
+        "g", "cell", parts.cast("int").alias("parts"), F.ceil(F.col("asks") / (4 * block) / parts).cast("int").alias("lanes"))))
+    asked = own.join(sized, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).withColumn(
+        "lane", F.pmod(F.xxhash64("qid", F.lit(7)), F.col("lanes")).cast("int"))
+    shown = placed.join(sized, ["g", "cell"]).withColumn("part", F.pmod("part", F.col("parts"))).withColumn(
+        "lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    keys = ["g", "cell", "part", "lane"]
+    limits = asked.select(*keys, "qid", "qx").groupBy(*keys).cogroup(
+        shown.select(*keys, "pid", "px").groupBy(*keys)
+    ).applyInPandas(_limit(k), T.StructType([T.StructField("qid", qs.schema["qid"].dataType), T.StructField("limit", T.DoubleType())]))
+    bounds = limits.groupBy("qid").agg(F.min("limit").alias("limit"))
+
+    # Second look: cells that can hold something as close.
+    summary = materialize(cells.groupBy("g").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells")))
+    measured = _with_pivot_distances(own.withColumnRenamed("r", "near").drop("cell"), centre, "qx")
+    ready = measured.join(small_side(summary, max_bytes=SUMMARY_BYTES), "g").join(bounds, "qid", "left")
+    limit = F.coalesce(F.col("limit"), F.lit(float("inf"))) * (1 + 1e-9) + 1e-12
+    reach = lambda c: F.element_at("__d", c["cell"])
+    visit = F.filter("cells", lambda c: F.greatest(
+        reach(c) - c["hi"], c["lo"] - reach(c), (reach(c) - F.col("near")) / 2) <= limit)
+    visits = ready.select("g", "qid", "qx", F.explode(F.transform(visit, lambda c: c["cell"])).alias("cell"))
+    return placed, cells, materialize(visits)
+
+
+def visited_share(queries: DataFrame, points: DataFrame, k: int, **options) -> float:
+    """Share of the (query, cell) pairs that a search visits."""
+    found = visits_of(queries, points, k, **options)
+    if found is None:
+        return 0.0
+    _, cells, visits = found
+    every = queries.count() * cells.count()
+    return visits.count() / every if every else 0.0
+
+
 def nearest(
     queries: DataFrame,
     points: DataFrame,
@@ -89,7 +186,7 @@ def nearest(
     x: str = "x",
     id_col: str = "id",
     same: Sequence[str] = (),
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest points of every query: ``qid, pid, dist, nth``.
@@ -97,52 +194,12 @@ def nearest(
     ``same`` lists columns that must be equal on both sides.  Ties go to the
     smaller point id.  Queries without a point give no row.
     """
-    group: Column = F.to_json(F.struct(*same)) if same else F.lit("")
-    # Copies of one point: only the k smallest ids can matter.
-    copies = Window.partitionBy("g", "px").orderBy("pid")
-    pts = (
-        points.select(group.alias("g"), F.col(id_col).alias("pid"), F.col(x).cast("array<double>").alias("px"))
-        .withColumn("__n", F.row_number().over(copies))
-        .where(F.col("__n") <= k)
-        .drop("__n")
-    )
-    pts = materialize(pts)
-    pivots = max(1, min(pivots, pts.count() // POINTS_PER_PIVOT))
-    qs = queries.select(group.alias("g"), F.col(id_col).alias("qid"), F.col(x).cast("array<double>").alias("qx"))
-
-    chosen = pts.orderBy(F.md5(F.col("pid").cast("string"))).select("px").limit(pivots).collect()
-    if not chosen:
-        return qs.select("qid", F.lit(None).cast(pts.schema["pid"].dataType).alias("pid"),
-                         F.lit(0.0).alias("dist"), F.lit(1).alias("nth")).limit(0)
-    centre = np.array([r["px"] for r in chosen], dtype=float)
-
-    placed = materialize(_placed(pts, centre, "px"))
-
-    inner = Window.partitionBy("g", "cell").orderBy("r")
-    near = placed.select("g", "cell", "r").withColumn("n", F.row_number().over(inner)).where(F.col("n") <= k)
-    kth = near.groupBy("g", "cell").agg(F.max("r").alias("kth"), F.max("n").alias("have"))
-    cells = placed.groupBy("g", "cell").agg(
-        F.count(F.lit(1)).alias("points"), F.min("r").alias("lo"), F.max("r").alias("hi")
-    ).join(kth, ["g", "cell"])
-    # At most one entry per pivot, so the list is bounded.
-    summary = cells.groupBy("g").agg(F.collect_list(F.struct("cell", "lo", "hi", "kth", "have")).alias("cells"))
-
-    far = F.lit(float("inf"))
-    asked = _with_pivot_distances(qs, centre, "qx").join(small_side(summary), "g")
-    limits = F.transform(
-        "cells", lambda c: F.when(c["have"] >= k, F.element_at("__d", c["cell"]) + c["kth"]).otherwise(far)
-    )
-    slack = 1 + 1e-9
-    asked = asked.withColumn("__limit", F.array_min(limits) * slack + 1e-12)
-    visit = F.filter(
-        "cells",
-        lambda c: F.greatest(F.element_at("__d", c["cell"]) - c["hi"], c["lo"] - F.element_at("__d", c["cell"]))
-        <= F.col("__limit"),
-    )
-    visits = materialize(
-        asked.select("g", "qid", "qx", F.explode(F.transform(visit, lambda c: c["cell"])).alias("cell"))
-    )
-
+    qid, pid = queries.schema[id_col].dataType, points.schema[id_col].dataType
+    looked = visits_of(queries, points, k, x, id_col, same, pivots, block)
+    if looked is None:
+        return queries.select(F.col(id_col).alias("qid"), F.lit(None).cast(pid).alias("pid"),
+                              F.lit(0.0).alias("dist"), F.lit(1).alias("nth")).limit(0)
+    placed, cells, visits = looked
     load = cells.select("g", "cell", "points").join(
         visits.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("asks")), ["g", "cell"]
     ).select(
@@ -159,14 +216,8 @@ def nearest(
     found = (
         left.select(*keys, "qid", "qx").groupBy(*keys)
         .cogroup(right.select(*keys, "pid", "px").groupBy(*keys))
-        .applyInPandas(
-            _nearest(block, k),
-            T.StructType([
-                T.StructField("qid", qs.schema["qid"].dataType),
-                T.StructField("pid", pts.schema["pid"].dataType),
-                T.StructField("dist", T.DoubleType()),
-            ]),
-        )
+        .applyInPandas(_nearest(block, k), T.StructType([
+            T.StructField("qid", qid), T.StructField("pid", pid), T.StructField("dist", T.DoubleType())]))
     )
     order = Window.partitionBy("qid").orderBy("dist", "pid")
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)

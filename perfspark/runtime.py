@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes, as text, of a join side that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Paths written inside the open ``scope`` blocks, innermost last.
 _SCOPES: list[list[str]] = []
 
@@ -80,16 +82,18 @@ def scope(spark: SparkSession):
             _delete(spark, path)
 
 
-def lookup(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def lookup(df: DataFrame, max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A derived join side (one row per key): written once, then broadcast if
-    its row count allows it.  Without this the large side would be shuffled
-    before the small one is known to be small."""
-    return small_side(materialize(df), max_rows)
-
-
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else
-    unmarked, so that the join falls back to a shuffle.  The check reads no
-    more than ``max_rows + 1`` rows."""
-    few = df.limit(max_rows + 1).count() <= max_rows
+    its size allows it.  Without this the large side would be shuffled before
+    the small one is known to be small."""
+    return small_side(materialize(df), max_rows, max_bytes)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` rows of at
+    most ``max_bytes`` together, else unmarked, so that the join falls back to a
+    shuffle.  The check reads no more than ``max_rows + 1`` rows."""
+    text = F.to_json(F.struct("*"))
+    some = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    few = some["rows"] <= max_rows and (some["bytes"] or 0) <= max_bytes
     return F.broadcast(df) if few else df
