@@ -125,7 +125,7 @@ def inversions(df: DataFrame, keys: Sequence[str], least_block: int = 4096) -> D
     line = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
     grid = (
         rows.where("a = 1 AND blocks > 1").select(*keys, "blocks")
-        .withColumn("ab", F.explode(line)).withColumn("bb", F.explode(line))
+        .withColumn("ab", F.explode(line)).repartition(*keys, "ab").withColumn("bb", F.explode(line))
         .join(filled, [*keys, "ab", "bb"], "left").na.fill(0, ["h"])
     )
     before = Window.partitionBy(*keys, "bb").orderBy("ab").rowsBetween(Window.unboundedPreceding, -1)

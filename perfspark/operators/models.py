@@ -9,7 +9,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -33,11 +32,46 @@ def with_vector(df: DataFrame, x: str, into: str = "vec") -> DataFrame:
     return df.withColumn(into, array_to_vector(x))
 
 
-def kmeans(df: DataFrame, x: str, k: int = 10, seed: int = 0):
-    """Fitted model, and the rows with a ``cluster`` label."""
-    rows = with_vector(df, x)
-    model = KMeans(k=k, seed=seed, featuresCol="vec", predictionCol="cluster").fit(rows)
-    return model, model.transform(rows).drop("vec")
+def kmeans(df: DataFrame, x: str, k: int = 10, id_col: str = "id", steps: int = 20) -> tuple[list[list[float]], DataFrame]:
+    """Centres, and the rows with a ``cluster`` label.
+
+    Lloyd's steps from the first ``k`` different vectors in hash order of their
+    ids, so results repeat on any cluster.  A step is one aggregation: a batch
+    leaves one row per cluster.  An empty cluster keeps its centre; ties go to
+    the lower number.
+    """
+    first = df.groupBy(F.col(x).alias("x")).agg(F.min(F.struct(hash_order(id_col), F.col(id_col))).alias("o"))
+    centres = np.array([r["x"] for r in first.orderBy("o").limit(k).collect()], dtype=float)
+    if not len(centres):
+        return [], df.withColumn("cluster", F.lit(None).cast("int"))
+    for _ in range(steps):
+        sums = _cluster_sums(df, x, centres).groupBy("cluster").agg(
+            F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(centres.shape[1])])
+        moved = centres.copy()
+        for r in sums.collect():  # one row per cluster
+            moved[r["cluster"]] = [r[f"s{i}"] / r["n"] for i in range(centres.shape[1])]
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    table = F.array(*[arrays.literal(c) for c in centres.tolist()])
+    gaps = F.transform(table, lambda c: arrays.distance(F.col(x), c))
+    nearest = F.array_position(gaps, F.array_min(gaps)) - 1
+    return centres.tolist(), df.withColumn("cluster", nearest.cast("int"))
+
+
+def _cluster_sums(df: DataFrame, x: str, centres: np.ndarray) -> DataFrame:
+    def sums(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = np.stack(batch[x].to_numpy()).astype(float)
+            gaps = np.stack([((m - c) ** 2).sum(axis=1) for c in centres], axis=1)
+            nearest = gaps.argmin(axis=1)
+            found = np.unique(nearest)
+            yield pd.DataFrame({"cluster": found, "n": [int((nearest == c).sum()) for c in found],
+                                "s": [m[nearest == c].sum(axis=0) for c in found]})
+
+    return df.select(x).mapInPandas(sums, "cluster int, n bigint, s array<double>")
 
 
 def descriptor_clusters(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -104,11 +138,10 @@ def cluster_task_distance(df: DataFrame, centers: Sequence[Sequence[float]], x:
     )
 
 
-def select_kmeans(df: DataFrame, n: int, x: str = "x", task: str = "task_id", seed: int = 0) -> DataFrame:
+def select_kmeans(df: DataFrame, n: int, x: str = "x", task: str = "task_id", id_col: str = "id", steps: int = 20) -> DataFrame:
     """One cluster per wanted task: larger clusters choose first, each takes
     its nearest free task.  At most ``n`` candidates per cluster can matter."""
-    model, labelled = kmeans(df, x, n, seed)
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
+    centers, labelled = kmeans(df, x, n, id_col, steps)
     sizes = {r["cluster"]: r["count"] for r in labelled.groupBy("cluster").count().collect()}
     near = Window.partitionBy("cluster").orderBy("distance", task)
     table = cluster_task_distance(df, centers, x, task)

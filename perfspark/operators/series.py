@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perfspark.functions.numbers import ratio as divided
 from perfspark.operators import domain
@@ -51,31 +51,37 @@ def ema(
     ranked = ranked.withColumn("__b", F.floor((F.col("__r") - 1) / block)).withColumn(
         "__i", F.pmod(F.col("__r") - 1, F.lit(block))
     )
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__r")
-        return rows.assign(__s=rows[value].ewm(alpha=1 - weight, adjust=False).mean())
-
-    local = materialize(ranked.groupBy(*keys, "__b").applyInPandas(smooth, types + ", __s double"))
+    def smooth(batches):
+        s = 0.0
+        for rows in batches:
+            out = []
+            for i, x in zip(rows["__i"].tolist(), rows[value].tolist()):
+                s = x if i == 0 else weight * s + (1 - weight) * x
+                out.append(s)
+            yield rows.assign(__s=out)
+
+    # A task reads its blocks one after the other; row 0 starts a block.
+    ordered = ranked.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b", "__r")
+    local = materialize(ordered.mapInPandas(smooth, T.StructType([*ordered.schema.fields, T.StructField("__s", T.DoubleType())])))
     ends = local.groupBy(*keys, "__b").agg(
         F.min_by(value, "__r").alias("first"), F.max_by("__s", "__r").alias("last"), F.count(F.lit(1)).alias("rows")
     )
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__b")
-        carries, carry = [], None
-        for first, last, n in zip(rows["first"], rows["last"], rows["rows"]):
-            start = first if carry is None else carry
-            carries.append(start)
-            carry = last + weight**n * (start - first)
-        return rows.assign(carry=carries)[[*keys, "__b", "first", "carry"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in ends.schema.fields}
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in [*keys, "__b"]) + "first double, carry double"
-    whole = ends.groupBy(*keys).applyInPandas(chain, schema) if keys else ends.groupBy(F.lit(0)).applyInPandas(
-        chain, schema
-    )
+    def chain(batches):
+        carry = 0.0
+        for rows in batches:
+            carries = []
+            for b, first, last, n in zip(rows["__b"], rows["first"], rows["last"], rows["rows"]):
+                start = first if b == 0 else carry
+                carries.append(start)
+                carry = last + weight**n * (start - first)
+            yield rows.assign(carry=carries)[[*keys, "__b", "first", "carry"]]
+
+    fields = {f.name: f for f in ends.schema.fields}
+    schema = T.StructType([*[fields[c] for c in [*keys, "__b"]], T.StructField("first", T.DoubleType()), T.StructField("carry", T.DoubleType())])
+    series = ends.repartition(*keys) if keys else ends.coalesce(1)  # one row per block
+    whole = series.sortWithinPartitions(*keys, "__b").mapInPandas(chain, schema)
     joined = local.join(whole, [*keys, "__b"])
     s = F.col("__s") + F.pow(F.lit(weight), F.col("__i") + 1) * (F.col("carry") - F.col("first"))
     return joined.withColumn("ema", s).drop("__r", "__b", "__i", "__s", "first", "carry")

@@ -61,11 +61,12 @@ def _(spark, d):
     "pairwise_order_accuracy", "predictions",
     """SELECT a.g, max(n) AS n, round(coalesce(avg(((a.label > b.label) = (a.pred > b.pred))::INT), 0.5), 9) AS accuracy
        FROM p a JOIN p b ON a.g = b.g AND a.pos < b.pos JOIN (SELECT g AS gg, count(*) AS n FROM p GROUP BY 1) ON gg = a.g GROUP BY a.g""",
-    p="""SELECT task_id AS g, sample_id AS pos, round(label, 2) AS label, round(pred, 2) AS pred FROM predictions""",
+    p="""SELECT task_id AS g, row_number() OVER (PARTITION BY task_id ORDER BY sample_id, label, pred) AS pos, round(label, 2) AS label, round(pred, 2) AS pred FROM predictions""",
 )
 def _(spark, d):
+    # a sample may be listed twice: labels and predictions settle the order
     p = views.predictions(spark, d).select(
-        F.col("task_id").alias("g"), F.col("sample_id").alias("pos"), F.round("label", 2).alias("label"), F.round("pred", 2).alias("pred"))
+        F.col("task_id").alias("g"), F.struct("sample_id", "label", "pred").alias("pos"), F.round("label", 2).alias("label"), F.round("pred", 2).alias("pred"))
     return rounded(metrics.pairwise_order_accuracy(p, ["g"], "pos"), 9, "accuracy")
 
 

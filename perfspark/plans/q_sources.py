@@ -1,7 +1,5 @@
 """Queries: scans and sinks, over files that Spark writes from the tables."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from perfspark import runtime
@@ -15,7 +13,7 @@ from perfspark.sources import files, logs, records, sinks, tables, traces
 
 
 def scratch(spark):
-    return f"{runtime._app_folder(spark)}/files-{uuid.uuid4().hex}"
+    return f"{runtime.new_folder(spark)}/files"
 
 
 def text_file(df, spark, name=""):
@@ -269,14 +267,19 @@ def _(spark, d):
 def _(spark, d):
     sums = views.table(spark, d, "events").groupBy(F.concat_ws("_", "event_type", "user_id").alias("name")).agg(
         F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"))
-    body = sums.select(F.lit(1).alias("o"), F.concat_ws(",", F.concat(F.lit('"'), "name", F.lit('"')), "calls", "total").alias("value"))
-    fixed = spark.createDataFrame(
-        [(-4, "Another table"), (-3, "a,b"), (-2, " "), (-1, "GPU summary (ns):"), (0, "-----"), (0, "Name, Calls, Total"),
-         (2, " "), (3, "Tail,1,2")], "o int, value string")
+    # A report is one file; there are as many as rows ask for, each of some thousand lines.
+    reports = sums.count() // 4000 + 1
+    body = sums.select(
+        F.pmod(F.xxhash64("name"), F.lit(reports)).alias("report"), F.lit(1).alias("o"),
+        F.concat_ws(",", F.concat(F.lit('"'), "name", F.lit('"')), "calls", "total").alias("value"))
+    fixed = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(v).alias("value")) for o, v in (
+        (-4, "Another table"), (-3, "a,b"), (-2, " "), (-1, "GPU summary (ns):"), (0, "-----"), (0, "Name, Calls, Total"),
+        (2, " "), (3, "Tail,1,2"))])
+    frame = spark.range(reports).select(F.col("id").alias("report"), F.explode(fixed).alias("l")).select("report", "l.*")
     path = scratch(spark)
-    # A report is one file by nature: few rows, one writer.
-    fixed.unionByName(body).orderBy("o", F.length("value"), "value").coalesce(1).select("value").write.text(path)
-    lines = files.read_lines(spark, path, numbered=True)
+    frame.unionByName(body).repartition("report").sortWithinPartitions("report", "o", F.length("value"), "value").select("report", "value").write.partitionBy(
+        "report").text(path)
+    lines = files.read_lines(spark, f"{path}/*", numbered=True)
     return logs.report_section(lines, "GPU summary", "name string, calls bigint, total double").select("name", "calls", "total")
 
 

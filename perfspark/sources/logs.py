@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfspark.runtime import lookup
 from perfspark.functions.text import regex_groups, with_groups
 
 # One pattern per kind of line, with (column, type) per group.
@@ -96,7 +97,9 @@ def report_section(lines: DataFrame, title: str, schema: str) -> DataFrame:
     starts = lines.where(F.col("value").contains(title)).groupBy("path").agg((F.min("line_no") + 2).alias("__head"))
     blank = lines.where(F.trim("value") == "").join(starts, "path").where(F.col("line_no") > F.col("__head")).groupBy(
         "path").agg(F.min("line_no").alias("__end"))
-    framed = lines.join(starts, "path").join(blank, "path", "left")
+    # three numbers per file, so the lines stay where they are
+    frame = lookup(starts.join(blank, "path", "left"))
+    framed = lines.join(frame, "path")
     inside = (F.col("line_no") > F.col("__head")) & (F.col("__end").isNull() | (F.col("line_no") < F.col("__end")))
     row = F.from_csv("value", schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     return framed.where(inside).select("path", "line_no", row.alias("r")).select("path", "line_no", "r.*")

@@ -29,8 +29,9 @@ SAMPLE = T.StructType([
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """One folder per device and task, so that scans prune by both."""
-    samples.repartition("device", "task_id").write.partitionBy("device", "task_id").parquet(path)
+    """One folder per device and task, so that scans prune by both.  Writers are
+    balanced by size: a task with very many rows has several files."""
+    samples.hint("rebalance", "device", "task_id").write.partitionBy("device", "task_id").parquet(path)
 
 
 def scan_samples(spark: SparkSession, path: str, width: int | None = None, tasks: DataFrame | None = None) -> DataFrame:

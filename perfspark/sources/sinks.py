@@ -24,10 +24,9 @@ def write_shards(rows: DataFrame, path: str, manifest: dict, id_col: str = "samp
         F.when(F.col("split_code").bitwiseAND(TEST) != 0, F.lit("test")),
     ))
     both = rows.withColumn("split", F.explode(sides)).drop("split_code")
-    # A few writers per shard: one task never holds a whole hot shard.
-    salt = F.pmod(F.xxhash64(id_col), F.lit(8))
+    # Writers are balanced by size: a hot shard has several.
     (
-        both.repartition("split", "shard_id", salt)
+        both.hint("rebalance", "split", "shard_id")
         .sortWithinPartitions("split", "shard_id", hash_order(id_col, seed))
         .write.mode("errorifexists").partitionBy("split", "shard_id").parquet(f"{path}/data")
     )
