@@ -324,12 +324,13 @@ def enrich_device_pair(
     short = {"SM_count": "sm_num", "BW_gbps": "bw", "clock_MHz": "clock"}
 
     def side(prefix):
-        return devices.select(
+        return catalog.select(
             F.col("device_name").alias(prefix),
             *[F.col(w).alias(f"{prefix}_{short.get(w, w)}") for w in wanted],
         )
 
     c = F.col
+    catalog = lookup(devices.select("device_name", *wanted))  # written once, broadcast if small
     out = df.join(side(source), source).join(side(target), target)
     tensor = (c("dtype") == "fp16") & (c("tensor_core_or_not") == "tensorop")
     for p in (source, target):
@@ -395,7 +396,7 @@ def device_feature_vector(top: dict[str, float] = DEVICE_MAX) -> Column:
 
 # --------------------------------------------------------- tensor attributes
 
-# One tensor attribute text; four reserved shape sizes.
+# One tensor attribute text; sizes kept of a shape.
 TENSOR_PATTERN = (
     r"([\w:/\-]+)  \|  (\[[\d,]+\])  \|  ((?:float|int)(?:8|16|32))  \|  "
     r"zp = (-?\d+), scale = ([\d.\-e]+)  \|  ModelParam = (0|1)  \|  "
@@ -424,17 +425,20 @@ def tensor_numbers(text: Column) -> Column:
 
 
 def tensor_attr_features(
-    inputs: Column, output: Column, extra: Sequence[Column] = (), length: int = FEATURE_LEN
+    inputs: Column, output: Column, extra: Sequence[Column] = (), length: int = FEATURE_LEN, most: int = MAX_INPUTS
 ) -> Column:
-    """Numbers of up to three inputs and one output, then ``extra``, zero padded."""
+    """Numbers of up to ``most`` inputs and one output, then ``extra``, zero
+    padded to ``length``.  Null where the inputs or the numbers do not fit."""
     per_tensor = 6 + TENSOR_DIMS
-    got = F.flatten(F.transform(F.slice(inputs, 1, MAX_INPUTS), tensor_numbers))
-    missing = F.greatest(F.lit(MAX_INPUTS) - F.size(inputs), F.lit(0)) * per_tensor
+    if (most + 1) * per_tensor + len(extra) > length:
+        raise ValueError(f"{most} inputs and {len(extra)} numbers do not fit into {length}")
+    got = F.flatten(F.transform(inputs, tensor_numbers))
+    missing = (F.lit(most) - F.size(inputs)) * per_tensor
     row = F.concat(
         got, F.array_repeat(F.lit(0.0), missing), tensor_numbers(output), F.array(*[e.cast("double") for e in extra]),
         F.array_repeat(F.lit(0.0), length),
     )
-    return F.slice(row, 1, length)
+    return F.when(F.size(inputs) <= most, F.slice(row, 1, length))
 
 
 # ------------------------------------------------------------ nested scopes

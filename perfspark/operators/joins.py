@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
-from perfspark.runtime import small_side
+from perfspark.runtime import lookup, small_side
 
 # Fixed value: cost in seconds that marks a record without a measurement.
 INVALID_TIME = 1e10
@@ -207,7 +207,7 @@ def graph_edges(nodes: DataFrame, keys: Sequence[str] = (), kind: str = "tvm_op"
 
 def node_cost(nodes: DataFrame, costs: DataFrame, key: str) -> DataFrame:
     """Cost per node by key; a missing one is 0 and marked."""
-    joined = nodes.join(costs.select(key, F.col("cost").alias("__c")), key, "left")
+    joined = nodes.join(lookup(costs.select(key, F.col("cost").alias("__c"))), key, "left")
     return joined.withColumn("cost", F.greatest(F.coalesce("__c", F.lit(0.0)), F.lit(0.0))).withColumn(
         "missing", F.col("__c").isNull()
     ).drop("__c")

@@ -79,7 +79,7 @@ def descriptor_clusters(df: DataFrame, key: Column, order: str) -> DataFrame:
     keyed = df.withColumn("__key", key)
     first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
     ids = add_rank(first, ["__first"], (), "cluster").select("__key", (F.col("cluster") - 1).alias("cluster"))
-    return keyed.join(ids, "__key").drop("__key")
+    return keyed.join(lookup(ids), "__key").drop("__key")
 
 
 def pca(df: DataFrame, x: str, k: int = 2):
@@ -479,17 +479,35 @@ def routed_transform(df: DataFrame, target: Column, models: dict[str, Callable[[
 
 # ----------------------------------------------------------------- forecast
 
-# Shifts tried in a / (x + b) + c.
-FORECAST_SHIFTS = [0.0] + [round(10 ** (-2 + i / 8), 6) for i in range(41)]
+#: Shifts b of a / (x + b) + c, as multiples of the range of x: a first grid,
+#: then finer factors around the best.  Beyond the last one the curve is a
+#: straight line over the data, and no limit can be read from it.
+SHIFT_GRID = [0.0] + [round(10 ** (-3 + i / 4), 9) for i in range(21)]
+SHIFT_STEPS = [[round(10 ** ((i - 6) / 24), 9) for i in range(13)], [round(10 ** ((i - 6) / 144), 9) for i in range(13)]]
 
 
-def forecast(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float | None = None, shifts: Sequence[float] = tuple(FORECAST_SHIFTS)) -> DataFrame:
+def forecast(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float | None = None) -> DataFrame:
     """Fit ``a/(x+b)+c`` with a, b, c >= 0 per key and give its value at ``at``
-    or its limit.  For a given b the fit is linear and comes from sums."""
+    or its limit.  For a given b the fit is linear and comes from sums; b is
+    searched on a grid that follows the range of x, then refined twice."""
     keys = list(keys)
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.explode(arrays.literal(shifts)).alias("b"))
+    rows = materialize(df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")))
+    spans = rows.groupBy(*keys).agg((F.max("__x") - F.min("__x")).alias("__span"))
+    tried = spans.withColumn("b", F.transform(arrays.literal(SHIFT_GRID), lambda g: g * F.col("__span")))
+    best = _best_curve(rows, tried, keys)
+    for factors in SHIFT_STEPS:
+        tried = best.withColumn("b", F.transform(arrays.literal(factors), lambda g: g * F.col("f.b")))
+        best = _best_curve(rows, tried, keys)
+    value = F.col("f.c") if at is None else F.col("f.a") / (F.lit(float(at)) + F.col("f.b")) + F.col("f.c")
+    return best.select(*keys, "f.a", "f.b", "f.c", value.alias("forecast"))
+
+
+def _best_curve(rows: DataFrame, tried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key the least-squares curve among the shifts in the array ``b``."""
+    shifts = lookup(tried.select(*keys, "b"))
+    each = rows.join(shifts, list(keys)).withColumn("b", F.explode("b"))
     u, v = 1 / (F.col("__x") + F.col("b")), F.col("__y")
-    s = rows.groupBy(*keys, "b").agg(
+    s = each.where(F.col("__x") + F.col("b") > 0).groupBy(*keys, "b").agg(
         F.count(F.lit(1)).alias("n"), F.avg(u).alias("mu"), F.avg(v).alias("my"),
         F.var_pop(u).alias("vu"), F.covar_pop(u, v).alias("cuy"), F.var_pop(v).alias("vy"))
     n, mu, my, vu, c, vy = (F.col(k) for k in ("n", "mu", "my", "vu", "cuy", "vy"))
@@ -502,6 +520,4 @@ def forecast(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float | Non
     fitted = s.withColumn("a", a).withColumn("c", top)
     bias = F.col("my") - F.col("a") * F.col("mu") - F.col("c")
     sse = n * (vy - 2 * F.col("a") * F.col("cuy") + F.col("a") ** 2 * vu + bias * bias)
-    best = fitted.withColumn("sse", sse).groupBy(*keys).agg(F.min(F.struct("sse", "b", "a", "c")).alias("f"))
-    value = F.col("f.c") if at is None else F.col("f.a") / (F.lit(float(at)) + F.col("f.b")) + F.col("f.c")
-    return best.select(*keys, "f.a", "f.b", "f.c", value.alias("forecast"))
+    return fitted.withColumn("sse", sse).groupBy(*keys).agg(F.min(F.struct("sse", "b", "a", "c")).alias("f"))

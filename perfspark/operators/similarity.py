@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
-from perfspark.operators.ranking import add_rank, drop_halo, in_blocks
-from perfspark.runtime import materialize
+from perfspark.operators.ranking import add_rank, drop_halo, in_blocks, percentiles
+from perfspark.runtime import lookup, materialize
 
 # Fixed value: relative label gap from which copies count as conflicting.
 CONFLICT_RATIO = 0.05
+# Percentiles kept of the gaps between copies.
+GAP_PERCENTILES = [5, 10, 25, 50, 75, 90, 95]
+#: Different labels of a key that are compared in one row.
+FEW_LABELS = 256
 
 
 def _pairs(n):
@@ -32,14 +36,14 @@ def conflicting(df: DataFrame, x: str = "x", y: str = "y", bound: float = CONFLI
     """
     top = df.groupBy(x).agg(F.max(y).alias("__top"))
     gap = ratio(2 * (F.col("__top") - F.col(y)), F.col("__top") + F.col(y))
-    return df.join(top, x).where(~F.coalesce(gap >= bound, F.lit(False))).drop("__top")
+    return df.join(lookup(top), x).where(~F.coalesce(gap >= bound, F.lit(False))).drop("__top")
 
 
 def conflicting_between(kept: DataFrame, later: DataFrame, x: str = "x", y: str = "y", bound: float = CONFLICT_RATIO) -> DataFrame:
     """Rows of ``later`` without a conflicting larger copy in ``kept``."""
     top = kept.groupBy(x).agg(F.max(y).alias("__top"))
     gap = ratio(2 * (F.col("__top") - F.col(y)), F.col("__top") + F.col(y))
-    return later.join(top, x, "left").where(~F.coalesce(gap >= bound, F.lit(False))).drop("__top")
+    return later.join(lookup(top), x, "left").where(~F.coalesce(gap >= bound, F.lit(False))).drop("__top")
 
 
 def duplicate_groups(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -62,10 +66,26 @@ def duplicate_groups(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     ).drop("low", "high")
 
 
-def label_gap_sums(df: DataFrame, keys: Sequence[str], y: str, block: int = 1024) -> DataFrame:
+def mean_gaps(df: DataFrame, x: str = "x", y: str = "y", block: int = 1024) -> DataFrame:
+    """Per vector whose copies differ in their labels: those pairs, and the
+    mean of their relative gaps ``2|a-b|/(a+b)``."""
+    sizes = df.groupBy(x, F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("n")).groupBy(x).agg(
+        (_pairs(F.sum("n")) - F.sum(_pairs(F.col("n")))).cast("bigint").alias("diff_y_pairs")).where("diff_y_pairs > 0")
+    return sizes.join(label_gap_sums(df, [x], y, block), x).select(
+        x, "diff_y_pairs", (F.col("gap_sum") / F.col("diff_y_pairs")).alias("mean_gap"))
+
+
+def gap_distribution(gaps: DataFrame) -> DataFrame:
+    """One row: extremes and percentiles of the groups' mean gaps."""
+    points = {f"p{p}": p / 100 for p in GAP_PERCENTILES}
+    return percentiles(gaps, "mean_gap", {"low": 0.0, **points, "high": 1.0})
+
+
+def label_gap_sums(df: DataFrame, keys: Sequence[str], y: str, block: int = 1024, few: int = FEW_LABELS) -> DataFrame:
     """Per key the sum of ``2|a-b|/(a+b)`` over all pairs of rows.
 
-    Equal labels are merged with their counts, labels are numbered, and blocks
+    Equal labels are merged with their counts.  Keys with few different labels
+    are summed where they are; for the others labels are numbered, and blocks
     of them meet block by block inside tasks; only one sum leaves each task.
     """
     import numpy as np
@@ -73,7 +93,15 @@ def label_gap_sums(df: DataFrame, keys: Sequence[str], y: str, block: int = 1024
 
     keys = list(keys)
     labels = df.groupBy(*keys, F.col(y).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = add_rank(labels, ["__y"], keys, "__r", "__size")
+    labels = materialize(labels)
+    sizes = lookup(labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")))
+    sized = labels.join(sizes, keys)
+    gathered = sized.where(F.col("__m") <= few).groupBy(*keys).agg(F.collect_list(F.struct("__y", "__n")).alias("__l"))
+    gap = lambda p, q: F.when(q["__y"] > p["__y"], F.coalesce(
+        ratio(2 * (q["__y"] - p["__y"]), p["__y"] + q["__y"]), F.lit(0.0)) * p["__n"] * q["__n"]).otherwise(0.0)
+    in_row = gathered.select(*keys, F.aggregate("__l", F.lit(0.0), lambda s, p: s + F.aggregate(
+        "__l", F.lit(0.0), lambda t, q: t + gap(p, q))).alias("gap_sum"))
+    ranked = add_rank(sized.where(F.col("__m") > few).drop("__m"), ["__y"], keys, "__r", "__size")
     own = F.floor((F.col("__r") - 1) / block)
     last = F.floor((F.col("__size") - 1) / block)
     left = ranked.withColumn("__i", own).withColumn("__j", F.explode(F.sequence(own, last)))
@@ -93,7 +121,7 @@ def label_gap_sums(df: DataFrame, keys: Sequence[str], y: str, block: int = 1024
     cols = [*by, "__y", "__n"]
     right = right.select(*[F.col(c).alias(c) for c in cols])
     parts = left.select(*cols).groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(total, schema)
-    return parts.groupBy(*keys).agg(F.sum("part").alias("gap_sum"))
+    return in_row.unionByName(parts.groupBy(*keys).agg(F.sum("part").alias("gap_sum")))
 
 
 def one_entry_differs(df: DataFrame, x: str = "x", y: str = "y", id_col: str = "sample_id") -> DataFrame:

@@ -352,20 +352,22 @@ def _(spark, d):
     return rounded(out.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg(metrics.ape()).alias("mape")), 6, "mape")
 
 
-_SHIFT_LIST = ", ".join(f"{s!r}" for s in models.FORECAST_SHIFTS)
-
-
-@query(
-    "forecast_convergence", "training_log",
-    """SELECT series, round(arg_min(c, (sse, b)), 4) AS forecast FROM
+def _curve(grid: str) -> str:
+    """Best shift and limit per series among the shifts of a grid."""
+    return f"""SELECT series, arg_min(b, (sse, b)) AS b, arg_min(c, (sse, b)) AS c FROM
        (SELECT *, n*(vy - 2*a*cuy + a*a*vu + (my - a*mu - c)**2) AS sse FROM
          (SELECT *, CASE WHEN flat THEN 0 WHEN fc < 0 THEN greatest((cuy + mu*my)/(vu + mu*mu), 0) ELSE fa END AS a,
                  CASE WHEN flat THEN greatest(my, 0) WHEN fc < 0 THEN 0 ELSE fc END AS c FROM
-           (SELECT *, cuy/vu AS fa, my - cuy/vu*mu AS fc, coalesce(cuy/vu < 0, true) AS flat FROM
+           (SELECT *, cuy/nullif(vu, 0) AS fa, my - cuy/nullif(vu, 0)*mu AS fc, coalesce(cuy/nullif(vu, 0) < 0, true) AS flat FROM
              (SELECT series, b, count(*) AS n, avg(1/(r+b)) AS mu, avg(loss) AS my, var_pop(1/(r+b)) AS vu,
-                     covar_pop(1/(r+b), loss) AS cuy, var_pop(loss) AS vy FROM o, g GROUP BY ALL)))) GROUP BY series""",
+                     covar_pop(1/(r+b), loss) AS cuy, var_pop(loss) AS vy FROM o JOIN ({grid}) USING (series) GROUP BY ALL)))) GROUP BY series"""
+
+
+@query(
+    "forecast_convergence", "training_log", "SELECT series, round(c, 4) AS forecast FROM f2",
     o="SELECT series, loss, row_number() OVER (PARTITION BY series ORDER BY ts, id) AS r FROM training_log",
-    g=f"SELECT unnest([{_SHIFT_LIST}]::DOUBLE[]) AS b",
+    f0=_curve(f"SELECT series, s*g AS b FROM (SELECT series, (max(r) - min(r))::DOUBLE AS s FROM o GROUP BY 1), (SELECT unnest({models.SHIFT_GRID}::DOUBLE[]) AS g)"),
+    **{f"f{i + 1}": _curve(f"SELECT series, b*g AS b FROM f{i}, (SELECT unnest({steps}::DOUBLE[]) AS g)") for i, steps in enumerate(models.SHIFT_STEPS)},
 )
 def _(spark, d):
     ranked = add_rank(views.training_log(spark, d), ["ts", "id"], ["series"], "step")

@@ -51,6 +51,36 @@ def _(spark, d):
         "rows", "labels", "same_y_pairs", "diff_y_pairs", F.round("max_ratio", 6).alias("max_ratio"))
 
 
+_MEAN_GAPS = """SELECT a.x0, a.x1, a.x2, a.task_id, count(*) AS diff_y_pairs, avg(2*abs(a.y-b.y)/(a.y+b.y)) AS mean_gap
+    FROM (SELECT x0, x1, x2, task_id, y, count(*) AS n FROM coarse_samples GROUP BY ALL) a
+    JOIN (SELECT x0, x1, x2, task_id, y, count(*) AS n FROM coarse_samples GROUP BY ALL) b
+      ON a.x0 = b.x0 AND a.x1 = b.x1 AND a.x2 = b.x2 AND a.task_id = b.task_id AND a.y < b.y
+    JOIN r ON i < a.n*b.n GROUP BY ALL"""
+
+
+def _gaps(spark, d):
+    s = views.coarse_samples(spark, d).withColumn("x", F.concat("x", F.array(F.col("task_id").cast("double"))))
+    return similarity.mean_gaps(s)
+
+
+@query("duplicate_mean_gaps", "coarse_samples",
+       "SELECT x0, x1, x2, task_id, diff_y_pairs, round(mean_gap, 6) AS mean_gap FROM g",
+       r="SELECT unnest(range(10000)) AS i", g=_MEAN_GAPS)
+def _(spark, d):
+    return _gaps(spark, d).select(
+        *[F.col("x")[i].alias(f"x{i}") for i in range(3)], F.col("x")[4].cast("bigint").alias("task_id"),
+        "diff_y_pairs", F.round("mean_gap", 6).alias("mean_gap"))
+
+
+@query("duplicate_gap_distribution", "coarse_samples",
+       "SELECT " + ", ".join(f"round(quantile_cont(mean_gap, {p}), 6) AS {n}" for n, p in (
+           ("low", 0), *((f"p{p}", p / 100) for p in similarity.GAP_PERCENTILES), ("high", 1))) + " FROM g",
+       r="SELECT unnest(range(10000)) AS i", g=_MEAN_GAPS)
+def _(spark, d):
+    out = similarity.gap_distribution(_gaps(spark, d))
+    return out.select([F.round(c, 6).alias(c) for c in out.columns])
+
+
 @query(
     "duplicate_label_gaps", "coarse_samples",
     """SELECT a.x0, a.x1, a.x2, round(sum(CASE WHEN a.y <> b.y THEN 2*abs(a.y-b.y)/(a.y+b.y) ELSE 0 END)/2, 3) AS gap_sum

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from perfspark import runtime
-from perfspark.operators import derive, stats
+from perfspark.operators import derive, series, stats
 from perfspark.operators import transforms as tf
 from perfspark.plans import dataset, views
 from perfspark.plans.q_split import _PICKED, _READY, _TASKS, _MODE, _select
@@ -112,16 +112,18 @@ def _(spark, d):
 
 @query(
     "task_stat_report", "",
-    """SELECT task_id, n_rows, n_cols, error FROM (SELECT l_partkey AS task_id, 7 AS n_rows, 3 AS n_cols, NULL AS error FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY 1)
-       UNION ALL SELECT l_partkey, CASE WHEN n >= 24 THEN n END, CASE WHEN n >= 24 THEN 164 END, CASE WHEN n < 24 THEN 'No valid data' END
-       FROM (SELECT l_partkey, count(*) FILTER (WHERE l_linenumber <> 7) AS n FROM lineitem WHERE l_partkey % 10 <> 0 GROUP BY 1)""",
+    """SELECT task_id, workload_key, networks, n_rows, n_cols, error FROM (SELECT l_partkey AS task_id, 'old' AS workload_key, 'net' AS networks, 7 AS n_rows, 3 AS n_cols, NULL AS error FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY 1)
+       UNION ALL SELECT l_partkey, 'w' || l_partkey, (SELECT string_agg(DISTINCT 's' || l_suppkey % 4, ',' ORDER BY 's' || l_suppkey % 4) FROM lineitem i WHERE i.l_partkey = o.l_partkey), CASE WHEN n >= 24 THEN n END, CASE WHEN n >= 24 THEN 164 END, CASE WHEN n < 24 THEN 'No valid data' END
+       FROM (SELECT l_partkey, count(*) FILTER (WHERE l_linenumber <> 7) AS n FROM lineitem WHERE l_partkey % 10 <> 0 GROUP BY 1) o""",
 )
 def _(spark, d):
     r = views.table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("task_id"), F.when(F.col("l_linenumber") == 7, 6).otherwise(0).alias("error_no"))
+        F.col("l_partkey").alias("task_id"), F.concat(F.lit("w"), F.col("l_partkey")).alias("workload_key"),
+        F.concat(F.lit("s"), F.col("l_suppkey") % 4).alias("network"), F.when(F.col("l_linenumber") == 7, 6).otherwise(0).alias("error_no"))
     done = r.where("task_id % 10 = 0").select("task_id").distinct().select(
-        "task_id", F.lit(7).cast("bigint").alias("n_rows"), F.lit(3).alias("n_cols"), F.lit(None).cast("string").alias("error"))
-    return records.task_stat(r, 164, done, 24)
+        "task_id", F.lit("old").alias("workload_key"), F.array(F.lit("net")).alias("networks"), F.lit(7).cast("bigint").alias("n_rows"), F.lit(3).alias("n_cols"), F.lit(None).cast("string").alias("error"))
+    out = records.task_stat(r, 164, done, 24, r.select("task_id", "network"))
+    return out.withColumn("networks", F.array_join("networks", ","))
 
 
 @query(
@@ -260,6 +262,64 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("ave"), 4).alias("total"), F.sum("bs").alias("bs"), F.sum("k").alias("k"))
 
 
+@query(
+    "scan_kernel_rejects", "ops kernels",
+    """SELECT kernel, reason, count(*) AS n FROM (SELECT kernel, CASE WHEN op_type = 'Conv2D' THEN 'strides' ELSE 'beta' END AS reason, op_type, bs FROM kernels)
+       WHERE CASE WHEN op_type = 'Conv2D' THEN bs % 5 = 0 ELSE bs % 4 <> 0 END GROUP BY ALL""",
+)
+def _(spark, d):
+    k = views.kernels(spark, d)
+    base = scratch(spark)
+    gemm = k.where("op_type = 'MatMul'").select(F.col("kernel").alias("Operation"), F.when(F.col("bs") % 4 == 0, 1).otherwise(0).alias("beta"))
+    conv = k.where("op_type = 'Conv2D'").select(
+        F.col("kernel").alias("Operation"), F.lit(1).alias("stride_h"), F.when(F.col("bs") % 5 == 0, 2).otherwise(1).alias("stride_w"))
+    sinks.write_csv(gemm, f"{base}/gemm")
+    sinks.write_csv(conv, f"{base}/conv2d")
+    bad = tables.kernel_rejects(spark, f"{base}/gemm", "gemm").unionByName(tables.kernel_rejects(spark, f"{base}/conv2d", "conv2d"))
+    return bad.groupBy("kernel", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("remap_header", "",
+       "SELECT c_custkey AS id, c_acctbal AS balance, NULL AS note, c_mktsegment AS segment FROM customer")
+def _(spark, d):
+    """A table whose header is in another order and lacks a column."""
+    c = views.table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
+    out = tables.remap_header(c, ["segment", "id", "balance"], ["id", "balance", "note", "segment"])
+    return out.withColumn("note", F.col("note").cast("string"))
+
+
+@query("device_facts", "devices",
+       """SELECT s_suppkey, device_name, clock_MHz, SM_count FROM supplier JOIN
+          (SELECT CASE device_name WHEN 'd0' THEN 'T4' WHEN 'd1' THEN 'V100' ELSE device_name END AS device_name, clock_MHz, SM_count FROM devices)
+          ON device_name = CASE s_suppkey % 5 WHEN 0 THEN 'T4' WHEN 1 THEN 'V100' ELSE 'd' || s_suppkey % 5 END""")
+def _(spark, d):
+    names = F.when(F.col("device_name") == "d0", "T4").when(F.col("device_name") == "d1", "V100").otherwise(F.col("device_name"))
+    catalog = views.devices(spark, d).withColumn("device_name", names).select("device_name", "clock_MHz", "SM_count")
+    kind = F.col("s_suppkey") % 5
+    alias = F.when(kind == 0, "Tesla_T4").when(kind == 1, "Tesla_V100-SXM2-32GB").otherwise(F.concat(F.lit("d"), kind))
+    found = tables.device_facts(catalog, views.table(spark, d, "supplier").select("s_suppkey", alias.alias("alias")), "alias")
+    return found.select("s_suppkey", "device_name", "clock_MHz", "SM_count")
+
+
+@query("trace_model_version", "trace",
+       "SELECT 'Net' || k % 3 AS model, (tid % 4) || '.' || (pid % 3) AS version, count(*) AS n FROM trace GROUP BY ALL")
+def _(spark, d):
+    t = views.trace(spark, d)
+    name = F.concat_ws("_", F.lit("TF"), (F.col("tid") % 4).cast("string"), (F.col("pid") % 3).cast("string"), F.concat(F.lit("Net"), F.col("k") % 3))
+    model, version = traces.model_and_version("folder")
+    return t.select(name.alias("folder")).select(model.alias("model"), version.alias("version")).groupBy("model", "version").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("duration_seconds", "trace",
+       """SELECT id, CASE k % 4 WHEN 0 THEN k*3600 WHEN 1 THEN k*60 WHEN 2 THEN k ELSE k*3600 + tid*60 + pid END AS seconds FROM trace""")
+def _(spark, d):
+    k, part = F.col("k").cast("string"), F.col("k") % 4
+    text = F.when(part == 0, F.concat(k, F.lit("h"))).when(part == 1, F.concat(k, F.lit("m"))).when(part == 2, F.concat(k, F.lit("s"))).otherwise(
+        F.concat(k, F.lit("h"), F.col("tid"), F.lit("m"), F.col("pid"), F.lit("s")))
+    return views.trace(spark, d).withColumn("text", text).select("id", series.duration_seconds("text").alias("seconds"))
+
+
 @query(
     "scan_report_section", "",
     """SELECT name, calls, total FROM (SELECT event_type || '_' || user_id AS name, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1)""",

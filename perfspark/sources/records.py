@@ -9,8 +9,7 @@ from pyspark.sql import types as T
 from perfspark.functions import arrays
 from perfspark.functions.text import with_groups
 from perfspark.operators.filters import MIN_TASK_SAMPLES, STD_TO_AVG_BOUND
-from perfspark.runtime import lookup
-from perfspark.sources.files import task_id_from_path
+from perfspark.runtime import lookup, materialize
 
 # Task eligibility and warm-up runs.
 MIN_VALID_SHARE, MIN_VALID, SMALL_TASK = 0.25, 100, 100
@@ -64,31 +63,35 @@ def _std(costs: Column) -> Column:
     return F.sqrt(F.aggregate(costs, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(costs))
 
 
+# Fixed value: parts of a record that are read; results are of mixed kinds.
+RECORD = "i array<array<string>>, r array<string>, flops double"
+
+
 def parse_records(lines: DataFrame) -> DataFrame:
     """Tuning record lines -> workload key, costs, error number, mean, std.
 
     A line is JSON with inputs ``i`` (the first is the workload key) and the
     result ``r`` = [costs, error number, ...].
     """
-    j = lambda p: F.get_json_object("value", p)
-    costs = F.from_json(j("$.r[0]"), "array<double>")
-    return lines.select(
+    parsed = lines.select("path", F.from_json("value", RECORD).alias("j"))
+    return parsed.select(
         "path",
-        j("$.i[0][0]").alias("workload_key"),
-        costs.alias("costs"),
-        j("$.r[1]").cast("int").alias("error_no"),
-        j("$.flops").cast("double").alias("flops"),
+        F.get(F.get("j.i", F.lit(0)), F.lit(0)).alias("workload_key"),
+        F.from_json(F.get("j.r", F.lit(0)), "array<double>").alias("costs"),
+        F.get("j.r", F.lit(1)).try_cast("int").alias("error_no"),
+        F.col("j.flops").alias("flops"),
     ).withColumns({"avg": _mean(F.col("costs")), "std": _std(F.col("costs"))})
 
 
 def measure_records(records: DataFrame, least: int = MIN_TASK_SAMPLES) -> tuple[DataFrame, DataFrame]:
     """Valid records of tasks with enough of them, and the rejected tasks with
     a reason.  Unknown work is null."""
+    records = materialize(records)  # the lines are parsed once
     ok = records.where(F.col("error_no") == 0).withColumn("flops", F.nullif("flops", F.lit(-1.0)))
     counts = records.groupBy("workload_key").agg(F.count_if(F.col("error_no") == 0).alias("valid"))
     small = counts.where(F.col("valid") < least).withColumn(
         "reason", F.when(F.col("valid") == 0, "No valid data").otherwise("Too few samples"))
-    return ok.join(small, "workload_key", "left_anti"), small
+    return ok.join(lookup(small.select("workload_key")), "workload_key", "left_anti"), small
 
 
 def cost_label(records: DataFrame, warm_ups: int = WARM_UPS, bound: float = STD_TO_AVG_BOUND) -> DataFrame:
@@ -108,12 +111,20 @@ def eligible_tasks(stat: DataFrame) -> DataFrame:
     )
 
 
-def task_stat(records: DataFrame, width: int, done: DataFrame | None = None, least: int = MIN_TASK_SAMPLES) -> DataFrame:
-    """Per task its shape or an error; tasks already ``done`` keep their row."""
-    fresh = records.groupBy("task_id").agg(F.count_if(F.col("error_no") == 0).alias("n"))
+def task_stat(
+    records: DataFrame, width: int, done: DataFrame | None = None, least: int = MIN_TASK_SAMPLES, networks: DataFrame | None = None
+) -> DataFrame:
+    """Per task its workload key, its networks (``networks``: task_id, network)
+    and its shape or an error; tasks already ``done`` keep their row."""
+    key = F.min("workload_key") if "workload_key" in records.columns else F.lit(None).cast("string")
+    fresh = records.groupBy("task_id").agg(key.alias("workload_key"), F.count_if(F.col("error_no") == 0).alias("n"))
+    named = F.lit(None).cast("array<string>")
+    if networks is not None:
+        fresh = fresh.join(networks.groupBy("task_id").agg(F.sort_array(F.collect_set("network")).alias("networks")), "task_id", "left")
+        named = F.col("networks")
     fits = F.col("n") >= least
     fresh = fresh.select(
-        "task_id", F.when(fits, F.col("n")).alias("n_rows"), F.when(fits, width).alias("n_cols"),
+        "task_id", "workload_key", named.alias("networks"), F.when(fits, F.col("n")).alias("n_rows"), F.when(fits, width).alias("n_cols"),
         F.when(~fits, "No valid data").alias("error"))
     if done is None:
         return fresh
@@ -136,7 +147,3 @@ def network_map(network_tasks: DataFrame) -> DataFrame:
     """Nested form: network -> map of batch size to its sorted task ids."""
     per_bs = network_tasks.groupBy("network", "bs").agg(F.sort_array(F.collect_set("task_id")).alias("tasks"))
     return per_bs.groupBy("network").agg(F.map_from_entries(F.collect_list(F.struct("bs", "tasks"))).alias("by_bs"))
-
-
-def with_task_id(df: DataFrame) -> DataFrame:
-    return df.withColumn("task_id", task_id_from_path(F.col("_metadata.file_path")))

@@ -68,7 +68,8 @@ def remap_header(df: DataFrame, foreign: Sequence[str], header: Sequence[str]) -
 def kernel_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Kernel profiler CSV (``gemm`` or ``conv2d``) as operator rows.
 
-    Matrix products need beta = 1; the accumulator gives the type.
+    Matrix products need beta = 1; the accumulator gives the type.  Rows that
+    do not fit are listed by ``kernel_rejects``.
     """
     raw = spark.read.option("header", True).csv(path)
     device = path_part(F.col("_metadata.file_path"), r"cutlass_test_([^/]+)/")
@@ -90,6 +91,16 @@ def kernel_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
         i("stride_h").alias("stride"), "conv_kind")
 
 
+def kernel_rejects(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of a kernel CSV that ``kernel_table`` leaves out: kernel, reason."""
+    raw = spark.read.option("header", True).csv(path)
+    if kind == "gemm":
+        bad, reason = F.col("beta").try_cast("bigint") != 1, "beta"
+    else:
+        bad, reason = F.col("stride_h") != F.col("stride_w"), "strides"
+    return raw.where(F.coalesce(bad, F.lit(True))).select(F.col("Operation").alias("kernel"), F.lit(reason).alias("reason"))
+
+
 def device_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Device CSV with clean names; blanks, ``N/A`` and -1 become null."""
     rows = spark.read.option("header", False).csv(path)

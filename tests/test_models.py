@@ -78,11 +78,11 @@ def test_linear_data_is_recovered(spark):
         assert r["coef"] == pytest.approx({"a": 3.2, "b": 2.4, "one": 12.0})
 
 
-def test_forecast_finds_the_curve(spark):
-    b = models.FORECAST_SHIFTS[20]
-    df = spark.createDataFrame([(0, float(x), 7 / (x + b) + 3) for x in range(1, 30)], "s int, x double, y double")
+@pytest.mark.parametrize("b", [0.5, 37.0, 900.0])
+def test_forecast_finds_the_curve(spark, b):
+    df = spark.createDataFrame([(0, float(x), 7 * b / (x + b) + 3) for x in range(1, 60)], "s int, x double, y double")
     r = models.forecast(df, ["s"], "x", "y").first()
-    assert (r["a"], r["c"], r["forecast"]) == pytest.approx((7, 3, 3))
+    assert r["b"] == pytest.approx(b, rel=0.02) and r["forecast"] == pytest.approx(3, rel=0.02)
 
 
 def test_kmeans_rows_are_at_their_nearest_centre(spark):
