@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from perfspark.functions import arrays
-from perfspark.operators import derive
+from perfspark.operators import derive, scopes
 from perfspark.plans import views
 from perfspark.plans.registry import query
 
@@ -279,11 +279,16 @@ def _(spark, d):
     )
 
 
+_MARKED = "product(CASE WHEN lev % 3 = {} THEN extent ELSE 1 END) OVER (PARTITION BY program ORDER BY lev)"
+
+
 @query(
     "nested_scope_features", "",
-    """SELECT program, op, sum(steps) AS loop_steps, sum(depth)::BIGINT AS loop_cnt, count(*)::DOUBLE AS parallel_steps
-       FROM (SELECT program, CASE WHEN lev % 2 = 0 THEN 'add' ELSE 'assign' END AS op, row_number() OVER (PARTITION BY program ORDER BY lev) AS depth,
-             product(extent) OVER (PARTITION BY program ORDER BY lev) AS steps
+    f"""SELECT program, op, sum(steps) AS loop_steps, sum(depth)::BIGINT AS loop_cnt, count(*)::DOUBLE AS plain,
+               sum(parallel) AS parallel, sum(block_x) AS block_x, sum(unrolled) AS unrolled
+       FROM (SELECT program, CASE WHEN lev % 2 = 0 THEN 'add' ELSE 'multiply' END AS op, row_number() OVER (PARTITION BY program ORDER BY lev) AS depth,
+             product(extent) OVER (PARTITION BY program ORDER BY lev) * CASE WHEN lev % 2 = 0 THEN 1 ELSE 4 END AS steps,
+             {_MARKED.format(0)} AS parallel, {_MARKED.format(1)} AS block_x, {_MARKED.format(2)} AS unrolled
              FROM (SELECT l_orderkey // 7 AS program, l_linenumber AS lev, (min(l_suppkey) % 3 + 2)::DOUBLE AS extent
                    FROM lineitem GROUP BY 1, 2))
        GROUP BY program, op""",
@@ -294,28 +299,23 @@ def _(spark, d):
         .groupBy(F.floor(F.col("l_orderkey") / 7).alias("program"), F.col("l_linenumber").alias("lev"))
         .agg((F.min("l_suppkey") % 3 + 1).alias("end"))
     )
-    # Levels that are present are numbered by the text itself: an absent level
-    # opens a plain scope, so it does not multiply.
-    lines = program_lines(levels)
-    statements = derive.nested_scopes(lines, ["program"], "line_no", "line")
-    return derive.scope_features(statements, ["program"], "line")
-
-
-def program_lines(levels):
-    """Program text per key: one loop and one statement per level, then the closes."""
-    stmt = F.when(F.col("lev") % 2 == 0, F.lit("T_add(a, b)")).otherwise(F.lit("a[i] = b[i]"))
-    head = F.format_string("for (i%d, 0, %d) {", F.col("lev"), F.col("end"))
-    body = levels.select(
-        "program",
-        F.explode(F.array(
-            F.struct((F.col("lev") * 2).cast("bigint").alias("line_no"), head.alias("line")),
-            F.struct((F.col("lev") * 2 + 1).cast("bigint").alias("line_no"), stmt.alias("line")),
-        )).alias("r"),
-    ).select("program", "r.line_no", "r.line")
-    closes = levels.select(
-        "program", (1000 + F.col("lev")).cast("bigint").alias("line_no"), F.lit("}").alias("line")
-    )
-    return body.unionByName(closes)
+    out = scopes.scope_features(program_texts(levels))
+    return out.select("program", "op", "loop_steps", "loop_cnt", *[
+        F.col("marks")[scopes.MARKS.index(m)].alias(n)
+        for m, n in (("none", "plain"), ("parallel", "parallel"), ("blockIdx.x", "block_x"), ("unroll", "unrolled"))])
+
+
+def program_texts(levels):
+    """Program text per key: per level a loop and a statement inside it."""
+    bound = F.format_string("(i%d, 0, %d) {\n", F.col("lev"), F.col("end"))
+    kind = F.col("lev") % 3
+    attribute = F.format_string("// attr [iter_var(blockIdx.x, , blockIdx.x)] thread_extent = %d\n", F.col("end") + 1)
+    head = F.when(kind == 0, F.concat(F.lit("parallel "), bound)).when(
+        kind == 1, F.concat(attribute, F.lit("for "), bound)).otherwise(F.concat(F.lit("unrolled "), bound))
+    statement = F.when(F.col("lev") % 2 == 0, "  T_add(a, b)\n").otherwise("  a[ramp(i, 1, 4)] = (b[i] * c[i])\n")
+    parts = F.sort_array(F.collect_list(F.struct("lev", F.concat(head, statement).alias("line"))))
+    return levels.groupBy("program").agg(parts.alias("p")).select("program", F.concat(
+        F.array_join(F.transform("p", lambda s: s["line"]), ""), F.repeat(F.lit("}\n"), F.size("p"))).alias("text"))
 
 
 @query(

@@ -135,3 +135,29 @@ def test_flip_table_counts(spark):
     df = spark.createDataFrame([(0.6, 0.01), (0.15, 0.5), (0.01, 0.01)], "e1 double, e2 double")
     r = stats.flip_table(df, "e1", "e2").where("bad_from = 0.2 AND good_below = 0.1").first()
     assert (r["before_good"], r["before_mid"], r["before_bad"], r["flips"]) == (1, 1, 1, 1)
+
+
+def test_scopes_of_a_program(spark):
+    from perfspark.operators import scopes
+
+    text = """
+// attr [iter_var(blockIdx.x, , blockIdx.x)] thread_extent = 8
+unrolled (i, 0, 1) {
+  for (j, 0, 3) {
+    a[ramp(j, 1, 4)] = b[i]
+    if (i < 3) {
+      c[i] = (a[i] + (b[i] / d[i]))
+    }
+  }
+}
+// attr [iter_var(threadIdx.y, , threadIdx.y)] thread_extent = 5
+T_relu(a)
+T_unknown(a)
+"""
+    got = {r["op"]: r for r in scopes.scope_features(spark.createDataFrame([(1, text), (2, None)], "id int, text string")).collect()}
+    at = scopes.MARKS.index
+    assert set(got) == {"assign", "add", "divide", "relu"}
+    assert got["assign"]["loop_steps"] == 32 and got["assign"]["loop_cnt"] == 2
+    assert got["assign"]["marks"][at("blockIdx.x")] == 8 and got["assign"]["marks"][at("unroll")] == 2
+    assert got["add"]["loop_steps"] == 8 and got["divide"]["marks"][at("none")] == 1
+    assert got["relu"]["loop_steps"] == 1 and got["relu"]["marks"][at("threadIdx.y")] == 5
