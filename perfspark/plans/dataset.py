@@ -68,7 +68,8 @@ def make_dataset(
     files are dealt to shards.
     """
     tasks = materialize(tasks)
-    chosen = samples.join(lookup(tasks.select(*KEYS).distinct()), KEYS, "left_semi")
+    # written once: the fits, the split and the output read it again, each its own columns
+    chosen = materialize(samples.join(lookup(tasks.select(*KEYS).distinct()), KEYS, "left_semi"))
     x = tf.Transform.fitted(chosen, "features", input_method)
     y = tf.Transform.fitted(chosen, "avg", output_method)
     rows = split_rows(chosen, tasks, mode, time_lb, flags, leaves, flop_bound)
