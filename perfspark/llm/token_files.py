@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -71,9 +72,13 @@ def _pack_rows(rows: np.ndarray, percentile: int, out: list, sizes: list) -> Non
     packed: dict[int, bytes] = {}
     for width in np.unique(widths):
         chosen = np.flatnonzero(widths == width)
-        bits = np.unpackbits(np.ascontiguousarray(rest[chosen]).astype("<u4").view(np.uint8).reshape(len(chosen), -1, 4),
-                             axis=2, bitorder="little")[:, :, :width]
-        flat = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
+        kind = "<u2" if width <= 16 else "<u4"  # the low bits are all that is packed
+        low = rest[chosen].astype(kind)
+        if width in (16, 32):
+            flat = low.view(np.uint8)
+        else:
+            bits = np.unpackbits(low.view(np.uint8).reshape(*low.shape, -1), axis=2, bitorder="little")[:, :, :width]
+            flat = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
         for i, row in zip(chosen, flat):
             packed[i] = row.tobytes()
     over = need > widths[:, None]
@@ -98,9 +103,13 @@ def unpack(content: bytes, starts: np.ndarray) -> np.ndarray:
         for at in range(0, len(members), TOGETHER):
             some = members[at:at + TOGETHER]
             raw = np.stack([np.frombuffer(content, np.uint8, size, int(starts[i]) + struct.calcsize(HEAD)) for i in some])
-            bits = np.zeros((len(some), n, 32), np.uint8)
-            bits[:, :, :width] = np.unpackbits(raw, axis=1, bitorder="little")[:, :n * width].reshape(len(some), n, width)
-            values = np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(some), n)
+            kind, most = ("<u2", 16) if width <= 16 else ("<u4", 32)
+            if width == most:
+                values = raw.view(kind).astype(np.uint32)
+            else:
+                bits = np.zeros((len(some), n, most), np.uint8)
+                bits[:, :, :width] = np.unpackbits(raw, axis=1, bitorder="little")[:, :n * width].reshape(len(some), n, width)
+                values = np.packbits(bits, axis=2, bitorder="little").view(kind).reshape(len(some), n).astype(np.uint32)
             for i, row in zip(some, values):
                 least, _, _, extra = heads[i]
                 if extra:
@@ -137,6 +146,9 @@ def file_content(content: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     return ids, [None if z else int(d) for d, z in zip(named, null)], lengths
 
 
+ID = attrgetter("id")
+
+
 class LibraryEncoder(Encoder):
     """As ``Encoder``, with the words' merges made by the tokenizers library."""
 
@@ -148,13 +160,13 @@ class LibraryEncoder(Encoder):
     def start(self) -> None:
         from tokenizers import Tokenizer
 
-        super().start()
         self.model = Tokenizer.from_str(self.source).model
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        super().start()
 
     def word_ids(self, word: str) -> bytes:
         shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array("I", map(ID, self.model.tokenize(shown))).tobytes()
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int, doc_id: str = "doc_id", text: str = "text",

@@ -21,14 +21,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words remembered by a task process.  More only saves time.
-REMEMBERED = 400_000
+#: Pieces of text remembered by a task process.  More only saves time.
+REMEMBERED = 800_000
+#: Marks that often end a piece; each is a word of its own.
+MARKS = ".,;:!?)"
 #: Longest unit that is remembered.
 LONGEST = 64
 
 #: Fixed value: how byte-level vocabularies split text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Documents whose ids a task holds before it hands them on.
+HELD = 256
+
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -41,16 +46,14 @@ def byte_symbols() -> list[str]:
 
 
 class Memory(dict):
-    """A bounded word memory of two generations: what is not used while one
+    """A bounded memory of two generations: what is not used while one
     generation fills up is forgotten."""
 
     def __init__(self, make, size: int):
         self.make, self.size, self.old = make, size // 2, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.old.get(key) or self.make(key)
         if len(key) <= LONGEST:
             if len(self) >= self.size:
                 self.old = dict(self)
@@ -134,14 +137,25 @@ class Encoder:
 
         self.pattern, self.mixed = regex.compile(SPLIT), re.compile(r"\s ")
         self.special = re.compile("|".join(map(re.escape, self.vocabulary.added))) if self.vocabulary.added else None
-        self.words = Memory(self.word_ids, self.remembered)
-        self.units = Memory(lambda piece: self.unit_ids(" " + piece), self.remembered)
+        self.words = Memory(self.word_ids, self.remembered // 4)
+        self.pieces = Memory(self.piece_ids, self.remembered)
+        self.marks = {m: self.word_ids(m) for m in MARKS}
         self.numerals = [str(i) for i in range(len(self.vocabulary.strings))]
         self.ready = True
 
     def word_ids(self, word: str) -> bytes:
         return array("I", self.vocabulary.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
 
+    def piece_ids(self, piece: str) -> bytes:
+        """Of a space and the text up to the next one.  Letters alone are one
+        word, a mark behind them another."""
+        if piece.isalpha():
+            return self.word_ids(" " + piece)
+        mark = self.marks.get(piece[-1:])
+        if mark is not None and piece[:-1].isalpha():
+            return self.pieces[piece[:-1]] + mark
+        return self.unit_ids(" " + piece)
+
     def unit_ids(self, unit: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(unit)))
 
@@ -152,7 +166,7 @@ class Encoder:
         if self.mixed.search(text) or text.endswith(" "):
             return self.unit_ids(text)
         first, *rest = text.split(" ")
-        return self.unit_ids(first) + b"".join(map(self.units.__getitem__, rest))
+        return self.unit_ids(first) + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, text: str) -> array:
         """Ids of a text; strings of added tokens become their ids."""
@@ -209,22 +223,33 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                remembered: int = REMEMBERED, with_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text in one pass: (id, n_tokens,
     ids_sha256, decoded_sha256), one row per row of ``docs``, on request with
-    the ids, which else never leave the task."""
+    the ids, which else never leave the task.  A task holds the ids of ``HELD``
+    documents at once."""
     encoder = shared_encoder(docs.sparkSession, path, remembered)
-
-    @F.pandas_udf(RESULT + (", ids array<int>" if with_ids else ""))
-    def digests(texts: pd.Series) -> pd.DataFrame:
-        tool, rows = encoder.value, []
-        for value in texts:
-            ids = tool.encode(value or "")
-            back = tool.decode(ids)
-            rows.append((len(ids), hashlib.sha256(tool.listed(ids)).hexdigest(), hashlib.sha256(back).hexdigest(),
-                         np.frombuffer(ids, np.int32) if with_ids else None))
-        made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-        return made if with_ids else made.drop(columns="ids")
-
-    made = docs.select(F.col(doc_id).alias("id"), digests(whole(text)).alias("r"))
-    return made.select("id", "r.*")
+    rows = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text"))
+    fields = T.StructType.fromDDL(RESULT + (", ids array<int>" if with_ids else "")).fields
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                part, tool = batch.slice(at, HELD), encoder.value
+                sizes, digests, backs, kept = [], [], [], []
+                for value in part.column(1).to_pylist():
+                    ids = tool.encode(value)
+                    sizes.append(len(ids))
+                    digests.append(hashlib.sha256(tool.listed(ids)).hexdigest())
+                    backs.append(hashlib.sha256(tool.decode(ids)).hexdigest())
+                    if with_ids:
+                        kept.append(np.frombuffer(ids, np.int32))
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(backs)]
+                if with_ids:
+                    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept))))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", *[f.name for f in fields]])
+
+    return rows.mapInArrow(made, T.StructType([rows.schema["id"], *fields]))
 
 
 def whole(text: str) -> Column:
