@@ -6,6 +6,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def pytest_addoption(parser):
+    parser.addoption("--all-twins", action="store_true", help="compare every query with its SQL twin")
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from perfspark.runtime import session
