@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +12,19 @@ from perfspark.runtime import materialize
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def ship(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a model or a tool by value: tasks need no copy of this package."""
+    return spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
+
+
+def shipped(box: Broadcast):
+    """What ``ship`` was given; a task process unpacks it once and keeps it."""
+    content = box.value
+    if "value" not in content:
+        content["value"] = cloudpickle.loads(content.pop("packed"))
+    return content["value"]
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

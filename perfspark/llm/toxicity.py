@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfspark.llm.common import text_key, whole_text
+from perfspark.llm.common import ship, shipped, text_key, whole_text
 
 #: Labelled rows that are fitted, by the order of a hash of their ids, and the
 #: longest text among them (characters).  Scoring has no such limits.
@@ -284,12 +284,12 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 def scored(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, key, score (0 to 1, higher: toxic).
     Null is the empty text, which is scored as a window without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        if isinstance(shared.value, float):
-            return pd.Series(np.full(len(texts), shared.value))
-        return pd.Series(score_texts(shared.value, texts.tolist()))
+        if isinstance(shipped(shared), float):
+            return pd.Series(np.full(len(texts), shipped(shared)))
+        return pd.Series(score_texts(shipped(shared), texts.tolist()))
 
     return docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), score(whole_text(text)).alias("score"))
