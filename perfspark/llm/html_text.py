@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfspark.llm.common import whole_text
+from perfspark.llm.common import ship, shipped, whole_text
 
 #: Pages that are learnt from, by the order of a hash of their ids, the longest
 #: of them (characters), and variants of each.
-SAMPLE, SAMPLE_CHARS, VARIANTS = 600, 60_000, 3
+SAMPLE, SAMPLE_CHARS, VARIANTS = 500, 30_000, 3
 ROUNDS, DEPTH, RATE, BINS = 50, 4, 0.3, 32
 #: Characters of markup that are decided together.
 CHARS = 2_000_000
@@ -234,7 +234,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         sub_chars / np.maximum(sub_chars[parent], 1), np.log1p(previous), np.log1p(following), sub_chars / np.maximum(whole, 1),
         kind[parent], np.log1p(sub_chars[parent]),
     ])
-    return rows, first
+    return rows.astype(np.float32), first
 
 
 @dataclasses.dataclass
@@ -258,39 +258,42 @@ class Trees:
 
 
 def fit_trees(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> Trees:
-    """Logistic boosting with histograms of quantile bins."""
+    """Logistic boosting with histograms of quantile bins, a level at a time."""
     n, width = rows.shape
     cuts = [np.unique(np.quantile(rows[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
-    binned = np.column_stack([np.searchsorted(c, rows[:, j], side="left") for j, c in enumerate(cuts)])
+    binned = np.stack([np.searchsorted(c, rows[:, j], side="left").astype(np.uint8) for j, c in enumerate(cuts)])
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
-    inner, leaves = 2 ** DEPTH - 1, 2 ** DEPTH
+    inner, leaves, bins = 2 ** DEPTH - 1, 2 ** DEPTH, BINS + 1
     feature, limit = np.zeros((rounds, inner), np.int64), np.full((rounds, inner), np.inf)
     leaf = np.zeros((rounds, leaves))
     score = np.full(n, bias)
-    columns = np.arange(width) * (BINS + 1)
     for r in range(rounds):
         p = 1 / (1 + np.exp(-score))
         g, h = labels - p, p * (1 - p) + 1e-6
-        at = np.zeros(n, np.int64)
+        at = np.zeros(n, np.int64)  # node within its level
         for level in range(DEPTH):
-            for node in range(2 ** level - 1, 2 ** (level + 1) - 1):
-                members = np.flatnonzero(at == node)
-                if len(members) > 1:
-                    keys = (binned[members] + columns).ravel()
-                    size = width * (BINS + 1)
-                    gs = np.bincount(keys, np.repeat(g[members], width), size).reshape(width, -1)
-                    hs = np.bincount(keys, np.repeat(h[members], width), size).reshape(width, -1)
-                    gl, hl = np.cumsum(gs, axis=1)[:, :-1], np.cumsum(hs, axis=1)[:, :-1]
-                    ga, ha = gs.sum(axis=1)[:, None], hs.sum(axis=1)[:, None]
-                    gain = gl ** 2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga ** 2 / (ha + 1)
-                    j, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
-                    if gain[j, b] > 1e-6 and b < len(cuts[j]):
-                        feature[r, node], limit[r, node] = j, cuts[j][b]
-                at[members] = 2 * node + 1 + (rows[members, feature[r, node]] > limit[r, node])
-        place = at - inner
-        leaf[r] = RATE * np.bincount(place, g, leaves) / (np.bincount(place, h, leaves) + 1)
-        score += leaf[r][place]
+            nodes = 2 ** level
+            best, first = np.full(nodes, 1e-6), nodes - 1
+            chosen, where = np.zeros(nodes, np.int64), np.full(nodes, bins)
+            for j in range(width):
+                if not len(cuts[j]):
+                    continue
+                key = at * bins + binned[j]
+                gs = np.bincount(key, g, nodes * bins).reshape(nodes, bins)
+                hs = np.bincount(key, h, nodes * bins).reshape(nodes, bins)
+                gl, hl = np.cumsum(gs, axis=1)[:, :len(cuts[j])], np.cumsum(hs, axis=1)[:, :len(cuts[j])]
+                ga, ha = gs.sum(axis=1)[:, None], hs.sum(axis=1)[:, None]
+                gain = gl ** 2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga ** 2 / (ha + 1)
+                split = gain.argmax(axis=1)
+                value = gain[np.arange(nodes), split]
+                better = value > best
+                best, chosen, where = np.where(better, value, best), np.where(better, j, chosen), np.where(better, split, where)
+            for node in np.flatnonzero(where < bins):
+                feature[r, first + node], limit[r, first + node] = chosen[node], cuts[chosen[node]][where[node]]
+            at = 2 * at + (binned[chosen[at], np.arange(n)] > where[at])
+        leaf[r] = RATE * np.bincount(at, g, leaves) / (np.bincount(at, h, leaves) + 1)
+        score += leaf[r][at]
     return Trees(bias, feature, limit, leaf)
 
 
@@ -425,18 +428,18 @@ def trained(pages: DataFrame, page_id: str = "page_id", markup: str = "html", sa
         inner = 2 ** DEPTH - 1
         return Trees(1.0, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
     width = features([parse("")])[0].shape[1]
-    rows = np.concatenate([np.frombuffer(b, "<f4").reshape(-1, width) for b in made["rows"]]).astype(np.float64)
+    rows = np.concatenate([np.frombuffer(b, "<f4").reshape(-1, width) for b in made.pop("rows")])
     return fit_trees(rows, np.concatenate([np.frombuffer(b, "<f4") for b in made["labels"]]).astype(np.float64))
 
 
 def texts(pages: DataFrame, trees: Trees, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.  Null markup
     is the empty page; a page without main text has an empty one."""
-    shared = pages.sparkSession.sparkContext.broadcast(trees)
+    shared = ship(pages.sparkSession, trees)
 
     @F.pandas_udf("string")
     def text(markups: pd.Series) -> pd.Series:
-        return pd.Series(extract(shared.value, markups.tolist()), dtype=object)
+        return pd.Series(extract(shipped(shared), markups.tolist()), dtype=object)
 
     return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text(whole_text(markup)).alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long"))
