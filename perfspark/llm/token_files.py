@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from perfspark.llm.common import whole_text
+from perfspark.llm.common import ship, shipped, whole_text
 from perfspark.llm.tokens import REMEMBERED, Encoder, Vocabulary, byte_symbols
 from perfspark.runtime import materialize, small_side
 
@@ -37,7 +37,7 @@ BLOCK = 1024
 #: Share of a block's differences that its width must hold.
 PERCENTILE = 90
 #: Ids after which a file ends, at the end of a document.
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 #: Blocks that are packed or unpacked at once.
 TOGETHER = 256
 MAGIC = b"PFORTOK1"
@@ -63,6 +63,46 @@ def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, np.ndarr
     return b"".join(out), np.array(sizes, "<u8")
 
 
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of every row's values one after the other, from the lowest
+    bit on.  Eight values fill ``width`` bytes; every byte is put together from
+    the values that reach into it."""
+    rows, n = values.shape
+    if not width:
+        return np.zeros((rows, 0), np.uint8)
+    grouped = np.zeros((rows, -(-n // 8) * 8), np.uint64 if width > 16 else np.uint32)
+    grouped[:, :n] = values
+    grouped = (grouped & ((1 << width) - 1)).reshape(rows, -1, 8)
+    out = np.empty((rows, grouped.shape[1], width), np.uint8)
+    for k in range(width):
+        byte = 0
+        for i in range(8 * k // width, min((8 * k + 7) // width, 7) + 1):
+            shift = i * width - 8 * k
+            byte = byte | (grouped[:, :, i] << shift if shift >= 0 else grouped[:, :, i] >> -shift)
+        out[:, :, k] = byte & 255
+    return out.reshape(rows, -1)[:, :(n * width + 7) // 8]
+
+
+def unpack_bits(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Rows of ``n`` values of ``width`` bits."""
+    rows = len(packed)
+    if not width:
+        return np.zeros((rows, n), np.uint32)
+    groups = -(-n // 8)
+    wide = np.uint64 if width > 16 else np.uint32
+    padded = np.zeros((rows, groups * width), wide)
+    padded[:, :packed.shape[1]] = packed
+    padded = padded.reshape(rows, groups, width)
+    out = np.empty((rows, groups, 8), np.uint32)
+    for i in range(8):
+        value = 0
+        for k in range(i * width // 8, (i * width + width - 1) // 8 + 1):
+            shift = 8 * k - i * width
+            value = value | (padded[:, :, k] << shift if shift >= 0 else padded[:, :, k] >> -shift)
+        out[:, :, i] = value & ((1 << width) - 1)
+    return out.reshape(rows, -1)[:, :n]
+
+
 def _pack_rows(rows: np.ndarray, percentile: int, out: list, sizes: list) -> None:
     least = rows.min(axis=1)
     rest = rows - least[:, None]
@@ -72,13 +112,7 @@ def _pack_rows(rows: np.ndarray, percentile: int, out: list, sizes: list) -> Non
     packed: dict[int, bytes] = {}
     for width in np.unique(widths):
         chosen = np.flatnonzero(widths == width)
-        kind = "<u2" if width <= 16 else "<u4"  # the low bits are all that is packed
-        low = rest[chosen].astype(kind)
-        if width in (16, 32):
-            flat = low.view(np.uint8)
-        else:
-            bits = np.unpackbits(low.view(np.uint8).reshape(*low.shape, -1), axis=2, bitorder="little")[:, :, :width]
-            flat = np.packbits(bits.reshape(len(chosen), -1), axis=1, bitorder="little")
+        flat = pack_bits(rest[chosen], int(width))
         for i, row in zip(chosen, flat):
             packed[i] = row.tobytes()
     over = need > widths[:, None]
@@ -103,13 +137,7 @@ def unpack(content: bytes, starts: np.ndarray) -> np.ndarray:
         for at in range(0, len(members), TOGETHER):
             some = members[at:at + TOGETHER]
             raw = np.stack([np.frombuffer(content, np.uint8, size, int(starts[i]) + struct.calcsize(HEAD)) for i in some])
-            kind, most = ("<u2", 16) if width <= 16 else ("<u4", 32)
-            if width == most:
-                values = raw.view(kind).astype(np.uint32)
-            else:
-                bits = np.zeros((len(some), n, most), np.uint8)
-                bits[:, :, :width] = np.unpackbits(raw, axis=1, bitorder="little")[:, :n * width].reshape(len(some), n, width)
-                values = np.packbits(bits, axis=2, bitorder="little").view(kind).reshape(len(some), n).astype(np.uint32)
+            values = unpack_bits(raw, n, width)
             for i, row in zip(some, values):
                 least, _, _, extra = heads[i]
                 if extra:
@@ -162,10 +190,14 @@ class LibraryEncoder(Encoder):
 
         self.model = Tokenizer.from_str(self.source).model
         self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        self.space = byte_symbols()[32]
         super().start()
 
     def word_ids(self, word: str) -> bytes:
-        shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", self.space)
+        else:
+            shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
         return array("I", map(ID, self.model.tokenize(shown))).tobytes()
 
 
@@ -178,7 +210,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, doc_id: str = "doc_
     Null is the empty text; a null id sorts first; equal ids by their texts.
     """
     spark = docs.sparkSession
-    encoder = spark.sparkContext.broadcast(LibraryEncoder(path))
+    encoder = ship(spark, LibraryEncoder(path))
 
     def store(name: str, content: bytes) -> None:
         from pyarrow import fs
@@ -190,21 +222,26 @@ def write(docs: DataFrame, folder: str, path: str, end: int, doc_id: str = "doc_
             stream.write(content)
         system.move(part, f"{base}/{name}")
 
-    def written(frames):
+    def written(batches):
+        import pyarrow as pa
+
         place, number = TaskContext.get().partitionId(), 0
         ids, names, lengths = array("I"), [], []
 
         def closed():
             name = f"{place:06d}-{number:05d}.pfor"
             store(name, file_bytes(np.frombuffer(ids, np.uint32), names, lengths))
-            return pd.DataFrame({"file": [name], "first_id": pd.array([names[0]], "Int64"), "n_ids": [len(ids)], "n_docs": [len(names)]})
-
-        for frame in frames:
-            for doc, value in zip(frame["id"], frame["text"]):
-                found = encoder.value.encode(value)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), *[pa.array([v], pa.int64()) for v in (names[0], len(ids), len(names))]],
+                names=["file", "first_id", "n_ids", "n_docs"])
+
+        tool = shipped(encoder)
+        for batch in batches:
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = tool.encode(value.as_py())
                 ids.extend(found)
                 ids.append(end)
-                names.append(None if pd.isna(doc) else int(doc))
+                names.append(doc)
                 lengths.append(len(found) + 1)
                 if len(ids) >= file_ids:
                     yield closed()
@@ -215,7 +252,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, doc_id: str = "doc_
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), whole_text(text).alias("text"))
     ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return materialize(ranged.mapInPandas(written, "file string, first_id long, n_ids long, n_docs long"))
+    return materialize(ranged.mapInArrow(written, "file string, first_id long, n_ids long, n_docs long"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

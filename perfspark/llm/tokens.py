@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perfspark.llm.common import ship, shipped
+
 #: Pieces of text remembered by a task process.  More only saves time.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Marks that often end a piece; each is a word of its own.
 MARKS = ".,;:!?)"
 #: Longest unit that is remembered.
@@ -135,8 +137,8 @@ class Encoder:
         """Made in the task process, once."""
         import regex
 
-        self.pattern, self.mixed = regex.compile(SPLIT), re.compile(r"\s ")
-        self.special = re.compile("|".join(map(re.escape, self.vocabulary.added))) if self.vocabulary.added else None
+        self.pattern = regex.compile(SPLIT)
+        self.special = re.compile("|".join(map(re.escape, self.vocabulary.added)))
         self.words = Memory(self.word_ids, self.remembered // 4)
         self.pieces = Memory(self.piece_ids, self.remembered)
         self.marks = {m: self.word_ids(m) for m in MARKS}
@@ -146,12 +148,16 @@ class Encoder:
     def word_ids(self, word: str) -> bytes:
         return array("I", self.vocabulary.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
 
-    def piece_ids(self, piece: str) -> bytes:
-        """Of a space and the text up to the next one.  Letters alone are one
-        word, a mark behind them another."""
+    def piece_ids(self, piece: str) -> bytes | None:
+        """Of a space and the text up to the next one; None where that space
+        does not start a word.  Letters alone are one word, a mark behind them
+        another."""
         if piece.isalpha():
             return self.word_ids(" " + piece)
-        mark = self.marks.get(piece[-1:])
+        end = piece[-1:]
+        if not end or end.isspace():
+            return None
+        mark = self.marks.get(end)
         if mark is not None and piece[:-1].isalpha():
             return self.pieces[piece[:-1]] + mark
         return self.unit_ids(" " + piece)
@@ -163,17 +169,23 @@ class Encoder:
         """A space before a character that is not white space starts a word,
         whatever precedes it; so a text may be cut there and its pieces looked
         up whole, unless white space stands before such a space."""
-        if self.mixed.search(text) or text.endswith(" "):
-            return self.unit_ids(text)
         first, *rest = text.split(" ")
-        return self.unit_ids(first) + b"".join(map(self.pieces.__getitem__, rest))
+        if not rest:
+            return self.unit_ids(text)
+        last = rest.pop()
+        if last and not first[-1:].isspace():
+            try:
+                return self.unit_ids(first) + b"".join(map(self.pieces.__getitem__, rest)) + self.unit_ids(" " + last)
+            except TypeError:  # a piece without ids of its own
+                pass
+        return self.unit_ids(text)
 
     def encode(self, text: str) -> array:
         """Ids of a text; strings of added tokens become their ids."""
         if not self.ready:
             self.start()
         ids, at = array("I"), 0
-        for found in self.special.finditer(text) if self.special else ():
+        for found in self.special.finditer(text) if any(map(text.__contains__, self.vocabulary.added)) else ():
             ids.frombytes(self.plain(text[at:found.start()]))
             ids.append(self.vocabulary.added[found[0]])
             at = found.end()
@@ -192,7 +204,7 @@ class Encoder:
 def shared_encoder(spark: SparkSession, path: str, remembered: int = REMEMBERED):
     """The encoder of a vocabulary file as a broadcast; its word memory lives
     as long as the task process."""
-    return spark.sparkContext.broadcast(Encoder(Vocabulary(path), remembered))
+    return ship(spark, Encoder(Vocabulary(path), remembered))
 
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
@@ -203,7 +215,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encoder.value.encode(t or ""))
+        return texts.map(lambda t: shipped(encoder).encode(t or ""))
 
     return docs.select(F.col(doc_id).alias("id"), ids(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
 
@@ -214,7 +226,7 @@ def decoded(rows: DataFrame, path: str, doc_id: str = "id", ids: str = "ids") ->
 
     @F.pandas_udf(T.StringType())
     def text(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: encoder.value.decode([] if x is None else list(x)).decode())
+        return lists.map(lambda x: shipped(encoder).decode([] if x is None else list(x)).decode())
 
     return rows.select(F.col(doc_id).alias("id"), text(F.col(ids)).alias("text"))
 
@@ -234,7 +246,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
         for batch in batches:
             for at in range(0, batch.num_rows, HELD):
-                part, tool = batch.slice(at, HELD), encoder.value
+                part, tool = batch.slice(at, HELD), shipped(encoder)
                 sizes, digests, backs, kept = [], [], [], []
                 for value in part.column(1).to_pylist():
                     ids = tool.encode(value)
