@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from perfspark.llm.common import keep_documents, text_key, whole_text
 from perfspark.runtime import materialize
 
-#: Counters of the summary.  A digest with more than about 1/750 of the rows
-#: (the summary uses three quarters of its counters) is always among them.
+#: Counters of the summary.  Its counts err by at most 3.5 / TRACKED of the
+#: rows, so a digest with more than twice that share is always named.  The rest
+#: is decided by the shuffle, whatever the summary says.
 TRACKED = 1024
 #: Candidates taken from the summary, and so the most rows ever broadcast.
 HEAVY = 512
