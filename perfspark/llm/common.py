@@ -45,17 +45,15 @@ def text_key(text: str = "text") -> Column:
 def keep_documents(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` named by ``kept(id, key)``, each once.
 
-    The join is null-safe and moves the texts once: the numbering that drops
-    repeated rows uses the same partitioning.
+    Both sides are named by the id's text, whether it is null, and the key.
+    The join and the numbering that drops repeated rows share these columns, so
+    the texts are shuffled once.
     """
-    named = kept.select(F.col("id").alias("__kept_id"), F.col("key").alias("__kept_key")).distinct()
-    keyed = docs.withColumn("__key", text_key(text))
-    joined = keyed.join(
-        named,
-        F.col(doc_id).eqNullSafe(F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")),
-        "left_semi",
-    )
-    repeats = Window.partitionBy(doc_id, "__key").orderBy(F.lit(0))
+    name = lambda i, k: [F.coalesce(i.cast("string"), F.lit("")).alias("__id"), i.isNull().alias("__null"), k.alias("__key")]
+    named = kept.select(*name(F.col("id"), F.col("key"))).distinct()
+    columns = ["__id", "__null", "__key"]
+    joined = docs.select("*", *name(F.col(doc_id), text_key(text))).join(named, columns, "left_semi")
+    repeats = Window.partitionBy(*columns).orderBy(F.lit(0))
     return joined.withColumn("__n", F.row_number().over(repeats)).where("__n = 1").select(*docs.columns)
 
 
