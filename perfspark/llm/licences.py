@@ -17,8 +17,24 @@ from perfspark.runtime import lookup, materialize
 
 #: Everything but letters, digits and line ends, ASCII and typographic.
 PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\xBF\\x{2000}-\\x{206F}\\x{3000}-\\x{3003}]+"
-#: A canonical line that only claims rights.
-CLAIM = "^(c )?(copyright|all rights reserved)( |$)"
+#: Words after which "copyright" at the start of a line goes on with a sentence that was wrapped there.
+CONTINUES = frozenset("""act and as assignment attribution belongs claim claims disclaimer disclaimers file for header
+holder holders in information infringement interest interests is law laws license licensed licenses line lines management
+material materials notice notices of on or owned owner owners ownership patent patents permission permissions protection
+protections related remains resides resulting right rights statement statements status terms that to trademark trademarks
+treaties treaty under which with""".split())
+
+
+def _unlike(words: set[str] | frozenset[str]) -> str:
+    """Pattern of a rest of a word that is none of ``words``, without looking
+    ahead, which not every engine can."""
+    heads = sorted({w[0] for w in words if w})
+    rest = [f"[^ {''.join(heads)}][^ ]*", *(h + _unlike({w[1:] for w in words if w[:1] == h}) for h in heads)]
+    return f"(?:{'|'.join(rest + [''] * ('' not in words))})"
+
+
+#: A canonical line that only claims rights: the word and then a sign, year or holder; a sign and a year; or the formula.
+CLAIM = f"^((c )?copyright {_unlike(CONTINUES | {''})}|c [0-9][0-9][0-9][0-9]|all rights reserved)( |$)"
 #: Spellings that mean the same, left to right, applied in order.
 SPELLINGS = (("licenc", "licens"), ("https", "http"), ("noncommercial", "non commercial"), ("favour", "favor"))
 Z_SPELLING = ("(organ|author|recogn|util)is(e|ing|ation)", "iz")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,25 @@ def test_licences(spark, odd, nothing):
     assert licences.scan(nothing, licences.known_licences(spark)).count() == 0
     empty = licences.known_licences(spark).where(F.lit(False))
     assert licences.scan(odd, empty).where("licence IS NOT NULL OR n_notices > 0").count() == 0
+
+
+def test_only_claims_are_dropped(spark):
+    claims = ["Copyright (c) 2021 Others. All rights reserved.", "(c) Copyright 1990 Nobody", "© Somebody", "Copyright Jane Doe",
+              "// (C) 2019 Somebody", "All rights reserved."]
+    kept = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE FOR", "copyright",
+            "copyright owner or by an individual", "copyright law", "copyright licence to reproduce", "(c) You must retain all", "© holders"]
+    rows = spark.createDataFrame([(0, "\n".join(claims)), (1, "\n".join(kept))], "id int, text string")
+    lines = {r["id"]: r["lines"] for r in rows.select("id", licences.canonical_lines(F.col("text")).alias("lines")).collect()}
+    assert lines[0] == [] and len(lines[1]) == len(kept)
+
+
+def wrapped(text, width):
+    """The paragraphs of a text, broken anew."""
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text))
+
+
+def test_line_breaks_do_not_matter(spark):
+    texts = [(n, t) for n, t in licences.KNOWN if "\n" in t]
+    rows = [(n, "Copyright (c) 2020 Somebody\n\n" + wrapped(t, width)) for n, t in texts[:3] for width in (1, *range(20, 120, 3))]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), licences.known_licences(spark)).collect()
+    assert len(found) == len(rows) and all(r["licence"] == r["id"] for r in found)
