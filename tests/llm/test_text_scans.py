@@ -156,3 +156,24 @@ def test_line_breaks_do_not_matter(spark):
     rows = [(n, "Copyright (c) 2020 Somebody\n\n" + wrapped(t, width)) for n, t in texts[:3] for width in (1, *range(20, 120, 3))]
     found = licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), licences.known_licences(spark)).collect()
     assert len(found) == len(rows) and all(r["licence"] == r["id"] for r in found)
+
+
+def test_full_texts_with_and_without_title(spark):
+    """Every known text re-wrapped; paragraphs with a claim inside stay."""
+    claim = re.compile(r"copyright (\(c\)|[\[<])", re.I)
+
+    def again(text, width):
+        parts = re.split(r"\n[ \t]*\n", text)
+        return "\n\n".join(p if claim.search(p) else wrapped(p, width) for p in parts)
+
+    texts = [(n, t) for n, t in licences.KNOWN if "\n" in t]
+    rows = [(n, "Copyright (c) 2020 Somebody\n\n" + again(t, width)) for n, t in texts for width in (30, 72, 79, 100)]
+    permission = licences.KNOWN[0][1]
+    rows += [("MIT", f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{permission}")]
+    assert {"MIT", "ISC", "0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
+            "MPL-2.0", "Unlicense", "CC0-1.0", "Zlib", "BSL-1.0"} <= {n for n, _ in rows}
+    found = licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), licences.known_licences(spark)).collect()
+    wrong = {r["id"] for r in found if r["licence"] != r["id"]}
+    assert len(found) == len(rows) and not wrong
+    titles = licences.scan(spark.createDataFrame([(1, "ISC License")], "doc_id long, text string"), licences.known_licences(spark))
+    assert titles.first()["notices"] == ["ISC"]
