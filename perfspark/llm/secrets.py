@@ -35,8 +35,9 @@ VALUE = 6
 #: The longest run decides; a shorter one could not hold a longer match.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-#: Runs that the battery tests.
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the battery tests: 20 characters, of which the last may be padding.  A run ends at "=", so that a name and
+#: the value assigned to it are tested apart.
+RUN = "([A-Za-z0-9+/_-]{20,}=*|[A-Za-z0-9+/_-]{19}=+|[A-Za-z0-9+/_-]{18}==+)"
 PATTERNS = (ASSIGN, ACCESS, HEX, RUN)
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"

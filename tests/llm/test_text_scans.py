@@ -105,6 +105,21 @@ def test_secrets(spark, odd, nothing):
     assert secrets.spans(odd).count() == len(TEXTS) and secrets.spans(nothing).count() == 0
 
 
+def test_values_are_tested_without_their_names(spark):
+    """Behind a name the same values are found as alone."""
+    rng = random.Random(7)
+    names = ["aws_secret_access_key=", "client_credential_value=", "key=", "k="]
+    values = [key(rng, 40, string.ascii_letters + string.digits + "+/") + "=" * (i % 3) for i in range(400)]
+
+    def found(rows):
+        got = secrets.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        return {(r["id"], rows[r["id"]][1][s:e]) for r in got for s, _, e in r["spans"]}
+
+    alone = found([(i, f"export {v} # {i}") for i, v in enumerate(values)])
+    assert len(alone) >= 0.9 * len(values)
+    assert found([(i, f"export {names[i % 4]}{v} # {i}") for i, v in enumerate(values)]) == alone
+
+
 def test_false_discoveries_are_rare(spark):
     rng = random.Random(6)
     syllables = ["ver", "ein", "schaft", "un", "keit", "lich", "ent", "zu", "ge", "ber", "auf", "isch"]
