@@ -67,6 +67,14 @@ def _(spark, d):
                        *[F.lit(round(share[i], 6)).alias(f"explained{i + 1}") for i in range(2)])
 
 
+@query("pca_vectors")
+def _(spark, d):
+    """Components of the whole vectors; their signs are arbitrary."""
+    rows, share = models.pca(views.vectors(spark, d), "x")
+    return rows.select("id", "domain", *[F.col("pc")[i].alias(f"pc{i + 1}") for i in range(2)],
+                       *[F.lit(share[i]).alias(f"explained{i + 1}") for i in range(2)])
+
+
 @query("cluster_mix_distance", "vectors vector_entries",
        """SELECT domain, round(sqrt(greatest(2 - 2*sum(g.n*t.n)/(sqrt(any_value(gn))*sqrt(any_value(tn))), 0)), 6) AS distance
           FROM g JOIN t USING (cluster) JOIN (SELECT domain, sum(n*n) AS gn FROM g GROUP BY 1) USING (domain),
