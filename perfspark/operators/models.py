@@ -362,6 +362,15 @@ def cost_fit(train: DataFrame, test: DataFrame, key: str, y: str, methods: Seque
     """Fitted parameters (key, method, variant, coef) and the error table
     (key, method, variant, mape) on the test rows; the best variant of a method
     counts.  All models are fitted in one scan and scored in another."""
+    params, every = cost_fit_all(train, test, key, y, methods)
+    best = every.groupBy(key, "method").agg(
+        F.min(F.struct("mape", "variant")).alias("b")
+    ).select(key, "method", "b.variant", "b.mape")
+    return params, best
+
+
+def cost_fit_all(train: DataFrame, test: DataFrame, key: str, y: str, methods: Sequence[int] = tuple(range(1, 9))) -> tuple[DataFrame, DataFrame]:
+    """As ``cost_fit``, with the errors of every variant."""
     spec = cost_methods()
     specs = {f"{m}/{v}": fp for m in methods for v, fp in enumerate(spec[m])}
     fitted = materialize(least_squares_many(train, [key], specs, y))
@@ -378,10 +387,7 @@ def cost_fit(train: DataFrame, test: DataFrame, key: str, y: str, methods: Seque
         F.struct(F.lit(int(n.split("/")[0])).alias("method"), F.lit(int(n.split("/")[1])).alias("variant"), F.col(n).alias("mape"))
         for n in specs
     ])
-    best = errors.select(key, F.inline(rows)).groupBy(key, "method").agg(
-        F.min(F.struct("mape", "variant")).alias("b")
-    ).select(key, "method", "b.variant", "b.mape")
-    return params, best
+    return params, errors.select(key, F.inline(rows))
 
 
 def fit_table(errors: DataFrame, key: str) -> DataFrame:

@@ -270,6 +270,18 @@ def _(spark, d):
         F.round(F.col("coef")[c], 6).alias(c) for c in ("time", "one")])
 
 
+@query("grouped_cost_fit_all")
+def _(spark, d):
+    """Every method and variant of every kernel: coefficients from the train
+    rows, error on the test rows; null where a kernel has none of them."""
+    rows = materialize(cost_rows(spark, d))
+    train = F.substring(F.md5(F.col("op_id").cast("string")), 1, 1) < "d"
+    params, errors = models.cost_fit_all(rows.where(train), rows.where(~train), "kernel", "time")
+    counts = rows.groupBy("kernel").agg(F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_test"))
+    return counts.join(params, "kernel", "left").join(errors, ["kernel", "method", "variant"], "left").select(
+        "kernel", "n_train", "n_test", "method", "variant", "coef", "mape")
+
+
 @query("fit_table", "ops kernels", "SELECT kernel, 0.0::DOUBLE AS m6, 0.0::DOUBLE AS best_mape FROM kernels GROUP BY kernel")
 def _(spark, d):
     out = models.fit_table(_cost_fit(spark, d)[2], "kernel")

@@ -31,3 +31,43 @@ def test_pca_reduces_whole_vectors(spark, vectors):
         mine = np.array([got[k][f"pc{i + 1}"] for k in ids])
         assert np.allclose(mine * np.sign(mine @ want), want, atol=1e-6)
         assert got[ids[0]][f"explained{i + 1}"] == pytest.approx(share[i])
+
+
+def test_every_cost_model_is_fitted_and_tested(spark):
+    rng = np.random.default_rng(8)
+    facts = ("source_time op_flops size transform ai perf tile_size_in tile_size_out tile_flop pipeline_num target_bw "
+             "target_clock target_core_num").split()
+    rows = [(f"k{i % 3}", i, *map(float, rng.uniform(0.5, 3, len(facts))), float(rng.uniform(1, 5))) for i in range(180)]
+    df = spark.createDataFrame(rows, "kernel string, i int, " + ", ".join(f"{f} double" for f in facts) + ", time double")
+    train, test = df.where("i < 120"), df.where("i >= 120")
+    params, errors = models.cost_fit_all(train, test, "kernel", "time")
+    coef = {(r["kernel"], r["method"], r["variant"]): r["coef"] for r in params.collect()}
+    mape = {(r["kernel"], r["method"], r["variant"]): r["mape"] for r in errors.collect()}
+    spec = {(m, v): f for m, fs in models.cost_methods().items() for v, f in enumerate(fs)}
+    assert set(coef) == set(mape) == {(f"k{i}", *s) for i in range(3) for s in spec}
+
+    for s, (features, positive) in spec.items():
+        names = list(features)
+        got = df.select("kernel", "i", "time", *[f.cast("double").alias(f"f{j}") for j, f in enumerate(features.values())]).toPandas()
+        for k, part in got.groupby("kernel"):
+            a, y = part[[f"f{j}" for j in range(len(names))]].to_numpy(), part["time"].to_numpy()
+            w = np.array([coef[(k, *s)].get(n, 0.0) for n in names])
+            fit = (part["i"] < 120).to_numpy()
+            gradient = a[fit].T @ (y[fit] - a[fit] @ w)
+            free = np.array([n not in positive for n in names]) | (w > 0)
+            scale = np.linalg.norm(a[fit], axis=0) * np.linalg.norm(y[fit])
+            assert (w[[n in positive for n in names]] >= 0).all()
+            assert (np.abs(gradient[free]) <= 1e-6 * scale[free]).all() and (gradient <= 1e-6 * scale).all()
+            if not positive:
+                assert np.allclose(w, np.linalg.lstsq(a[fit], y[fit], rcond=None)[0], rtol=1e-5, atol=1e-7)
+            assert mape[(k, *s)] == pytest.approx(np.mean(np.abs((a[~fit] @ w - y[~fit]) / y[~fit])))
+
+
+def test_every_kernel_has_every_cost_model(spark):
+    got = catalog.QUERIES["grouped_cost_fit_all"](spark, SF).collect()
+    kernels = {r["kernel"] for r in views.kernels(spark, SF).select("kernel").distinct().collect()}
+    models_ = sum(map(len, models.cost_methods().values()))
+    assert {r["kernel"] for r in got} == kernels
+    fitted = {r["kernel"] for r in got if r["n_train"]}
+    assert len(got) == len(fitted) * models_ + len(kernels - fitted)
+    assert all(r["coef"] for r in got if r["n_train"]) and any(r["mape"] is not None for r in got)
