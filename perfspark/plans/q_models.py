@@ -40,6 +40,23 @@ def _(spark, d):
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+def _settled(name: str, k: int):
+    """Clusters after the default steps, or when the centres stand still."""
+    @query(f"{name}_settled")
+    def _(spark, d):
+        if name == "select_tasks_kmeans":
+            return models.select_kmeans(task_vectors(spark, d), k)
+        _, rows = models.kmeans(views.vectors(spark, d), "x", k)
+        if name == "cluster_mix_distance":
+            return domain.cluster_mix_distance(rows, rows, "domain")
+        return rows.groupBy("cluster").agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+for _name, _k in (("kmeans_clusters", 10), ("cluster_mix_distance", 20), ("select_tasks_kmeans", 4)):
+    _settled(_name, _k)
+
+
 @query(
     "di_clusters", "coarse_samples",
     """SELECT sample_id, dense_rank() OVER (ORDER BY f) - 1 AS cluster FROM

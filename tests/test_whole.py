@@ -71,3 +71,44 @@ def test_every_kernel_has_every_cost_model(spark):
     fitted = {r["kernel"] for r in got if r["n_train"]}
     assert len(got) == len(fitted) * models_ + len(kernels - fitted)
     assert all(r["coef"] for r in got if r["n_train"]) and any(r["mape"] is not None for r in got)
+
+
+def lloyd(ids, x, k, steps=20):
+    """Centres and clusters, from the first vectors in hash order."""
+    chosen, seen = [], set()
+    for i in sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"0{ids[i]}".encode()).hexdigest(), ids[i])):
+        if x[i].tobytes() not in seen and len(chosen) < k:
+            seen.add(x[i].tobytes())
+            chosen.append(x[i])
+    c = np.array(chosen)
+    near = lambda c: ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    for _ in range(steps):
+        at = near(c)
+        c = np.array([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))])
+    return c, near(c)
+
+
+def test_settled_clusters(spark, vectors):
+    ids, x, domains = vectors
+    _, at = lloyd(ids, x, 10)
+    assert (at != lloyd(ids, x, 10, 2)[1]).any()  # two steps do not settle
+    got = {r["cluster"]: (r["n"], r["first_id"], r["last_id"]) for r in catalog.QUERIES["kmeans_clusters_settled"](spark, SF).collect()}
+    assert got == {j: ((at == j).sum(), ids[at == j].min(), ids[at == j].max()) for j in set(at)}
+
+    _, at = lloyd(ids, x, 20)
+    count = lambda rows: np.bincount(at[rows], minlength=20) / np.linalg.norm(np.bincount(at[rows], minlength=20))
+    whole = count(np.ones(len(ids), bool))
+    got = {r["domain"]: r["distance"] for r in catalog.QUERIES["cluster_mix_distance_settled"](spark, SF).collect()}
+    assert set(got) == set(domains)
+    assert all(got[d] == pytest.approx(np.linalg.norm(count(domains == d) - whole), abs=1e-6) for d in got)
+
+    c, at = lloyd(ids, x, 4)
+    gaps = np.sqrt(((x[:, None, :] - c[None]) ** 2).sum(axis=2))
+    taken = {}
+    for j in sorted(range(4), key=lambda j: (-(at == j).sum(), j)):
+        far = {int(d): gaps[domains == d, j].mean() for d in set(domains) if int(d) not in taken}
+        if far:
+            task = min(far, key=lambda d: (far[d], d))
+            taken[task] = (j, pytest.approx(far[task]))
+    got = {r["task_id"]: (r["cluster"], r["distance"]) for r in catalog.QUERIES["select_tasks_kmeans_settled"](spark, SF).collect()}
+    assert got == taken
