@@ -221,6 +221,14 @@ def _(spark, d):
     return models.good_bad_forest(rows.withColumn("x", F.slice("x", 1, 1)), "x", "sample_id")
 
 
+@query("rf_best_worst")
+def _(spark, d):
+    """The third of rows predicted best against the third predicted worst."""
+    p = views.predictions(spark, d).join(
+        views.samples(spark, d).select("sample_id", F.col("features").cast("array<double>").alias("x")), "sample_id")
+    return models.good_bad_forest(metrics.best_worst(p, "sample_id", thirds=True), "x", "sample_id")
+
+
 @query(
     "per_group_models", "samples",
     """SELECT task_id, round(avg(abs((avg - (a*features[1] + b))/avg)), 6) AS mape, count(*) AS n FROM

@@ -112,3 +112,12 @@ def test_settled_clusters(spark, vectors):
             taken[task] = (j, pytest.approx(far[task]))
     got = {r["task_id"]: (r["cluster"], r["distance"]) for r in catalog.QUERIES["select_tasks_kmeans_settled"](spark, SF).collect()}
     assert got == taken
+
+
+def test_forest_tells_best_from_worst_rows(spark):
+    n = views.predictions(spark, SF).count()
+    got = {(r["side"], r["part"]): r for r in catalog.QUERIES["rf_best_worst"](spark, SF).collect()}
+    assert set(got) == {(s, p) for s in ("val", "test") for p in ("best", "worst")}
+    for part in ("best", "worst"):
+        assert sum(got[s, part]["n"] for s in ("val", "test")) == n // 3
+        assert got["test", part]["accuracy"] > 0.8
