@@ -2,7 +2,7 @@
 
 A word's input is its own embedding next to the sum of its character-sequence
 embeddings (both hashed), so that inflected and compounded forms are read by
-their letters.  Windows of ``WINDOW`` words, each overlapping the next, cover
+their letters.  Windows of ``WINDOW`` words, each half over the next, cover
 the whole text; a recurrent network reads every window in both directions,
 attention pools its states, and the worst window is the document's score.
 
@@ -27,7 +27,7 @@ from perfspark.llm.common import ship, shipped, text_key, whole_text
 #: Labelled rows that are fitted, by the order of a hash of their ids, and the
 #: longest text among them (characters).  Scoring has no such limits.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1200, 2400, 100_000
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH, BUCKETS = 8, 4, 1 << 17
 GRAMS = (3, 4, 5)
 EPOCHS, BATCH = 6, 64
