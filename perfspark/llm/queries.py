@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.llm import (
-    decontaminate, exact_dedup, hard_negatives, html_text, licences, near_dup, quality, secrets, token_files, tokens, toxicity,
+    alignment, decontaminate, exact_dedup, hard_negatives, html_text, licences, near_dup, quality, secrets, token_files, tokens, toxicity,
 )
 
 QUERIES: dict = {}
@@ -27,10 +27,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -250,6 +250,12 @@ def op10_quality(spark, sf_dir):
     return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op12_token_alignment(spark, sf_dir):
+    rows = alignment.aligned(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 @query(sql="""
 WITH base AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
