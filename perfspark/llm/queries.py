@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.llm import (
-    alignment, decontaminate, exact_dedup, hard_negatives, html_text, licences, near_dup, quality, secrets, token_files, tokens, toxicity,
+    alignment, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, licences, near_dup, quality, secrets, token_files, tokens, toxicity,
 )
 
 QUERIES: dict = {}
@@ -250,6 +250,23 @@ def op10_quality(spark, sf_dir):
     return rows.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query(sql=f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 5], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y USING (s)
+                    WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n AS p ON a = p.doc_id JOIN n AS q ON b = q.doc_id WHERE 100 * i >= 80 * (p.n + q.n - i)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, least(doc_id, min(b)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON doc_id = a GROUP BY doc_id""")
+def op11_jaccard_join(spark, sf_dir):
+    rows = jaccard_join.joined(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query
 def op12_token_alignment(spark, sf_dir):
     rows = alignment.aligned(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
