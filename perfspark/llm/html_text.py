@@ -33,14 +33,21 @@ ROUNDS, DEPTH, RATE, BINS = 50, 4, 0.3, 32
 #: Characters of markup that are decided together.
 CHARS = 2_000_000
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label|type|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Attributes of a tag: a name, and a value in quotes or up to white space or
+#: ">"; a quote inside a bare value or a name is part of it.  All repeats are
+#: possessive, so no character is tried twice; a tag that the pattern does not
+#: match is cut off by the end of the page.
+ATTRIBUTE = r"""(=[^\s/>=]*+|[^\s/>=]++)(?>\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+))|(?!\s*+=))"""
+TAG = re.compile(r"([a-zA-Z][^\s/>]*+)((?>[\s/]++|" + re.sub(r"\((?![?!])", "(?:", ATTRIBUTE) + ")*+)>")
+ATTRIBUTES = re.compile(ATTRIBUTE)
+NAMED = frozenset("class id role itemprop aria-label hidden".split())
 WORDS = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+LONG_NUMBER = re.compile(r"&#(?:0*+\d{8,}+|[xX]0*+[0-9a-fA-F]{7,}+);?")
 BLOCK = frozenset(
     "html head body article main section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead "
     "tbody tfoot tr td th caption figure figcaption form fieldset legend blockquote pre address hr title option select "
@@ -95,25 +102,41 @@ class Page:
 def _flags(tag: str, attributes: str) -> int:
     kind = KIND.get(tag)
     flags = 1 << kind if kind is not None else 0
-    if attributes:
-        for name, value in NAMED.findall(attributes):
-            name = name.lower()
-            if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-                flags |= 1 << len(KINDS) + GROUP["hidden"]
-            elif name not in ("style", "type"):
-                for word in WORDS.findall(value.lower()):
-                    group = GROUP.get(word)
-                    if group is not None:
-                        flags |= 1 << len(KINDS) + group
+    for name, *values in ATTRIBUTES.findall(attributes):
+        name = name.lower()
+        if name == "hidden" or (name == "style" and "display:none" in "".join(values).replace(" ", "").lower()):
+            flags |= 1 << len(KINDS) + GROUP["hidden"]
+        elif name in NAMED:
+            for word in WORDS.findall("".join(values).lower()):
+                group = GROUP.get(word)
+                if group is not None:
+                    flags |= 1 << len(KINDS) + group
     return flags
 
 
+def plain(content: str) -> str:
+    """The text with its character references decoded; numbers beyond all code
+    points give U+FFFD, however long they are."""
+    return html.unescape(LONG_NUMBER.sub("&#1114112;", content)) if "&" in content else content
+
+
+def _after(markup: str, what: str, at: int) -> int:
+    """Behind the next ``what``, or the end of the page."""
+    found = markup.find(what, at)
+    return len(markup) if found < 0 else found + len(what)
+
+
 def parse(markup: str) -> Page:
-    """Nodes of a page.  Unclosed elements end with their parents; an end tag
-    without a start is ignored."""
+    """Nodes of a page, in one pass forward.
+
+    Unclosed elements end with their parents; an end tag without a start is
+    ignored.  A comment, declaration or tag that the page's end cuts off is
+    dropped; "<" before anything but a letter, "/", "!" or "?" is text.
+    """
     page = Page([-1], [0], [INLINE], [0], [0], [0], [-1], [0], [""], [0])
     parent, end, kind, flags, above, depth, before, place, text, block = (getattr(page, f.name) for f in dataclasses.fields(Page))
     stack, tags, last, children = [0], ["#root"], {}, {}
+    opened: dict[str, list[int]] = {}  # places of a tag's open elements on the stack
     blocks = 0
 
     def add(k: int, f: int, content: str) -> int:
@@ -134,34 +157,61 @@ def parse(markup: str) -> Page:
     def close(to: int) -> None:
         while len(stack) > to:
             end[stack.pop()] = len(parent)
-            tags.pop()
-
-    at, size = 0, len(markup)
-    while at < size:
-        found = TOKEN.search(markup, at)
-        stop = found.start() if found else size
-        if stop > at:
-            content = markup[at:stop]
-            if content.isspace():
-                # white space separates words of one block
-                if kind[-1] == TEXT and block[-1] == blocks:
-                    text[-1] += " "
-                else:
-                    add(TEXT, 0, " ")
+            open_ = opened.get(tags.pop())
+            if open_:
+                open_.pop()
+
+    def said(stop: int) -> None:
+        """Text from ``begun`` on."""
+        if stop > begun:
+            content = markup[begun:stop]
+            if not content.isspace():
+                add(TEXT, 0, plain(content))
+            elif kind[-1] == TEXT and block[-1] == blocks:  # white space separates words of one block
+                text[-1] += " "
             else:
-                add(TEXT, 0, html.unescape(content))
-        if not found:
+                add(TEXT, 0, " ")
+
+    at = begun = 0
+    size = len(markup)
+    while True:
+        start = markup.find("<", at)
+        if start < 0:
+            said(size)
             break
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+        mark = markup[start + 1:start + 2]
+        ends = mark == "/"
+        if ends:
+            mark = markup[start + 2:start + 3]
+        if not (mark.isascii() and mark.isalpha()):
+            if ends and mark == ">":
+                at = start + 3
+            elif ends or mark in ("!", "?"):
+                if ends and not mark:
+                    at = size
+                elif markup.startswith("<!--", start):
+                    at = _after(markup, "-->", start + 2)
+                elif markup.startswith("<![CDATA[", start):
+                    at = _after(markup, "]]>", start)
+                else:
+                    at = _after(markup, ">", start)
+            else:
+                at = start + 1  # "<" is text
+                continue
+            said(start)
+            begun = at
             continue
-        tag = tag.lower()
+        said(start)
+        found = TAG.match(markup, start + 1 + ends)
+        if not found:  # the page ends inside the tag
+            break
+        at = begun = found.end()
+        tag = found[1].lower()
         is_block = tag in BLOCK
-        if found[1]:
-            if tag in tags:
+        if ends:
+            if opened.get(tag):
                 blocks += is_block
-                close(len(tags) - 1 - tags[::-1].index(tag))
+                close(opened[tag][-1])
             elif is_block:
                 blocks += 1
             continue
@@ -171,20 +221,21 @@ def parse(markup: str) -> Page:
         blocks += is_block
         for ended in ENDS.get(tag, ()):
             if ended in tags[-4:]:
-                close(len(tags) - 1 - tags[::-1].index(ended))
-        if tag in PARAGRAPH_ENDS and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
-        node = add(KIND.get(tag, INLINE), _flags(tag, found[3]), "")
-        if tag in VOID or found[3].endswith("/"):
+                close(opened[ended][-1])
+        if tag in PARAGRAPH_ENDS and opened.get("p"):
+            close(opened["p"][-1])
+        node = add(KIND.get(tag, INLINE), _flags(tag, found[2]), "")
+        if tag in VOID or found[2].endswith("/") and not _bare(found[2]):
             continue
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(node)
         tags.append(tag)
         if tag in RAW:
-            closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(markup, at)
+            closing = RAW_END[tag].search(markup, at)
             stop = closing.start() if closing else size
             if stop > at:
-                add(TEXT, 0, html.unescape(markup[at:stop]) if tag in ("title", "textarea") else markup[at:stop])
-            at = closing.end() if closing else size
+                add(TEXT, 0, plain(markup[at:stop]) if tag in ("title", "textarea") else markup[at:stop])
+            at = begun = _after(markup, ">", closing.end()) if closing else size
             close(len(tags) - 1)
             blocks += is_block
     close(0)
@@ -192,6 +243,14 @@ def parse(markup: str) -> Page:
     return page
 
 
+def _bare(attributes: str) -> bool:
+    """Whether the attributes end with a value without quotes."""
+    ended = False
+    for found in ATTRIBUTES.finditer(attributes):
+        ended = bool(found[4]) and found.end() == len(attributes)
+    return ended
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     """One row per node of all pages, and the first node of each page."""
     sizes = np.array([len(p.parent) for p in pages])
@@ -299,17 +358,22 @@ def fit_trees(rows: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> Tre
 
 def decode(page: Page, score: np.ndarray) -> np.ndarray:
     """Nodes kept: the likeliest labels with no kept node below a dropped one.
-    ``score`` is the log-odds of keeping; dropping counts as 0."""
+    ``score`` is the log-odds of keeping; dropping counts as 0.  A run of white
+    space says nothing and follows its parent."""
     n = len(page.parent)
     kept_value = score.astype(float).tolist()
     parent = page.parent
+    blank = [t.isspace() for t in page.text]
+    for node in range(n):
+        if blank[node]:
+            kept_value[node] = 0.0
     for node in range(n - 1, 0, -1):  # a dropped subtree is worth 0
         if kept_value[node] > 0:
             kept_value[parent[node]] += kept_value[node]
     keep = [False] * n
     keep[0] = True
     for node in range(1, n):
-        keep[node] = keep[parent[node]] and kept_value[node] > 0
+        keep[node] = keep[parent[node]] and (kept_value[node] > 0 or blank[node])
     return np.array(keep)
 
 
@@ -374,12 +438,27 @@ def variant(markup: str, draw: random.Random) -> str:
     def listed(low: int, high: int) -> str:
         return "<ul>" + "".join(f'<li><a href="#">{said(1, 3)}</a></li>' for _ in range(draw.randint(low, high))) + "</ul>"
 
+    def shaped(content: str) -> str:
+        parts, size = content.split(), draw.randint(2, 12)
+        parts = [" ".join(parts[i:i + size]) for i in range(0, len(parts), size)] or [content]
+        kind = draw.choice(("ul", "ol", "table", "blockquote", "pre", "h2"))
+        if kind in ("ul", "ol"):
+            return f"<{kind}>" + "".join(f"<li>{x}</li>" for x in parts) + f"</{kind}>"
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in parts) + "</table>"
+        return f"<{kind}>{parts[0]}</{kind}><p>{' '.join(parts[1:])}</p>"
+
     if draw.random() < 0.6:  # short paragraphs are main text as well
         often = draw.random()
         markup = re.sub(r">([^<]{20,})(?=<)", lambda m: ">" + (
             " ".join(m[1].split()[:draw.randint(1, 9)]) if draw.random() < often else m[1]), markup)
     if draw.random() < 0.3:  # little or nothing beside the main part
         markup = re.sub(r"<(nav|footer|head|style|script)\b[^>]*>.*?</\1>", "", markup, flags=re.S)
+    if draw.random() < 0.5:  # main text stands in lists, tables and quotations too
+        found = re.search(r"<article[^>]*>(.*)</article>", markup, re.S)
+        if found:
+            markup = markup[:found.start(1)] + re.sub(
+                r"<p>([^<]+)</p>", lambda m: shaped(m[1]) if draw.random() < 0.4 else m[0], found[1]) + markup[found.end(1):]
     name = draw.choice(['article', 'main', 'div class="content"', 'div id="main-content"', 'section class="post"',
                         'div class="article-body"', 'div class="entry-content"', 'div role="main"'])
     markup = re.sub(r"<article[^>]*>", f"<{name}>", markup)
@@ -413,7 +492,7 @@ def trained(pages: DataFrame, page_id: str = "page_id", markup: str = "html", sa
     def described(frames):
         for frame in frames:
             for key, source in zip(frame["id"], frame["html"]):
-                draw = random.Random(int(key))
+                draw = random.Random(int(key) if isinstance(key, (int, np.integer)) else str(key))
                 for i in range(1 + VARIANTS):
                     page = parse(variant(source, draw) if i else source)
                     labels = named_labels(page)
@@ -423,7 +502,8 @@ def trained(pages: DataFrame, page_id: str = "page_id", markup: str = "html", sa
                                             "labels": [labels.astype("<f4").tobytes()]})
 
     found = short.select(F.col(page_id).alias("id"), whole_text(markup).alias("html")).join(F.broadcast(chosen), "id")
-    made = found.mapInPandas(described, "id long, i int, rows binary, labels binary").toPandas().sort_values(["id", "i"])
+    schema = f"id {found.schema['id'].dataType.simpleString()}, i int, rows binary, labels binary"
+    made = found.mapInPandas(described, schema).toPandas().sort_values(["id", "i"])
     if made.empty:
         inner = 2 ** DEPTH - 1
         return Trees(1.0, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
