@@ -15,12 +15,12 @@ binary files, one at a time.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
-from array import array
-from operator import attrgetter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from perfspark.llm.common import ship, shipped, whole_text
-from perfspark.llm.tokens import REMEMBERED, Encoder, Vocabulary, byte_symbols
+from perfspark.llm.tokens import REMEMBERED, SPLIT, Encoder, Vocabulary
 from perfspark.runtime import materialize, small_side
 
 BLOCK = 1024
@@ -174,31 +174,45 @@ def file_content(content: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     return ids, [None if z else int(d) for d, z in zip(named, null)], lengths
 
 
-ID = attrgetter("id")
-
-
 class LibraryEncoder(Encoder):
-    """As ``Encoder``, with the words' merges made by the tokenizers library."""
+    """As ``Encoder``, by a library.
+
+    A byte-level BPE file whose merges make ids in ascending order is a list of
+    ranks, with which tiktoken encodes whole texts; any other file is left to
+    ``Encoder``.  Strings of added tokens become their ids, or with ``as_text``
+    are ordinary text.
+    """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, as_text: bool = False):
         super().__init__(Vocabulary(path), remembered)
         with open(path, encoding="utf-8") as file:
-            self.source = file.read()
+            content = json.load(file)
+        splits, model, merged = content.get("pre_tokenizer") or {}, content["model"], self.vocabulary.merged
+        self.as_text = as_text
+        self.ranked = (
+            splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+            and not content.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in content["added_tokens"])
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            and all(x < y for x, y in zip([max(self.vocabulary.of_byte), *merged], merged))
+        )
 
     def start(self) -> None:
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_str(self.source).model
-        self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
-        self.space = byte_symbols()[32]
         super().start()
+        if self.ranked:
+            import tiktoken
 
-    def word_ids(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            shown = word.replace(" ", self.space)
+            words = self.vocabulary
+            ranks = {words.strings[i]: i for i in [*words.of_byte, *words.merged]}
+            known = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={} if self.as_text else words.added)
+            self.run = partial(known.encode_to_numpy, allowed_special="all", disallowed_special=())
         else:
-            shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        return array("I", map(ID, self.model.tokenize(shown))).tobytes()
+            self.run = lambda text: np.frombuffer(self.plain(text) if self.as_text else super(LibraryEncoder, self).encode(text), np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids (unsigned 32-bit) of a text."""
+        if not self.ready:
+            self.start()
+        return self.run(text)
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int, doc_id: str = "doc_id", text: str = "text",
@@ -226,32 +240,35 @@ def write(docs: DataFrame, folder: str, path: str, end: int, doc_id: str = "doc_
         import pyarrow as pa
 
         place, number = TaskContext.get().partitionId(), 0
-        ids, names, lengths = array("I"), [], []
+        parts, names, lengths, held = [], [], [], 0
+        stop = np.array([end], np.uint32)
 
         def closed():
             name = f"{place:06d}-{number:05d}.pfor"
-            store(name, file_bytes(np.frombuffer(ids, np.uint32), names, lengths))
+            store(name, file_bytes(np.concatenate(parts), names, lengths))
             return pa.RecordBatch.from_arrays(
-                [pa.array([name]), *[pa.array([v], pa.int64()) for v in (names[0], len(ids), len(names))]],
+                [pa.array([name]), *[pa.array([v], pa.int64()) for v in (names[0], held, len(names))]],
                 names=["file", "first_id", "n_ids", "n_docs"])
 
         tool = shipped(encoder)
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = tool.encode(value.as_py())
-                ids.extend(found)
-                ids.append(end)
+                parts += (found, stop)
                 names.append(doc)
                 lengths.append(len(found) + 1)
-                if len(ids) >= file_ids:
+                held += len(found) + 1
+                if held >= file_ids:
                     yield closed()
                     number += 1
-                    ids, names, lengths = array("I"), [], []
+                    parts, names, lengths, held = [], [], [], 0
         if names:
             yield closed()
 
+    # rows that share an id, or have none, are dealt by their texts
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), whole_text(text).alias("text"))
-    ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = rows.select("id", "text", F.xxhash64("text").alias("place"))
+    ranged = rows.repartitionByRange("id", "place").sortWithinPartitions("id", "place", "text").drop("place")
     return materialize(ranged.mapInArrow(written, "file string, first_id long, n_ids long, n_docs long"))
 
 
