@@ -9,8 +9,8 @@ sets are found by inverted lists: shingles are ordered by rarity, and linked set
 share one of their rarest ``prefix(s)`` shingles.  The boundary between light and
 heavy is the size with the least cost: subsets written against list entries read.
 
-Lists are read in rounds.  In a round every list compares its members with one
-leader, and only with members of other components.  What is left after the
+Lists are read in rounds.  In a round every list compares its members with a few
+leaders, and only with members of other components.  What is left after the
 rounds are pairs of different components; they meet in chunks of lists, a long
 list spread over many.  Each pair is checked against its whole sets.  So members
 of a large group of near copies meet their leaders, not each other, and all
@@ -42,7 +42,9 @@ PERCENT = 80
 #: Largest size of a set that may count as light.
 LIGHT = 16
 #: Rounds of leaders before the pairs of different components meet.
-ROUNDS = 3
+ROUNDS = 1
+#: Leaders of a list in a round.
+LEADERS = 8
 #: Members of a list that meet in one chunk.
 CHUNK = 64
 #: Bits of the buckets of the count sketch, and its rows as tasks hand them on.
@@ -232,7 +234,8 @@ def boundary_of(sets: DataFrame, lists: DataFrame, percent: int = PERCENT) -> in
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
-           rounds: int = ROUNDS, chunk: int = CHUNK, boundary: int | None = None) -> DataFrame:
+           rounds: int = ROUNDS, leaders: int = LEADERS, chunk: int = CHUNK,
+           boundary: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, key, n_shingles, class_id (the smallest
     id with an equal set), component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -250,18 +253,19 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     heavy = materialize(entries.where(F.col("n") >= least).join(small_side(lists, 1_000_000, 64 << 20), "token"))
 
     links = materialize(_subset_links(sets, boundary, percent))
-    tried = None
+    tried = roots = None
     for number in range(rounds + 1):
-        member = heavy.join(components(links), F.col("set") == F.col("node"), "left").select(
-            "token", "set", "n", "at", "members", F.coalesce("root", "set").alias("part"))
+        parts = heavy if roots is None else heavy.join(roots, F.col("set") == F.col("node"), "left")
+        part = F.col("set") if roots is None else F.coalesce("root", "set")
+        member = materialize(parts.select("token", "set", "n", "at", "members", part.alias("part")))
         # lists whose members are of one component have told all
-        member = materialize(member)
         mixed = member.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
         side = lambda x, *more: member.select(
             "token", *[F.col(c).alias(f"{x}_{c}") for c in ("set", "n", "at", "part")], *more)
         if number < rounds:
-            order = F.struct(F.xxhash64("a_set", F.lit(number)), "a_set", "a_n", "a_at", "a_part")
-            leader = side("a").join(mixed, "token", "left_semi").groupBy("token").agg(F.min(order).alias("l")).select(
+            order = F.struct(F.xxhash64("a_set", F.lit(number)).alias("h"), "a_set", "a_n", "a_at", "a_part")
+            some = side("a", F.pmod(F.xxhash64("set", F.lit(number)), F.lit(leaders)).alias("place")).join(mixed, "token", "left_semi")
+            leader = some.groupBy("token", "place").agg(F.min(order).alias("l")).select(
                 "token", *[F.col("l")[c].alias("b" + c[1:]) for c in ("a_set", "a_n", "a_at", "a_part")])
             met = side("a").join(leader, "token")
         else:
@@ -270,19 +274,18 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
             right = side("b", F.pmod(F.xxhash64("set"), chunks).cast("int").alias("chunk"))
             met = left.join(right, ["token", "chunk"]).where("a_set < b_set")
         pairs = met.where((F.col("a_part") != F.col("b_part")) & (F.greatest("a_n", "b_n") > boundary) & _fits("a", "b", percent))
-        pairs = pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
+        pairs = pairs.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")).distinct()
         if tried is not None:
-            either = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(either, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        if pairs.isEmpty():
-            if number == rounds:
-                break
+        if pairs.isEmpty() and roots is not None:
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = materialize(links.unionByName(_verified(pairs, docs, sets, doc_id, text, width, percent)))
+        new = _verified(pairs, docs, sets, doc_id, text, width, percent)
+        # what is known already is one link for each set
+        old = links if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(materialize(old.unionByName(new)))
 
-    roots = components(links)
     rooted = sets.join(roots, F.col("set") == F.col("node"), "left").select("digest", "best", F.coalesce("root", "set").alias("root"))
     first = rooted.groupBy("root").agg(F.min("best").alias("first"))
     named = rooted.join(first, "root").select("digest", F.col("best.id").alias("class_id"), F.col("first.id").alias("component_id"))
