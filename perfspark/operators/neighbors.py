@@ -1,17 +1,19 @@
-"""Exact nearest neighbours without comparing every row with every row.
-
-Pivot points cut space into cells, about one for every ``POINTS_PER_PIVOT``
-points.  A query first looks into one part of its own cell: the k-th distance
-found there is one that no true neighbour can exceed.  It then visits only the
-cells that can hold something as close, by the triangle inequality on the
-cells' radii and by the half distance to the border between two cells.  Cells
-are cut further so that one task holds a bounded number of points and queries,
-whatever the size of a cell.
+"""Exact nearest neighbours by a tree of cells.
+
+Passes over the points cut every cell that holds more than ``LEAF`` of them
+along its widest entry, into up to ``FAN`` parts at its quantiles, until all
+cells are small or hold copies of one point.  A node knows the box around its
+points.  A query goes down to the leaf whose box is nearest, which bounds its
+k-th distance, and then down to all leaves whose boxes lie within that bound.
+If these are many, it visits the best ones first and the others only as far as
+the new bound reaches.  Depth grows with the logarithm of the points, and a
+task holds the points of one leaf.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,27 +23,22 @@ from pyspark.sql import types as T
 
 from perfspark.runtime import materialize, small_side
 
+#: Points of a leaf, unless they are copies of one point.
+LEAF = 1024
+#: Parts of a cell that is cut.
+FAN = 16
+#: Queries that a task compares with a leaf's points at once.
 BLOCK = 2048
-POINTS_PER_PIVOT = 1024
-#: Most pivots, as every point and query is compared with all of them.  With
-#: more points the cells grow, and their parts spread over more tasks.
-PIVOTS = 2048
-#: Bytes of the cells' description that are broadcast at most.
-SUMMARY_BYTES = 64 << 20
+#: Leaves that a query visits before its bound is looked at again.
+FIRST = 4
+#: Bytes of a level of the tree that are broadcast at most; beyond, it is joined by shuffling.
+LEVEL_BYTES = 64 << 20
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 64):
-        gap = a[i : i + 64, None, :] - b[None, :, :]
-        out[i : i + 64] = np.sqrt((gap * gap).sum(axis=2))
-    return out
-
-
 def _closest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row of ``a`` the places and distances of its ``k`` nearest rows of
     ``b``, ties by place.  A matrix product ranks roughly; what it cannot tell
@@ -59,31 +56,6 @@ def _closest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return places, found
 
 
-def _with_pivot_distances(df: DataFrame, pivots: np.ndarray, x: str) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField("__d", T.ArrayType(T.DoubleType()))])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(__d=list(_distances(_matrix(b[x]), pivots)))
-
-    return df.mapInPandas(add, schema)
-
-
-def _placed(df: DataFrame, pivots: np.ndarray, x: str) -> DataFrame:
-    """Rows with their cell (1-based nearest pivot) and the distance to it."""
-    schema = T.StructType([
-        *df.schema.fields, T.StructField("r", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                d = _distances(_matrix(b[x]), pivots)
-                yield b.assign(r=d.min(axis=1), cell=(d.argmin(axis=1) + 1).astype("int32"))
-
-    return df.mapInPandas(add, schema)
-
-
 def _nearest(block: int, k: int):
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "pid", "dist"]
@@ -103,122 +75,161 @@ def _nearest(block: int, k: int):
     return find
 
 
-def _limit(k: int):
-    """Largest distance among the ``k`` nearest, per query; none if there are
-    fewer points."""
-    find = _nearest(BLOCK, k)
-
-    def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or len(right) < k:
-            return pd.DataFrame({"qid": [], "limit": []})
-        found = find(left, right).groupby("qid", sort=False)["dist"].max()
-        return pd.DataFrame({"qid": list(found.index), "limit": found.to_numpy()})
-
-    return bound
-
-
-def visits_of(
-    queries: DataFrame, points: DataFrame, k: int, x: str = "x", id_col: str = "id", same: Sequence[str] = (),
-    pivots: int | None = None, block: int = BLOCK,
-) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Placed points, cells, and the visits (g, qid, qx, cell) that suffice for
-    the ``k`` nearest of every query; None without points."""
-    group: Column = F.to_json(F.struct(*same)) if same else F.lit("")
-    # Copies of one point: only the k smallest ids can matter.
-    copies = Window.partitionBy("g", "px").orderBy("pid")
-    pts = materialize(
-        points.select(group.alias("g"), F.col(id_col).alias("pid"), F.col(x).cast("array<double>").alias("px"))
-        .withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k).drop("__n")
-    )
-    wanted = min(PIVOTS, pts.count() // POINTS_PER_PIVOT) if pivots is None else pivots
-    qs = queries.select(group.alias("g"), F.col(id_col).alias("qid"), F.col(x).cast("array<double>").alias("qx"))
-    chosen = pts.orderBy(F.md5(F.col("pid").cast("string"))).select("px").limit(max(1, wanted)).collect()
-    if not chosen:
-        return None
-    centre = np.array([r["px"] for r in chosen], dtype=float)
-    placed = materialize(_placed(pts, centre, "px").withColumn("part", F.xxhash64("pid")))
-    cells = materialize(placed.groupBy("g", "cell").agg(
-        F.count(F.lit(1)).alias("points"), F.min("r").alias("lo"), F.max("r").alias("hi")))
-
-    # First look: one part of the query's own cell bounds the k-th distance.
-    own = materialize(_placed(qs, centre, "qx"))
-    parts = F.ceil(F.col("points") / block)
-    asks = own.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("asks"))
-    # a part with very many queries is shown to several tasks
-    sized = small_side(materialize(cells.join(asks, ["g", "cell"]).select(
-        "g", "cell", parts.cast("int").alias("parts"), F.ceil(F.col("asks") / (4 * block) / parts).cast("int").alias("lanes"))))
-    asked = own.join(sized, ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).withColumn(
-        "lane", F.pmod(F.xxhash64("qid", F.lit(7)), F.col("lanes")).cast("int"))
-    shown = placed.join(sized, ["g", "cell"]).withColumn("part", F.pmod("part", F.col("parts"))).withColumn(
-        "lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-    keys = ["g", "cell", "part", "lane"]
-    limits = asked.select(*keys, "qid", "qx").groupBy(*keys).cogroup(
-        shown.select(*keys, "pid", "px").groupBy(*keys)
-    ).applyInPandas(_limit(k), T.StructType([T.StructField("qid", qs.schema["qid"].dataType), T.StructField("limit", T.DoubleType())]))
-    bounds = limits.groupBy("qid").agg(F.min("limit").alias("limit"))
-
-    # Second look: cells that can hold something as close.
-    summary = materialize(cells.groupBy("g").agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("cells")))
-    measured = _with_pivot_distances(own.withColumnRenamed("r", "near").drop("cell"), centre, "qx")
-    ready = measured.join(small_side(summary, max_bytes=SUMMARY_BYTES), "g").join(bounds, "qid", "left")
-    limit = F.coalesce(F.col("limit"), F.lit(float("inf"))) * (1 + 1e-9) + 1e-12
-    reach = lambda c: F.element_at("__d", c["cell"])
-    visit = F.filter("cells", lambda c: F.greatest(
-        reach(c) - c["hi"], c["lo"] - reach(c), (reach(c) - F.col("near")) / 2) <= limit)
-    visits = ready.select("g", "qid", "qx", F.explode(F.transform(visit, lambda c: c["cell"])).alias("cell"))
-    return placed, cells, materialize(visits)
+def _side(level: DataFrame) -> DataFrame:
+    return small_side(level, max_bytes=LEVEL_BYTES)
+
+
+class Tree:
+    """Cells of ``points``: ``leaves`` (g, cell, pid, px), ``levels`` of nodes
+    (g, cell, parent, points, lo, hi, leaf), from the root on."""
+
+    def __init__(self, points: DataFrame, k: int, leaf: int = LEAF):
+        first = points.select(F.size("px")).first()
+        self.levels: list[DataFrame] = []
+        self.leaves = points.select("g", F.lit(0).cast("long").alias("cell"), "pid", "px")
+        if first is None:
+            return
+        dims = range(first[0])
+        rows = materialize(self.leaves.withColumn("parent", F.lit(None).cast("long")))
+        closed = []
+        while True:
+            boxes = rows.groupBy("g", "cell").agg(
+                F.first("parent").alias("parent"), F.count(F.lit(1)).alias("points"),
+                F.array(*[F.min(F.col("px")[i]) for i in dims]).alias("lo"), F.array(*[F.max(F.col("px")[i]) for i in dims]).alias("hi"))
+            spread = F.zip_with("hi", "lo", lambda h, l: h - l)
+            wide = F.array_max(spread) if dims else F.lit(0.0)
+            boxes = materialize(boxes.withColumn("wide", wide).withColumn("dim", F.array_position(spread, wide).cast("int")).withColumn(
+                "leaf", (F.col("points") <= leaf) | ~(F.col("wide") > 0)))
+            self.levels.append(boxes)
+            cut = boxes.where(~F.col("leaf")).select("g", "cell", "dim", F.element_at("lo", F.col("dim")).alias("low"), "wide")
+            ready = boxes.where("leaf").select("g", "cell", (F.col("points") > leaf).alias("copies"))
+            closed.append(rows.join(_side(ready), ["g", "cell"]))
+            if cut.isEmpty():
+                break
+            valued = rows.join(_side(cut), ["g", "cell"]).withColumn("value", F.element_at("px", F.col("dim")))
+            # the middle makes sure that a cell with two different points is cut
+            shares = [i / FAN for i in range(1, FAN)]
+            quantiles = valued.groupBy("g", "cell").agg(
+                F.percentile_approx("value", shares, 1000).alias("q"), F.first(F.col("low") + F.col("wide") / 2).alias("middle"),
+                F.first("dim").alias("dim"))
+            cuts = materialize(quantiles.select("g", "cell", "dim", F.array_distinct(F.concat("q", F.array("middle"))).alias("cuts")))
+            part = F.size(F.filter("cuts", lambda c: c < F.element_at("px", F.col("dim"))))
+            rows = materialize(rows.drop("parent").join(_side(cuts), ["g", "cell"]).select(
+                "g", F.xxhash64("cell", part, F.lit(len(closed))).alias("cell"), "pid", "px", F.col("cell").alias("parent")))
+        # of many copies of one point only the k smallest ids can matter
+        every = reduce(DataFrame.unionByName, closed)
+        order = Window.partitionBy("g", "cell").orderBy("pid")
+        few = every.where("copies").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+        self.leaves = materialize(every.where(~F.col("copies")).unionByName(few).select("g", "cell", "pid", "px"))
+
+    def children(self, level: int) -> DataFrame:
+        """(g, cell, below): the nodes below a node, at most ``FAN + 1``."""
+        node = F.struct("cell", "lo", "hi")
+        return self.levels[level].groupBy("g", F.col("parent").alias("cell")).agg(F.collect_list(node).alias("below"))
+
+
+def _box_distance(x: Column, lo: Column, hi: Column) -> Column:
+    """Distance from a point to the nearest place in a box."""
+    zero = F.lit(0.0)
+    under = F.zip_with(x, lo, lambda v, l: F.greatest(l - v, zero))
+    over = F.zip_with(x, hi, lambda v, h: F.greatest(v - h, zero))
+    return F.sqrt(F.aggregate(F.zip_with(under, over, lambda a, b: a + b), zero, lambda s, v: s + v * v))
+
+
+class Search:
+    """The ``k`` nearest points of all queries, in rounds; ``visits`` lists the
+    (query, leaf) pairs of every round."""
+
+    def __init__(self, queries: DataFrame, points: DataFrame, k: int, x: str = "x", id_col: str = "id", same: Sequence[str] = (),
+                 leaf: int = LEAF, block: int = BLOCK):
+        group: Column = F.to_json(F.struct(*same)) if same else F.lit("")
+        pid = points.schema[id_col].dataType
+        self.k, self.block = k, block
+        self.schema = T.StructType([T.StructField("qid", queries.schema[id_col].dataType), T.StructField("pid", pid),
+                                    T.StructField("dist", T.DoubleType())])
+        pts = points.select(group.alias("g"), F.col(id_col).alias("pid"), F.col(x).cast("array<double>").alias("px"))
+        self.tree = Tree(pts, k, leaf)
+        self.queries = queries.select(group.alias("g"), F.col(id_col).alias("qid"), F.col(x).cast("array<double>").alias("qx"))
+        self.visits: list[DataFrame] = []
+
+    def _visit(self, visits: DataFrame) -> DataFrame:
+        """(qid, pid, dist) of the k nearest points in each visited leaf.  A
+        leaf with very many queries is shown to several tasks."""
+        self.visits.append(visits)
+        asks = visits.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * self.block)).cast("int").alias("lanes"))
+        lanes = small_side(materialize(asks))
+        left = visits.join(lanes, ["g", "cell"]).withColumn("lane", F.pmod(F.xxhash64("qid"), F.col("lanes")).cast("int"))
+        right = self.tree.leaves.join(lanes, ["g", "cell"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+        keys = ["g", "cell", "lane"]
+        return materialize(
+            left.select(*keys, "qid", "qx").groupBy(*keys).cogroup(right.select(*keys, "pid", "px").groupBy(*keys))
+            .applyInPandas(_nearest(self.block, self.k), self.schema))
+
+    def _limits(self, found: DataFrame) -> DataFrame:
+        """(qid, limit): the k-th distance found so far."""
+        order = Window.partitionBy("qid").orderBy("dist", "pid")
+        kth = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == self.k)
+        return kth.select("qid", (F.col("dist") * (1 + 1e-9) + 1e-12).alias("limit"))
+
+    def found(self) -> DataFrame:
+        """(qid, pid, dist) that hold the k nearest points of every query."""
+        tree = self.tree
+        if not tree.levels:
+            return self.queries.sparkSession.createDataFrame([], self.schema)
+        below = [_side(materialize(tree.children(i))) for i in range(1, len(tree.levels))]
+        far = lambda c: _box_distance(F.col("qx"), c["lo"], c["hi"])
+        own = self.queries.withColumn("cell", F.lit(0).cast("long"))
+        for level in below:
+            best = F.array_min(F.transform("below", lambda c: F.struct(far(c).alias("far"), c["cell"].alias("cell"))))
+            own = own.join(level, ["g", "cell"], "left").select("g", "qid", "qx", F.coalesce(best["cell"], F.col("cell")).alias("cell"))
+        own = materialize(own)
+        found = self._visit(own)
+        if not below:
+            return found
+        # all other leaves within the bound, by way of the nodes above them
+        limit = F.coalesce(F.col("limit"), F.lit(float("inf")))
+        near = own.withColumnRenamed("cell", "own").join(self._limits(found), "qid", "left").select(
+            "g", "qid", "qx", "own", limit.alias("limit"), F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("far"))
+        ends = []
+        for level, nodes in zip(below, tree.levels[1:]):
+            inside = F.filter(F.transform("below", lambda c: F.struct(c["cell"].alias("cell"), far(c).alias("far"))), lambda c: c["far"] <= F.col("limit"))
+            near = near.join(level, ["g", "cell"]).select("g", "qid", "qx", "own", "limit", F.explode(inside).alias("c")).select(
+                "g", "qid", "qx", "own", "limit", "c.cell", "c.far")
+            ends.append(near.join(_side(nodes.where("leaf").select("g", "cell")), ["g", "cell"], "left_semi"))
+        order = Window.partitionBy("qid").orderBy("far", "cell")
+        others = materialize(reduce(DataFrame.unionByName, ends).where("cell <> own").withColumn("nth", F.row_number().over(order)))
+        if others.isEmpty():
+            return found
+        columns = ["g", "qid", "qx", "cell"]
+        if others.where(F.col("nth") > FIRST).isEmpty():
+            return found.unionByName(self._visit(others.select(*columns)))
+        found = found.unionByName(self._visit(others.where(F.col("nth") <= FIRST).select(*columns)))
+        rest = others.where(F.col("nth") > FIRST).drop("limit").join(self._limits(found), "qid", "left").where(F.col("far") <= limit)
+        return found.unionByName(self._visit(materialize(rest.select(*columns))))
+
+    def compared(self) -> int:
+        """Distances that the rounds measured."""
+        sizes = self.tree.leaves.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
+        return sum(v.join(sizes, ["g", "cell"]).agg(F.sum("n")).first()[0] or 0 for v in self.visits)
 
 
 def visited_share(queries: DataFrame, points: DataFrame, k: int, **options) -> float:
-    """Share of the (query, cell) pairs that a search visits."""
-    found = visits_of(queries, points, k, **options)
-    if found is None:
-        return 0.0
-    _, cells, visits = found
-    every = queries.count() * cells.count()
-    return visits.count() / every if every else 0.0
-
-
-def nearest(
-    queries: DataFrame,
-    points: DataFrame,
-    k: int,
-    x: str = "x",
-    id_col: str = "id",
-    same: Sequence[str] = (),
-    pivots: int | None = None,
-    block: int = BLOCK,
-) -> DataFrame:
+    """Share of the (query, leaf) pairs that a search visits."""
+    search = Search(queries, points, k, **options)
+    search.found()
+    leaves = sum(level.where("leaf").count() for level in search.tree.levels)
+    every = queries.count() * leaves
+    return sum(v.count() for v in search.visits) / every if every else 0.0
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, x: str = "x", id_col: str = "id", same: Sequence[str] = (),
+            leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest points of every query: ``qid, pid, dist, nth``.
 
     ``same`` lists columns that must be equal on both sides.  Ties go to the
     smaller point id.  Queries without a point give no row.
     """
-    qid, pid = queries.schema[id_col].dataType, points.schema[id_col].dataType
-    looked = visits_of(queries, points, k, x, id_col, same, pivots, block)
-    if looked is None:
-        return queries.select(F.col(id_col).alias("qid"), F.lit(None).cast(pid).alias("pid"),
-                              F.lit(0.0).alias("dist"), F.lit(1).alias("nth")).limit(0)
-    placed, cells, visits = looked
-    load = cells.select("g", "cell", "points").join(
-        visits.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("asks")), ["g", "cell"]
-    ).select(
-        "g", "cell",
-        F.ceil(F.col("points") / block).cast("int").alias("p_parts"),
-        F.ceil(F.col("asks") / block).cast("int").alias("q_parts"),
-    )
-    load = small_side(materialize(load))
-    part = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(load, ["g", "cell"]).withColumn("qs", part("qid", "q_parts")).withColumn("ps", every("p_parts"))
-    right = placed.join(load, ["g", "cell"]).withColumn("ps", part("pid", "p_parts")).withColumn("qs", every("q_parts"))
-    keys = ["g", "cell", "ps", "qs"]
-    found = (
-        left.select(*keys, "qid", "qx").groupBy(*keys)
-        .cogroup(right.select(*keys, "pid", "px").groupBy(*keys))
-        .applyInPandas(_nearest(block, k), T.StructType([
-            T.StructField("qid", qid), T.StructField("pid", pid), T.StructField("dist", T.DoubleType())]))
-    )
+    found = Search(queries, points, k, x, id_col, same, leaf, block).found()
     order = Window.partitionBy("qid").orderBy("dist", "pid")
     return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
