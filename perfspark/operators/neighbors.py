@@ -80,13 +80,15 @@ def _side(level: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Cells of ``points``: ``leaves`` (g, cell, pid, px), ``levels`` of nodes
-    (g, cell, parent, points, lo, hi, leaf), from the root on."""
+    """Cells of ``points(g, pid, px, ...)``: ``leaves`` (their rows with the
+    cell), ``levels`` of nodes (g, cell, parent, points, lo, hi, leaf), from the
+    root on."""
 
     def __init__(self, points: DataFrame, k: int, leaf: int = LEAF):
         first = points.select(F.size("px")).first()
         self.levels: list[DataFrame] = []
-        self.leaves = points.select("g", F.lit(0).cast("long").alias("cell"), "pid", "px")
+        own = points.columns
+        self.leaves = points.withColumn("cell", F.lit(0).cast("long"))
         if first is None:
             return
         dims = range(first[0])
@@ -115,12 +117,12 @@ class Tree:
             cuts = materialize(quantiles.select("g", "cell", "dim", F.array_distinct(F.concat("q", F.array("middle"))).alias("cuts")))
             part = F.size(F.filter("cuts", lambda c: c < F.element_at("px", F.col("dim"))))
             rows = materialize(rows.drop("parent").join(_side(cuts), ["g", "cell"]).select(
-                "g", F.xxhash64("cell", part, F.lit(len(closed))).alias("cell"), "pid", "px", F.col("cell").alias("parent")))
+                *own, F.xxhash64("cell", part, F.lit(len(closed))).alias("cell"), F.col("cell").alias("parent")))
         # of many copies of one point only the k smallest ids can matter
         every = reduce(DataFrame.unionByName, closed)
         order = Window.partitionBy("g", "cell").orderBy("pid")
         few = every.where("copies").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
-        self.leaves = materialize(every.where(~F.col("copies")).unionByName(few).select("g", "cell", "pid", "px"))
+        self.leaves = materialize(every.where(~F.col("copies")).unionByName(few).select(*own, "cell"))
 
     def children(self, level: int) -> DataFrame:
         """(g, cell, below): the nodes below a node, at most ``FAN + 1``."""

@@ -187,17 +187,11 @@ def _(spark, d):
     return rounded(domain.domain_vs_rest(views.vectors(spark, d), "domain"), 6, "cmd", "centroid")
 
 
-_DIGIT = "('0x' || substr(md5(f || '/' || pos), {}, 8))::BIGINT"
-_WAVE = """(SELECT g, f, avg(cos(a)) AS c, avg(sin(a)) AS s FROM
-    (SELECT id, g, f, sum(v*w) AS a FROM vector_entries JOIN basis USING (pos) WHERE {} GROUP BY ALL) GROUP BY ALL)"""
-
-
-@query("mmd", "vectors vector_entries",
-       f"""SELECT round(sum(part), 6) AS mmd FROM (SELECT g, avg((p.c-q.c)**2 + (p.s-q.s)**2) AS part
-           FROM {_WAVE.format("domain < 5")} p JOIN {_WAVE.format("domain >= 5")} q USING (g, f) GROUP BY g)""",
-       basis=f"""SELECT g, f, pos, sqrt(2*g)*sqrt(-2*ln(({_DIGIT.format(1)} + 1)/4294967296.0::DOUBLE))*cos(2*pi()*({_DIGIT.format(9)}/4294967296.0::DOUBLE)) AS w
-           FROM (SELECT unnest({list(domain.RBF_SCALES)}::DOUBLE[]) AS g), (SELECT unnest(range({domain.MMD_FREQUENCIES})) AS f),
-                (SELECT DISTINCT pos FROM vector_entries)""")
+@query("mmd", "vectors",
+       f"""SELECT round(sum(ps * qs * ({" + ".join(f"exp(-{g!r} * d2)" for g in domain.RBF_SCALES)})), 6) AS mmd FROM (
+             SELECT p.s AS ps, q.s AS qs, list_sum(list_transform(list_zip(p.x, q.x), lambda z: (z[1]-z[2])*(z[1]-z[2]))) AS d2 FROM sided p, sided q)""",
+       sided="""SELECT x, CASE WHEN domain < 5 THEN 1.0::DOUBLE / count(*) FILTER (domain < 5) OVER ()
+                               ELSE -1.0::DOUBLE / count(*) FILTER (domain >= 5) OVER () END AS s FROM vectors""")
 def _(spark, d):
     v = views.vectors(spark, d)
     value = domain.mmd(v.where("domain < 5"), v.where("domain >= 5"))
