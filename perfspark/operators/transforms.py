@@ -78,42 +78,73 @@ def _power_of_log(method: str, t: Column, lam: Column) -> Column:
     return F.when(t >= 0, box(t, lam)).otherwise(-box(-t, 2 - lam))
 
 
-def _power_np(method: str, t: np.ndarray, lam: float) -> np.ndarray:
-    def box(u, l):  # noqa: E741
-        return u if abs(l) < 1e-12 else np.expm1(l * u) / l
-
+def _power_slopes(method: str, t: Column, lam: Column) -> tuple[Column, Column]:
+    """First and second derivative of ``_power_of_log`` by lambda."""
+    def slopes(u: Column, l: Column) -> tuple[Column, Column]:  # noqa: E741
+        x = l * u
+        near = F.abs(x) < 0.01  # there the quotients lose digits, their series do not
+        safe = F.when(near, F.lit(1.0)).otherwise(l)
+        e = F.exp(x)
+        first = F.when(near, u * u * (1 / 2 + x * (1 / 3 + x * (1 / 8 + x * (1 / 30 + x / 144))))).otherwise(
+            (u * e - F.expm1(x) / safe) / safe)
+        second = F.when(near, u * u * u * (1 / 3 + x * (1 / 4 + x * (1 / 10 + x * (1 / 36 + x / 168))))).otherwise(
+            (u * u * e - 2 * first) / safe)
+        return first, second
+
+    up = slopes(t, lam)
     if method == "Box-Cox":
-        return box(t, lam)
-    return np.where(t >= 0, box(np.maximum(t, 0), lam), -box(np.maximum(-t, 0), 2 - lam))
-
+        return up
+    down = slopes(-t, 2 - lam)
+    return F.when(t >= 0, up[0]).otherwise(down[0]), F.when(t >= 0, up[1]).otherwise(-down[1])
 
-def _grid_moments(logs: DataFrame, method: str, grid: dict[int, list[float]], middle: dict[int, float]) -> DataFrame:
-    """Per entry and grid lambda the first two sums of the transformed values
-    about a fixed centre.  A batch leaves one row per entry and lambda."""
 
-    def sums(batches):
-        for batch in batches:
-            rows = []
-            for pos, part in batch.groupby("pos"):
-                t = part["t"].to_numpy()
-                for j, lam in enumerate(grid[pos]):
-                    with np.errstate(over="ignore", invalid="ignore"):
-                        d = _power_np(method, t, lam) - _power_np(method, np.array([middle[pos]]), lam)[0]
-                        rows.append((pos, j, d.sum(), (d * d).sum()))
-            yield pd.DataFrame(rows, columns=["pos", "j", "d", "d2"])
+class _Climb:
+    """Newton's way to the lambda of one entry, kept between places where the
+    likelihood rises and falls."""
 
-    parts = logs.select("pos", "t").mapInPandas(sums, "pos int, j int, d double, d2 double")
-    return parts.groupBy("pos", "j").agg(F.sum("d").alias("d"), F.sum("d2").alias("d2"))
+    def __init__(self, n: int, s: float):
+        self.n, self.s = n, s
+        self.at, self.low, self.high, self.good, self.done = 0.0, -math.inf, math.inf, None, False
 
-
-def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8, low: float = -5.0, high: float = 5.0) -> DataFrame:
+    def take(self, m: dict[str, float]) -> None:
+        """Go on from the means of the transformed values and their slopes."""
+        if any(not math.isfinite(v) for v in m.values()):  # too far out
+            if self.good is None:
+                self.done = True
+            else:
+                self.at = (self.at + self.good) / 2
+            return
+        var = m["dd"] - m["d"] ** 2
+        if var <= 0:  # nothing varies, or no more than rounding
+            self.done = True
+            return
+        rise = 2 * (m["de"] - m["d"] * m["e"]) / var
+        bend = 2 * (m["ee"] + m["df"] - m["e"] ** 2 - m["d"] * m["f"]) / var
+        slope, curve = self.s / self.n - rise / 2, (rise * rise - bend) / 2
+        if slope > 0:
+            self.low = self.at
+        else:
+            self.high = self.at
+        self.good, bounded = self.at, math.isfinite(self.low) and math.isfinite(self.high)
+        far = 2.0 + abs(self.at)
+        step = -slope / curve if curve < 0 else math.copysign(far, slope)
+        new = self.at + max(-far, min(far, step))
+        if bounded and not self.low < new < self.high:
+            new = (self.low + self.high) / 2
+        # Newton squares a small error
+        self.done = slope == 0 or abs(new - self.at) <= 1e-6 * (1 + abs(new)) or new == self.at
+        self.at = new
+
+
+def fit_power(values: DataFrame, method: str, passes: int = 100) -> DataFrame:
     """Maximum-likelihood lambda per ``pos`` from rows (pos, v).
 
-    The logarithms are taken and stored once.  Each round scores a grid of
-    lambdas in one pass.  While the best lies on the border of its range, the
-    range moves there and doubles; then it narrows around the best ``rounds``
-    times.  The last step gives mean and std.  Where nothing varies every
-    lambda is as good, and the first range's middle is taken.
+    The logarithms are taken and stored once.  A pass sums, for all entries
+    that still move, the transformed values, their slopes and their products,
+    from which Newton's step on the likelihood follows; it is kept between the
+    places known to lie on either side, so it can't run off.  Some 5 to 7 passes
+    give lambda to 1e-9 (``passes`` only ends a climb that never settles).
+    Where nothing varies every lambda is as good, and 0 is taken.
     """
     v = F.col("v")
     log = F.ln(v) if method == "Box-Cox" else F.signum(v) * F.log1p(F.abs(v))
@@ -122,33 +153,24 @@ def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8,
     if method == "Box-Cox" and any(r["bad"] for r in facts):
         raise ValueError("Box-Cox needs positive values")
     spark = values.sparkSession
-    bounds = {r["pos"]: (low, high) for r in facts}
-    sums = {r["pos"]: (r["s"], r["n"]) for r in facts}
-    narrowed = dict.fromkeys(bounds, 0)
-    while open_ := [p for p, n in narrowed.items() if n < rounds]:
-        width = {p: (bounds[p][1] - bounds[p][0]) / (points - 1) for p in open_}
-        grid = {p: [bounds[p][0] + j * width[p] for j in range(points)] for p in open_}
-        middle = {p: s / n for p, (s, n) in sums.items()}
-        part = logs.where(F.col("pos").isin(open_)) if len(open_) < len(bounds) else logs
-        moments = {(r["pos"], r["j"]): (r["d"], r["d2"]) for r in _grid_moments(part, method, grid, middle).collect()}
-        for p, lams in grid.items():
-            s, n = sums[p]
-            scores = []
-            for j, lam in enumerate(lams):
-                d, d2 = moments[p, j]
-                var = d2 / n - (d / n) ** 2
-                scores.append(-n / 2 * math.log(var) + (lam - 1) * s if math.isfinite(var) and var > 0 else -math.inf)
-            if max(scores) == -math.inf:
-                narrowed[p] = rounds
-                continue
-            at = scores.index(max(scores))
-            best, span = lams[at], bounds[p][1] - bounds[p][0]
-            if at in (0, points - 1) and narrowed[p] == 0:
-                bounds[p] = (best - span, best + span)
-            else:
-                bounds[p] = (best - width[p], best + width[p])
-                narrowed[p] += 1
-    lams = spark.createDataFrame([(p, (lo + hi) / 2) for p, (lo, hi) in bounds.items()], "pos int, lambda double")
+    climbs = {r["pos"]: _Climb(r["n"], r["s"]) for r in facts if r["n"]}
+    for _ in range(passes):
+        open_ = [p for p, c in climbs.items() if not c.done]
+        if not open_:
+            break
+        # one row per entry of a vector
+        places = spark.createDataFrame([(p, climbs[p].at, climbs[p].s / climbs[p].n) for p in open_], "pos int, lambda double, middle double")
+        rows = logs.join(F.broadcast(places), "pos")
+        lam, t, c = F.col("lambda"), F.col("t"), F.col("middle")
+        own, centre = _power_slopes(method, t, lam), _power_slopes(method, c, lam)
+        rows = rows.select("pos", (_power_of_log(method, t, lam) - _power_of_log(method, c, lam)).alias("d"),
+                           (own[0] - centre[0]).alias("e"), (own[1] - centre[1]).alias("f"))
+        sums = rows.groupBy("pos").agg(
+            F.avg("d").alias("d"), F.avg("e").alias("e"), F.avg("f").alias("f"), F.avg(F.col("d") * F.col("d")).alias("dd"),
+            F.avg(F.col("d") * F.col("e")).alias("de"), F.avg(F.col("e") * F.col("e")).alias("ee"), F.avg(F.col("d") * F.col("f")).alias("df"))
+        for r in sums.collect():
+            climbs[r["pos"]].take({k: x for k, x in r.asDict().items() if k != "pos"})
+    lams = spark.createDataFrame([(p, c.at) for p, c in climbs.items()], "pos int, lambda double")
     moved = logs.join(F.broadcast(lams), "pos").withColumn("z", _power_of_log(method, F.col("t"), F.col("lambda")))
     return moved.groupBy("pos", "lambda").agg(F.avg("z").alias("avg"), F.stddev_pop("z").alias("std"))
 
@@ -156,7 +178,7 @@ def fit_power(values: DataFrame, method: str, points: int = 21, rounds: int = 8,
 # ---------------------------------------------------------------------- fit
 
 def fit(
-    df: DataFrame, column: str, method: str | int, target: str = "y", eps: float = EPS, rounds: int = 8
+    df: DataFrame, column: str, method: str | int, target: str = "y", eps: float = EPS
 ) -> DataFrame:
     """Parameter rows of one method for a scalar or an array column."""
     method = method_name(method)
@@ -165,7 +187,7 @@ def fit(
     none = F.lit(None).cast("array<double>")
     empty = F.create_map().cast("map<string,double>")
     if method in ("Box-Cox", "Yeo-Johnson"):
-        rows = fit_power(values, method, rounds=rounds).select(
+        rows = fit_power(values, method).select(
             "pos", F.create_map(F.lit("lambda"), "lambda", F.lit("avg"), "avg", F.lit("std"), "std").alias("params"),
             none.alias("quantiles"))
     elif method in ("Quantile", "Quantile-Uniform"):

@@ -7,7 +7,8 @@ from perfspark.operators.split import every_kth, is_test, is_train
 from perfspark.plans import views
 from perfspark.plans.registry import query
 
-ROUNDS = 5
+#: Rounds of the twins' grid search, each a digit of lambda.
+DIGITS = 5
 
 
 def _label(spark, d):
@@ -16,7 +17,7 @@ def _label(spark, d):
 
 def _apply(spark, d, method, digits=7):
     s = _label(spark, d)
-    t = tf.Transform.load(tf.fit(s, "avg", method, rounds=ROUNDS), "y", method)
+    t = tf.Transform.load(tf.fit(s, "avg", method), "y", method)
     out = s.withColumn("z", t.forward("avg")).withColumn("back", t.inverse("z"))
     return out.select("sample_id", F.round("z", digits).alias("z"), F.round("back", 7).alias("back"))
 
@@ -51,12 +52,21 @@ def _(spark, d):
 def _search(value, log_term):
     """The same grid search, written out round by round."""
     steps = {"r0": "SELECT 0.0::DOUBLE AS best, 5.0::DOUBLE AS half"}
-    for i in range(ROUNDS):
+    for i in range(DIGITS):
         steps[f"r{i + 1}"] = f"""SELECT arg_max(l, ll) AS best, any_value(half)/10 AS half FROM
             (SELECT l, half, -count(*)/2.0::DOUBLE*ln(var_pop({value})) + (l - 1)*sum({log_term}) AS ll
              FROM samples, (SELECT best - half + j*(half/10) AS l, half FROM r{i}, (SELECT unnest(range(21)) AS j))
              GROUP BY l, half)"""
-    steps["f"] = f"SELECT l, avg({value}) AS m, stddev_pop({value}) AS s FROM samples, (SELECT best AS l FROM r{ROUNDS}) GROUP BY l"
+    # Newton's steps on the likelihood give the digits that its flat top hides
+    last = f"r{DIGITS}"
+    for i in range(2):
+        first, second = f"({log_term}*exp(l*{log_term}) - z)/l", f"({log_term}*{log_term}*exp(l*{log_term}) - 2*z1)/l"
+        steps[f"n{i}"] = f"""SELECT any_value(l) - (sum(u)/count(*) - covar_pop(z, z1)/var_pop(z)) / (
+              2*(covar_pop(z, z1)/var_pop(z))**2 - (var_pop(z1) + covar_pop(z, z2))/var_pop(z)) AS best
+            FROM (SELECT *, {second} AS z2 FROM (SELECT *, {first} AS z1 FROM (
+              SELECT avg, l, {value} AS z, {log_term} AS u FROM samples, (SELECT best AS l FROM {last}))))"""
+        last = f"n{i}"
+    steps["f"] = f"SELECT l, avg({value}) AS m, stddev_pop({value}) AS s FROM samples, (SELECT best AS l FROM {last}) GROUP BY l"
     return steps
 
 
@@ -153,7 +163,7 @@ def _(spark, d):
        "SELECT unnest(['Box-Cox','Yeo-Johnson','Quantile','Quantile-Uniform','min-max','std','log','None']) AS method, true AS same")
 def _(spark, d):
     s = _label(spark, d)
-    fitted = [tf.Transform.load(tf.fit(s, "avg", m, rounds=ROUNDS), "y", m) for m in range(8)]
+    fitted = [tf.Transform.load(tf.fit(s, "avg", m), "y", m) for m in range(8)]
     return tf.roundtrip_error(s, "avg", fitted).select("method", (F.col("max_gap") < 1e-6).alias("same"))
 
 
