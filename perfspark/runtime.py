@@ -31,10 +31,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``.  Without that setting it
-    is a folder of the warehouse, which all executors reach as well.
+    is a folder of the warehouse, unless that is on the driver's own disk and
+    the executors are on other machines.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    if root:
+        return root.rstrip("/")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = root.partition(":")[0] if ":" in root else "file"
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return root + "/_intermediate"
 
 
 def _app_folder(spark: SparkSession) -> str:

@@ -115,3 +115,20 @@ def test_closed_scope_leaves_nothing(spark, tmp_path):
     from pathlib import Path
 
     assert not Path(urlparse(path).path).parent.exists()
+
+
+def test_no_intermediate_tables_on_the_drivers_own_disk():
+    class Fake:
+        def __init__(self, master, **conf):
+            self.sparkContext, self.conf = type("C", (), {"master": master}), conf
+
+    def root(master, **conf):
+        fake = Fake(master)
+        fake.conf = type("Conf", (), {"get": staticmethod(lambda k, *d: conf.get(k.split(".")[1], d[0] if d else conf.get("sql")))})
+        return runtime.checkpoint_root(fake)
+
+    assert root("yarn", checkpoint="hdfs://c/x/") == "hdfs://c/x"
+    assert root("yarn", sql="hdfs://c/w") == "hdfs://c/w/_intermediate" and root("local[4]", sql="file:/w") == "file:/w/_intermediate"
+    for path in ("file:/w", "file:///w", "/w"):
+        with pytest.raises(ValueError):
+            root("spark://host:7077", sql=path)
