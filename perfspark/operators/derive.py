@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
-from perfspark.functions.text import regex_groups, with_groups
+from perfspark.functions.text import with_groups
 from perfspark.runtime import lookup
 
 # Bytes per element by type.
@@ -396,11 +396,10 @@ def device_feature_vector(top: dict[str, float] = DEVICE_MAX) -> Column:
 
 # --------------------------------------------------------- tensor attributes
 
-# One tensor attribute text; sizes kept of a shape.
-TENSOR_PATTERN = (
-    r"([\w:/\-]+)  \|  (\[[\d,]+\])  \|  ((?:float|int)(?:8|16|32))  \|  "
-    r"zp = (-?\d+), scale = ([\d.\-e]+)  \|  ModelParam = (0|1)  \|  "
-)
+# The types a tensor's text may name, and the words before its
+# numbers; sizes kept of a shape.
+TENSOR_TYPES = ["float8", "float16", "float32", "int8", "int16", "int32"]
+ZERO_POINT, SCALE, PARAMETER = "zp = ", ", scale = ", "ModelParam = "
 TENSOR_DIMS = 6
 MAX_INPUTS = 3
 
@@ -410,18 +409,22 @@ def tensor_numbers(text: Column) -> Column:
     flag, bytes, then the shape padded with zeros."""
 
     def numbers(parts: Column) -> Column:
-        shape = F.split(F.regexp_replace(parts[1], r"[\[\]]", ""), ",").cast("array<double>")
-        dtype = parts[2]
+        sizes, dtype, scaled, param = (F.get(parts, i) for i in (1, 2, 3, 4))
+        shape = F.split(F.substring(sizes, F.lit(2), F.length(sizes) - 2), ",").try_cast("array<double>")
         count = F.aggregate(shape, F.lit(1.0), lambda a, v: a * v)
-        head = F.array(
-            count, parts[3].cast("double"), parts[4].cast("double"), parts[5].cast("double"),
-            F.when(dtype.startswith("float"), 1.0).otherwise(0.0),
-            F.regexp_replace(dtype, "float|int", "").cast("double") / 8,
-        )
-        return F.concat(head, shape, F.array_repeat(F.lit(0.0), F.lit(TENSOR_DIMS) - F.size(shape)))
+        point = F.substring_index(F.substring(scaled, len(ZERO_POINT) + 1, 1 << 20), SCALE, 1).try_cast("bigint")
+        scale = F.substring_index(scaled, SCALE, -1).try_cast("double")
+        is_param = F.when(param == PARAMETER + "1", 1.0).when(param == PARAMETER + "0", 0.0)
+        is_float = dtype.startswith("float")
+        bits = F.substring(dtype, F.when(is_float, 6).otherwise(4), F.lit(2)).cast("double")
+        head = F.array(count, point.cast("double"), scale, is_param, F.when(is_float, 1.0).otherwise(0.0), bits / 8)
+        said = (
+            (F.size(parts) > 5) & sizes.startswith("[") & sizes.endswith("]") & dtype.isin(TENSOR_TYPES) & scaled.startswith(ZERO_POINT)
+            & (F.size(shape) <= TENSOR_DIMS) & count.isNotNull() & point.isNotNull() & scale.isNotNull() & is_param.isNotNull())
+        return F.when(said, F.concat(head, shape, F.array_repeat(F.lit(0.0), F.lit(TENSOR_DIMS) - F.size(shape))))
 
-    # The lambda binds the groups once, so the pattern is not run per number.
-    return F.transform(F.array(regex_groups(text, TENSOR_PATTERN, 6)), numbers)[0]
+    # the lambda binds the parts once, so the text is not split per number
+    return F.transform(F.array(F.split(text, r"  \|  ")), numbers)[0]
 
 
 def tensor_attr_features(
@@ -436,6 +439,6 @@ def tensor_attr_features(
     missing = (F.lit(most) - F.size(inputs)) * per_tensor
     row = F.concat(
         got, F.array_repeat(F.lit(0.0), missing), tensor_numbers(output), F.array(*[e.cast("double") for e in extra]),
-        F.array_repeat(F.lit(0.0), length),
+        F.array_repeat(F.lit(0.0), length - (most + 1) * per_tensor - len(extra)),
     )
-    return F.when(F.size(inputs) <= most, F.slice(row, 1, length))
+    return F.when(F.size(inputs) <= most, row)
