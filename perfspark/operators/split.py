@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.operators.ranking import add_rank
-from perfspark.runtime import lookup
+from perfspark.runtime import lookup, materialize, small_side
 
 # Split codes are bit sets.
 FILTERED, TRAIN, TEST, ALL = 0, 1, 2, 7
@@ -240,6 +240,26 @@ def grid_configs(spark, space: dict[str, Sequence], valid: Column | None = None,
     return out.withColumn("worker", (F.col("config_id") % workers).cast("int"))
 
 
+def grid_of_columns(spark, space: dict[str, DataFrame], valid: Column | None = None, workers: int = 1) -> DataFrame:
+    """As ``grid_configs`` with the distinct values of a column of a table for
+    each dimension, in their order; only their numbers reach the driver."""
+    dims = {}
+    for name, table in space.items():
+        values = table.select(name).distinct().where(F.col(name).isNotNull())
+        dims[name] = materialize(add_rank(values, [name], [], "__r").select(name, (F.col("__r") - 1).alias("__d")))
+    sizes = {name: dim.count() for name, dim in dims.items()}
+    out = spark.range(math.prod(sizes.values())).withColumnRenamed("id", "config_id")
+    step = 1
+    for name in reversed(space):
+        digit = F.pmod(F.floor(F.col("config_id") / step), F.lit(sizes[name]))
+        out = out.withColumn("__d", digit).join(small_side(dims[name]), "__d").drop("__d")
+        step *= max(sizes[name], 1)
+    out = out.select("config_id", *space)
+    if valid is not None:
+        out = out.where(valid)
+    return out.withColumn("worker", (F.col("config_id") % workers).cast("int"))
+
+
 # ------------------------------------------------------------ set operations
 
 def union_samples(parts: Sequence[DataFrame], logged: Sequence[bool] | None = None) -> DataFrame:

@@ -125,9 +125,8 @@ def _(spark, d):
 )
 def _(spark, d):
     p = views.table(spark, d, "part")
-    space = {c: [r[0] for r in p.select(c).distinct().orderBy(c).collect()] for c in ("p_type", "p_brand", "p_size")}
     valid = (F.col("p_size") % 2 == 0) | (F.col("p_brand") < "Brand#2")
-    return split.grid_configs(spark, space, valid, 4)
+    return split.grid_of_columns(spark, {c: p for c in ("p_type", "p_brand", "p_size")}, valid, 4)
 
 
 @query("union_samples", "samples predictions",
