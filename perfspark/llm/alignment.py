@@ -22,26 +22,26 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.llm.common import ship, shipped, whole_text
 from perfspark.llm.token_files import LibraryEncoder
-from perfspark.llm.tokens import Memory
+from perfspark.llm.wordwise import NO_ID, Remembered, Wordwise, joined_ids
 from perfspark.runtime import materialize
 
 #: Words of either side, and windows, that a task remembers.  More only saves time.
-REMEMBERED = 300_000
-#: Documents whose links a task holds before it hands them on.
-HELD = 128
+REMEMBERED = 150_000
+#: Bytes of text that a task aligns at once (a longer text is taken alone).
+TOGETHER = 1 << 20
 #: Pairs of ids whose counts are broadcast, at most (16 bytes each).
 BROADCAST_PAIRS = 1_000_000
-#: Between the ids of A and of B in a window's key; no id.
-BREAK = 0xFFFFFFFF
+#: Between the ids of A and of B in a window's key.
+BREAK = NO_ID
 SPACE = "▁"
 
 
@@ -49,14 +49,14 @@ class PieceEncoder:
     """Ids of a sentencepiece BPE model with byte fallback, and their bytes.
 
     No piece holds a space behind another character, so merges never cross the
-    start of a run of spaces, and a text may be cut there.  A model with such
-    pieces is encoded text by text.
+    start of a run of spaces, and a text may be cut there.  With other models a
+    text is one unit.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         with open(path, "rb") as file:
             self.source = file.read()
-        self.remembered, self.model = remembered, None
+        self.remembered = remembered
 
     def start(self) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -66,104 +66,172 @@ class PieceEncoder:
         pieces = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes = [
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.blank = array("I", [pieces.index(SPACE)]).tobytes() if SPACE in pieces else None
-        self.units = Memory(self.unit_ids, self.remembered)
-        self.words = Memory(self.word_ids, self.remembered)
-
-    def unit_ids(self, unit: str) -> bytes | None:
-        """Of a run of spaces and what follows, None if the pieces spell
-        something else."""
+        self.length = np.array([len(b) for b in self.bytes], np.int64)
+        self.blank = np.array([pieces.index(SPACE)] if SPACE in pieces else [BREAK], np.uint32).tobytes()
+        apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.words = Wordwise(self.fresh, "  |^ | $" if apart else "^", self.units if apart else lambda t: [" " + t], self.remembered)
+
+    def units(self, text: str) -> list[str]:
+        """Runs of spaces with what follows."""
+        return re.findall(" +[^ ]*", " " + text)
+
+    def single(self, unit: str) -> bytes:
+        """Ids of one unit; NO_ID if they spell something else."""
         if unit == " ":
             return self.blank
         ids = self.model.encode(unit[1:])
         spelt = b"".join(map(self.bytes.__getitem__, ids)) == unit.encode("utf-8", "surrogatepass")
-        return array("I", ids).tobytes() if spelt else None
-
-    def word_ids(self, word: str) -> bytes | None:
-        return self.unit_ids(" " + word)
-
-    def encode(self, spaced: str) -> bytes | None:
-        """Ids (unsigned 32-bit) of a text that begins with the space which the
-        model adds; None if they do not spell it."""
-        try:
-            if not self.apart:
-                return self.unit_ids(spaced)
-            if "  " in spaced or spaced[-1] == " ":
-                return b"".join(map(self.units.__getitem__, re.findall(" +[^ ]*", spaced)))
-            return b"".join(map(self.words.__getitem__, spaced[1:].split(" ")))
-        except TypeError:  # a part without ids
-            return None
-
-
-def window_links(key: bytes, a_bytes, b_bytes) -> tuple[int, int, str, bytes]:
-    """Groups, links, the groups as text, and the linked pairs (a << 32 | b) of
-    one window's ids."""
-    ids = np.frombuffer(key, np.uint32)
-    cut = int(np.flatnonzero(ids == BREAK)[0])
-    a, b = ids[:cut].tolist(), ids[cut + 1:].tolist()
-    told, pairs, i, j, groups = [], array("Q"), 0, 0, 0
-    while i < len(a) or j < len(b):
-        left, right = [a[i]], [b[j]]
-        at, bt = len(a_bytes[a[i]]), len(b_bytes[b[j]])
-        i, j = i + 1, j + 1
-        while at != bt:
-            if at < bt:
-                left.append(a[i])
-                at += len(a_bytes[a[i]])
-                i += 1
-            else:
-                right.append(b[j])
-                bt += len(b_bytes[b[j]])
-                j += 1
-        told.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        pairs.extend(x << 32 | y for x in left for y in right)
-        groups += 1
-    return groups, len(pairs), ";".join(told), pairs.tobytes()
+        return np.array(ids if spelt else [BREAK], np.uint32).tobytes()
+
+    def fresh(self, units: list[str]) -> list[bytes]:
+        """Units are encoded as one text where that spells them."""
+        def spelt(text):
+            ids = self.model.encode(text[1:])
+            return ids if b"".join(map(self.bytes.__getitem__, ids)) == text.encode("utf-8", "surrogatepass") else []
+
+        joint = [i for i, u in enumerate(units) if len(u) > 1 and u[1] != " " and u[-1] != " "]
+        out: list = [None] * len(units)
+        for i, found in zip(joint, joined_ids([units[i] for i in joint], spelt, self.length)):
+            out[i] = found
+        return [self.single(u) if found is None else found for u, found in zip(units, out)]
+
+
+def _strings(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+class Windows:
+    """Alignment of windows, given as keys: ids of A, a break, ids of B."""
+
+    def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes))
+        # an id and what follows it: "," or, behind the last of its group, "|" or ";"
+        self.told = [f"{i}{c}" for side, ends in ((a_bytes, ",|"), (b_bytes, ",;")) for i in range(len(side)) for c in ends]
+        self.told_size = np.array([len(t) for t in self.told], np.int64)
+
+    def aligned(self, keys: list[bytes]) -> list[tuple[int, int, str, bytes]]:
+        """Of every window: groups, links, the groups as text (each followed by
+        ";"), and the linked pairs (a << 32 | b)."""
+        ids = np.frombuffer(b"".join(keys), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+        breaks = ids == BREAK
+        window = np.repeat(np.arange(len(keys)), size)
+        behind = np.cumsum(breaks)[np.cumsum(size) - 1]
+        # tokens of B stand behind the break of their window
+        in_b = (np.cumsum(breaks) == np.repeat(behind, size)) & ~breaks
+        in_a = ~in_b & ~breaks
+        a, b, a_window = ids[in_a], ids[in_b], window[in_a]
+        a_ends, b_ends = self.a_size[a].cumsum(), self.b_size[b].cumsum()
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        n_a, n_b = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
+        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+        of = a_window[stop_a - 1]  # the window of a group
+        each = n_b[a_group]
+        done = np.cumsum(each)
+        pairs = np.repeat(a, each) << 32 | b[np.repeat((stop_b - n_b)[a_group] - (done - each), each) + np.arange(done[-1])]
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + (stop_b - n_b)[a_group]] = 2 * a + (np.arange(len(a)) == stop_a[a_group] - 1)
+        code[np.arange(len(b)) + stop_a[b_group]] = 2 * (len(self.a_size) + b) + (np.arange(len(b)) == stop_b[b_group] - 1)
+        text = "".join(map(self.told.__getitem__, code.tolist()))
+        text_stop = np.cumsum(self.told_size[code])[(stop_a + stop_b)[np.searchsorted(of, np.arange(len(keys)), side="right") - 1] - 1]
+        groups, links = np.bincount(of, minlength=len(keys)), np.bincount(a_window, each, len(keys)).astype(np.int64)
+        raw, at = pairs.astype(np.uint64).tobytes(), (8 * np.cumsum(links)).tolist()
+        text_at = text_stop.tolist()
+        return [(g, n, text[s:e], raw[p:q]) for g, n, s, e, p, q in zip(
+            groups.tolist(), links.tolist(), [0, *text_at], text_at, [0, *at], at)]
 
 
 class Aligner:
     """Both encoders and the memory of windows; lives as long as the task process."""
 
     def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED):
-        self.a, self.b = LibraryEncoder(path_a, remembered), PieceEncoder(path_b, remembered)
+        self.a, self.b = LibraryEncoder(path_a, as_text=True), PieceEncoder(path_b, remembered)
         self.remembered, self.ready = remembered, False
 
     def start(self) -> None:
         self.a.start()
         self.b.start()
         strings = self.a.vocabulary.strings
-        self.a_size, self.b_size = (np.array([len(s) for s in side], np.int64) for side in (strings, self.b.bytes))
+        self.a_size, self.b_size = np.array([len(s) for s in strings], np.int64), self.b.length
         self.a_marked, self.b_marked = (np.array([s[:1] == b" " for s in side]) for side in (strings, self.b.bytes))
-        self.windows = Memory(partial(window_links, a_bytes=strings, b_bytes=self.b.bytes), self.remembered)
-        # keys are bytes of any length; a window without anchors is as long as its text
+        self.windows = Remembered(Windows(strings, self.b.bytes).aligned, self.remembered)
         self.ready = True
 
-    def aligned(self, text: str) -> tuple[int, int, list]:
-        """Tokens of A and of B, and the windows' groups."""
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, tokens of A in every text, and the same of B; none for
+        texts that the tokens do not spell."""
+        spaced = [" " + t for t in texts.to_pylist()]
+        found = [self.a.encode(t) for t in spaced]
+        n_a = np.array([len(f) for f in found], np.int64)
+        a = np.concatenate(found)
+        ends, b = self.b.words.encode(texts)
+        n_b = np.diff(ends, prepend=0)
+        bytes_ = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        total = lambda sizes, n: np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(n))])
+        lost = b == BREAK
+        good = (bytes_ > 1) & (total(self.a_size[a], n_a) == bytes_)
+        good &= (total(lost, n_b) == 0) & (total(np.where(lost, 0, self.b_size[np.where(lost, 0, b)]), n_b) == bytes_)
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        return a, n_a, b, n_b
+
+    def align(self, texts: pa.Array) -> dict[str, pa.Array]:
+        """Columns of ``FIELDS`` for some texts: each begins with a space, so
+        they are cut into windows as one text."""
         if not self.ready:
             self.start()
-        spaced = " " + text
-        ids_b = self.b.encode(spaced) if text else None
-        if ids_b is None:
-            return 0, 0, []
-        a, b = np.frombuffer(self.a.plain(spaced), np.uint32), np.frombuffer(ids_b, np.uint32)
+        a, n_a, b, n_b = self.tokens(texts)
         a_ends, b_ends = self.a_size[a].cumsum(), self.b_size[b].cumsum()
-        if a_ends[-1] != b_ends[-1]:
-            return 0, 0, []
         before_a, before_b = a_ends[:-1][self.a_marked[a[1:]]], b_ends[:-1][self.b_marked[b[1:]]]
-        anchors = before_a[before_b[np.minimum(np.searchsorted(before_b, before_a), len(before_b) - 1)] == before_a] \
-            if len(before_b) else before_b
-        cuts_a = np.concatenate(([0], np.searchsorted(a_ends, anchors) + 1, [len(a)]))
-        cuts_b = np.concatenate(([0], np.searchsorted(b_ends, anchors) + 1, [len(b)]))
+        anchors = np.intersect1d(before_a, before_b, assume_unique=True)
+        cuts_a = np.concatenate(([0], np.searchsorted(a_ends, anchors) + 1, [len(a)])) if len(a) else np.zeros(1, np.int64)
+        cuts_b = np.concatenate(([0], np.searchsorted(b_ends, anchors) + 1, [len(b)])) if len(a) else np.zeros(1, np.int64)
         in_a, in_b = np.diff(cuts_a), np.diff(cuts_b)
         ends = (in_a + in_b + 1).cumsum()
         starts = ends - (in_a + in_b + 1)
-        keys = np.full(int(ends[-1]), BREAK, np.uint32)
+        keys = np.full(int(ends[-1]) if len(ends) else 0, BREAK, np.uint32)
         keys[np.arange(len(a)) + np.repeat(starts - cuts_a[:-1], in_a)] = a
         keys[np.arange(len(b)) + np.repeat(starts + in_a + 1 - cuts_b[:-1], in_b)] = b
-        raw = keys.tobytes()
-        return len(a), len(b), [self.windows[raw[s:e]] for s, e in zip((4 * starts).tolist(), (4 * ends).tolist())]
+        # distinct windows of these texts are numbered by Arrow, then looked up
+        numbered = _strings(np.append(0, 4 * ends), keys).dictionary_encode()
+        code = numbered.indices.to_numpy().astype(np.int64)
+        known = self.windows.lookup(numbered.dictionary.to_pylist())
+        groups, links = (np.array([w[i] for w in known], np.int64) for i in (0, 1))
+        doc = np.searchsorted(np.cumsum(n_a), cuts_a[:-1], side="right")
+        per_doc = lambda values: np.bincount(doc, values, len(texts)).astype(np.int64)
+        told = pa.array([w[2] for w in known], pa.large_string()).take(pa.array(code))
+        stop = np.frombuffer(told.buffers()[1], np.int64, len(told) + 1) if len(told) else np.zeros(1, np.int64)
+        text = memoryview(told.buffers()[2]) if len(told) else b""
+        edge = stop[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        listed = [bytes(text[s:e - 1]) if e > s else b"" for s, e in zip(edge.tolist(), edge[1:].tolist())]
+        ends, links_ = self._pairs(doc, code, known, len(texts))
+        return {
+            "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(per_doc(groups[code])), "n_links": pa.array(per_doc(links[code])),
+            "groups_sha256": pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in listed]),
+            "links": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links_), "groups": pa.array([t.decode() for t in listed]),
+        }
+
+    def _pairs(self, doc: np.ndarray, code: np.ndarray, known: list, docs: int) -> tuple[np.ndarray, pa.Array]:
+        """Distinct pairs of ids of every document, and how often each is
+        linked in it: windows first, then their pairs."""
+        size = np.array([w[1] for w in known], np.int64)
+        table, pair = np.unique(np.frombuffer(b"".join([w[3] for w in known]), np.uint64), return_inverse=True)
+        begin = np.cumsum(size) - size
+        window, times = np.unique(doc * max(len(known), 1) + code, return_counts=True)
+        owner, window = np.divmod(window, max(len(known), 1))
+        each = size[window]
+        stop = np.cumsum(each)
+        place = np.repeat(begin[window] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)
+        key, where = np.unique(np.repeat(owner, each) * max(len(table), 1) + pair[place], return_inverse=True)
+        n = np.bincount(where, np.repeat(times, each), len(key)).astype(np.int32)
+        owner, pair = np.divmod(key, max(len(table), 1))
+        linked = table[pair]
+        links = pa.StructArray.from_arrays(
+            [pa.array((linked >> np.uint64(32)).astype(np.int32)), pa.array((linked & np.uint64(BREAK)).astype(np.int32)), pa.array(n)],
+            names=["a", "b", "n"])
+        return np.searchsorted(owner, np.arange(docs + 1)), links
 
 
 FIELDS = "row long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " \
@@ -175,41 +243,24 @@ def _linked(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str, r
     is linked in it."""
     tool = ship(docs.sparkSession, Aligner(path_a, path_b, remembered))
     rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("text"))
+    schema = FIELDS.format(id=rows.schema["id"].dataType.simpleString()) + (", groups string" if with_groups else "")
+    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"] + (["groups"] if with_groups else [])
 
     def made(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         aligner, row = shipped(tool), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, HELD):
-                part = batch.slice(at, HELD)
-                figures, digests, texts, codes, times, sizes = [], [], [], [], [], [0]
-                for value in part.column(1):
-                    n_a, n_b, windows = aligner.aligned(value.as_py())
-                    told = ";".join([w[2] for w in windows])
-                    pairs, n = np.unique(np.frombuffer(b"".join([w[3] for w in windows]), np.uint64), return_counts=True)
-                    figures.append((n_a, n_b, sum(w[0] for w in windows), sum(w[1] for w in windows)))
-                    digests.append(hashlib.sha256(told.encode()).hexdigest() if windows else "")
-                    texts.append(told)
-                    codes.append(pairs)
-                    times.append(n)
-                    sizes.append(sizes[-1] + len(pairs))
-                code = np.concatenate(codes)
-                links = pa.StructArray.from_arrays(
-                    [pa.array(x.astype(np.int32)) for x in (code >> np.uint64(32), code & np.uint64(BREAK), np.concatenate(times))],
-                    names=["a", "b", "n"])
-                columns = [pa.array(range(row, row + part.num_rows), pa.int64()), part.column(0),
-                           *[pa.array(f, pa.int64()) for f in zip(*figures)], pa.array(digests),
-                           pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), links)]
-                names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"]
-                if with_groups:
-                    columns.append(pa.array(texts))
-                    names.append("groups")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                row += part.num_rows
+            part_of = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(part_of)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                if to > at:
+                    part = batch.slice(at, to - at)
+                    found = aligner.align(part.column(1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(row, row + to - at)), part.column(0), *[found[n] for n in names]], names=["row", "id", *names])
+                    row += to - at
 
-    schema = FIELDS.format(id=rows.schema["id"].dataType.simpleString()) + (", groups string" if with_groups else "")
     return rows.mapInArrow(made, schema)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ def ship(spark: SparkSession, value) -> Broadcast:
 
 
 def shipped(box: Broadcast):
-    """What ``ship`` was given; a task process unpacks it once and keeps it."""
+    """What ``ship`` was given; a task process unpacks it once and keeps it.
+    What it kept of earlier jobs may hold itself in cycles and goes first."""
     content = box.value
     if "value" not in content:
+        gc.collect()
         content["value"] = cloudpickle.loads(content.pop("packed"))
     return content["value"]
 
