@@ -125,34 +125,41 @@ flagged AS (
               PARTITION BY doc_id ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), e) >= e AS apart
   FROM spans),
 facts(encoding, alphabet, k, often, cased) AS (VALUES {facts}),
-bodies AS (SELECT doc_id, s, e, body, {encoding} AS encoding
-           FROM (SELECT *, regexp_replace(match, '=+$', '') AS body FROM flagged WHERE kind = 3 AND apart)),
-known AS (SELECT doc_id, s, e, alphabet, k, often, cased, encoding, greatest(length(body), 2) AS n,
+runs AS (SELECT doc_id, s, e, match, regexp_replace(match, '=+$', '') AS body FROM flagged WHERE kind = 3 AND apart),
+ends AS (SELECT *, length(regexp_extract(body, '^(?:{secrets.PLAIN}[/_-])+')) AS ahead,
+                length(regexp_extract(body, '(?:[/_-]{secrets.PLAIN})+$')) AS behind,
+                regexp_matches(body, '^{secrets.PLAIN}(?:[/_-]{secrets.PLAIN})*$') AS plain FROM runs),
+cores AS (SELECT *, CASE WHEN behind > 0 THEN length(body) - behind ELSE length(match) END AS stop FROM ends WHERE NOT plain AND ahead + behind > 0),
+strings AS (SELECT doc_id, s AS run, s, e, match, false AS core FROM runs
+            UNION ALL SELECT doc_id, s, s + ahead, s + stop, match[ahead + 1:stop], true FROM cores WHERE stop - ahead >= {secrets.LEAST}),
+bodies AS (SELECT doc_id, run, core, s, e, body, {encoding} AS encoding
+           FROM (SELECT *, regexp_replace(match, '=+$', '') AS body FROM strings)),
+known AS (SELECT doc_id, run, core, s, e, alphabet, k, often, cased, encoding, greatest(length(body), 2) AS n,
                  CASE WHEN encoding IN (0, 2) THEN lower(body) ELSE translate(body, '-_=', '+//') END AS body
           FROM bodies JOIN facts USING (encoding)),
-codes AS (SELECT doc_id, s, k, i, strpos(alphabet, substr(body, i, 1)) - 1 AS x
+codes AS (SELECT doc_id, s, e, k, i, strpos(alphabet, substr(body, i, 1)) - 1 AS x
           FROM (SELECT *, unnest(range(1, length(body) + 1)) AS i FROM known)),
-steps AS (SELECT *, lag(x) OVER (PARTITION BY doc_id, s ORDER BY i) AS y FROM codes),
-sums AS (SELECT doc_id, s, count(*) FILTER (k > 2 * x) AS low,
+steps AS (SELECT *, lag(x) OVER (PARTITION BY doc_id, s, e ORDER BY i) AS y FROM codes),
+sums AS (SELECT doc_id, s, e, count(*) FILTER (k > 2 * x) AS low,
                 1 + count(*) FILTER (y IS NOT NULL AND (k > 2 * x) <> (k > 2 * y)) AS runs,
                 coalesce(sum((2 * x - k + 1) * (2 * y - k + 1)), 0) AS serial FROM steps GROUP BY ALL),
-same AS (SELECT doc_id, s, sum(c * (c - 1)) AS agree
-         FROM (SELECT doc_id, s, x, count(*) AS c FROM codes GROUP BY ALL) GROUP BY ALL),
+same AS (SELECT doc_id, s, e, sum(c * (c - 1)) AS agree
+         FROM (SELECT doc_id, s, e, x, count(*) AS c FROM codes GROUP BY ALL) GROUP BY ALL),
 measured AS (
-  SELECT doc_id, s, e, encoding, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, CAST(often AS DOUBLE) AS often, cased, CAST(agree AS DOUBLE) AS agree,
+  SELECT doc_id, run, core, s, e, encoding, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, CAST(often AS DOUBLE) AS often, cased, CAST(agree AS DOUBLE) AS agree,
          CAST(low AS DOUBLE) AS n1, n - CAST(low AS DOUBLE) AS n2, CAST(runs AS DOUBLE) AS runs,
          CAST(serial AS DOUBLE) AS serial
-  FROM known JOIN sums USING (doc_id, s) JOIN same USING (doc_id, s)),
+  FROM known JOIN sums USING (doc_id, s, e) JOIN same USING (doc_id, s, e)),
 spread AS (SELECT *, n * (n - 1) / 2 AS pairs, 2 * n1 * n2 / n + 1 AS mean FROM measured),
 departed AS (
-  SELECT doc_id, s, e, encoding, n, cased, (agree / 2.0 - often * pairs) / sqrt(
+  SELECT doc_id, run, core, s, e, encoding, n, cased, (agree / 2.0 - often * pairs) / sqrt(
            pairs * often * (1 - often) + n * (n - 1) * greatest(n - 2, 0.0) * {secrets.THREE}) AS z1,
          abs(2 * n1 - n) / sqrt(n) - {secrets.ONE_CASE} * sqrt(n) AS z4,
          CASE WHEN (mean - 1) * (mean - 2) / (n - 1) > 0
               THEN abs(runs - mean) / sqrt(greatest((mean - 1) * (mean - 2) / (n - 1), 1e-300)) ELSE 99.0 END AS z2,
          abs(serial / 4.0) / ((k * k - 1) / 12 * sqrt(n - 1)) AS z3 FROM spread),
 scored AS (
-  SELECT doc_id, s, e, encoding * 64 + CAST(floor(log2(n) + 1e-9) AS INTEGER) AS stratum,
+  SELECT doc_id, run, core, s, e, encoding * 64 + CAST(floor(log2(n) + 1e-9) AS INTEGER) AS stratum,
          CAST(CASE WHEN greatest(z2, z3) > {secrets.REJECTED} THEN {secrets.ENDS} ELSE
               least(greatest(ceil(CASE WHEN cased THEN greatest(z1, z4) ELSE z1 END * {secrets.STEPS}), -{secrets.ENDS}), {secrets.ENDS})
               END AS INTEGER) AS score FROM departed),
@@ -162,7 +169,8 @@ limits AS (SELECT stratum, max(score) AS lim FROM counts
            WHERE score < 0 AND exp(-{z} * {z} / 2) / ({rest} * sqrt(2 * pi())) * total <= {secrets.FALSE_SHARE} * upto
            GROUP BY stratum),
 kept AS (SELECT doc_id, s, kind, e FROM flagged WHERE kind < 3
-         UNION ALL SELECT doc_id, s, 3, e FROM scored JOIN limits USING (stratum) WHERE score <= lim),
+         UNION ALL SELECT doc_id, s, 3, e FROM scored JOIN limits USING (stratum) WHERE score <= lim
+         QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY core DESC) = 1),
 told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
                 count(*) FILTER (kind = 2) AS n_hex, {text} FILTER (kind < 3) AS base, {text} AS spans
          FROM kept GROUP BY doc_id)

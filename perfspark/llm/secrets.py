@@ -1,7 +1,7 @@
 """Secret scan: credential patterns, and a battery of randomness tests.
 
 Three patterns give the base spans.  Beside them every other long run of key
-characters is tested: its encoding is inferred from its characters, and three
+characters is tested, whole and without the plain words at its ends: its encoding is inferred from its characters, and three
 statistics compare it with a uniform random string over that alphabet: equal
 pairs of characters (the chi-squared statistic, up to a linear map), the number
 of runs below and above the middle of the alphabet, and the serial correlation
@@ -40,6 +40,11 @@ HEX = "[0-9a-f]{24,}"
 RUN = "([A-Za-z0-9+/_-]{20,}=*|[A-Za-z0-9+/_-]{19}=+|[A-Za-z0-9+/_-]{18}==+)"
 PATTERNS = (ASSIGN, ACCESS, HEX, RUN)
 
+#: Shortest string that is tested.
+LEAST = 20
+#: A part of a run between "/", "_" and "-" that is a plain word, or empty.
+PLAIN = "([a-z]+|[A-Z]+|[A-Z][a-z]+)?"
+
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
 #: Encodings from the narrowest: name, pattern, alphabet, the chance that two
@@ -148,6 +153,28 @@ def tested(runs: DataFrame) -> DataFrame:
         "body", "encoding", "alphabet", "k", "often", "cased", "x", "n", "agree", "low", "runs", "serial")
 
 
+def with_cores(runs: DataFrame) -> DataFrame:
+    """``runs(row, start, end, match)`` as the strings to test: every run whole
+    and, if plain words stand at its ends, the core that is left without them
+    (``core``), so that a value behind a path or a name is tested for itself.
+    ``run`` is the start of the run."""
+    body = F.regexp_replace("match", "=+$", "")
+    rows = runs.withColumn("parts", F.split(body, "[/_-]")).withColumn(
+        "odd", F.transform("parts", lambda p: ~p.rlike(f"^{PLAIN}$"))).withColumn("size", F.char_length(body))
+    chars = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.char_length(p) + 1)
+    ahead = F.array_position("odd", True).cast("int") - 1
+    behind = F.array_position(F.reverse("odd"), True).cast("int") - 1
+    rows = rows.withColumn("from", chars(F.slice("parts", F.lit(1), F.greatest(ahead, F.lit(0))))).withColumn(
+        "less", chars(F.slice(F.reverse("parts"), F.lit(1), F.greatest(behind, F.lit(0)))))
+    last = F.when(F.col("less") > 0, F.col("size") - F.col("less")).otherwise(F.char_length("match"))
+    cut = F.substring("match", F.col("from") + 1, (last - F.col("from")).cast("int"))
+    core = F.struct((F.col("start") + F.col("from")).alias("start"), (F.col("start") + last).alias("end"), cut.alias("match"), F.lit(True).alias("core"))
+    whole = F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "match", F.lit(False).alias("core"))
+    has = (ahead >= 0) & (F.col("from") + F.col("less") > 0) & (last - F.col("from") >= LEAST)
+    both = F.when(has, F.array(whole, core)).otherwise(F.array(whole))
+    return rows.select("row", F.col("start").alias("run"), F.inline(both))
+
+
 def _squares(value: Column) -> Column:
     count = F.size(F.filter("x", lambda c: c == value)).cast("long")
     return count * (count - 1)
@@ -181,9 +208,12 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: fl
     """
     scanned = _scan(docs, doc_id, text)
     placed = materialize(_placed(scanned))
-    scored = materialize(tested(placed.where("kind = 3").select("row", "start", "end", "match")))
+    scored = materialize(tested(with_cores(placed.where("kind = 3").select("row", "start", "end", "match"))))
     # at most one row of an encoding and doubling of length: a few hundred
     found = scored.join(F.broadcast(limits(scored, share)), "stratum").where("score <= limit")
+    # a core that is found stands for its run
+    found = found.groupBy("row", "run").agg(F.max(F.struct("core", "start", "end")).alias("best")).select(
+        "row", "best.start", "best.end")
     kept = placed.where("kind < 3").select("row", "start", "kind", "end").unionByName(
         found.select("row", "start", F.lit(3).alias("kind"), "end"))
     gathered = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))

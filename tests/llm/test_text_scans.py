@@ -120,6 +120,33 @@ def test_values_are_tested_without_their_names(spark):
     assert found([(i, f"export {names[i % 4]}{v} # {i}") for i, v in enumerate(values)]) == alone
 
 
+@pytest.mark.parametrize("before, after", [("com/example/service/", ""), ("production_client_", ""), ("hooks/services/", ""), ("prod-api-", "-readonly")])
+def test_values_are_tested_without_words_around_them(spark, before, after):
+    """Behind and before words that belong to the same run."""
+    rng = random.Random(9)
+    values = [key(rng, 40, string.ascii_letters + string.digits + "+/") for _ in range(1000)]
+
+    def found(rows):
+        got = secrets.spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+        return {r["id"]: [rows[r["id"]][s:e] for s, _, e in r["spans"]] for r in got}
+
+    alone, inside = found([f"see {v} now" for v in values]), found([f"see {before}{v}{after} now" for v in values])
+    lost = [i for i, v in enumerate(values) if alone[i] and not any(v[8:32] in x for x in inside[i])]
+    whole = sum(v in inside[i] for i, v in enumerate(values))
+    assert len(lost) <= 0.01 * len(values), len(lost)
+    assert whole >= 0.8 * len(values), whole
+
+
+def test_cores_of_runs(spark):
+    rows = ["com/example/AbC9dEf0GhI1jKl2MnO3", "AbC9dEf0GhI1jKl2MnO3-word_Word", "just/plain/words_and-more_words", "a/9-" + "Zz9" * 8 + "==",
+            "-" * 30, "word/" + "9" * 19, "Ab9" * 10, "x-" * 50_000 + "9q" * 20]
+    df = spark.createDataFrame([(i, 5, 5 + len(t), t) for i, t in enumerate(rows)], "row int, start long, end long, match string")
+    got = {r["row"]: (r["start"], r["end"], r["match"]) for r in secrets.with_cores(df).where("core").collect()}
+    assert got == {0: (17, 37, rows[0][12:]), 1: (5, 25, rows[1][:20]), 3: (7, 5 + len(rows[3]), rows[3][2:]),
+                   7: (100_005, 100_045, "9q" * 20)}
+    assert secrets.with_cores(df).where("NOT core").count() == len(rows)
+
+
 def test_false_discoveries_are_rare(spark):
     rng = random.Random(6)
     syllables = ["ver", "ein", "schaft", "un", "keit", "lich", "ent", "zu", "ge", "ber", "auf", "isch"]
