@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
-from perfspark.operators import domain
+from perfspark.operators import domain, series
 from perfspark.operators.metrics import ape
 from perfspark.operators.ranking import add_rank
 from perfspark.operators.split import hash_order, upsample
@@ -492,12 +492,16 @@ SHIFT_GRID = [0.0] + [round(10 ** (-3 + i / 4), 9) for i in range(21)]
 SHIFT_STEPS = [[round(10 ** ((i - 6) / 24), 9) for i in range(13)], [round(10 ** ((i - 6) / 144), 9) for i in range(13)]]
 
 
-def forecast(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float | None = None) -> DataFrame:
+def forecast(df: DataFrame, keys: Sequence[str], x: str, y: str, at: float | None = None, weight: float = 0.0) -> DataFrame:
     """Fit ``a/(x+b)+c`` with a, b, c >= 0 per key and give its value at ``at``
-    or its limit.  For a given b the fit is linear and comes from sums; b is
+    or its limit.  With a ``weight`` the values are smoothed first, in the order
+    of x (``series.ema``).  For a given b the fit is linear and comes from sums; b is
     searched on a grid that follows the range of x, then refined twice."""
     keys = list(keys)
-    rows = materialize(df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")))
+    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    if weight:
+        rows = series.ema(rows, keys, ["__x", "__y"], "__y", weight).select(*keys, "__x", F.col("ema").alias("__y"))
+    rows = materialize(rows)
     spans = rows.groupBy(*keys).agg((F.max("__x") - F.min("__x")).alias("__span"))
     tried = spans.withColumn("b", F.transform(arrays.literal(SHIFT_GRID), lambda g: g * F.col("__span")))
     best = _best_curve(rows, tried, keys)

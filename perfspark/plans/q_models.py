@@ -418,3 +418,17 @@ def _(spark, d):
     ranked = add_rank(views.training_log(spark, d), ["ts", "id"], ["series"], "step")
     out = models.forecast(ranked, ["series"], "step", "loss")
     return out.select("series", F.round("forecast", 4).alias("forecast"))
+
+
+@query(
+    "forecast_convergence_smoothed", "training_log", "SELECT series, round(c, 4) AS forecast FROM f2",
+    raw="SELECT series, loss, row_number() OVER (PARTITION BY series ORDER BY ts, id) AS r FROM training_log",
+    o="""SELECT series, r, loss FROM raw WHERE r = 1 UNION ALL
+         SELECT raw.series, raw.r, 0.6::DOUBLE*o.loss + (1-0.6::DOUBLE)*raw.loss FROM o JOIN raw ON raw.series = o.series AND raw.r = o.r + 1""",
+    f0=_curve(f"SELECT series, s*g AS b FROM (SELECT series, (max(r) - min(r))::DOUBLE AS s FROM o GROUP BY 1), (SELECT unnest({models.SHIFT_GRID}::DOUBLE[]) AS g)"),
+    **{f"f{i + 1}": _curve(f"SELECT series, b*g AS b FROM f{i}, (SELECT unnest({steps}::DOUBLE[]) AS g)") for i, steps in enumerate(models.SHIFT_STEPS)},
+)
+def _(spark, d):
+    ranked = add_rank(views.training_log(spark, d), ["ts", "id"], ["series"], "step")
+    out = models.forecast(ranked, ["series"], "step", "loss", weight=0.6)
+    return out.select("series", F.round("forecast", 4).alias("forecast"))

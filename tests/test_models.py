@@ -85,6 +85,20 @@ def test_forecast_finds_the_curve(spark, b):
     assert r["b"] == pytest.approx(b, rel=0.02) and r["forecast"] == pytest.approx(3, rel=0.02)
 
 
+@pytest.mark.parametrize("weight", [0.0, 0.6])
+def test_forecast_of_smoothed_values(spark, weight):
+    rng = np.random.default_rng(5)
+    x = np.arange(1, 80, dtype=float)
+    y = 40 / (x + 3) + 2 + rng.normal(size=len(x)) * 0.05
+    s, smoothed = y[0], []
+    for v in y:
+        s = weight * s + (1 - weight) * v
+        smoothed.append(float(s))
+    frame = lambda values: spark.createDataFrame([(0, float(a), float(b)) for a, b in zip(x, values)], "s int, x double, y double")
+    got, want = models.forecast(frame(y), ["s"], "x", "y", weight=weight).first(), models.forecast(frame(smoothed), ["s"], "x", "y").first()
+    assert tuple(got[c] for c in "abc") == pytest.approx(tuple(want[c] for c in "abc"), rel=1e-9)
+
+
 def test_kmeans_rows_are_at_their_nearest_centre(spark):
     rng = np.random.default_rng(7)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(200), "x": rng.normal(size=(200, 4)).tolist()}))
