@@ -28,6 +28,14 @@ def distance(x: Column, y: Column) -> Column:
     return F.sqrt(sq_distance(x, y))
 
 
+def softmax(x: Column) -> Column:
+    """Shares ``exp(v) / sum(exp(v))``; the greatest entry goes first, so none
+    overflows.  An empty array stays empty."""
+    top = F.array_max(x)
+    powers = F.transform(x, lambda v: F.exp(v - top))
+    return F.transform(F.array(powers), lambda p: F.transform(p, lambda v: v / total(p)))[0]
+
+
 def without(x: Column, j: Column) -> Column:
     """``x`` with entry ``j`` (0-based) removed."""
     return F.filter(x, lambda v, i: i != j)

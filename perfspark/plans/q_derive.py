@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from perfspark.functions import arrays
+from perfspark.functions import arrays, numbers
 from perfspark.operators import derive, scopes
 from perfspark.plans import views
 from perfspark.plans.registry import query
@@ -326,3 +326,23 @@ def program_texts(levels):
 )
 def _(spark, d):
     return derive.conv_config(views.ops(spark, d)).select("op_id", "cfg_stride", "pad", "padding")
+
+
+@query(
+    "softmax_entries", "vectors",
+    """SELECT id, round(list_max(p), 9) AS top, round(list_sum(list_transform(p, lambda v: v * v)), 9) AS squares FROM
+       (SELECT id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM
+         (SELECT id, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM vectors))""",
+)
+def _(spark, d):
+    v = views.vectors(spark, d).select("id", arrays.softmax(F.col("x")).alias("p"))
+    squares = arrays.total(F.transform("p", lambda v: v * v))
+    return v.select("id", F.round(F.array_max("p"), 9).alias("top"), F.round(squares, 9).alias("squares"))
+
+
+@query(
+    "log_stamps", "",
+    "SELECT event_id, strftime(make_timestamp(CAST(round(event_id * 97.5 * 1000) AS BIGINT) * 1000), '%Y-%m-%d %H:%M:%S') AS stamp FROM events",
+)
+def _(spark, d):
+    return views.table(spark, d, "events").select("event_id", numbers.log_stamp(F.col("event_id") * 97.5).alias("stamp"))

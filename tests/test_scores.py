@@ -161,3 +161,12 @@ T_unknown(a)
     assert got["assign"]["marks"][at("blockIdx.x")] == 8 and got["assign"]["marks"][at("unroll")] == 2
     assert got["add"]["loop_steps"] == 8 and got["divide"]["marks"][at("none")] == 1
     assert got["relu"]["loop_steps"] == 1 and got["relu"]["marks"][at("threadIdx.y")] == 5
+
+
+def test_softmax_and_stamps(spark):
+    from perfspark.functions import arrays, numbers
+
+    df = spark.createDataFrame([([1.0, 2.0, 1000.0], 86_400.5), ([0.0, 0.0], -1.0), ([], None)], "x array<double>, s double")
+    got = df.select(arrays.softmax(F.col("x")).alias("p"), numbers.log_stamp(F.col("s")).alias("t")).collect()
+    assert got[0]["p"] == pytest.approx([0, 0, 1]) and got[1]["p"] == [0.5, 0.5] and got[2]["p"] == []
+    assert [r["t"] for r in got] == ["1970-01-02 00:00:00", "1969-12-31 23:59:59", None]
