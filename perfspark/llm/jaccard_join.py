@@ -12,7 +12,9 @@ heavy is the size with the least cost: subsets written against list entries read
 Lists are read in rounds.  In a round every list compares its members with a few
 leaders, and only with members of other components.  What is left after the
 rounds are pairs of different components; they meet in chunks of lists, a long
-list spread over many.  Each pair is checked against its whole sets.  So members
+list spread over many.  A pair must pass bounds on its sizes, its places in the
+list, and the parities of its elements in 512 buckets: in each bucket where these
+differ lies an element that is not shared.  Then it is checked against its whole sets.  So members
 of a large group of near copies meet their leaders, not each other, and all
 links between components are found.
 
@@ -26,8 +28,10 @@ null ids come last and stand for a component only if it has no other id.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.llm.common import components, ship, shipped, text_key, whole_text
-from perfspark.runtime import lookup, materialize, small_side
+from perfspark.runtime import lookup, materialize
 
 WIDTH = 5
 PERCENT = 80
@@ -48,7 +52,9 @@ LEADERS = 8
 #: Members of a list that meet in one chunk.
 CHUNK = 64
 #: Bits of the buckets of the count sketch, and its rows as tasks hand them on.
-SKETCH_BITS, SKETCH_ROWS = 20, 256
+SKETCH_BITS, SKETCH_ROWS = 22, 256
+#: 64-bit words of the parities that a set is sketched by.
+PARITIES = 8
 #: Shingles that are counted at once.
 TOGETHER = 1 << 20
 #: Fixed odd factors of the shingle hash.
@@ -56,6 +62,9 @@ FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB
            0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
 
+PARITY = [f"odd{i}" for i in range(PARITIES)]
+
+
 def overlap(s: int, t: int, percent: int = PERCENT) -> int:
     """Least number of shared elements of linked sets of these sizes."""
     return -(-percent * (s + t) // (100 + percent))
@@ -113,14 +122,14 @@ def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH) -> np.ndarra
             total += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(total))
         if total.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.astype("<u4").tobytes() for r in total.reshape(-1, share)])],
+                [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.astype("<u2").tobytes() for r in np.minimum(total, 65535).reshape(-1, share)])],
                 names=["place", "counts"])
 
     def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(share, np.int64)
         for batch in batches:
             for value in batch.column("counts"):
-                total += np.frombuffer(value.as_buffer(), "<u4")
+                total += np.frombuffer(value.as_buffer(), "<u2")
         total = np.minimum(total, (1 << 32) - 1).astype("<u4")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["place", "counts"])
 
@@ -133,8 +142,8 @@ def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH) -> np.ndarra
 
 def _hashed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, sketch=None) -> DataFrame:
     """Every document with the size and digest of its set and, of its shingles
-    by rarity, the prefix (of sets that may be light: all); without a sketch,
-    all shingles in any order."""
+    by rarity, the prefix (of sets that may be light: all), and the parities of
+    all its shingles by buckets; without a sketch, all shingles in any order."""
     rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("key"), whole_text(text).alias("text"))
 
     def made(batches):
@@ -144,23 +153,28 @@ def _hashed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sizes, digests, heads, ends = [], [], [], [0]
+                sizes, digests, heads, ends, odd = [], [], [], [0], []
                 for value in part.column(2):
                     found = shingles(value.as_py(), width)
                     n = len(found)
                     sizes.append(n)
                     digests.append(xxh3_128_digest(found.tobytes()) if n else b"")
                     if order is not None:
+                        odd.append(np.packbits(np.bincount((found & np.uint64(64 * PARITIES - 1)).view(np.int64), minlength=64 * PARITIES) & 1))
                         found = found[np.lexsort((found, order[found >> np.uint64(64 - SKETCH_BITS)]))]
                         found = found if n <= LIGHT else found[:prefix(n, percent)]
                     heads.append(found)
                     ends.append(ends[-1] + len(found))
                 flat = pa.array(np.concatenate(heads).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "key", "n", "digest", "tokens"])
+                columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                           pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                if order is not None:
+                    columns += [pa.array(c) for c in np.ascontiguousarray(np.stack(odd).view(np.int64).T)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(made, f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, digest binary, tokens array<long>")
+    names = ["id", "key", "n", "digest", "tokens", *(PARITY if sketch is not None else ())]
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, digest binary, tokens array<long>"
+    return rows.mapInArrow(made, ", ".join([schema, *(f"{c} long" for c in names[5:])]))
 
 
 def _subset_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -218,6 +232,15 @@ def _fits(a: str, b: str, percent: int):
     return (100 * rest >= percent * (size(a) + size(b) - rest)) & (100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b)))
 
 
+def _alike(a: str, b: str, percent: int):
+    """Whether parities allow a link, for columns ``a_n, a_odd0, .., b_n, b_odd0,
+    ..``: of s + t elements, at least the differing buckets' are not shared."""
+    differ = reduce(add, [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in PARITY])
+    total = F.col(f"{a}_n") + F.col(f"{b}_n")
+    both = (total - differ) / 2
+    return 100 * both >= percent * (total - both)
+
+
 def boundary_of(sets: DataFrame, lists: DataFrame, percent: int = PERCENT) -> int:
     """Size up to which subsets cost less than lists: subsets written against
     list entries read, over the sets that may be light."""
@@ -242,7 +265,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     sketch = ship(spark, rarity(docs, text, width))
     rows = materialize(_hashed(docs, doc_id, text, width, percent, sketch))
     best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("best")
-    sets = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), best)
+    sets = rows.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), best,
+                                                    *[F.first(c).alias(c) for c in PARITY])
     sets = materialize(sets.withColumn("set", F.monotonically_increasing_id()))
 
     size = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
@@ -250,9 +274,10 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     lists = materialize(entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1"))
     boundary = boundary_of(sets, lists, percent) if boundary is None else min(boundary, LIGHT)
     least = -(-percent * (boundary + 1) // 100)
-    heavy = materialize(entries.where(F.col("n") >= least).join(small_side(lists, 1_000_000, 64 << 20), "token"))
+    heavy = materialize(entries.where(F.col("n") >= least).join(lists, "token"))
 
     links = materialize(_subset_links(sets, boundary, percent))
+    carried, parities = ["set", "n", "at", "part"], sets.select("set", *PARITY)
     tried = roots = None
     for number in range(rounds + 1):
         parts = heavy if roots is None else heavy.join(roots, F.col("set") == F.col("node"), "left")
@@ -260,21 +285,30 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
         member = materialize(parts.select("token", "set", "n", "at", "members", part.alias("part")))
         # lists whose members are of one component have told all
         mixed = member.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
-        side = lambda x, *more: member.select(
-            "token", *[F.col(c).alias(f"{x}_{c}") for c in ("set", "n", "at", "part")], *more)
+        open_ = member.join(mixed, "token", "left_semi")
         if number < rounds:
-            order = F.struct(F.xxhash64("a_set", F.lit(number)).alias("h"), "a_set", "a_n", "a_at", "a_part")
-            some = side("a", F.pmod(F.xxhash64("set", F.lit(number)), F.lit(leaders)).alias("place")).join(mixed, "token", "left_semi")
+            side = lambda x, *more: open_.select("token", *[F.col(c).alias(f"{x}_{c}") for c in carried], *more)  # noqa: B023,E731
+            order = F.struct(F.xxhash64("a_set", F.lit(number)).alias("h"), *[f"a_{c}" for c in carried])
+            some = side("a", F.pmod(F.xxhash64("set", F.lit(number)), F.lit(leaders)).alias("place"))
             leader = some.groupBy("token", "place").agg(F.min(order).alias("l")).select(
-                "token", *[F.col("l")[c].alias("b" + c[1:]) for c in ("a_set", "a_n", "a_at", "a_part")])
+                "token", *[F.col("l")[f"a_{c}"].alias(f"b_{c}") for c in carried])
             met = side("a").join(leader, "token")
         else:
+            known = open_.join(parities, "set")
+            side = lambda x, *more: known.select(  # noqa: B023,E731
+                "token", *[F.col(c).alias(f"{x}_{c}") for c in (*carried, *PARITY)], *more)
             chunks = F.ceil(F.col("members") / chunk).cast("int")
-            left = side("a", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).join(mixed, "token", "left_semi")
+            left = side("a", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
             right = side("b", F.pmod(F.xxhash64("set"), chunks).cast("int").alias("chunk"))
-            met = left.join(right, ["token", "chunk"]).where("a_set < b_set")
+            met = left.join(right, ["token", "chunk"]).where("a_set < b_set").where(_alike("a", "b", percent))
         pairs = met.where((F.col("a_part") != F.col("b_part")) & (F.greatest("a_n", "b_n") > boundary) & _fits("a", "b", percent))
-        pairs = pairs.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")).distinct()
+        pairs = pairs.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"), F.least("a_n", "b_n").alias("x_n"),
+                             F.greatest("a_n", "b_n").alias("y_n")).distinct()
+        if number < rounds:
+            side = lambda x: parities.select(F.col("set").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in PARITY])
+            both = pairs.withColumnsRenamed({"x_n": "a_n", "y_n": "b_n"}).join(side("a"), "a").join(side("b"), "b")
+            pairs = both.where(_alike("a", "b", percent))
+        pairs = pairs.select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
