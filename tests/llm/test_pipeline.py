@@ -47,4 +47,4 @@ def test_every_stage_takes_odd_and_no_rows(spark, odd, nothing):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
