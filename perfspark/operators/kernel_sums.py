@@ -4,7 +4,7 @@ Both points of a pair are looked for in one tree of cells.  A pair of cells is
 bounded by the least and the greatest distance between their boxes.  Where the
 kernel's values at both differ by no more than the tolerance allows, the middle
 stands for all pairs of points; else the cells are opened, and leaves that must
-be opened meet in a task.  Frontiers of cell pairs are tables, a level of the
+be opened meet in a task that has the points of two groups of leaves.  Frontiers of cell pairs are tables, a level of the
 tree a pass.
 """
 
@@ -14,17 +14,19 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.operators.neighbors import Tree
-from perfspark.runtime import materialize, small_side
+from perfspark.runtime import lookup, materialize, small_side
 
 #: Points of a leaf.
 LEAF = 512
 #: Bytes of a table of cells that is broadcast at most.
 CELL_BYTES = 64 << 20
+#: Groups into which leaves are dealt at least, and bytes of the points of one.
+GROUPS, GROUP_BYTES = 16, 32 << 20
 
 
 def _nodes(tree: Tree) -> list[DataFrame]:
@@ -92,26 +94,49 @@ def rbf_sum(points: DataFrame, scales: Sequence[float], tolerance: float, leaf:
     return total + _leaf_sums(tree, reduce(DataFrame.unionByName, leaves), scales, tolerance)
 
 
+def _dealt(tree: Tree, pairs: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of leaves with the two groups ``i <= j`` of their leaves, and
+    per two groups the points of the leaves that their pairs name, once each."""
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    met = pairs.select("a_cell", "b_cell", "both", F.least(of("a_cell"), of("b_cell")).alias("i"), F.greatest(of("a_cell"), of("b_cell")).alias("j"))
+    asked = met.select("i", "j", F.explode(F.array("a_cell", "b_cell")).alias("cell")).distinct()
+    return met, tree.leaves.select("cell", "px", "s").join(lookup(asked), "cell")
+
+
 def _leaf_sums(tree: Tree, pairs: DataFrame, scales: Sequence[float], tolerance: float) -> float:
-    """Exact sums over pairs of leaves, each of a bounded number of points."""
-    packed = materialize(tree.leaves.groupBy("cell").agg(F.collect_list(F.struct("px", "s")).alias("points")))
-    side = lambda x: packed.select(F.col("cell").alias(f"{x}_cell"), F.col("points.px").alias(f"{x}_x"), F.col("points.s").alias(f"{x}_s"))
-    met = pairs.join(side("a"), "a_cell").join(side("b"), "b_cell").select("a_x", "a_s", "b_x", "b_s", "both")
-
-    def summed(batches):
-        for batch in batches:
-            parts = []
-            for row in batch.itertuples(index=False):
-                p, q = np.stack(row.a_x), np.stack(row.b_x)
-                middle = (p.mean(axis=0) + q.mean(axis=0)) / 2
-                p, q = p - middle, q - middle
-                size = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :]
-                square = np.maximum(size - 2 * (p @ q.T), 0)
-                if size.max() * max(scales) * 1e-15 > tolerance:  # the difference of large squares is too rough
-                    for i in range(len(p)):
-                        square[i] = ((p[i] - q) ** 2).sum(axis=1)
-                value = sum(np.exp(-g * square) for g in scales)
-                parts.append(row.both * float(np.asarray(row.a_s) @ value @ np.asarray(row.b_s)))
-            yield pd.DataFrame({"part": [sum(parts)]})
-
-    return met.mapInPandas(summed, "part double").agg(F.sum("part")).first()[0] or 0.0
+    """Exact sums over pairs of leaves.  Leaves are dealt into groups of bounded
+    size, and a task takes the pairs between two groups: a point is sent once a
+    group at most, however many leaves its own meets."""
+    facts = tree.leaves.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("px")).alias("dims"), F.countDistinct("cell").alias("cells")).first()
+    wanted = max(GROUPS, -(-8 * facts["n"] * facts["dims"] // GROUP_BYTES))
+    groups = max(1, min(wanted, facts["cells"]))
+    met, points = _dealt(tree, pairs, groups)
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = 0.0
+        if left.num_rows:
+            cells, s = right["cell"].to_numpy(), right["s"].to_numpy()
+            x = right["px"].combine_chunks()
+            x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            order = np.argsort(cells, kind="stable")
+            cells, s, x = cells[order], s[order], x[order]
+            ends = lambda c: (np.searchsorted(cells, c, "left"), np.searchsorted(cells, c, "right"))
+            a, b = ends(left["a_cell"].to_numpy()), ends(left["b_cell"].to_numpy())
+            for p0, p1, q0, q1, both in zip(*a, *b, left["both"].to_numpy()):
+                total += both * _pair_sum(x[p0:p1], s[p0:p1], x[q0:q1], s[q0:q1], scales, tolerance)
+        return pa.table({"part": pa.array([total], pa.float64())})
+
+    # so many tasks as there are two groups: their data may be small, their work is not
+    deal = lambda df: df.repartition(groups * (groups + 1) // 2, "i", "j").groupBy("i", "j")
+    return deal(met).cogroup(deal(points)).applyInArrow(summed, "part double").agg(F.sum("part")).first()[0] or 0.0
+
+
+def _pair_sum(p: np.ndarray, s: np.ndarray, q: np.ndarray, t: np.ndarray, scales: Sequence[float], tolerance: float) -> float:
+    middle = (p.mean(axis=0) + q.mean(axis=0)) / 2
+    p, q = p - middle, q - middle
+    size = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :]
+    square = np.maximum(size - 2 * (p @ q.T), 0)
+    if size.max() * max(scales) * 1e-15 > tolerance:  # the difference of large squares is too rough
+        for i in range(len(p)):
+            square[i] = ((p[i] - q) ** 2).sum(axis=1)
+    return float(s @ sum(np.exp(-g * square) for g in scales) @ t)

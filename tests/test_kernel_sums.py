@@ -39,3 +39,16 @@ def test_large_values_and_none(spark):
     points = spark.createDataFrame([(v, 1.0) for v in x.tolist()], "px array<double>, s double")
     assert kernel_sums.rbf_sum(points, [0.3], 1e-9) == pytest.approx(exact(x, np.ones(4), [0.3]), abs=1e-9)
     assert kernel_sums.rbf_sum(points.where("s < 0"), [0.3], 1e-9) == 0.0
+
+
+def test_points_are_sent_once_a_group(spark):
+    """However many leaves meet, a point goes to as many tasks as there are groups at most."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 12))
+    points = spark.createDataFrame([(v, 1.0) for v in x.tolist()], "px array<double>, s double")
+    tree = kernel_sums.Tree(points.selectExpr("'' AS g", "xxhash64(px) AS pid", "px", "s"), 1, 16)
+    cells = tree.leaves.select("cell").distinct()
+    pairs = cells.toDF("a_cell").crossJoin(cells.toDF("b_cell")).where("a_cell <= b_cell").selectExpr("*", "IF(a_cell = b_cell, 1D, 2D) AS both")
+    sent = kernel_sums._dealt(tree, pairs, 3)[1]
+    assert cells.count() > 30 and sent.count() <= 3 * len(x)
+    assert kernel_sums._leaf_sums(tree, pairs, [0.1], 1e-9) == pytest.approx(exact(x, np.ones(600), [0.1]), rel=1e-9)
