@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
 from perfspark.functions import arrays
 from perfspark.operators.ranking import add_rank, percentiles
-from perfspark.runtime import lookup
+from perfspark.runtime import lookup, materialize, small_side
 
 # Percentiles kept for the label.
 LABEL_PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -123,9 +125,74 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 def network_box_stats(samples: DataFrame, tasks: DataFrame, value: str) -> DataFrame:
     """Box statistics per network and for ``ALL`` networks together."""
-    rows = samples.select("task_id", value).join(tasks.select("network", "task_id").distinct(), "task_id")
-    rows = rows.select(F.explode(F.array("network", F.lit("ALL"))).alias("network"), value)
-    return box_stats(rows, value, ["network"])
+    shares = tasks.select("network", "task_id").distinct()
+    shares = shares.unionByName(shares.withColumn("network", F.lit("ALL"))).where("network IS NOT NULL")
+    shares = shares.groupBy("network", "task_id").agg(F.count(F.lit(1)).alias("weight"))
+    return shared_box_stats(samples, value, "task_id", shares, "network")
+
+
+def shared_box_stats(df: DataFrame, value: str, part: str, shares: DataFrame, group: str, bins: int = 2000) -> DataFrame:
+    """``box_stats`` of groups that are unions of parts, where a part may be in
+    any number of groups: ``shares(group, part, weight)`` counts its rows
+    ``weight`` times.
+
+    No row is repeated for its groups.  Rows are counted per part and bin of
+    values, and counts are added up to groups; values are looked at one by one
+    only in the bins that hold a wanted place or a whisker's bound.
+    """
+    values = df.select(part, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    cuts = values.where(~F.isnan("__v")).agg(F.percentile_approx("__v", [i / bins for i in range(1, bins)], 10 * bins)).first()[0] or []
+    edges = [-math.inf, *sorted({c + 0.0 for c in cuts if math.isfinite(c)}), math.inf]
+    values = Bucketizer(splits=edges, inputCol="__v", outputCol="__bin", handleInvalid="keep").transform(values)
+    values = materialize(values.withColumn("__bin", F.col("__bin").cast("int")))  # NaN is in a last bin of its own
+    shares = lookup(shares)
+    counts = values.groupBy(part, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    counts = counts.join(shares, part).groupBy(group, "__bin").agg(
+        F.sum(F.col("__n") * F.col("weight")).alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    whole = Window.partitionBy(group)
+    before = F.sum("__n").over(whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = materialize(counts.withColumns({"__before": F.coalesce(before, F.lit(0)), "__total": F.sum("__n").over(whole)}))
+
+    def single(wanted: DataFrame) -> DataFrame:
+        """The values in the wanted bins: group, bin, value, times."""
+        wanted = materialize(wanted)
+        asked = wanted.select(group, "__bin").join(shares, group).select(part, "__bin").distinct()
+        rows = values.join(lookup(asked), [part, "__bin"]).groupBy(part, "__bin", "__v").agg(F.count(F.lit(1)).alias("__c"))
+        rows = rows.join(shares, part).join(small_side(wanted), [group, "__bin"])
+        return rows.groupBy(*wanted.columns, "__v").agg(F.sum(F.col("__c") * F.col("weight")).alias("__c"))
+
+    places = {}
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        at = (F.col("__total") - 1) * F.lit(p)
+        places[name] = (F.floor(at), at - F.floor(at))
+    inside = lambda place, start, n: (place >= start) & (place < start + n)
+    held = F.lit(False)
+    for low, _ in places.values():
+        held = held | inside(low, F.col("__before"), F.col("__n")) | inside(low + 1, F.col("__before"), F.col("__n"))
+    order = Window.partitionBy(group, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = single(counts.where(held).select(group, "__bin", "__before", "__total")).withColumn(
+        "__start", F.col("__before") + F.coalesce(F.sum("__c").over(order), F.lit(0)))
+    quartile = lambda low, rest: F.coalesce(
+        F.sum(F.when(inside(low, F.col("__start"), F.col("__c")), F.col("__v") * (1 - rest))), F.lit(0.0)) + F.coalesce(
+        F.sum(F.when(inside(low + 1, F.col("__start"), F.col("__c")), F.col("__v") * rest)), F.lit(0.0))
+    quartiles = rows.groupBy(group).agg(*[quartile(*place).alias(name) for name, place in places.items()])
+
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    bounded = counts.join(lookup(quartiles), group).withColumns({"__from": F.col("q1") - reach, "__to": F.col("q3") + reach})
+    bounded = materialize(bounded)
+    cut = ((F.col("__lo") < F.col("__from")) & (F.col("__hi") >= F.col("__from"))) | ((F.col("__lo") <= F.col("__to")) & (F.col("__hi") > F.col("__to")))
+    ends = single(bounded.where(cut).select(group, "__bin", "__from", "__to")).groupBy(group).agg(
+        F.min(F.when(F.col("__v") >= F.col("__from"), F.col("__v"))).alias("__low"),
+        F.max(F.when(F.col("__v") <= F.col("__to"), F.col("__v"))).alias("__high"))
+    kind = df.schema[value].dataType
+    return bounded.groupBy(group, "q1", "median", "q3").agg(
+        F.min("__lo").alias("min"), F.max("__hi").alias("max"),
+        F.min(F.when(F.col("__lo") >= F.col("__from"), F.col("__lo"))).alias("__in_low"),
+        F.max(F.when(F.col("__hi") <= F.col("__to"), F.col("__hi"))).alias("__in_high"),
+        F.sum("__n").alias("n"),
+    ).join(small_side(ends), group, "left").select(
+        group, "q1", "median", "q3", F.col("min").cast(kind).alias("min"), F.col("max").cast(kind).alias("max"),
+        F.least("__low", "__in_low").cast(kind).alias("low_whisker"), F.greatest("__high", "__in_high").cast(kind).alias("high_whisker"), "n")
 
 
 # ----------------------------------------------------------- device, task

@@ -170,3 +170,56 @@ def test_softmax_and_stamps(spark):
     got = df.select(arrays.softmax(F.col("x")).alias("p"), numbers.log_stamp(F.col("s")).alias("t")).collect()
     assert got[0]["p"] == pytest.approx([0, 0, 1]) and got[1]["p"] == [0.5, 0.5] and got[2]["p"] == []
     assert [r["t"] for r in got] == ["1970-01-02 00:00:00", "1969-12-31 23:59:59", None]
+
+
+@pytest.mark.parametrize("bins", [2, 7, 2000])
+def test_shared_box_statistics(spark, bins):
+    """Parts in several groups, a weight, ties, and values at the whiskers' bounds."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"task_id": rng.integers(0, 6, 400), "v": np.concatenate([rng.normal(size=250).round(1), rng.normal(size=130) * 50, np.full(20, 3.0)])})
+    shares = [("a", 0, 1), ("a", 1, 1), ("b", 1, 1), ("b", 2, 1), ("c", 5, 1), *[("ALL", t, w) for t, w in ((0, 1), (1, 2), (2, 1), (5, 1))]]
+    out = stats.shared_box_stats(spark.createDataFrame(pdf), "v", "task_id", spark.createDataFrame(shares, "network string, task_id long, weight long"), "network", bins)
+    got = {r["network"]: r for r in out.collect()}
+    assert set(got) == {"a", "b", "c", "ALL"}
+    for g, r in got.items():
+        v = np.concatenate([np.repeat(pdf.v[pdf.task_id == t], w) for n, t, w in shares if n == g])
+        q1, q2, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+        reach = 1.5 * (q3 - q1)
+        assert [r["q1"], r["median"], r["q3"]] == pytest.approx([q1, q2, q3])
+        assert (r["min"], r["max"], r["n"]) == (v.min(), v.max(), len(v))
+        assert (r["low_whisker"], r["high_whisker"]) == (v[v >= r["q1"] - reach].min(), v[v <= r["q3"] + reach].max())
+
+
+def test_samples_are_not_repeated_for_their_networks(spark):
+    samples = spark.createDataFrame([(i % 2, float(i)) for i in range(40)], "task_id int, avg double")
+    tasks = spark.createDataFrame([(f"n{j}", t) for j in range(30) for t in (0, 1)] + [(None, 0)], "network string, task_id int")
+    out = stats.network_box_stats(samples, tasks, "avg")
+    assert "explode" not in out._jdf.queryExecution().toString()
+    got = {r["network"]: r["n"] for r in out.collect()}
+    assert got == {**{f"n{j}": 40 for j in range(30)}, "ALL": 31 * 20 + 30 * 20}
+
+
+def test_inversions_are_counted_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TASK_ROWS", 20)
+    rows, seen = 400, []
+    deal = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, n, *c: (seen.append(n), deal(df, n, *c))[1])
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": 0, "id": np.arange(rows), "label": rng.normal(size=rows), "pred": rng.normal(size=rows)})
+    got = metrics.pairwise_order_accuracy(spark.createDataFrame(pdf), ["g"], "id", least_block=8).first()["accuracy"]
+    a, b = pdf["label"].to_numpy(), pdf["pred"].to_numpy()
+    i = np.triu_indices(rows, 1)
+    assert got == pytest.approx(((a[:, None] > a) == (b[:, None] > b))[i].mean())
+    assert seen and min(seen) == rows // 20
+
+
+def test_program_lines_are_typed_once(spark):
+    """One branch reads the lines, and columns of any kind come back."""
+    from perfspark.operators import scopes
+
+    text = "for (i, 0, 3) {\n  T_add(a, b)\n}\n"
+    rows = spark.createDataFrame([(1, {"k": 1}, text), (2, None, text)], "id int, m map<string,int>, text string")
+    out = scopes.scope_features(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    assert {(r["id"], str(r["m"]), r["op"], r["loop_steps"], r["loop_cnt"]) for r in out.collect()} == {
+        (1, "{'k': 1}", "add", 4.0, 1), (2, "None", "add", 4.0, 1)}
