@@ -99,6 +99,10 @@ def _block_inversions(keys: Sequence[str], sort_by: Sequence[str]):
     return count
 
 
+#: Rows of a task that counts inversions.
+TASK_ROWS = 500_000
+
+
 def inversions(df: DataFrame, keys: Sequence[str], least_block: int = 4096) -> DataFrame:
     """Per key the number of row pairs ordered differently by ``a`` and ``b``,
     two permutations 1..size.
@@ -117,22 +121,27 @@ def inversions(df: DataFrame, keys: Sequence[str], least_block: int = 4096) -> D
     ))
     types = dict(rows.dtypes)
     schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "inv bigint"
-    in_a = rows.groupBy(*keys, "ab").applyInPandas(_block_inversions(keys, ["a"]), schema)
+    # rows of a task are bounded, as many as there may be; a grid has no more cells than its key has rows or one block has
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    by_a = rows.select(*keys, "ab", "bb", "a", "b").repartition(tasks, *keys, "ab")
+    in_a = by_a.groupBy(*keys, "ab").applyInPandas(_block_inversions(keys, ["a"]), schema)
     # Sorted by (a-block, b), rows of one a-block add nothing.
-    in_b = rows.groupBy(*keys, "bb").applyInPandas(_block_inversions(keys, ["ab", "b"]), schema)
+    by_b = rows.select(*keys, "ab", "bb", "b").repartition(tasks, *keys, "bb")
+    in_b = by_b.groupBy(*keys, "bb").applyInPandas(_block_inversions(keys, ["ab", "b"]), schema)
 
-    filled = rows.groupBy(*keys, "ab", "bb").agg(F.count(F.lit(1)).alias("h"))
+    filled = by_a.groupBy(*keys, "ab", "bb").agg(F.count(F.lit(1)).alias("h"))
     line = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    cell = [*keys, "ab", "bb"]
     grid = (
         rows.where("a = 1 AND blocks > 1").select(*keys, "blocks")
-        .withColumn("ab", F.explode(line)).repartition(*keys, "ab").withColumn("bb", F.explode(line))
-        .join(filled, [*keys, "ab", "bb"], "left").na.fill(0, ["h"])
+        .withColumn("ab", F.explode(line)).repartition(tasks, *keys, "ab").withColumn("bb", F.explode(line))
+        .repartition(tasks, *cell).join(filled.repartition(tasks, *cell), cell, "left").na.fill(0, ["h"])
     )
     before = Window.partitionBy(*keys, "bb").orderBy("ab").rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy(*keys, "ab").orderBy(F.desc("bb")).rowsBetween(Window.unboundedPreceding, -1)
     apart = (
-        grid.withColumn("c", F.coalesce(F.sum("h").over(before), F.lit(0)))
-        .withColumn("s", F.coalesce(F.sum("c").over(above), F.lit(0)))
+        grid.repartition(tasks, *keys, "bb").withColumn("c", F.coalesce(F.sum("h").over(before), F.lit(0)))
+        .repartition(tasks, *keys, "ab").withColumn("s", F.coalesce(F.sum("c").over(above), F.lit(0)))
         .groupBy(*keys).agg(F.sum(F.col("h") * F.col("s")).alias("inv"))
     )
     return in_a.unionByName(in_b).unionByName(apart).groupBy(*keys).agg(F.sum("inv").alias("inversions"))
