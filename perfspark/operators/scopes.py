@@ -28,6 +28,9 @@ BOUND = r"^// attr \[iter_var\(((?:block|thread)Idx\.[xyz]).* thread_extent = (\
 LANES = r"ramp\([()a-zA-Z\d*+. ]+, \d+, (\d+)\)"
 ACCESS = r"[a-zA-Z\d._]+\[[^\[\]=]+\]"
 
+#: Bytes of the texts that a task takes (one text may be larger).
+TASK_BYTES = 4 << 20
+
 LOOP, SCOPE, BREAK, END, ATTRIBUTE, STATEMENT = "loop", "scope", "break", "end", "attribute", "statement"
 
 
@@ -65,9 +68,9 @@ def performed(line: Column) -> Column:
 
 
 def events(programs: DataFrame) -> DataFrame:
-    """Typed lines of ``programs(row, rest, text)``: row, rest, at, kind,
+    """Typed lines of ``programs(row, text)``: row, at, kind,
     extent (of a loop or attribute), mark, lanes and operations."""
-    lines = programs.select("row", "rest", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = programs.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     line = F.col("line")
     rows = lines.withColumn("line", F.btrim(line, F.lit(" \t\r\f\x0b"))).withColumn("kind", typed(line)).where("kind IS NOT NULL")
     is_loop, is_attribute, is_statement = (F.col("kind") == k for k in (LOOP, ATTRIBUTE, STATEMENT))
@@ -75,7 +78,7 @@ def events(programs: DataFrame) -> DataFrame:
     own = F.when(line.startswith("parallel"), "parallel").when(line.startswith("unrolled"), "unroll")
     mark = F.when(is_loop, own).when(is_attribute, F.regexp_extract(line, BOUND, 1))
     return rows.select(
-        "row", "rest", "at", "kind", extent.alias("extent"), mark.alias("mark"),
+        "row", "at", "kind", extent.alias("extent"), mark.alias("mark"),
         F.when(is_statement, F.coalesce(_number(line, LANES, 1), F.lit(1.0))).alias("lanes"),
         F.when(is_statement, performed(line)).alias("operations"))
 
@@ -131,25 +134,27 @@ def scope_features(programs: DataFrame, text: str | Column = "text") -> DataFram
     rest = [c for c in programs.columns if c != "text"]
     kept = materialize(programs.select(
         F.monotonically_increasing_id().alias("row"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"), text.alias("text")).where("text IS NOT NULL"))
-    lines = nested(events(kept))
-    scope = F.when(F.col("kind").isin(LOOP, SCOPE), F.struct((F.col("kind") == LOOP).alias("loop"), "extent", "marks"))
-    opens = lines.where(F.col("kind").isin(LOOP, SCOPE)).select("row", "at", "level", scope.alias("scope"), F.lit(None).cast(
-        "array<string>").alias("operations"), F.lit(None).cast(kept.schema["rest"].dataType).alias("rest"), F.lit(None).cast("double").alias("lanes"), "marks")
-    counted = lines.where((F.col("kind") == STATEMENT) & (F.size("operations") > 0))
+    # texts are dealt before they become lines, so that the lines of a task are bounded and stay where they are
+    tasks = -(-(kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES)
+    dealt = kept.select("row", "text").repartition(max(kept.sparkSession.sparkContext.defaultParallelism, tasks), "row")
+    lines = nested(events(dealt))
+    opens = F.col("kind").isin(LOOP, SCOPE)
+    scope = F.when(opens, F.struct((F.col("kind") == LOOP).alias("loop"), "extent", "marks"))
     # one question for every depth, and at depth 0 what the statement has itself
-    asks = counted.select(
-        "row", "at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("level"))).alias("level"),
-        F.lit(None).cast(opens.schema["scope"].dataType).alias("scope"), "operations", "rest", "lanes", "marks")
+    depths = F.when(opens, F.array("level")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("level")))
+    asks = lines.where(opens | (F.size("operations") > 0)).select(
+        "row", "at", F.explode(depths).alias("level"), scope.alias("scope"), "operations", "lanes", "marks")
     before = Window.partitionBy("row", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    found = opens.unionByName(asks).withColumn("around", F.last("scope", ignorenulls=True).over(before)).where("operations IS NOT NULL")
+    found = asks.withColumn("around", F.last("scope", ignorenulls=True).over(before)).where("operations IS NOT NULL")
     itself = F.col("level") == 0
     factor = F.when(itself, F.col("lanes")).when(F.col("around.loop"), F.col("around.extent"))
     by_mark = [F.when(itself, F.col("marks")[i]).when(F.col("around.loop"), F.col("around.marks")[i]) for i in range(len(MARKS))]
-    per_statement = found.groupBy("row", "at").agg(
+    names = [f"mark{i}" for i in range(len(MARKS))]
+    # sums and products of numbers alone are added up by hashing; a program's own columns come back at the end
+    per_statement = found.groupBy("row", "at", "operations").agg(
         F.product(factor).alias("steps"), F.count(F.when(~itself & F.col("around.loop"), 1)).alias("loops"),
-        F.array(*[F.product(m) for m in by_mark]).alias("marks"),
-        F.max(F.when(itself, F.col("operations"))).alias("operations"), F.first(F.when(itself, F.col("rest")), ignorenulls=True).alias("rest"))
-    per_operation = per_statement.select("row", "rest", "steps", "loops", "marks", F.explode("operations").alias("op")).groupBy("row", "op").agg(
-        F.first("rest").alias("rest"), F.sum("steps").alias("loop_steps"), F.sum("loops").alias("loop_cnt"),
-        F.array(*[F.sum(F.col("marks")[i]) for i in range(len(MARKS))]).alias("marks"))
-    return per_operation.select(*[F.col("rest")[c].alias(c) for c in rest], "op", "loop_steps", "loop_cnt", "marks")
+        *[F.product(m).alias(n) for n, m in zip(names, by_mark)])
+    per_operation = per_statement.withColumn("op", F.explode("operations")).groupBy("row", "op").agg(
+        F.sum("steps").alias("loop_steps"), F.sum("loops").alias("loop_cnt"), F.array(*[F.sum(n) for n in names]).alias("marks"))
+    return per_operation.join(kept.select("row", "rest"), "row").select(
+        *[F.col("rest")[c].alias(c) for c in rest], "op", "loop_steps", "loop_cnt", "marks")
