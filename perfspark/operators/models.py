@@ -24,6 +24,8 @@ from perfspark.operators.split import hash_order, upsample
 from perfspark.runtime import lookup, materialize
 
 MAX_OPEN_KEYS = 2048
+#: Rows of a partition that a forest is fitted on.
+FOREST_ROWS = 200_000
 
 
 # ---------------------------------------------------------------- clusters
@@ -194,6 +196,10 @@ def good_bad_forest(parts: DataFrame, x: str, id_col: str, train_share: float =
     )
     rows = materialize(rows)
     train = with_vector(upsample(rows.where("side = 'val'"), "label", id_col), x)
+    # the fit keeps its rows in memory and reads a whole partition at every step
+    tasks = -(-train.count() // FOREST_ROWS)
+    if tasks > train.rdd.getNumPartitions():
+        train = train.repartition(tasks)
     model = RandomForestClassifier(featuresCol="vec", labelCol="label", predictionCol="guess", seed=seed).fit(train)
     return model.transform(with_vector(rows, x)).groupBy("side", "part").agg(
         F.avg((F.col("guess") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")

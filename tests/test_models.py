@@ -146,3 +146,15 @@ def test_greedy_selection_takes_each_task_once(spark):
     assert models.select_kmeans(df, 4).count() == 4
     assert models.selection_quality(df, df.select("task_id").limit(0)).first()["cmd"] == -1
     assert split.hash_order("task_id") is not None
+
+
+def test_a_forest_is_fitted_on_bounded_partitions(spark, monkeypatch):
+    seen = []
+    fit = models.RandomForestClassifier.fit
+    monkeypatch.setattr(models, "FOREST_ROWS", 50)
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    parts = pd.DataFrame({"id": np.arange(400), "x": x.tolist(), "part": np.where(x[:, 0] > 0, "best", "worst")})
+    out = models.good_bad_forest(spark.createDataFrame(parts), "x", "id").collect()
+    assert seen[0] >= 7 and sum(r["n"] for r in out) == 400
