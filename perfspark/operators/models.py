@@ -245,15 +245,15 @@ def least_squares_many(
     one; a solve sees one small matrix per key.
     """
     keys = list(keys)
-    columns: list[Column] = []
+    columns: dict[str, Column] = {}  # features that models share are computed once
     layout = []
     for model, (features, positive) in specs.items():
-        at = list(range(len(columns), len(columns) + len(features)))
-        columns += features.values()
+        columns |= {str(c): c for c in features.values()}
+        at = [list(columns).index(str(c)) for c in features.values()]
         layout.append((model, list(features), at, [n in positive for n in features]))
     width = len(columns) + 1
     upper = np.triu_indices(width)
-    flat = F.array(*[c.cast("double") for c in columns], F.col(y).cast("double"))
+    flat = [f"__{i}" for i in range(width)]
     kinds = dict(df.dtypes)
     key_schema = "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
@@ -269,19 +269,25 @@ def least_squares_many(
     def products(batches):
         sums: dict = {}
         for batch in batches:
+            batch = batch[~np.isnan(batch[flat].to_numpy(dtype=float)).any(axis=1)]  # nulls arrive as NaN
             if not len(batch):
                 continue
-            for key, part in batch.groupby(keys, sort=False):
-                m = np.stack(part["__f"].to_numpy())
+            groups = batch.groupby(keys, sort=False)
+            of = groups.ngroup().fillna(-1).to_numpy().astype(int)  # rows without a key are in no group
+            order = np.argsort(of, kind="stable")
+            m, ends = batch[flat].to_numpy(dtype=float)[order], np.searchsorted(of[order], np.arange(groups.ngroups + 1))
+            named = batch[keys].iloc[order[ends[:-1]]].itertuples(index=False, name=None)
+            for key, start, end in zip(named, ends, ends[1:]):
+                part = m[start:end]
                 n, gram = sums.get(key, (0, 0.0))
-                sums[key] = (n + len(m), gram + (m.T @ m)[upper])
+                sums[key] = (n + len(part), gram + (part.T @ part)[upper])
             if len(sums) > MAX_OPEN_KEYS:
                 yield rows_of(sums)
                 sums = {}
         if sums:
             yield rows_of(sums)
 
-    rows = df.select(*keys, flat.alias("__f")).where(~F.exists("__f", lambda v: v.isNull() | F.isnan(v)))
+    rows = df.select(*keys, *[c.cast("double").alias(n) for n, c in zip(flat, [*columns.values(), F.col(y)])])
     parts = rows.mapInPandas(products, key_schema + "i int, v double")
     gram = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v")).groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("__g"))
@@ -382,13 +388,17 @@ def cost_fit_all(train: DataFrame, test: DataFrame, key: str, y: str, methods: S
     fitted = materialize(least_squares_many(train, [key], specs, y))
     part = lambda i: F.split_part("model", F.lit("/"), F.lit(i)).cast("int")
     params = fitted.select(key, part(1).alias("method"), part(2).alias("variant"), "coef")
-    # One row per key with all its models.
+    # One row per key: the coefficients of all its models, by place.
     models = fitted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("model", "coef"))).alias("__m"))
-    scored = test.join(models, key)
-    errors = scored.groupBy(key).agg(*[
-        F.avg(F.abs(ratio(_predict(f, F.element_at("__m", name)) - F.col(y), F.col(y)))).alias(name)
-        for name, (f, _) in specs.items()
-    ])
+    at = {f: i for i, f in enumerate((name, n) for name, (features, _) in specs.items() for n in features)}
+    weights = F.array(*[F.coalesce(F.element_at(F.element_at("__m", name), n), F.lit(0.0)) for name, n in at])
+    scored = test.join(lookup(models.select(key, weights.alias("__w"))), key)
+
+    def error(name: str, features: dict[str, Column]) -> Column:
+        predicted = reduce(lambda a, b: a + b, [F.col("__w")[at[name, n]] * f for n, f in features.items()])
+        return F.avg(F.abs(ratio(predicted - F.col(y), F.col(y)))).alias(name)
+
+    errors = scored.groupBy(key).agg(*[error(name, features) for name, (features, _) in specs.items()])
     rows = F.array(*[
         F.struct(F.lit(int(n.split("/")[0])).alias("method"), F.lit(int(n.split("/")[1])).alias("variant"), F.col(n).alias("mape"))
         for n in specs

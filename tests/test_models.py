@@ -158,3 +158,15 @@ def test_a_forest_is_fitted_on_bounded_partitions(spark, monkeypatch):
     parts = pd.DataFrame({"id": np.arange(400), "x": x.tolist(), "part": np.where(x[:, 0] > 0, "best", "worst")})
     out = models.good_bad_forest(spark.createDataFrame(parts), "x", "id").collect()
     assert seen[0] >= 7 and sum(r["n"] for r in out) == 400
+
+
+def test_shared_features_are_summed_once(spark, monkeypatch):
+    """A feature of several models is one column, and rows with a null or NaN stay out."""
+    df = spark.createDataFrame([("k", 1.0, 3.0), ("k", 2.0, 5.0), ("k", None, 9.0), ("k", 4.0, float("nan")), (None, 1.0, 1.0), ("e", None, 1.0)], "k string, x double, y double")
+    widths = []
+    whole = np.triu_indices
+    monkeypatch.setattr(models.np, "triu_indices", lambda n: (widths.append(n), whole(n))[1])
+    one = {"x": F.col("x"), "one": F.lit(1.0)}
+    got = models.least_squares_many(df, ["k"], {"a": (one, []), "b": (dict(one), ["x"])}, "y").collect()
+    assert widths == [3] and {(r["k"], r["model"], r["n"]) for r in got} == {("k", "a", 2), ("k", "b", 2)}
+    assert all(r["coef"]["x"] == pytest.approx(2) and r["coef"]["one"] == pytest.approx(1) for r in got)
