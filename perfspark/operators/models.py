@@ -21,7 +21,7 @@ from perfspark.operators import domain, series
 from perfspark.operators.metrics import ape
 from perfspark.operators.ranking import add_rank
 from perfspark.operators.split import hash_order, upsample
-from perfspark.runtime import lookup, materialize
+from perfspark.runtime import lookup, materialize, small_side
 
 MAX_OPEN_KEYS = 2048
 #: Rows of a partition that a forest is fitted on.
@@ -76,10 +76,28 @@ def _cluster_sums(df: DataFrame, x: str, centres: np.ndarray) -> DataFrame:
     return df.select(x).mapInPandas(sums, "cluster int, n bigint, s array<double>")
 
 
+def _first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows that can be first of their key.
+
+    The smallest text of a group is found by sorting, the smallest number by
+    hashing: of a text order only rows with the smallest leading bytes stay.
+    With too many keys to broadcast, all rows do.
+    """
+    if dict(df.dtypes)[order] != "string":
+        return df
+    lead = F.conv(F.rpad(F.hex(F.substring(F.encode(order, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    least = materialize(df.select(key, lead.alias("__l")).groupBy(key).agg(F.min("__l").alias("__least")))
+    few = least.withColumnRenamed(key, "__k")
+    marked = small_side(few)
+    if marked is few:
+        return df
+    return df.join(marked, F.col(key).eqNullSafe(F.col("__k")) & lead.eqNullSafe(F.col("__least"))).drop("__k", "__least")
+
+
 def descriptor_clusters(df: DataFrame, key: Column, order: str) -> DataFrame:
     """Rows with equal descriptors share an id, numbered by first appearance."""
     keyed = df.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
+    first = _first_rows(keyed, "__key", order).groupBy("__key").agg(F.min(order).alias("__first"))
     ids = add_rank(first, ["__first"], (), "cluster").select("__key", (F.col("cluster") - 1).alias("cluster"))
     return keyed.join(lookup(ids), "__key").drop("__key")
 

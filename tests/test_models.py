@@ -170,3 +170,13 @@ def test_shared_features_are_summed_once(spark, monkeypatch):
     got = models.least_squares_many(df, ["k"], {"a": (one, []), "b": (dict(one), ["x"])}, "y").collect()
     assert widths == [3] and {(r["k"], r["model"], r["n"]) for r in got} == {("k", "a", 2), ("k", "b", 2)}
     assert all(r["coef"]["x"] == pytest.approx(2) and r["coef"]["one"] == pytest.approx(1) for r in got)
+
+
+def test_first_rows_are_chosen_by_their_leading_bytes(spark):
+    rows = [("a", "x1"), ("a", "x"), ("b", "x0000000b"), ("b", "x0000000a"), ("b", "y"), (None, "0"), ("n", None), ("e", "é"), ("e", "z"), ("a", "x")]
+    df = spark.createDataFrame(rows, "k string, id string")
+    assert sorted(map(tuple, models._first_rows(df, "k", "id").select("k", "id").collect()), key=str) == sorted(
+        [("a", "x"), ("a", "x"), ("b", "x0000000a"), ("b", "x0000000b"), (None, "0"), ("n", None), ("e", "z")], key=str)
+    got = {(r["k"], r["id"]): r["cluster"] for r in models.descriptor_clusters(df, F.col("k"), "id").collect()}
+    # no id comes first, then the ids in their order; a row without a descriptor has no cluster
+    assert got == {("n", None): 0, ("a", "x"): 2, ("a", "x1"): 2, ("b", "x0000000a"): 3, ("b", "x0000000b"): 3, ("b", "y"): 3, ("e", "z"): 4, ("e", "é"): 4}
