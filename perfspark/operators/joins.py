@@ -8,10 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
-from perfspark.runtime import lookup, small_side
+from perfspark.runtime import lookup, materialize_each, small_side
 
 # Fixed value: cost in seconds that marks a record without a measurement.
 INVALID_TIME = 1e10
+#: Rows of both sides that one round of a join in rounds shuffles.
+ROUND_ROWS = 100_000_000
+
+
+def join_in_rounds(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join, written out: every round joins a share of the keys, so the
+    disk holds the shuffle files of one share.  Join only the columns needed."""
+    rounds = max(1, -(-(left.count() + right.count()) // ROUND_ROWS))
+    if rounds == 1:
+        return materialize_each([left.join(right, key)])
+    share = F.pmod(F.xxhash64(key), F.lit(rounds))
+    return materialize_each(left.where(share == i).join(right.where(share == i), key) for i in range(rounds))
 
 
 def device_features(samples: DataFrame, devices: DataFrame, key: str = "device") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfspark.functions.numbers import ratio
-from perfspark.operators.ranking import add_rank
+from perfspark.operators.ranking import add_rank, add_segment
 from perfspark.runtime import materialize
 
 # Error bounds of the accuracy shares.
@@ -195,19 +195,29 @@ def peak_score(df: DataFrame, keys: Sequence[str], k: int, id_col: str, label: s
 
 # ------------------------------------------------------------- best / worst
 
-def best_worst(df: DataFrame, id_col: str, label: str = "label", pred: str = "pred", thirds: bool = False) -> DataFrame:
+def best_worst(
+    df: DataFrame, id_col: str, label: str = "label", pred: str = "pred", thirds: bool = False, place: bool = True
+) -> DataFrame:
     """Rows with ``ape`` and ``part``: best, worst or middle by error; rows
     without an error are ``undefined`` and have no place.
 
     Takes 100 rows per side (half of a small set), or a third of all rows.
+    Without ``place`` only the rows near the two cuts are ranked.
     """
     scored = df.withColumn("ape", ape(label, pred))
-    none = scored.where("ape IS NULL").withColumns({"place": F.lit(None).cast("bigint"), "part": F.lit("undefined")})
-    ranked = add_rank(scored.where("ape IS NOT NULL"), ["ape", id_col], (), "place", "__n")
+    none = scored.where("ape IS NULL").withColumn("part", F.lit("undefined"))
+    known = scored.where("ape IS NOT NULL")
+    if not place:
+        n = known.count()
+        size = n // 3 if thirds else 100 if n > 200 else n // 2
+        cut = add_segment(known, ["ape", id_col], [size, n - size], "__s")
+        part = F.when(F.col("__s") == 0, "best").when(F.col("__s") == 2, "worst").otherwise("middle")
+        return cut.withColumn("part", part).drop("__s").unionByName(none)
+    ranked = add_rank(known, ["ape", id_col], (), "place", "__n")
     n = F.col("__n")
     size = F.floor(n / 3) if thirds else F.when(n > 200, 100).otherwise(F.floor(n / 2))
     part = F.when(F.col("place") <= size, "best").when(F.col("place") > n - size, "worst").otherwise("middle")
-    return ranked.withColumn("part", part).drop("__n").unionByName(none)
+    return ranked.withColumn("part", part).drop("__n").unionByName(none.withColumn("place", F.lit(None).cast("bigint")))
 
 
 def best_worst_report(parts: DataFrame) -> DataFrame:

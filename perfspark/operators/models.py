@@ -21,7 +21,7 @@ from perfspark.operators import domain, series
 from perfspark.operators.metrics import ape
 from perfspark.operators.ranking import add_rank
 from perfspark.operators.split import hash_order, upsample
-from perfspark.runtime import lookup, materialize, small_side
+from perfspark.runtime import lookup, materialize, materialize_last, shuffled_once, small_side
 
 MAX_OPEN_KEYS = 2048
 #: Rows of a partition that a forest is fitted on.
@@ -202,22 +202,26 @@ def gbt(train: DataFrame, test: DataFrame, x: str, label: str, loss: str = "MSE"
     return fitted.transform(with_vector(test, x)).drop("vec")
 
 
-def good_bad_forest(parts: DataFrame, x: str, id_col: str, train_share: float = 0.95, seed: int = 0) -> DataFrame:
+def good_bad_forest(
+    parts: DataFrame | Callable[[], DataFrame], x: str, id_col: str, train_share: float = 0.95, seed: int = 0
+) -> DataFrame:
     """Tell best from worst rows: accuracy on the training and held-out parts.
 
-    ``parts`` has ``part`` best or worst; the smaller class is repeated.
+    ``parts`` has ``part`` best or worst; the smaller class is repeated.  It may
+    be a function: what that writes is deleted when the rows have been taken.
     """
     share = F.conv(F.substring(hash_order(id_col), 1, 8), 16, 10).cast("double") / 2.0**32
-    rows = parts.where("part IN ('best', 'worst')").select(
+    taken = lambda df: df.where("part IN ('best', 'worst')").select(
         id_col, x, "part", F.when(F.col("part") == "best", 1.0).otherwise(0.0).alias("label"),
         F.when(share < train_share, "val").otherwise("test").alias("side"),
     )
-    rows = materialize(rows)
-    train = with_vector(upsample(rows.where("side = 'val'"), "label", id_col), x)
+    rows = materialize_last(lambda: taken(parts() if callable(parts) else parts))
+    train = upsample(rows.where("side = 'val'").select(id_col, x, "label"), "label", id_col)
+    train = with_vector(train, x).select("vec", "label")
     # the fit keeps its rows in memory and reads a whole partition at every step
     tasks = -(-train.count() // FOREST_ROWS)
     if tasks > train.rdd.getNumPartitions():
-        train = train.repartition(tasks)
+        train = shuffled_once(train.repartition(tasks))  # the fit and its summary make several plans of it
     model = RandomForestClassifier(featuresCol="vec", labelCol="label", predictionCol="guess", seed=seed).fit(train)
     return model.transform(with_vector(rows, x)).groupBy("side", "part").agg(
         F.avg((F.col("guess") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")

@@ -8,7 +8,9 @@ into global ones.  A key of any size is spread over as many ranges as it needs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from perfspark.runtime import lookup, materialize
 
 POS, CHUNK = "__pos", "__chunk"
+#: Rows up to which a table is ranked where only a few places matter.
+RANKED_ROWS = 1_000_000
+#: Rows of a larger table for one row of the sample that brackets such places.
+SAMPLED_OF = 256
 
 
 def _column(c) -> Column:
@@ -92,6 +98,50 @@ def add_rank(
     return out.drop(POS, CHUNK, "__start", "__before", "__total")
 
 
+def add_segment(df: DataFrame, order: Sequence, places: Sequence[int], name: str = "segment") -> DataFrame:
+    """How many of the ascending ``places`` lie before each row: 0 for the rows
+    ranked 1 to ``places[0]``, and so on.  Equal sort keys are cut anywhere.
+
+    A large table is not moved: a sample brackets every place, the rows outside
+    the brackets are counted, and only those inside are ranked.  The rows of
+    ``df`` have to be the same on every scan.
+    """
+    past = lambda rank: sum((F.when(rank > p, 1).otherwise(0) for p in places), F.lit(0))
+    ranked = lambda rows: add_rank(rows, order, (), "__r").withColumn(name, past(F.col("__r"))).drop("__r")
+    if not places:
+        return df.withColumn(name, F.lit(0))
+    total = df.count()
+    if total <= RANKED_ROWS:
+        return ranked(df)
+    key = F.struct(*[_column(c).alias(f"k{i}") for i, c in enumerate(order)])
+    some = add_rank(df.sample(max(1 / SAMPLED_OF, RANKED_ROWS / total / 8), seed=0).select(key.alias("__key")), ["__key"], (), "__r")
+    size = some.count()
+    at = [min(p / total, 1.0) for p in places]
+    slack = [5 * math.sqrt(size * q * (1 - q)) + 10 for q in at]  # five deviations: a miss is caught below
+    # in ascending order; a bound before the first or behind the last row of the sample is null
+    low = [*accumulate((math.floor(size * q - s) for q, s in zip(at[::-1], slack[::-1])), min)][::-1]
+    high = [*accumulate((math.ceil(size * q + s) for q, s in zip(at, slack)), max)]
+    bounds = {f"__{k}{i}": r for k, rs in (("low", low), ("high", high)) for i, r in enumerate(rs)}
+    row = some.where(F.col("__r").isin(*set(bounds.values()))).agg(
+        *[F.max(F.when(F.col("__r") == r, F.col("__key"))).alias(c) for c, r in bounds.items()])
+    marked = df.crossJoin(F.broadcast(materialize(row)))
+    count = lambda tests: sum((t.cast("int") for t in tests), F.lit(0))
+    marked = marked.withColumns({
+        "__in": count(F.coalesce(key >= F.col(f"__low{i}"), F.lit(True)) for i in range(len(places))),
+        "__out": count(F.coalesce(key > F.col(f"__high{i}"), F.lit(False)) for i in range(len(places))),
+    }).drop(*bounds)
+    found = {(r["__in"], r["__out"]): r["count"] for r in marked.groupBy("__in", "__out").count().collect()}
+    under = lambda test: sum(n for at, n in found.items() if test(*at))
+    if not all(under(lambda a, b: a <= i) <= p and (p >= total or p <= under(lambda a, b: b <= i)) for i, p in enumerate(places)):
+        return ranked(df)
+    # before a row of the brackets it has entered lie all rows that have left fewer and are in none
+    before = [under(lambda a, b: a == b < m) for m in range(len(places) + 1)]
+    inside = add_rank(marked.where("__in > __out"), order, (), "__r")
+    rank = F.col("__r") + F.element_at(F.array(*[F.lit(n) for n in before]), F.col("__in") + 1)
+    outside = marked.where("__in = __out").withColumn(name, F.col("__out"))
+    return outside.drop("__in", "__out").unionByName(inside.withColumn(name, past(rank)).drop("__in", "__out", "__r"))
+
+
 def percentiles(
     df: DataFrame, value, probs: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -5,17 +5,20 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfspark.operators.ranking import add_rank
+from perfspark.operators.ranking import add_rank, add_segment
 from perfspark.runtime import lookup, materialize, small_side
 
 # Split codes are bit sets.
 FILTERED, TRAIN, TEST, ALL = 0, 1, 2, 7
 TRAIN_RATIO = 0.8
 FILES_PER_SHARD = 64
+#: Classes up to which the rows to be repeated are found by their places in the whole table.
+CUT_CLASSES = 16
 
 
 def hash_order(id_col: str, seed: str = "0") -> Column:
@@ -207,12 +210,25 @@ def assign_shards(tasks: DataFrame, keys: Sequence[str], per_shard: int = FILES_
 
 
 def upsample(df: DataFrame, cls: str, id_col: str) -> DataFrame:
-    """Repeat the rows of every class up to the size of the largest one."""
-    ranked = add_rank(df, [id_col], [cls], "__r", "__n")
-    top = ranked.agg(F.max("__n").alias("n")).first()["n"] or 0
-    last = F.ceil(F.lit(top) / F.col("__n")) - 1
-    copies = ranked.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return copies.where(F.col("__c") * F.col("__n") + F.col("__r") <= top).drop("__r", "__n", "__c")
+    """Repeat the rows of every class up to the size of the largest one: all
+    equally often, and the first by ``id_col`` once more."""
+    sizes = materialize(df.groupBy(F.col(cls).alias("__cls")).agg(F.count(F.lit(1)).alias("__n")))
+    top = sizes.agg(F.max("__n").alias("n")).first()["n"] or 0
+    some = sizes.orderBy("__cls").limit(CUT_CLASSES + 1).collect()
+    if len(some) > CUT_CLASSES:
+        ranked = add_rank(df, [id_col], [cls], "__r", "__n")
+        times = F.floor((top - F.col("__r")) / F.col("__n")) + 1
+    else:
+        # in order of class and id, the rows repeated once more end at these places
+        starts = [0, *accumulate(r["__n"] for r in some)]
+        places = [at + top % r["__n"] for at, r in zip(starts, some)]
+        by_class = Window.orderBy("__cls")
+        known = sizes.withColumn("__i", F.row_number().over(by_class) - 1)
+        cut = add_segment(df, [cls, id_col], places, "__s")
+        ranked = cut.join(F.broadcast(known), cut[cls].eqNullSafe(known["__cls"]))
+        times = F.floor(F.lit(top) / F.col("__n")) + F.when(F.col("__s") <= F.col("__i"), 1).otherwise(0)
+    copies = ranked.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    return copies.select(*df.columns)
 
 
 def downsample(df: DataFrame, cls: str, id_col: str, seed: str = "0") -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from perfspark.operators import derive, domain, metrics, models, router
+from perfspark.operators import derive, domain, joins, metrics, models, router
 from perfspark.operators.ranking import add_rank
 from perfspark.plans import views
 from perfspark.plans.q_filters import RULES
@@ -224,9 +224,10 @@ def _(spark, d):
 @query("rf_best_worst")
 def _(spark, d):
     """The third of rows predicted best against the third predicted worst."""
-    p = views.predictions(spark, d).join(
-        views.samples(spark, d).select("sample_id", F.col("features").cast("array<double>").alias("x")), "sample_id")
-    return models.good_bad_forest(metrics.best_worst(p, "sample_id", thirds=True), "x", "sample_id")
+    p = views.predictions(spark, d).select("sample_id", "label", "pred")
+    x = views.samples(spark, d).select("sample_id", F.col("features").cast("array<double>").alias("x"))
+    return models.good_bad_forest(
+        lambda: metrics.best_worst(joins.join_in_rounds(p, x, "sample_id"), "sample_id", thirds=True, place=False), "x", "sample_id")
 
 
 @query(
